@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block of queries and of a block of candidates.
-QUERY_ROWS, ROWS = 1024, 8192
+QUERY_ROWS, ROWS = 512, 4096
 #: Segments of the levels, coarse to fine.
 LEVELS = (1, 4, 16)
 #: Survivors' share up to which they are bounded pair by pair rather than as a whole block.
 SPARSE = 0.1
+#: Pairs whose vectors are gathered at once.
+STEP = 1 << 14
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -60,13 +62,22 @@ def _distinct(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np
     return ids[keep], x[keep]
 
 
+def _products(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The inner products of the rows i of a and j of b; exact for objects (Python numbers) and for sums below 2**53."""
+    out = np.empty(len(i), a.dtype)
+    for lo in range(0, len(i), STEP):
+        at = slice(lo, lo + STEP)
+        out[at] = (a[i[at]] * b[j[at]]).sum(1) if a.dtype == object else np.einsum("nd,nd->n", a[i[at]], b[j[at]])
+    return out
+
+
 def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, candidate id, score) of the k best candidates of each query, exactly; q and c hold integers."""
     big = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] >= 2.0**52
     own_times = int(np.unique(cid, return_counts=True)[1].max(initial=0))
     cid, c = _distinct(cid, c, k + own_times)
     fq, fc = q.astype(np.float64), c.astype(np.float64)
-    exact = (lambda i, j: np.array([sum(int(a) * int(b) for a, b in zip(q[u], c[v], strict=True)) for u, v in zip(i, j, strict=True)], object)) if big else (lambda i, j: np.einsum("nd,nd->n", fq[i], fc[j]))
+    xq, xc = (q.astype(object), c.astype(object)) if big else (fq, fc)
     levels = [s for s in LEVELS if s <= q.shape[1]]
     own = qid[:, None] == cid[None, :]
     slack = 1e-9 * (1 + np.sqrt((fq**2).sum(1)) * np.sqrt((fc**2).sum(1).max(initial=0)))[:, None]
@@ -75,7 +86,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
     bound = np.where(own, -np.inf, known[probe][0] @ known[probe][1].T + slack)
     top = min(k, bound.shape[1])
     first = np.argpartition(-bound, top - 1, axis=1)[:, :top]
-    seen = exact(np.repeat(np.arange(len(q)), top), first.ravel()).reshape(len(q), top)
+    seen = _products(xq, np.repeat(np.arange(len(q)), top), xc, first.ravel()).reshape(len(q), top)
     usable = ~np.take_along_axis(own, first, 1)
     beat = np.array([min(s[u]) if u.sum() == k else -np.inf for s, u in zip(seen, usable, strict=True)], object if big else float)[:, None]
     alive = ~own
@@ -86,10 +97,10 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
             alive &= a @ b.T + slack >= beat
         else:
             i, j = np.nonzero(alive)
-            alive[i, j] = np.einsum("nd,nd->n", a[i], b[j]) + slack[i, 0] >= beat[i, 0]
+            alive[i, j] = _products(a, i, b, j) + slack[i, 0] >= beat[i, 0]
     i, j = np.nonzero(alive)
-    score = exact(i, j)
-    order = np.lexsort((cid[j], -score if not big else np.array([-v for v in score], object), i)) if not big else np.array(sorted(range(len(i)), key=lambda t: (i[t], -score[t], cid[j[t]])), int)
+    score = (fq @ fc.T)[i, j] if not big and len(i) > SPARSE * alive.size else _products(xq, i, xc, j)
+    order = np.array(sorted(range(len(i)), key=lambda t: (i[t], -score[t], cid[j[t]])), np.int64) if big else np.lexsort((cid[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     start = np.searchsorted(i, np.arange(len(q)))
     keep = np.arange(len(i)) - start[i] < k if len(i) else np.zeros(0, bool)
