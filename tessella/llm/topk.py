@@ -98,8 +98,14 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
         else:
             i, j = np.nonzero(alive)
             alive[i, j] = _products(a, i, b, j) + slack[i, 0] >= beat[i, 0]
-    i, j = np.nonzero(alive)
-    score = (fq @ fc.T)[i, j] if not big and len(i) > SPARSE * alive.size else _products(xq, i, xc, j)
+    if not big and alive.mean() > SPARSE:  # little could be excluded: score as a whole, and keep what reaches the k-th best
+        product = np.where(alive, fq @ fc.T, -np.inf)
+        alive &= product >= np.partition(product, -top, axis=1)[:, -top:].min(1)[:, None]
+        i, j = np.nonzero(alive)
+        score = product[i, j]
+    else:
+        i, j = np.nonzero(alive)
+        score = _products(xq, i, xc, j)
     order = np.array(sorted(range(len(i)), key=lambda t: (i[t], -score[t], cid[j[t]])), np.int64) if big else np.lexsort((cid[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     start = np.searchsorted(i, np.arange(len(q)))
