@@ -42,18 +42,15 @@ def _compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
-def _arrow(ids: list[list[int]]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array(x, np.int32) for x in ids]) if len(ids) else np.zeros(0, np.int32)))
-
-
 def encode_column(text: Column, path: str, pattern: str) -> Column:
     """The ids (array<int>) of a text column, each text encoded whole."""
 
     @F.arrow_udf("array<int>")
     def udf(texts: pa.Array) -> pa.Array:
         enc = encoding(path, pattern)
-        return _arrow([enc.encode_ordinary(t) if t else [] for t in texts.to_pylist()])
+        # a list of Python numbers takes ten times the room of an array, so there is never more than one text's
+        ids = [np.array(enc.encode_ordinary(t.as_py() or ""), np.int32) for t in texts]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 
     return udf(text)
 
@@ -64,8 +61,8 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def udf(many: pa.Array) -> pa.Array:
         enc = encoding(path, pattern)
-        ends, values = many.offsets.to_numpy(), many.values.to_numpy().tolist()
-        return pa.array([enc.decode_bytes(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        ends, values = many.offsets.to_numpy(), many.values.to_numpy()
+        return pa.array([enc.decode_bytes(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
 
     return udf(ids)
 
@@ -112,8 +109,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """rows with the bytes that the ids stand for."""
-    return rows.withColumn(out, decode_column(F.col(ids), path, pattern))
+    """rows with the bytes that the ids stand for; none for null."""
+    # what stands between keeps the planner from encoding a second time inside the decoding function
+    given = F.coalesce(F.col(ids), F.array().cast("array<int>"))
+    return rows.withColumn(out, decode_column(given, path, pattern))
 
 
 def digest(ids: list[int]) -> str:
