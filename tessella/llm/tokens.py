@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -49,8 +50,11 @@ def encode_column(text: Column, path: str, pattern: str) -> Column:
     def udf(texts: pa.Array) -> pa.Array:
         enc = encoding(path, pattern)
         # a list of Python numbers takes ten times the room of an array, so there is never more than one text's
-        ids = [np.array(enc.encode_ordinary(t.as_py() or ""), np.int32) for t in texts]
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        values, ends = array("i"), [0]
+        for t in texts:
+            values.fromlist(enc.encode_ordinary(t.as_py() or ""))
+            ends.append(len(values))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
 
     return udf(text)
 
