@@ -180,6 +180,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes.select("fp")))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    # a table of its own, so that a root with very many fingerprints can be split when it is joined
+    least = checkpoint(named.groupBy("root").agg(F.min("first").alias("component_id")))
     by_print = named.join(least, "root").select("fp", "component_id")
     return rows.join(by_print, "fp", "left").select("doc_id", "fp", "component_id")
