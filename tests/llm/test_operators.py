@@ -444,3 +444,12 @@ def test_place_fills_each_sequence_in_order():
             own = own[np.argsort(offset[own])]
             assert offset[own].tolist() == np.cumsum([0, *lengths[own]])[:-1].tolist() and lengths[own].sum() <= 1024
     assert len(np.unique(packing.place(lengths)[0])) <= lengths.sum() / 1024 * 1.02 + 1
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    from tests.test_oracles import connection, rows
+
+    want = connection(SMALL).execute(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, SMALL).toPandas()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
