@@ -81,7 +81,7 @@ def latex_escape(text: Column) -> Column:
 
 def mean_cell(v: Column, digits: int = 4) -> Column:
     """A mean as a table cell, a dash if there is none."""
-    return F.coalesce(F.format_string(f"%.{digits}f", v), F.lit("—"))
+    return F.when(v.isNull(), "—").otherwise(F.format_string(f"%.{digits}f", v))
 
 
 def markdown_row(*cells: Column) -> Column:

@@ -259,7 +259,7 @@ def block_merge(spark, d):
     return parts.join(l.merge_boxes(boxes, "root"), "root").select("img", "root", "parts", "r0", "r1", "c0", "c1")
 
 
-@register("label_dilation", sql("grid", """SELECT img, y, x, label FROM (SELECT g.img, g.y + dy AS y, g.x + dx AS x, label, dy = 0 AND dx = 0 AS own FROM grid g, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE label > 0)
+@register("label_dilation", sql("grid", """SELECT img, y, x, label FROM (SELECT g.img, CAST(g.y + dy AS INTEGER) AS y, CAST(g.x + dx AS INTEGER) AS x, label, dy = 0 AND dx = 0 AS own FROM grid g, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE label > 0)
     WHERE y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 QUALIFY row_number() OVER (PARTITION BY img, y, x ORDER BY own DESC, label DESC) = 1"""))
 def label_dilation(spark, d):
     return l.dilate(grid(spark, d), "label", SIDE, SIDE)

@@ -225,7 +225,7 @@ def fill_holes_and_small(spark, d):
     return k.per_image(grid(spark, d), lambda a: k.clean(a, 3), "label", "label", SIDE, SIDE)
 
 
-@register("image_components", sql("pix", "SELECT img, count(DISTINCT root) AS n, sum(area) AS area FROM (SELECT n.img, r.root, count(*) AS area FROM (SELECT node, min(root) AS root FROM reach GROUP BY node) r JOIN nodes n USING (node) GROUP BY ALL) GROUP BY img", recursive=True,
+@register("image_components", sql("pix", "SELECT img, count(DISTINCT root) AS n, CAST(sum(area) AS BIGINT) AS area FROM (SELECT n.img, r.root, count(*) AS area FROM (SELECT node, min(root) AS root FROM reach GROUP BY node) r JOIN nodes n USING (node) GROUP BY ALL) GROUP BY img", recursive=True,
     nodes="SELECT img * 64 + pos AS node, img, y, x FROM pix WHERE v > 0", reach="SELECT node, node AS root FROM nodes UNION SELECT n.node, r.root FROM reach r JOIN nodes m ON m.node = r.node JOIN nodes n ON n.img = m.img AND abs(n.y - m.y) <= 1 AND abs(n.x - m.x) <= 1"))
 def image_components(spark, d):
     found = k.per_image(pix(spark, d), lambda a: k.components(a > 0), "v", "label", SIDE, SIDE)
