@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import free_name
 
 CHUNK, OVERLAP = 1 << 16, 1 << 11
+#: Texts that travel to a Python worker at once, at most: ids take more room than their text.
+BATCH_ROWS = 1000
 
 
 @lru_cache(4)
@@ -103,7 +105,12 @@ def _long(rows: DataFrame, key: str, text: str, path: str, pattern: str, chunk:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs with a column of ids (array<int>), the same as the encoding of each whole text."""
+    """docs with a column of ids (array<int>), the same as the encoding of each whole text.
+
+    Lowers the session's rows of an Arrow batch to ``BATCH_ROWS`` if there are more.
+    """
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or BATCH_ROWS)))
     short = docs.where(F.col(text).isNull() | (F.length(text) <= chunk)).withColumn(ids, encode_column(F.col(text), path, pattern))
     key = free_name(docs, "_row")
     long = docs.where(F.length(text) > chunk).withColumn(key, F.monotonically_increasing_id())
