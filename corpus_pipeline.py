@@ -30,7 +30,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the learned decision list."""
-    return quality_rules(spark, docs, sf_dir).where("kept").select(*docs.columns)
+    rows, judged = quality_rules(spark, docs, sf_dir)
+    return rows.where(f"{judged}.kept").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

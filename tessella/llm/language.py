@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
 Learning counts the letter trigrams (with word edges) of a bounded sample of each language and puts the most frequent
-ones into a bit-sliced Bloom filter: every position holds one bit per language, so the AND over the positions of an
+ones that are its own (not only quoted in it) into a bit-sliced Bloom filter: every position holds one bit per language, so the AND over the positions of an
 n-gram is the mask of *all* languages that contain it. A text is scored by the popcount of each language over its
 n-grams; the popcounts are corrected for the false positives that the filter's fill implies, and the largest decides.
 
@@ -20,11 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import CHUNK_CHARS, groups, share
+from tessella.llm.common import CHUNK_CHARS, checkpoint, groups, share
 
 UNDETERMINED = "und"
 #: Bounds of the learning: documents of one language, and n-grams of one language in the filter.
 SAMPLE_DOCS, GRAMS = 10_000, 2048
+#: Share of an n-gram's largest relative frequency that it must have in a language to count as one of that language's:
+#: passages in a foreign language put the n-grams of one language into the documents of another.
+OWN_SHARE = 0.05
 #: Positions of the filter (a power of two) and positions of one n-gram.
 POSITIONS_LOG2, HASHES = 15, 3
 #: Odd multipliers of the hash positions.
@@ -132,8 +135,12 @@ def learn(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang"
         return Filters([])
     part = F.create_map(*[F.lit(x) for name in order for x in (name, min(1.0, sample_docs / sizes[name]))])
     counted = rows.where(share(F.element_at(part, F.col("lang")), F.col("id"), F.col("text"))).select("lang", "text").mapInPandas(_count, "lang string, gram long, n long")
+    sums = checkpoint(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    totals = sums.groupBy("lang").agg(F.sum("n").alias("total"))  # a row per language
+    shares = sums.join(totals, "lang").withColumn("share", F.col("n") / F.col("total"))
+    own = shares.withColumn("largest", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= OWN_SHARE * F.col("largest"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("at", F.row_number().over(first)).where(F.col("at") <= top).select("lang", "gram").toPandas()
+    kept = own.withColumn("at", F.row_number().over(first)).where(F.col("at") <= top).select("lang", "gram").toPandas()
     by = {name: kept.loc[kept["lang"] == name, "gram"].to_numpy(np.int64).astype(np.uint64) for name in order}
     return Filters.build(by, order)
 

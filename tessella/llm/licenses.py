@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bind
+from tessella.llm.common import bind, free_name
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 24
 
@@ -102,8 +102,9 @@ def scan(docs: DataFrame, text: str = "text", texts: dict[str, list[str]] = TEMP
     known = templates(spark, texts)
     every = sorted({h for _, _, hashes in known for h in hashes})
     vocabulary = F.array(*[F.lit(h) for h in every]) if every else F.array().cast("array<bigint>")
-    out = docs.withColumn("_h", shingles(F.col(text)))
-    out = out.withColumn("_at", F.when(F.arrays_overlap("_h", vocabulary), F.filter(F.transform("_h", lambda h, i: F.when(F.array_contains(vocabulary, h), i)), lambda i: i.isNotNull())))
+    hashes, places = free_name(docs, "_h"), free_name(docs, "_at")
+    out = docs.withColumn(hashes, shingles(F.col(text)))
+    out = out.withColumn(places, F.when(F.arrays_overlap(hashes, vocabulary), F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(vocabulary, h), i)), lambda i: i.isNotNull())))
     found: list[Column] = []
     sizes: dict[int, list[tuple[str, int, list[int]]]] = {}
     for t in known:
@@ -111,10 +112,10 @@ def scan(docs: DataFrame, text: str = "text", texts: dict[str, list[str]] = TEMP
     for group in sizes.values():
         small, large = min(len(t[2]) for t in group), max(len(t[2]) for t in group)
         step = max(1, small // 4)
-        found.append(_windows(step, large + step, group, spark))
+        found.append(_windows(F.col(hashes), F.col(places), step, large + step, group, spark))
     empty = F.array().cast(MATCHES)
     matches = F.flatten(F.array(*found)) if found else empty
-    return out.withColumn("licenses", F.when(F.col("_at").isNull(), empty).otherwise(bind(matches, _best))).drop("_h", "_at")
+    return out.withColumn("licenses", F.when(F.col(places).isNull(), empty).otherwise(bind(matches, _best))).drop(hashes, places)
 
 
 MATCHES = "array<struct<license:string,containment:double,first_shingle:int>>"
@@ -131,10 +132,10 @@ def _best(matches: Column) -> Column:
     return F.transform(F.transform(names, of), lambda b: F.struct(b["license"].alias("license"), b["containment"].alias("containment"), (-b["back"]).alias("first_shingle")))
 
 
-def _windows(step: int, width: int, group: list[tuple[str, int, list[int]]], spark: SparkSession) -> Column:
-    """Matches of a group of templates in the windows that start at multiples of step and hold a shingle of ``_at``."""
-    starts = F.array_distinct(F.flatten(F.transform("_at", lambda i: F.sequence(F.greatest(F.lit(0), F.ceil((i - width + 1) / step).cast("int")), F.floor(i / step).cast("int")))))
-    return F.flatten(F.transform(starts, lambda k: _verify(k * step, width, group, spark)))
+def _windows(hashes: Column, places: Column, step: int, width: int, group: list[tuple[str, int, list[int]]], spark: SparkSession) -> Column:
+    """Matches of a group of templates in the windows that start at multiples of step and hold one of the places."""
+    starts = F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(F.greatest(F.lit(0), F.ceil((i - width + 1) / step).cast("int")), F.floor(i / step).cast("int")))))
+    return F.flatten(F.transform(starts, lambda k: _verify(hashes, k * step, width, group, spark)))
 
 
 _SIGNATURES: dict[tuple, list[list[int]]] = {}
@@ -148,7 +149,7 @@ def _signatures(spark: SparkSession, group: list[tuple[str, int, list[int]]]) ->
     return _SIGNATURES[key]
 
 
-def _verify(start: Column, width: int, group: list[tuple[str, int, list[int]]], spark: SparkSession) -> Column:
+def _verify(hashes_: Column, start: Column, width: int, group: list[tuple[str, int, list[int]]], spark: SparkSession) -> Column:
     """The templates of a group that share a band with the window at ``start`` and that it contains."""
     signatures = _signatures(spark, group)
 
@@ -160,7 +161,7 @@ def _verify(start: Column, width: int, group: list[tuple[str, int, list[int]]],
             rows.append(F.when(shared & (held >= CONTAINMENT), F.struct(F.lit(name).alias("license"), held.alias("containment"), start.cast("int").alias("first_shingle"))))
         return F.filter(F.array(*rows), lambda m: m.isNotNull())
 
-    return bind(F.slice(F.col("_h"), start + 1, width), lambda window: bind(_bands(window), lambda bands: check(window, bands)))
+    return bind(F.slice(hashes_, start + 1, width), lambda window: bind(_bands(window), lambda bands: check(window, bands)))
 
 
 def plain_words(text: str) -> list[str]:

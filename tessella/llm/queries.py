@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import chat, gam, labelled, language, licenses, packing, pii, rules, simhash, tokens, topk
-from tessella.llm.common import remainder, table
+from tessella.llm.common import free_name, remainder, table
 from tessella.llm.textstats import FEATURES, features, stats
 
 
@@ -74,19 +74,24 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with statistics, base_failed and kept; the decision list is learned from labelled rows of docs that pass the base rule."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, str]:
+    """docs with one more column, whose name is returned too: a struct of the statistics, base_failed and kept.
+
+    The decision list is learned from labelled rows of docs that pass the base rule.
+    """
     known = labelled.sample(docs, table(spark, sf_dir, "labels"), F.lit(True))
     known = known[(known["log_words"] >= np.log1p(rules.MIN_WORDS)) & (100 * known["repeat_share"] <= rules.MAX_REPEAT_PERCENT)]
     learned = rules.learn(known, list(FEATURES))
-    rows = docs.withColumn("s", stats(F.col("text")))
-    failed = rules.base_failed(lambda c: F.col(f"s.{c}"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & rules.kept(learned, features("s")))
+    s, judged = free_name(docs, "stats"), free_name(docs, "judged")
+    rows = docs.withColumn(s, stats(F.col("text")))
+    failed = rules.base_failed(lambda c: F.col(f"{s}.{c}"))
+    verdict = F.struct(F.col(s).alias("stats"), failed.alias("base_failed"), (~failed & rules.kept(learned, features(s))).alias("kept"))
+    return rows.withColumn(judged, verdict).drop(s), judged
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules(spark, docs, sf_dir).select("doc_id", "s.n_words", "s.word_chars", "s.n_symbols", "s.n_dup_lines", "s.n_repeat_words", "base_failed", "kept")
+    rows, at = quality_rules(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
+    return rows.select("doc_id", *[f"{at}.stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], f"{at}.base_failed", f"{at}.kept")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,9 @@ def _grow(x: np.ndarray, y: np.ndarray, names: list[str], cuts: list[np.ndarray]
                 gain = np.where(a > 0, a * (np.log2(np.maximum(a, 1e-9) / np.maximum(a + b, 1e-9)) - old), 0)
                 if len(gain) and gain.max() > top[0] + 1e-12:
                     k = int(gain.argmax())
-                    top = (float(gain[k]), Condition(name, above, float(cuts[j][k])))
+                    # halfway to the next value seen, so that new values near the cut fall to the nearer side
+                    next_ = x[x[:, j] > cuts[j][k], j].min(initial=np.inf)
+                    top = (float(gain[k]), Condition(name, above, float(cuts[j][k] if np.isinf(next_) else (cuts[j][k] + next_) / 2)))
         if top[1] is None:
             break
         rule.append(top[1])

@@ -112,10 +112,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     conf = docs.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or BATCH_ROWS)))
     short = docs.where(F.col(text).isNull() | (F.length(text) <= chunk)).withColumn(ids, encode_column(F.col(text), path, pattern))
-    key = free_name(docs, "_row")
+    key = free_name(docs, "_row")  # of this run only
     long = docs.where(F.length(text) > chunk).withColumn(key, F.monotonically_increasing_id())
-    pieces = _long(long.select(key, F.col(text).alias("_text")), key, "_text", path, pattern, chunk, overlap).withColumnsRenamed({"lost": "_lost", "ids": "_ids"})
-    whole = long.join(pieces, key).withColumn(ids, F.when(F.col("_lost"), encode_column(F.when(F.col("_lost"), F.col(text)), path, pattern)).otherwise(F.col("_ids")))
+    pieces = _long(long.select(key, F.col(text).alias("_text")), key, "_text", path, pattern, chunk, overlap)
+    lost, found = free_name(docs, "_lost"), free_name(docs, "_ids")
+    both = long.join(pieces.withColumnsRenamed({"lost": lost, "ids": found}), key)
+    whole = both.withColumn(ids, F.when(F.col(lost), encode_column(F.when(F.col(lost), F.col(text)), path, pattern)).otherwise(F.col(found)))
     return short.unionByName(whole.select(*docs.columns, ids))
 
 

@@ -6,6 +6,8 @@ import re
 
 import pyarrow.parquet as pq
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.conftest import MIDDLE
 from tests.llm.test_operators import DOCS, brute_components, brute_simhash, plain_stats
@@ -42,10 +44,13 @@ def test_stages_follow_one_another(spark, tmp_path):
 def test_run_on_odd_rows(spark, tmp_path):
     prose = [r.as_py() for r in pq.read_table(f"{MIDDLE}/documents.parquet")["text"][:40]]
     rows = [(i, t, "en", "s", len(t), 7) for i, t in enumerate(prose)] + [(100, None, None, None, None, None), (101, "", "en", None, 0, 1), (1, prose[1], "en", "s", 1, 2), (None, prose[6], "en", "s", 1, 2), (102, "1234", "xx", "s", 4, 3)]
-    docs = spark.createDataFrame(rows, DOCS + ", shard int")
+    docs = spark.createDataFrame(rows, DOCS + ", shard int").withColumns({"stats": F.lit(1), "kept": F.lit(2), "judged": F.lit(3), "found": F.lit(4)})
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{MIDDLE}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:  # columns of clashing names come through as they are
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and {tuple(r) for r in out.select("stats", "kept", "judged", "found").distinct().collect()} == {(1, 2, 3, 4)}
     found = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert 102 not in set(found["doc_id"]) and 100 not in set(found["doc_id"])
     whole = found[found["doc_id"] == 1]
