@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import language, packing, pii, simhash
-from tessella.llm.common import free_name, remainder, table
+from tessella.llm.common import checkpoint, free_name, remainder, table
 from tessella.llm.queries import quality_rules
 
 #: Share of a text's n-grams that its language has to explain; far below what prose of a known language shows.
@@ -36,8 +36,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id, once; documents without an id stay."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = checkpoint(simhash.near_duplicates(docs))
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = not kept.where("n > 1").isEmpty()
+    # The ids of a partition are hashed and its texts stream past them, so texts are dealt once and never sorted.
+    named = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    if repeated:
+        named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
