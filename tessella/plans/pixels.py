@@ -265,3 +265,51 @@ def overlap_removal(spark, d):
         return k.without_covered([m for m in masks if m.any()] or [a > 0])
 
     return k.per_image(lab(spark, d).withColumn("code", F.col("gt") + 10 * F.col("pr")), both, "code", "label", SIDE, SIDE)
+
+
+@register("flipped_tiles", sql("pix", "SELECT img, ty, tx, flip, ly, lx, v FROM (SELECT img, CAST(ty AS INTEGER) AS ty, CAST(tx AS INTEGER) AS tx, (ty // 4 % 2) * 2 + tx // 4 % 2 AS flip, CAST(CASE WHEN ty // 4 % 2 = 1 THEN 3 - (y - ty) ELSE y - ty END AS INTEGER) AS ly, CAST(CASE WHEN tx // 4 % 2 = 1 THEN 3 - (x - tx) ELSE x - tx END AS INTEGER) AS lx, v FROM pix, range(0, 5, 4) a(ty), range(0, 5, 4) b(tx) WHERE y >= ty AND y < ty + 4 AND x >= tx AND x < tx + 4)"))
+def flipped_tiles(spark, d):
+    """Tiles of which every second row and column is mirrored: coordinates are turned, pixels stay."""
+    t = p.tiles(pix(spark, d), 4, 4, SIDE, SIDE)
+    down, across = F.floor(F.col("ty") / 4) % 2, F.floor(F.col("tx") / 4) % 2
+    return t.select("img", "ty", "tx", (down * 2 + across).alias("flip"), F.when(down == 1, 3 - F.col("ly")).otherwise(F.col("ly")).alias("ly"), F.when(across == 1, 3 - F.col("lx")).otherwise(F.col("lx")).alias("lx"), "v")
+
+
+@register("percentile_scribbles", sql("pix", "SELECT img, pos, v >= hi AS object FROM pix JOIN (SELECT img, quantile_cont(v, 0.66) AS hi, quantile_cont(v, 0.35) AS lo FROM pix GROUP BY img) USING (img) WHERE v >= hi OR v <= lo"))
+def percentile_scribbles(spark, d):
+    """Seeds of the object above the 66th percentile of an image, of the background below the 35th."""
+    rows = pix(spark, d)
+    ends = rows.groupBy("img").agg(F.percentile("v", F.array(F.lit(0.66), F.lit(0.35))).alias("q"))
+    return rows.join(ends, "img").where("v >= q[0] or v <= q[1]").select("img", "pos", (F.col("v") >= F.col("q")[0]).alias("object"))
+
+
+@register("training_filter", sql("lab", "SELECT img, n, round(greatest(5, d), 6) AS diameter, round(n / sum(n) OVER (), 9) AS p FROM (SELECT img, count(*) AS n, quantile_cont(sqrt(area), 0.5) / (sqrt(pi()) / 2) AS d FROM (SELECT img, gt, count(*) AS area FROM lab WHERE gt > 0 GROUP BY ALL) GROUP BY img) WHERE n >= 4"))
+def training_filter(spark, d):
+    """Images with enough instances, their diameter with a floor, and sampling weights that sum to one."""
+    areas = lab(spark, d).where("gt > 0").groupBy("img", "gt").agg(F.count("*").alias("area"))
+    rows = areas.groupBy("img").agg(F.count("*").alias("n"), (F.percentile(F.sqrt("area"), 0.5) / (F.sqrt(F.pi()) / 2)).alias("d")).where("n >= 4")
+    total = rows.agg(F.sum("n").alias("total"))  # one row
+    return rows.crossJoin(F.broadcast(total)).select("img", "n", F.round(F.greatest(F.lit(5.0), F.col("d")), 6).alias("diameter"), F.round(F.col("n") / F.col("total"), 9).alias("p"))
+
+
+@register("style_neighbours", "WITH q AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id < 20), r AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id % 5 = 0), n AS (SELECT q.vec_id, r.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.e, r.e), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))), 9), r.vec_id) AS k FROM q JOIN r ON q.vec_id <> r.vec_id) SELECT vec_id, label AS predicted FROM (SELECT vec_id, label, count(*) AS c FROM n WHERE k <= 5 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) = 1")
+def style_neighbours(spark, d):
+    """Labels of the first twenty vectors by the majority of their five nearest among every fifth one: a fixed set of queries, broadcast."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    asked = rows.where("vec_id < 20").select(F.col("vec_id").alias("q"), F.col("e").alias("qe"))
+    d2 = F.round(F.aggregate(F.zip_with("e", "qe", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), 9)
+    from pyspark.sql import Window
+
+    near = rows.where("vec_id % 5 = 0").crossJoin(F.broadcast(asked)).where("q <> vec_id").select("q", "label", "vec_id", d2.alias("d"))
+    best = near.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))).where("k <= 5")
+    votes = best.groupBy("q", "label").count()
+    return votes.groupBy(F.col("q").alias("vec_id")).agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("predicted"))
+
+
+@register("block_index_parse", "SELECT p_partkey, CAST(p_size AS INTEGER) AS bz, CAST(p_partkey % 7 AS INTEGER) AS \"by\", CAST(p_partkey % 3 AS INTEGER) AS bx FROM part")
+def block_index_parse(spark, d):
+    """Block indices out of file names, for folders that hold one file per block."""
+    s = lambda c: c.cast("string")
+    name = F.concat(F.lit("vol_Z"), s(F.col("p_size")), F.lit("Y"), s(F.col("p_partkey") % 7), F.lit("X"), s(F.col("p_partkey") % 3), F.lit(".tif"))
+    pattern = r"_Z(\d+)Y(\d+)X(\d+)"
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", name.alias("name")).select("p_partkey", *[F.regexp_extract("name", pattern, j).cast("int").alias(n) for j, n in ((1, "bz"), (2, "by"), (3, "bx"))])
