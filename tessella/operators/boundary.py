@@ -113,3 +113,24 @@ def window_recall(pair: DataFrame, radius: int = 1, img: Sequence[str] = ("img",
     border = {k: F.min(f"{k}_lo").over(column) != F.max(f"{k}_hi").over(column) for k in ("gt", "pr")}
     rows = rows.withColumns({"bg": border["gt"], "bp": border["pr"]})
     return rows.groupBy(*img).agg(F.count_if("bg").alias("n"), F.count_if(F.col("bg") & F.col("bp")).alias("tp")).select(*img, ratio(F.col("tp"), F.col("n"), 1.0).alias("br"))
+
+
+def scales(pair: DataFrame, table: DataFrame, factors: Sequence[float] = (0.05, 0.1, 0.2), img: Sequence[str] = ("img",)) -> DataFrame:
+    """(factor, precision, recall, f) of thick boundaries per image, within tolerances that are shares of the median diameter."""
+    areas = table.where("gt > 0").groupBy(*img, "gt").agg(F.sum("n").alias("a"))
+    size = areas.groupBy(*img).agg((F.percentile(F.sqrt("a"), 0.5) / (F.sqrt(F.pi()) / 2)).alias("d"))
+    marked = pair.withColumns({"bg": thick(pair, "gt", img), "bp": thick(pair, "pr", img)}).join(size, list(img)).withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
+    marked = marked.withColumn("r", F.greatest(F.lit(1), F.ceil(F.col("factor") * F.col("d"))).cast("int"))
+    keys = [*img, "factor"]
+    disk_of = F.expr("flatten(transform(sequence(-r, r), dy -> transform(sequence(-r, r), dx -> struct(dy, dx))))")
+
+    def hits(points: DataFrame, others: DataFrame, name: str) -> DataFrame:
+        step = F.explode(F.filter(disk_of, lambda s: s["dy"] * s["dy"] + s["dx"] * s["dx"] <= F.col("r") * F.col("r")))
+        moved = others.withColumn("s", step).select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
+        return points.join(moved, [*keys, "y", "x"], "left_semi").groupBy(*keys).agg(F.count("*").alias(name))
+
+    g, p = marked.where("bg"), marked.where("bp")
+    every = marked.groupBy(*keys).agg(F.count_if("bg").alias("ng"), F.count_if("bp").alias("np"))
+    rows = every.join(hits(g, p, "hg"), keys, "left").join(hits(p, g, "hp"), keys, "left").fillna(0, ["hg", "hp"])
+    precision, recall = ratio(F.col("hp"), F.col("np"), 0.0), ratio(F.col("hg"), F.col("ng"), 0.0)
+    return rows.select(*keys, precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall, 0.0).alias("f"))

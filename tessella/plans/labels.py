@@ -420,3 +420,11 @@ def largest_component(spark, d):
     roots = l.components(neighbours(rows, [(0, 1), (1, -1), (1, 0), (1, 1)]), rows)
     sizes = roots.join(rows.select("node", "img"), "node").groupBy("img", "root").agg(F.count("*").alias("n"))
     return sizes.groupBy("img").agg(F.max_by(F.struct("root", "n"), F.struct("n", -F.col("root"))).alias("b")).select("img", "b.root", "b.n")
+
+
+@register("boundary_scales", sql("lab", """SELECT img, factor, round(CASE WHEN np > 0 THEN hp / np ELSE 0 END, 6) AS precision, round(CASE WHEN ng > 0 THEN hg / ng ELSE 0 END, 6) AS recall FROM (SELECT s.img, factor, count(*) FILTER (bg) AS ng, count(*) FILTER (bp) AS np,
+    count(*) FILTER (bg AND EXISTS (SELECT 1 FROM th o WHERE o.img = s.img AND o.bp AND (o.y - s.y) * (o.y - s.y) + (o.x - s.x) * (o.x - s.x) <= r * r)) AS hg, count(*) FILTER (bp AND EXISTS (SELECT 1 FROM th o WHERE o.img = s.img AND o.bg AND (o.y - s.y) * (o.y - s.y) + (o.x - s.x) * (o.x - s.x) <= r * r)) AS hp
+    FROM th s JOIN (SELECT img, factor, greatest(1, CAST(ceil(factor * d) AS INTEGER)) AS r FROM (SELECT img, quantile_cont(sqrt(area), 0.5) / (sqrt(pi()) / 2) AS d FROM s GROUP BY img), (SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE]) AS factor)) q ON q.img = s.img GROUP BY ALL)""", th=THICK, s=SHAPES))
+def boundary_scales(spark, d):
+    rows = lab(spark, d)
+    return b.scales(rows, l.contingency(rows), (0.25, 0.5)).select("img", "factor", r6("precision"), r6("recall"))

@@ -148,3 +148,37 @@ def write_png(labels: np.ndarray) -> bytes:
     rows = b"".join(b"\0" + r.astype(">u2").tobytes() for r in labels)
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", labels.shape[1], labels.shape[0], 16, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Pixel rows (path, z, y, x, v) of raw 16 bit frame files whose sidecar of the same stem tells their shape and byte order."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    notes = files.where(F.endswith("path", F.lit(".inf"))).select(stem(F.col("path")).alias("stem"), F.col("content").cast("string").alias("note"))
+    size = F.regexp_extract("note", r"frame dimensions = (\d+) x (\d+)", 1).cast("int"), F.regexp_extract("note", r"frame dimensions = (\d+) x (\d+)", 2).cast("int")
+    raw = files.where(F.endswith("path", F.lit(".dax"))).withColumn("stem", stem(F.col("path"))).join(notes, "stem")
+    given = raw.select("path", "content", size[0].alias("height"), size[1].alias("width"), F.contains("note", F.lit("little endian")).alias("little"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                a = np.frombuffer(bytes(r.content), "<u2" if r.little else ">u2").reshape(-1, r.height, r.width)
+                z, y, x = np.indices(a.shape)
+                yield pd.DataFrame({"path": r.path, "z": z.ravel().astype(np.int32), "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32), "v": a.ravel().astype(np.float64)})
+
+    return given.mapInPandas(run, "path string, z int, y int, x int, v double")
+
+
+def ready(files: DataFrame) -> DataFrame:
+    """Files that are there and not empty."""
+    return files.where(F.col("length") > 0)
+
+
+def encode_label_maps(labels: DataFrame, img: str = "img", label: str = "label") -> DataFrame:
+    """(img, n_labels, png) of label rows: one image per group, as a column that any sink can hold."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1), np.int64)
+        grid[pdf["y"], pdf["x"]] = pdf[label]
+        return pd.DataFrame({img: [pdf[img].iloc[0]], "n_labels": [int((np.unique(grid) > 0).sum())], "png": [write_png(grid)]})
+
+    return labels.select(img, "y", "x", label).groupBy(img).applyInPandas(run, f"`{img}` {dict(labels.dtypes)[img]}, n_labels long, png binary")

@@ -62,3 +62,25 @@ def report(scores: DataFrame, metrics: list[str]) -> DataFrame:
     grouped = scores.groupingSets([["dataset", "method"], ["method"]], "dataset", "method").agg(*[F.avg(m).alias(m) for m in metrics], F.count("*").alias("n"))
     named = grouped.withColumn("dataset", F.coalesce("dataset", F.lit("ALL")))
     return named.select("dataset", "method", "n", markdown_row("method", *[mean_cell(F.col(m)) for m in metrics], F.col("n").cast("string")).alias("line"))
+
+
+def progress_line(done: int, total: int, elapsed: float, sample: str, at: str) -> str:
+    """One JSON line of progress, as ``operators.compare.progress`` computes it on columns."""
+    import json
+
+    rate = done / elapsed if elapsed > 0 else 0.0
+    return json.dumps({"sample": sample, "current": done, "total": total, "pct": round(100 * done / total, 2) if total else 0.0, "eta_s": round((total - done) / rate, 1) if rate else 0.0, "at": at})
+
+
+def cell_pack(cells: DataFrame) -> DataFrame:
+    """(category, roi, n, manifest) of per-cell rows: how many there are, and the rows themselves as JSON in order of gt_id."""
+    fields = F.struct(*[c for c in cells.columns if c not in ("category", "roi")])
+    rows = cells.groupBy("category", "roi").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("gt_id", fields.alias("cell")))).alias("all"))
+    return rows.select("category", "roi", "n", F.to_json(F.transform("all", lambda a: a["cell"])).alias("manifest"))
+
+
+def latex_rows(rows: DataFrame, name: str, values: list[str]) -> DataFrame:
+    """Lines of a table: an escaped name, means with four digits, and the line's end."""
+    from tessella.functions.text import latex_escape
+
+    return rows.select(F.concat(F.concat_ws(" & ", latex_escape(F.col(name)), *[mean_cell(F.col(v)) for v in values]), F.lit(r" \\")).alias("line"))

@@ -111,3 +111,32 @@ def test_equal_maps_are_perfect_whatever_the_names(spark):
     rows = [(1, a, b, n) for a, b, n in ((0, 0, 5), (1, 9, 3), (2, 4, 6))]
     r = metrics.evaluate(pair(spark, rows)).first()
     assert (r["dice"], r["pq"], r["aji"], r["map"], r["f1_075"]) == (1.0, 1.0, 1.0, 1.0, 1.0)
+
+
+def test_methods_skip_what_is_done_and_report_errors(spark):
+    from tessella.operators import methods
+
+    images_ = spark.createDataFrame([(i, 2, 3, [0.0, 0.0, 9.0, 0.0, 0.0, 9.0]) for i in range(3)], "sample_id int, height int, width int, data array<double>")
+    methods.add_method("fails", lambda a: 1 / 0)
+    done = spark.createDataFrame([(0, "watershed")], "sample_id int, method string")
+    made = methods.run(images_, ["watershed", "fails"], done).collect()
+    assert sorted((r["sample_id"], r["method"], r["error"] is None) for r in made) == [(0, "fails", False), (1, "fails", False), (1, "watershed", True), (2, "fails", False), (2, "watershed", True)]
+    spread = methods.pixels(methods.run(images_, ["watershed"])).where("label > 0").collect()
+    assert {(r["y"], r["x"]) for r in spread} == {(0, 2), (1, 2)}
+
+
+def test_frames_maps_and_packs(spark, tmp_path):
+    a = np.arange(24, dtype=np.uint16).reshape(2, 3, 4)
+    (tmp_path / "m.dax").write_bytes(a.astype("<u2").tobytes())
+    (tmp_path / "m.inf").write_text("frame dimensions = 3 x 4\nnumber of frames = 2\ndata type = 16 bit integers (binary, little endian)\n")
+    rows = images.read_frames(spark, str(tmp_path)).orderBy("z", "y", "x").collect()
+    assert [r["v"] for r in rows] == list(range(24))
+    labels = spark.createDataFrame([("i", y, x, int(v)) for (y, x), v in np.ndenumerate(a[0])], "img string, y int, x int, label long")
+    made = images.encode_label_maps(labels).first()
+    assert made["n_labels"] == 11 and (images.decode("x.png", bytes(made["png"])) == a[0]).all()
+    cells = spark.createDataFrame([("h", "r", 2, 0.5), ("h", "r", 1, 0.25)], "category string, roi string, gt_id int, br double")
+    pack = tables.cell_pack(cells).first()
+    assert pack["n"] == 2 and [c["gt_id"] for c in json.loads(pack["manifest"])] == [1, 2]
+    lines = tables.latex_rows(spark.createDataFrame([("a_b", 0.5, None)], "m string, x double, y double"), "m", ["x", "y"]).first()["line"]
+    assert lines == r"a\_b & 0.5000 & — \\"
+    assert json.loads(tables.progress_line(1, 4, 2.0, "s", "now")) == {"sample": "s", "current": 1, "total": 4, "pct": 25.0, "eta_s": 6.0, "at": "now"}
