@@ -11,7 +11,8 @@ Windows without any shingle of any template can't share a band minimum with one
 such shingles are summarised. All of this is DataFrame functions; nothing runs in Python.
 
 Defined results: null and empty texts match nothing; a text that holds a template several times matches it once, with
-the best containment; texts of fewer words than a shingle match only templates that are as short, by no means.
+the best containment;
+texts of fewer words than a shingle match nothing.
 """
 
 from __future__ import annotations
