@@ -5,6 +5,7 @@ Group keys are passed as ``img`` columns, so the same operators work per image,
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,17 @@ def contingency(pair: DataFrame, img: Sequence[str] = ("img",)) -> DataFrame:
     return pair.groupBy(*img, "gt", "pr").agg(F.count("*").alias("n"))
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """df computed once, in the session's checkpoint folder, which all executors share; a temporary one only if none is set.
+
+    For a contingency that several branches of a plan read, as it is far smaller than the pixels it comes from.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
+
+
 def with_areas(table: DataFrame, img: Sequence[str] = ("img",)) -> DataFrame:
     """The contingency with areas ga and pa of both labels, summed from its own few rows rather than from pixels."""
     return table.withColumns({"ga": F.sum("n").over(Window.partitionBy(*img, "gt")), "pa": F.sum("n").over(Window.partitionBy(*img, "pr"))})
@@ -164,28 +176,19 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFra
     round is checkpointed in the session's checkpoint folder.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _checkpoint(both)
-    roots = _checkpoint(nodes.select("node", F.col("node").alias("root")))
+    both = settle(both)
+    roots = settle(nodes.select("node", F.col("node").alias("root")))
     for _ in range(rounds):
         near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = roots.join(near, "node", "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("old"))
         jump = step.join(roots.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "old")
-        done = _checkpoint(jump)
+        done = settle(jump)
         if done.where("root <> old").isEmpty():
             return done.select("node", "root")
         roots = done.select("node", "root")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def merge_boxes(boxes: DataFrame, by: str) -> DataFrame:
     """The box around all boxes of each merged id."""
     return boxes.groupBy(by).agg(F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))

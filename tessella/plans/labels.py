@@ -20,6 +20,11 @@ def table(spark: SparkSession, d: str) -> DataFrame:
     return l.contingency(lab(spark, d))
 
 
+def settled(spark: SparkSession, d: str) -> DataFrame:
+    """The contingency, computed once for plans that read it in several branches."""
+    return l.settle(table(spark, d))
+
+
 @register("iou_pairs", sql("pairs", "SELECT img, gt, pr, n, CAST(ga AS BIGINT) AS ga, CAST(pa AS BIGINT) AS pa, round(iou, 6) AS iou FROM pairs"))
 def iou_pairs(spark, d):
     return l.iou_pairs(table(spark, d)).select("img", "gt", "pr", "n", "ga", "pa", r6("iou"))
@@ -61,13 +66,13 @@ TWO = "SELECT unnest([0.5::DOUBLE, 0.75::DOUBLE]) AS t"
 @register("detection_f1", sql("det", """SELECT img, t, tp, n_pr - tp AS fp, n_gt - tp AS fn, round(CASE WHEN n_gt + n_pr = 0 THEN 1 WHEN n_pr = 0 THEN 0 ELSE tp / n_pr END, 6) AS precision,
     round(CASE WHEN n_gt + n_pr = 0 THEN 1 WHEN n_gt = 0 THEN 0 ELSE tp / n_gt END, 6) AS recall, round(CASE WHEN n_gt + n_pr = 0 THEN 1 ELSE 2 * tp / (n_gt + n_pr) END, 6) AS f1 FROM det""", ts=TWO))
 def detection_f1(spark, d):
-    rows = m.detection(table(spark, d), (0.5, 0.75))
+    rows = m.detection(settled(spark, d), (0.5, 0.75))
     return rows.select("img", "t", "tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"))
 
 
 @register("average_precision", sql("det", """SELECT img, t, round(tp / nullif(n_gt + n_pr - tp, 0), 6) AS ap, round((n_gt + n_pr - 2 * tp) / nullif(n_gt, 0), 6) AS error_rate FROM det""", ts=SQL["steps"]))
 def average_precision(spark, d):
-    return m.detection(table(spark, d), m.STEPS).select("img", "t", r6("ap"), r6("error_rate"))
+    return m.detection(settled(spark, d), m.STEPS).select("img", "t", r6("ap"), r6("error_rate"))
 
 
 PQ = "SELECT c.img, n_gt, n_pr, count(p.img) AS tp, coalesce(sum(p.iou), 0) AS s FROM counts c LEFT JOIN pairs p ON p.img = c.img AND p.iou > 0.5 GROUP BY ALL"
@@ -76,7 +81,7 @@ PQ_OUT = "CASE WHEN n_gt + n_pr = 0 THEN 1 WHEN tp = 0 THEN 0 ELSE s / tp END AS
 
 @register("panoptic_quality", sql("counts pairs", f"SELECT img, n_gt, n_pr, tp, round(sq, 6) AS sq, round(rq, 6) AS rq, round(sq * rq, 6) AS pq FROM (SELECT *, {PQ_OUT} FROM q)", q=PQ))
 def panoptic_quality(spark, d):
-    return m.panoptic(table(spark, d)).select("img", "n_gt", "n_pr", "tp", r6("sq"), r6("rq"), r6("pq"))
+    return m.panoptic(settled(spark, d)).select("img", "n_gt", "n_pr", "tp", r6("sq"), r6("rq"), r6("pq"))
 
 
 AJI = """SELECT c.img, CASE WHEN n_gt + n_pr = 0 THEN 1 WHEN n_gt = 0 OR n_pr = 0 THEN 0 ELSE (SELECT coalesce(sum(n), 0) FROM best b WHERE b.img = c.img) / (
@@ -87,7 +92,7 @@ AJI = """SELECT c.img, CASE WHEN n_gt + n_pr = 0 THEN 1 WHEN n_gt = 0 OR n_pr =
 
 @register("aji", sql("counts best", "SELECT img, round(aji, 6) AS aji FROM a", a=AJI))
 def aji(spark, d):
-    return m.aggregated_jaccard(table(spark, d)).select("img", r6("aji"))
+    return m.aggregated_jaccard(settled(spark, d)).select("img", r6("aji"))
 
 
 MAP = "SELECT img, avg(CASE WHEN n_gt > 0 AND n_pr > 0 THEN tp / (n_gt + n_pr - tp) ELSE 0 END) AS map FROM det GROUP BY img"
@@ -95,20 +100,20 @@ MAP = "SELECT img, avg(CASE WHEN n_gt > 0 AND n_pr > 0 THEN tp / (n_gt + n_pr -
 
 @register("dsb_map", sql("det", "SELECT img, round(map, 6) AS map FROM mp", ts=SQL["steps"], mp=MAP))
 def dsb_map(spark, d):
-    return m.mean_precision(table(spark, d)).select("img", r6("map"))
+    return m.mean_precision(settled(spark, d)).select("img", r6("map"))
 
 
 @register("evaluate_macro", sql("det best", """SELECT count(*) AS images, round(avg(pq), 6) AS pq, round(avg(aji), 6) AS aji, round(avg(map), 6) AS map, count(*) FILTER (n_gt >= 4) AS dense,
     round(avg(pq) FILTER (n_gt >= 4), 6) AS dense_pq FROM (SELECT img, n_gt, sq * rq AS pq FROM (SELECT *, """ + PQ_OUT + " FROM q)) JOIN a USING (img) JOIN mp USING (img)", ts=SQL["steps"], q=PQ, a=AJI, mp=MAP))
 def evaluate_macro(spark, d):
-    rows, dense = m.evaluate(table(spark, d)), F.col("n_gt") >= 4
+    rows, dense = m.evaluate(settled(spark, d)), F.col("n_gt") >= 4
     return rows.agg(F.count("*").alias("images"), *[F.round(F.avg(k), 6).alias(k) for k in ("pq", "aji", "map")], F.count_if(dense).alias("dense"), F.round(F.avg(F.when(dense, F.col("pq"))), 6).alias("dense_pq"))
 
 
 @register("best_match_per_gt", sql("area best", """SELECT g.img, g.gt, CAST(g.ga AS BIGINT) AS ga, coalesce(b.pr, 0) AS pr, round(coalesce(b.iou, 0), 6) AS iou, round(coalesce(2 * b.n / (b.ga + b.pa), 0), 6) AS dice
     FROM (SELECT DISTINCT img, gt, ga FROM area WHERE gt > 0) g LEFT JOIN best b ON b.img = g.img AND b.gt = g.gt"""))
 def best_match_per_gt(spark, d):
-    t = table(spark, d)
+    t = settled(spark, d)
     areas = t.groupBy("img", "gt").agg(F.sum("n").alias("ga"))
     return l.best_match(l.iou_pairs(t), areas).select("img", "gt", "ga", "pr", r6("iou"), r6("dice"))
 
@@ -122,7 +127,7 @@ def largest_overlap(spark, d):
     FROM (SELECT gt % 2 AS class, count(*) AS n_gt FROM (SELECT DISTINCT img, gt FROM cont WHERE gt > 0) GROUP BY 1) g JOIN (SELECT pr % 2 AS class, count(*) AS n_pr FROM (SELECT DISTINCT img, pr FROM cont WHERE pr > 0) GROUP BY 1) p USING (class)
     LEFT JOIN (SELECT gt % 2 AS class, count(*) AS tp FROM pairs WHERE iou > 0.5 AND gt % 2 = pr % 2 GROUP BY 1) USING (class)"""))
 def class_aware_counts(spark, d):
-    t = table(spark, d)
+    t = settled(spark, d)
     kinds = [t.where(F.col(k) > 0).select("img", k, (F.col(k) % 2).alias(f"{k}_class")).distinct() for k in ("gt", "pr")]
     return m.class_aware(t, *kinds)
 
@@ -161,7 +166,7 @@ def edge_filter(spark, d):
 @register("seed_union", sql("pairs", """SELECT img, pr, CAST(coalesce(top, 0) + row_number() OVER (PARTITION BY img ORDER BY pr) AS INTEGER) AS new FROM (SELECT img, pr, sum(n) AS pa FROM cont WHERE pr > 0 GROUP BY ALL HAVING sum(n) >= 5) p
     LEFT JOIN (SELECT img, max(gt) AS top FROM cont GROUP BY img) USING (img) WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.img = p.img AND q.pr = p.pr AND q.iou >= 0.3)"""))
 def seed_union(spark, d):
-    t = table(spark, d)
+    t = settled(spark, d)
     areas = t.groupBy("img", "pr").agg(F.sum("n").alias("pa")).withColumn("saliency", F.lit(1.0))
     return l.union_seeds(l.iou_pairs(t), t.groupBy("img", "gt").agg(F.sum("n").alias("ga")), areas, 0.3, 5)
 
@@ -169,7 +174,7 @@ def seed_union(spark, d):
 @register("novel_seeds", sql("cont", """SELECT img, pr, CAST(row_number() OVER (PARTITION BY img ORDER BY pr) AS INTEGER) AS new FROM (SELECT DISTINCT img, pr FROM cont WHERE pr > 0) p
     WHERE NOT EXISTS (SELECT 1 FROM cont q WHERE q.img = p.img AND q.pr = p.pr AND q.gt > 0)"""))
 def novel_seeds(spark, d):
-    return l.novel(table(spark, d))
+    return l.novel(settled(spark, d))
 
 
 @register("fill_merge", sql("lab", """SELECT img, y, x, CAST(CASE WHEN gt > 0 THEN gt ELSE coalesce(fresh, 0) END AS INTEGER) AS merged FROM lab LEFT JOIN (SELECT img, pr, top + row_number() OVER (PARTITION BY img ORDER BY pr) AS fresh
