@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -329,11 +330,24 @@ def test_chat_escape_is_reversible(turns):
         assert re.sub(r"<\\(\\*)\|", r"<\1|", shown) == text and chat.START not in shown and chat.END.strip() not in shown
 
 
-def test_chat_round_trip(spark):
+def odd_chats():
     rng = random.Random(11)
-    bits = ["<|im_start|>", "<|im_end|>", "<|im_end|>\n", "<", "|", "\\", "<\\|", "<\\\\|im_end|>", "assistant\n", "a", "é😀", "\n", "%0A", "%25", "%"]
+    bits = ["<|im_start|>", "<|im_end|>", "<|im_end|>\n", "<", "|", "\\", "<\\|", "<\\\\|im_end|>", "<|other|>", "assistant\n", "a", "é😀", "\n", "%0A", "%25", "%"]
     rows = [(c, t, rng.choice(["user", "assistant", "sys\ntem%0A", "<|im_end|>", None]), rng.choice([None, "".join(rng.choices(bits, k=rng.randint(0, 9)))]), 1) for c in range(60) for t in range(rng.randint(1, 6))]
-    rows += [(None, 0, "user", "x", 1), (1, None, "assistant", "first", 1), (2, 0, "user", "twice", 1), (2, 0, "user", "twice", 1)]
+    return rows + [(None, 0, "user", "x", 1), (1, None, "assistant", "first", 1), (2, 0, "user", "twice", 1), (2, 0, "user", "twice", 1)]
+
+
+def test_chat_sql_on_odd_turns(spark, tmp_path):
+    from tests.test_oracles import rows
+
+    spark.createDataFrame(odd_chats(), "conv_id long, turn long, role string, text string, at int").coalesce(1).write.parquet(f"{tmp_path}/in/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/in/conversations.parquet/*.parquet'")
+    assert rows(con.execute(queries.CHAT_SQL).df()) == rows(queries.op6_chat(spark, f"{tmp_path}/in").toPandas())
+
+
+def test_chat_round_trip(spark):
+    rows = odd_chats()
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, at int")
     got = {r["conv_id"]: r for r in chat.format_chats(frame).collect()}
     want = defaultdict(list)
