@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from tessella.functions.distributions import signed_rank_two_sided, t_two_sided
 
 #: What counts as a tie between methods on a sample, and between two methods on a cell.
 SAMPLE_TIE, CELL_TIE = 0.01, 0.02
@@ -70,6 +74,40 @@ def paired_statistics(pairs: DataFrame) -> DataFrame:
     return s.select("n", "delta", F.when(F.col("sd") > 0, F.col("delta") / (F.col("sd") / F.sqrt("n"))).alias("t"), F.when(F.col("sd") > 0, F.col("delta") / F.col("sd")).otherwise(0.0).alias("cohens_d"))
 
 
+def signed_ranks(pairs: DataFrame, digits: int = 9) -> DataFrame:
+    """One row: n differences that are not zero, rank sums of the positive and negative ones, ties (sum of t**3 - t), zeros.
+
+    Differences are rounded to ``digits``, so that equal ones tie. They are counted by size before they are ranked:
+    what one window numbers are the distinct sizes.
+    """
+    d = pairs.select(F.round(F.col("a") - F.col("b"), digits).alias("d"))
+    zeros = F.count_if(F.col("d") == 0)
+    sizes = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"), zeros.alias("zero"))
+    before = F.coalesce(F.sum(F.col("t") - F.col("zero")).over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sizes.withColumn("rank", before + (F.col("t") + 1) / 2)
+    down = F.col("t") - F.col("up") - F.col("zero")
+    total = [F.sum(F.col("t") - F.col("zero")).alias("n"), F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum(down * F.col("rank")).alias("minus")]
+    tied = F.sum(F.when(F.col("zero") == 0, F.col("t") * F.col("t") * F.col("t") - F.col("t")).otherwise(0)).alias("ties")
+    sums = ranked.agg(*total, tied, F.sum("zero").alias("zeros"))
+    return sums.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "plus", "minus", "ties", "zeros")])
+
+
+@F.pandas_udf(DoubleType())
+def _p_t(t: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) else t_two_sided(x, k - 1) for x, k in zip(t, n, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _p_w(plus: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
+    return pd.Series([signed_rank_two_sided(*x) for x in zip(plus, n, ties, zeros, strict=True)], dtype="float64")
+
+
+def paired_tests(pairs: DataFrame) -> DataFrame:
+    """``paired_statistics`` with two-sided p-values: p_t of the paired t, p_w of the signed ranks; null where undefined."""
+    ranks = signed_ranks(pairs).select(_p_w("plus", "n", "ties", "zeros").alias("p_w"))
+    return paired_statistics(pairs).withColumn("p_t", _p_t("t", "n")).crossJoin(F.broadcast(ranks))  # both are one row
+
+
 def bootstrap(pairs: DataFrame, order: Sequence[str], rounds: int = 200, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentiles of resampled mean differences; draws come from a hash of round and place, so they are repeatable.
 

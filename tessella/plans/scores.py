@@ -96,6 +96,18 @@ def paired_stats_core(spark, d):
     return c.paired_statistics(pairs(spark, d)).select("n", F.round("delta", 6).alias("delta"), F.round("t", 6).alias("t"), F.round("cohens_d", 6).alias("cohens_d"))
 
 
+@register("signed_rank_sums", sql("scores", """SELECT CAST(coalesce(sum(t), 0) AS BIGINT) AS n, CAST(coalesce(sum(up * r), 0) AS DOUBLE) AS plus, CAST(coalesce(sum((t - up) * r), 0) AS DOUBLE) AS minus, CAST(coalesce(sum(t * t * t - t), 0) AS BIGINT) AS ties, CAST((SELECT count(*) FILTER (d = 0) FROM g) AS BIGINT) AS zeros
+    FROM (SELECT size, count(*) AS t, count(*) FILTER (d > 0) AS up, min(low) + (count(*) - 1) / 2.0 AS r FROM (SELECT d, abs(d) AS size, rank() OVER (ORDER BY abs(d)) AS low FROM g WHERE d <> 0) GROUP BY size)""",
+    p=PAIRS, g="SELECT round(a - b, 9) AS d FROM p"))
+def signed_rank_sums(spark, d):
+    return c.signed_ranks(pairs(spark, d))
+
+
+@register("paired_tests")
+def paired_tests(spark, d):
+    return c.paired_tests(pairs(spark, d)).select("n", *[F.round(x, 9).alias(x) for x in ("delta", "t", "cohens_d", "p_t", "p_w")])
+
+
 @register("bootstrap_ci_hash", sql("scores", """SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM (SELECT round, avg(d) AS m FROM (SELECT r.round, 1 + CAST('0x' || md5(r.round || '-' || i)[1:8] AS BIGINT) % n AS pick FROM num, range(1, 201) r(round)) JOIN (SELECT i AS pick, d FROM num) USING (pick) GROUP BY round)""",
     p=PAIRS, num="SELECT a - b AS d, row_number() OVER (ORDER BY dataset, category, sample_id) AS i, count(*) OVER () AS n FROM p"))
 def bootstrap_ci_hash(spark, d):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import struct
+import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +18,8 @@ from tessella.functions.text import is_image, natural_key, stem
 
 
 def decode(name: str, data: bytes, key: str = "masks") -> np.ndarray:
-    """The array of a file by its ending: npy, npz (by key), png, pgm or ppm, tif. An unknown ending is an error."""
+    """The array of a file by its ending: npy, npz and mat (by key), png, pgm or ppm, tif, nrrd (volumes as planes, rows,
+    columns). An unknown ending is an error."""
     kind = name.rsplit(".", 1)[-1].lower()
     if kind == "npy":
         out = np.load(io.BytesIO(data), allow_pickle=False)
@@ -29,6 +32,10 @@ def decode(name: str, data: bytes, key: str = "masks") -> np.ndarray:
         return _netpbm(data)
     if kind in ("tif", "tiff"):
         return _tiff(data)
+    if kind == "nrrd":
+        return _nrrd(data)
+    if kind == "mat":
+        return _mat(data, key)
     raise ValueError(f"unknown kind of image: {name}")
 
 
@@ -102,6 +109,85 @@ def _tiff(data: bytes) -> np.ndarray:
     return out.reshape((tags[257][0], tags[256][0], channels) if channels > 1 else (tags[257][0], tags[256][0]))
 
 
+#: Types of values by their names in nrrd headers and by their numbers in mat files (fixed values).
+NRRD_TYPES = {"int8": "i1", "signed char": "i1", "uint8": "u1", "uchar": "u1", "unsigned char": "u1", "int16": "i2", "short": "i2", "uint16": "u2", "ushort": "u2", "unsigned short": "u2", "int32": "i4", "int": "i4", "uint32": "u4", "uint": "u4", "unsigned int": "u4", "int64": "i8", "uint64": "u8", "float": "f4", "double": "f8"}
+MAT_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
+MAT_MATRIX, MAT_COMPRESSED = 14, 15
+
+
+def _nrrd(data: bytes) -> np.ndarray:
+    """An attached file of raw or gzip values; the first axis of the file counts rows, the second columns, a third planes."""
+    head, _, body = data.partition(b"\n\n")
+    lines = [x.split(": ", 1) for x in head.decode("ascii", "replace").replace("\r", "").split("\n")[1:] if ": " in x and not x.startswith("#")]
+    field = {k.strip().lower(): v.strip() for k, v in lines}
+    if field.get("encoding", "raw") not in ("raw", "gzip", "gz") or "data file" in field:
+        raise ValueError("only attached raw and gzip values are read")
+    order = ">" if field.get("endian") == "big" else "<"
+    values = np.frombuffer(body if field.get("encoding", "raw") == "raw" else gzip.decompress(body), order + NRRD_TYPES[field["type"]])
+    sizes = [int(n) for n in field["sizes"].split()]
+    out = values[: int(np.prod(sizes))].reshape(sizes, order="F")
+    return np.moveaxis(out, 2, 0) if out.ndim == 3 else out
+
+
+def _mat(data: bytes, key: str) -> np.ndarray:
+    """The numeric array of that name in a file of version 5."""
+    order = "<" if data[126:128] == b"IM" else ">"
+
+    def elements(part: bytes) -> Iterator[tuple[int, bytes]]:
+        at = 0
+        while at + 8 <= len(part):
+            kind, n = struct.unpack(order + "II", part[at : at + 8])
+            if kind >> 16:  # up to four bytes lie in the tag itself
+                yield kind & 0xFFFF, part[at + 4 : at + 4 + (kind >> 16)]
+                at += 8
+            else:
+                yield kind, part[at + 8 : at + 8 + n]
+                at += 8 + n + (-n % 8 if kind != MAT_COMPRESSED else 0)
+
+    def matrices(part: bytes) -> Iterator[bytes]:
+        for kind, body in elements(part):
+            if kind == MAT_COMPRESSED:
+                yield from matrices(zlib.decompress(body))
+            elif kind == MAT_MATRIX:
+                yield body
+
+    for body in matrices(data[128:]):
+        (_, _), (_, sizes), (_, name), *values = elements(body)
+        if name.decode("ascii") == key and values and values[0][0] in MAT_TYPES:
+            return np.frombuffer(values[0][1], order + MAT_TYPES[values[0][0]]).reshape(np.frombuffer(sizes, order + "i4"), order="F")
+    raise KeyError(key)
+
+
+def archive_members(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
+    """(path, member, content) of the files in zip archives, one row per file; ``decode`` reads them by their names."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, data in zip(batch["path"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                    for member in archive.infolist():
+                        if not member.is_dir():
+                            yield pd.DataFrame({"path": [name], "member": [member.filename], "content": [archive.read(member)]})
+
+    return files.mapInPandas(run, "path string, member string, content binary")
+
+
+def read_volumes(spark: SparkSession, path: str, key: str = "masks", glob: str = "*") -> DataFrame:
+    """Voxel rows (path, z, y, x, v) of files that hold planes, rows and columns; a single plane has z 0."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, data in zip(batch["path"], batch["content"], strict=True):
+                a = decode(name, bytes(data), key)
+                for z, plane in enumerate(a[None] if a.ndim == 2 else a):  # a plane at a time
+                    y, x = np.indices(plane.shape)
+                    yield pd.DataFrame({"path": name, "z": np.int32(z), "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32), "v": plane.ravel().astype(np.float64)})
+
+    return files.mapInPandas(run, "path string, z int, y int, x int, v double")
+
+
 def image_files(spark: SparkSession, path: str, recurse: bool = False) -> DataFrame:
     """Files that are images and not results, with their natural sort key; only names are read, no contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recurse).lower()).load(path).select("path", "length")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import struct
+import zipfile
 import zlib
 
 import numpy as np
@@ -30,6 +32,30 @@ def test_images_of_every_kind(spark, tmp_path):
         assert part.sort_values(["y", "x"])["label"].tolist() == a.ravel().tolist()
 
 
+def test_volumes_matrices_and_archives(spark, tmp_path):
+    a = np.arange(24, dtype=np.int16).reshape(2, 3, 4)  # planes, rows, columns
+    head = b"NRRD0004\n# note\ntype: short\ndimension: 3\nsizes: 3 4 2\nendian: little\nencoding: gzip\n\n"
+    (tmp_path / "a.nrrd").write_bytes(head + gzip.compress(np.moveaxis(a, 0, 2).tobytes(order="F")))
+    rows = images.read_volumes(spark, str(tmp_path), glob="*.nrrd").toPandas().sort_values(["z", "y", "x"])
+    assert rows["v"].tolist() == a.ravel().tolist()
+
+    def element(kind, body):
+        return struct.pack("<II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
+
+    def matrix(name, m):
+        return element(14, element(6, struct.pack("<II", 6, 0)) + element(5, struct.pack("<ii", *m.shape)) + element(1, name) + element(9, m.astype("<f8").tobytes(order="F")))
+
+    m = np.arange(6).reshape(2, 3)
+    packed = zlib.compress(matrix(b"inst_map", m))
+    data = b" " * 124 + b"\x00\x01IM" + matrix(b"abc", m + 1) + struct.pack("<II", 15, len(packed)) + packed
+    assert (images.decode("x.mat", data, "inst_map") == m).all() and (images.decode("x.mat", data, "abc") == m + 1).all()
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("case/1.mat", data)
+        z.writestr("case/2.png", images.write_png(m))
+    got = {r["member"]: images.decode(r["member"], bytes(r["content"]), "inst_map") for r in images.archive_members(spark, str(tmp_path)).collect()}
+    assert sorted(got) == ["case/1.mat", "case/2.png"] and all((x == m).all() for x in got.values())
+
+
 def test_png_filters():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 256, (6, 5, 3)).astype(np.int64)
