@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.operators import kernels as k
+from tessella.operators import neighbours
 from tessella.operators import pixels as p
 from tessella.plans.fixtures import SIDE, grid, lab, pix, sql
 from tessella.plans.registry import register
@@ -306,6 +307,12 @@ def style_neighbours(spark, d):
     return votes.groupBy(F.col("q").alias("vec_id")).agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("predicted"))
 
 
+@register("style_labels")
+def style_labels(spark, d):
+    """Labels of all vectors by the majority of their five nearest among all others. ``style_neighbours`` is a sample of it that its SQL fixes."""
+    return neighbours.nearest_labels(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
 @register("block_index_parse", "SELECT p_partkey, CAST(p_size AS INTEGER) AS bz, CAST(p_partkey % 7 AS INTEGER) AS \"by\", CAST(p_partkey % 3 AS INTEGER) AS bx FROM part")
 def block_index_parse(spark, d):
     """Block indices out of file names, for folders that hold one file per block."""
