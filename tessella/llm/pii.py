@@ -122,7 +122,7 @@ def _ip(text: str, key: bytes) -> str | None:
 
 
 #: Shapes of dates: pattern and the order of year, month and day in it.
-DATES = ((re.compile(r"(\d{4})([-/.])(\d\d)\2(\d\d)\Z"), "ymd"), (re.compile(r"(\d\d)([-/.])(\d\d)\2(\d{4})\Z"), "dmy"))
+DATES = ((re.compile(r"(\d{4})([-/.])(\d\d?)\2(\d\d?)\Z"), "ymd"), (re.compile(r"(\d\d?)([-/.])(\d\d?)\2(\d{4})\Z"), "dmy"))
 
 
 def _date(text: str, key: bytes) -> str | None:
@@ -138,7 +138,8 @@ def _date(text: str, key: bytes) -> str | None:
                 if not FIRST_DAY <= day <= LAST_DAY:
                     continue
                 new = FIRST_DAY + timedelta(permute_range((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, key, "date"))
-                y, mo, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
+                # a month or day of one digit has no leading zero in its pseudonym either
+                y, mo, d = f"{new.year:04d}", f"{new.month:0{len(mo)}d}", f"{new.day:0{len(d)}d}"
                 return mark.join((y, mo, d) if order == "ymd" else (d, mo, y) if k == 0 else (mo, d, y))
     return None
 
@@ -187,36 +188,74 @@ def _secret(text: str, key: bytes) -> str | None:
 
 #: Finds by kind: the pattern (a group named v, else the whole match, is the value) and the pseudonym of a valid value.
 #: Patterns start with a character or a small set of them, which is what makes scanning fast; what may stand before a
-#: find is checked after its first character.
+#: find is checked after its first character. That of cards takes whole runs of groups of digits, see ``_cards``.
 FINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes], str | None]], ...] = (
     ("secret", re.compile(r"A(?<!\wA)KIA[0-9A-Z]{16}(?!\w)"), _secret),
     ("secret", re.compile(r"""(?:p(?:assword|asswd|wd)|s(?:ecret)|t(?:oken)|a(?:pi[_-]?key)|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?(?P<v>[\w+/.-]{8,}=*)""", re.I), _secret),
     ("email", re.compile(r"(?<![\w.+-])(?P<v>[\w.+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"), _email),
     ("iban", re.compile(r"[A-Z](?<![\w][A-Z])[A-Z]\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"), _iban),
-    ("date", re.compile(r"\d(?<![\w./-]\d)(?:\d{3}([-/.])\d\d\1\d\d|\d([-/.])\d\d\2\d{4})(?![\w/-])(?!\.\d)"), _date),
+    ("date", re.compile(r"\d(?<![\w./-]\d)(?:\d{3}([-/.])\d\d?\1\d\d?|\d?([-/.])\d\d?\2\d{4})(?:(?=[Tt]\d\d)|(?![\w/-]))(?!\.\d)"), _date),
     ("ip", re.compile(r"\d(?<![\w.]\d)\d{0,2}(?:\.\d{1,3}){3}(?![\w])(?!\.\d)"), _ip),
     ("ssn", re.compile(r"\d(?<![\w-]\d)\d\d([- ])\d\d\1\d{4}(?![\w])(?!-\d)"), _ssn),
     ("phone", re.compile(r"\+(?<!\w\+)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"), _phone),
-    ("card", re.compile(r"\d(?<![\w.-]\d)(?:[ -]?\d){12,18}(?![\w])(?!-\d)(?!\.\d)"), _card),
+    ("card", re.compile(r"\d(?<!\d\d)(?<!\d[ -]\d)(?:[ -]?\d){12,}"), _card),
     ("phone", re.compile(r"[(\d](?<![\w.(+-][(\d])(?:\d{3}\) ?|(?<=\d)\d\d[ .-])\d{3}[ .-]\d{4}(?!\w)(?!-\d)"), _phone),
 )
+_DIGITS, _GOES_ON = re.compile(r"\d+"), re.compile(r"\w|\.\d|-\d")
 _DIGIT, _KEYWORD = re.compile(r"\d"), re.compile(r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key", re.I)
 
 
+#: What stands between the groups of a value, and how the digits of a card are grouped if they are.
+_MARK, CARD_GROUPS = re.compile(r"[ .()-]+"), {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 4, 4, 4, 3)}
+
+
+def _shorter(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    """The span and its beginnings that end before a mark, longest first."""
+    return [(lo, hi), *((lo, m.start()) for m in reversed(list(_MARK.finditer(text, lo + 1, hi))))]
+
+
+def _cards(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Spans of whole groups within a run of groups of digits that have as many digits as a card.
+
+    All of the run comes first, then groups as they are printed on cards, then more digits before fewer.
+    """
+    groups = [m.span() for m in _DIGITS.finditer(text, lo, hi)]
+    own_start = not (lo and (text[lo - 1] in ".-_" or text[lo - 1].isalnum()))
+    own_end = not _GOES_ON.match(text, hi)
+    spans = []
+    for i, (a, _) in enumerate(groups):
+        sizes: list[int] = []
+        for j in range(i, len(groups)):
+            sizes.append(groups[j][1] - groups[j][0])
+            if sum(sizes) > 19:
+                break
+            if sum(sizes) >= 13 and (i or own_start) and (j < len(groups) - 1 or own_end):
+                spans.append((len(sizes) < len(groups), len(sizes) > 1 and tuple(sizes) not in CARD_GROUPS, -sum(sizes), a, groups[j][1]))
+    return [s[-2:] for s in sorted(spans)]
+
+
 def find(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the valid finds, in order; of overlapping ones the kind listed first wins."""
     taken: list[tuple[int, int, str, str]] = []
+    used = bytearray(len(text))  # 1 where something is taken
     digit, at_sign = bool(_DIGIT.search(text)), "@" in text
     for kind, pattern, change in FINDS:
         if kind == "email" and not at_sign or kind == "secret" and not (digit or _KEYWORD.search(text)) or kind not in ("email", "secret") and not digit:
             continue
-        group = "v" if "v" in pattern.groupindex else 0
-        for m in pattern.finditer(text):
+        group, at = "v" if "v" in pattern.groupindex else 0, 0
+        while m := pattern.search(text, at):
             lo, hi = m.span(group)
-            if any(lo < b and a < hi for a, b, _, _ in taken):
-                continue
-            if (new := change(m[group], key)) is not None:
-                taken.append((lo, hi, kind, new))
+            at = max(m.end(), m.start() + 1)
+            for a, b in _cards(text, lo, hi) if kind == "card" else _shorter(text, lo, hi) if kind in ("iban", "phone") else [(lo, hi)]:
+                if used.find(1, a, b) < 0 and (new := change(text[a:b], key)) is not None:
+                    taken.append((a, b, kind, new))
+                    used[a:b] = b"\1" * (b - a)
+                    if kind != "card":
+                        at = max(b, m.start() + 1)
+                        break
+            else:
+                if kind != "card" and (first := _MARK.search(text, lo + 1, hi)):
+                    at = first.end()  # what follows the first group may be a find of its own
     return sorted(taken)
 
 

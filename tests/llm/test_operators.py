@@ -432,6 +432,29 @@ def test_pseudonyms_keep_formats():
         assert pii.replace(plain)[0] == plain
 
 
+def test_pseudonyms_of_values_within_longer_runs():
+    card, iban = "4111 1111 1111 1111", "PL61 1090 1014 0000 0712 1981 2874"
+    plain = card.replace(" ", "")
+    for text, value, kind in (
+        (f"card {card} 12/27", card, "card"), (f"{plain} 123", plain, "card"), (f"order 7 {plain}", plain, "card"), (f"1 2 3 4 5 6 7 {card} 12 2027 99", card, "card"), (f"7-{plain}-3", plain, "card"),
+        (f"on 2024-02-30 {card}", card, "card"), (f"{card} 12a", card, "card"), (f"{card} 1.5", card, "card"), (f"12 {card}", card, "card"),
+        (f"{iban} BIC", iban, "iban"), (f"to {iban} BICCODE now", iban, "iban"), (f"AB12 CDEF GHIJ {iban}", iban, "iban"), (f"{iban} DE89 3704 0044 0532 0130 00", iban, "iban"), ("+1 415 555 2671 1234 5678", "+1 415 555", "phone"),
+        ("at 2024-02-29T10:00:00Z", "2024-02-29", "date"), ("born 2/9/1980.", "2/9/1980", "date"), ("2024-2-9", "2024-2-9", "date"), ("9.12.1980", "9.12.1980", "date"),
+    ):
+        new, counts = pii.replace(text)
+        assert counts[kind] >= 1 and value not in new, text
+        again = pii.replace(new)[1]
+        assert again[kind] >= 1, (text, new)
+    for text in (f"{card} {card}", f"2024-02-29 {card}", f"9 {card} 8 {card}"):
+        new = pii.replace(text)[0]
+        assert card not in new and pii.replace(card)[0] in new
+    assert pii.replace(f"{iban} BIC")[0] == f"{pii.replace(iban)[0]} BIC" and pii.replace("2024-02-29T10:00:00Z")[0] == pii.replace("2024-02-29")[0] + "T10:00:00Z"
+    a, b = (list(map(int, pii.replace(t)[0].split("/"))) for t in ("2/9/1980", "02/09/1980"))
+    assert a == b
+    for text in (f"{plain}5", f"x{plain}", f"{plain}.5", "4041894974608796 12", "2/30/1980", "2024-02-29Tea", "1.2.3", "0.1.2024.1", "31/31/1980"):
+        assert pii.replace(text)[0] == text
+
+
 def test_pseudonyms_of_documents(spark):
     got = {r["doc_id"]: r for r in queries.op5_pseudonyms(spark, MIDDLE).collect()}
     docs = documents(MIDDLE)
