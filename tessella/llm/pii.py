@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 KEY = b"set a secret key of your own"
 ROUNDS = 10
 KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "phone", "card")
-#: Only texts that hold one of these can hold a find; the others do not leave the JVM.
-CANDIDATE = "[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)"
+#: What stands before a secret, and how the ids of access keys begin.
+SECRET_WORDS, ACCESS_ID = "p(?:assword|asswd|wd)|s(?:ecret)|t(?:oken)|a(?:pi[_-]?key)|access[_-]?key", "AKIA"
+#: Only texts that hold one of these can hold a find; the others do not leave the JVM. A character that the JVM does not
+#: know (Cn) may be a digit of a later Unicode version.
+CANDIDATE = rf"[\p{{Nd}}\p{{Cn}}@]|{ACCESS_ID}|(?iu:{SECRET_WORDS})"
 
 #: First and last day of the calendar within which dates are permuted.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
@@ -190,8 +193,8 @@ def _secret(text: str, key: bytes) -> str | None:
 #: Patterns start with a character or a small set of them, which is what makes scanning fast; what may stand before a
 #: find is checked after its first character. That of cards takes whole runs of groups of digits, see ``_cards``.
 FINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes], str | None]], ...] = (
-    ("secret", re.compile(r"A(?<!\wA)KIA[0-9A-Z]{16}(?!\w)"), _secret),
-    ("secret", re.compile(r"""(?:p(?:assword|asswd|wd)|s(?:ecret)|t(?:oken)|a(?:pi[_-]?key)|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?(?P<v>[\w+/.-]{8,}=*)""", re.I), _secret),
+    ("secret", re.compile(rf"{ACCESS_ID[0]}(?<!\w{ACCESS_ID[0]}){ACCESS_ID[1:]}[0-9A-Z]{{16}}(?!\w)"), _secret),
+    ("secret", re.compile(rf"""(?:{SECRET_WORDS})["']?\s{{0,3}}[=:]\s{{0,3}}["']?(?P<v>[\w+/.-]{{8,}}=*)""", re.I), _secret),
     ("email", re.compile(r"(?<![\w.+-])(?P<v>[\w.+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"), _email),
     ("iban", re.compile(r"[A-Z](?<![\w][A-Z])[A-Z]\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"), _iban),
     ("date", re.compile(r"\d(?<![\w./-]\d)(?:\d{3}([-/.])\d\d?\1\d\d?|\d?([-/.])\d\d?\2\d{4})(?:(?=[Tt]\d\d)|(?![\w/-]))(?!\.\d)"), _date),
@@ -202,7 +205,7 @@ FINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes], str | None]], ...] =
     ("phone", re.compile(r"[(\d](?<![\w.(+-][(\d])(?:\d{3}\) ?|(?<=\d)\d\d[ .-])\d{3}[ .-]\d{4}(?!\w)(?!-\d)"), _phone),
 )
 _DIGITS, _GOES_ON = re.compile(r"\d+"), re.compile(r"\w|\.\d|-\d")
-_DIGIT, _KEYWORD = re.compile(r"\d"), re.compile(r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key", re.I)
+_DIGIT, _KEYWORD = re.compile(r"\d"), re.compile(f"{ACCESS_ID}|{SECRET_WORDS}", re.I)
 
 
 #: What stands between the groups of a value, and how the digits of a card are grouped if they are.
@@ -238,9 +241,9 @@ def find(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the valid finds, in order; of overlapping ones the kind listed first wins."""
     taken: list[tuple[int, int, str, str]] = []
     used = bytearray(len(text))  # 1 where something is taken
-    digit, at_sign = bool(_DIGIT.search(text)), "@" in text
+    digit, at_sign, keyword = bool(_DIGIT.search(text)), "@" in text, bool(_KEYWORD.search(text))
     for kind, pattern, change in FINDS:
-        if kind == "email" and not at_sign or kind == "secret" and not (digit or _KEYWORD.search(text)) or kind not in ("email", "secret") and not digit:
+        if kind == "email" and not at_sign or kind == "secret" and not keyword or kind not in ("email", "secret") and not digit:
             continue
         group, at = "v" if "v" in pattern.groupindex else 0, 0
         while m := pattern.search(text, at):
