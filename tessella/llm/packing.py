@@ -42,13 +42,17 @@ _PLAIN = re.compile(r"[^\n\r\t\x20-\x7e\xa1-ɏ‐-‧‰-⁞]")
 
 
 class Encoder:
-    """The ids of a tokenizer file. Where its merges are ranks in the order of their ids, the faster rank engine does it."""
+    """The ids of a tokenizer file. Where its merges are ranks in the order of their ids, the faster rank engine does it.
+
+    Texts that hold an added token, such as an end mark, go through the tokenizer itself, which gives that token's id.
+    """
 
     def __init__(self, path: str):
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         self.slow.no_padding(), self.slow.no_truncation()
         self.fast = None
+        added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
@@ -61,7 +65,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("vocabulary", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if self.fast is not None and not _PLAIN.search(text):
+        if self.fast is not None and not _PLAIN.search(text) and not (self.added and self.added.search(text)):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 

@@ -290,6 +290,17 @@ def test_fast_ids_equal_the_tokenizers(text):
     assert enc.fast is not None and enc.encode(text) == enc.slow.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_the_tokenizers_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    slow, enc = Tokenizer.from_file(path), packing.encoder(path)
+    added = slow.get_added_tokens_decoder()
+    texts = [form.format(t.content) for t in added.values() for form in ("{}", "one {} two", "日本{}語", "a{0}{0} b")] + ["<|endoftext", "plain text"]
+    assert added and all(enc.encode(t) == slow.encode(t, add_special_tokens=False).ids for t in texts)
+    rows = packing.tokenise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in rows} == {i: [*slow.encode(t, add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(texts)}
+    assert {i for t in texts for i in enc.encode(t)} >= set(added)
+
+
 def reference_encoding():
     import base64
 
