@@ -35,15 +35,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id, once; documents without an id stay."""
-    found = checkpoint(simhash.near_duplicates(docs))
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Of each group of near duplicates one row: the smallest doc_id, then the smallest hash of the text; null ids come last."""
+    kept = checkpoint(simhash.representatives(docs)).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "n")
     repeated = not kept.where("n > 1").isEmpty()
-    # The ids of a partition are hashed and its texts stream past them, so texts are dealt once and never sorted.
-    named = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    mark = free_name(docs, "text_hash")
+    rows = docs.withColumn(mark, F.xxhash64("text"))
+    # The keys of a partition are hashed and its texts stream past them, so texts are dealt once and never sorted.
+    single = rows.join(kept.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows[mark] == kept["kept_hash"]), "left_semi")
     if repeated:
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+        single = single.dropDuplicates(["doc_id", mark])
+    return single.select(*docs.columns)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

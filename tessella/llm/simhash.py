@@ -184,3 +184,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = checkpoint(named.groupBy("root").agg(F.min("first").alias("component_id")))
     by_print = named.join(least, "root").select("fp", "component_id")
     return rows.join(by_print, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, n): of each component its first row by doc_id, then xxhash64 of the text, and how many rows have both.
+
+    Rows are told apart by these two, so repeated and null ids keep their own components; null ids come last.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprints(F.col(text)).alias("fp"), F.xxhash64(F.col(text)).alias("text_hash"))
+    alike = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("first")
+    nodes = checkpoint(alike.groupBy("fp").agg(first))
+    roots = components(links(nodes.select("fp")))
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first.*")
+    return named.groupBy("root").agg(first).select("first.doc_id", "first.text_hash", "first.n")

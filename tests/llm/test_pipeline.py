@@ -61,6 +61,19 @@ def test_run_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b, c, d = (r.as_py() for r in pq.read_table(f"{MIDDLE}/documents.parquet")["text"].slice(0, 4))
+    assert len(set(brute_components([0, 1, 2, 3], brute_simhash([a, b, c, d])))) == 4
+    rows = [(1, a), (1, b), (1, a), (2, b), (None, a), (None, c), (None, c), (3, d), (None, d), (0, d), (3, c + " "), (4, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumns({"text_hash": F.lit(1), "n": F.lit(2), "kept_id": F.lit(3)})
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, MIDDLE)
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == docs.columns
+    assert sorted(found, key=str) == sorted([(1, a), (1, b), (3, c + " "), (0, d), (4, None)], key=str)
+    alone = spark.createDataFrame([(None, t, "en", "s", 1) for t in (a, b, a, b, c)], DOCS)
+    assert sorted(r["text"] for r in corpus_pipeline.drop_near_duplicates(spark, alone, MIDDLE).collect()) == sorted([a, b, c])
+
+
 def test_entry_lists_eleven():
     import __spark_entry__
 
