@@ -2,10 +2,11 @@
 
 Texts are read as lower-case words of letters and digits, and as hashes of their five-word shingles. For each size of
 template, windows of a quarter more shingles than the largest template of that size, moved on by at most a quarter of
-the smallest, are summarised by MinHash; a window retrieves the templates that share a band with it. As some window
-holds a whole occurrence and hence resembles its template to at least ``_overlap``, one-row bands miss it with
-probability (1 - overlap) ** BANDS at most. Retrieved templates are verified by the exact share of their shingles that
-the window holds: ``CONTAINMENT`` or more is a match.
+the smallest, are summarised by MinHash; a window retrieves the templates that share a band with it. A window that
+resembles a template to the degree r misses it with probability (1 - r) ** BANDS. Some window holds the whole of an
+uninterrupted occurrence. One that other words interrupt lies in several windows with a part in each, of which any may
+retrieve it. So retrieved templates are verified by the exact share of their shingles that the whole text holds, however
+far apart: ``CONTAINMENT`` or more is a match.
 
 Windows without any shingle of any template can't share a band minimum with one by content, so only windows around
 such shingles are summarised. All of this is DataFrame functions; nothing runs in Python.
@@ -97,7 +98,8 @@ def _bands(hashes: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", texts: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """docs with a column ``licenses``: array of (license, containment, first_shingle), one per licence found, in name order.
 
-    first_shingle: the smallest window start, in shingles from 0, of the best containment.
+    containment: the share of a template's distinct shingles that the text holds. first_shingle: the smallest start, in
+    shingles from 0, of the windows that hold most of the best template.
     """
     spark = docs.sparkSession
     known = templates(spark, texts)
@@ -106,37 +108,38 @@ def scan(docs: DataFrame, text: str = "text", texts: dict[str, list[str]] = TEMP
     hashes, places = free_name(docs, "_h"), free_name(docs, "_at")
     out = docs.withColumn(hashes, shingles(F.col(text)))
     out = out.withColumn(places, F.when(F.arrays_overlap(hashes, vocabulary), F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(vocabulary, h), i)), lambda i: i.isNotNull())))
-    found: list[Column] = []
+    found: list[tuple[int, int, list[tuple[str, int, list[int]]]]] = []
     sizes: dict[int, list[tuple[str, int, list[int]]]] = {}
     for t in known:
         sizes.setdefault(len(t[2]).bit_length(), []).append(t)  # templates whose sizes are within a factor of two
     for group in sizes.values():
         small, large = min(len(t[2]) for t in group), max(len(t[2]) for t in group)
         step = max(1, small // 4)
-        found.append(_windows(F.col(hashes), F.col(places), step, large + step, group, spark))
+        found.append((step, large + step, group))
     empty = F.array().cast(MATCHES)
-    matches = F.flatten(F.array(*found)) if found else empty
-    return out.withColumn("licenses", F.when(F.col(places).isNull(), empty).otherwise(bind(matches, _best))).drop(hashes, places)
+    held = F.array_distinct(F.transform(F.col(places), lambda i: F.get(F.col(hashes), i)))
+    matches = bind(held, lambda every: F.flatten(F.array(*[_windows(F.col(hashes), F.col(places), every, *f, spark) for f in found]))) if found else empty
+    return out.withColumn("licenses", F.when(F.col(places).isNull(), empty).otherwise(bind(matches, _best) if found else empty)).drop(hashes, places)
 
 
 MATCHES = "array<struct<license:string,containment:double,first_shingle:int>>"
 
 
 def _best(matches: Column) -> Column:
-    """Of each licence the match of the largest containment, the first of equal ones."""
+    """Of each licence the match of the largest containment, of equal ones the one whose window holds most, then the first."""
 
     def of(name: Column) -> Column:
         own = F.filter(matches, lambda m: m["license"] == name)
-        return F.array_max(F.transform(own, lambda m: F.struct(m["containment"].alias("containment"), (-m["first_shingle"]).alias("back"), m["license"].alias("license"))))
+        return F.array_max(F.transform(own, lambda m: F.struct(m["containment"].alias("containment"), m["within"].alias("within"), (-m["first_shingle"]).alias("back"), m["license"].alias("license"))))
 
     names = F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["license"])))
     return F.transform(F.transform(names, of), lambda b: F.struct(b["license"].alias("license"), b["containment"].alias("containment"), (-b["back"]).alias("first_shingle")))
 
 
-def _windows(hashes: Column, places: Column, step: int, width: int, group: list[tuple[str, int, list[int]]], spark: SparkSession) -> Column:
+def _windows(hashes: Column, places: Column, held: Column, step: int, width: int, group: list[tuple[str, int, list[int]]], spark: SparkSession) -> Column:
     """Matches of a group of templates in the windows that start at multiples of step and hold one of the places."""
     starts = F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(F.greatest(F.lit(0), F.ceil((i - width + 1) / step).cast("int")), F.floor(i / step).cast("int")))))
-    return F.flatten(F.transform(starts, lambda k: _verify(hashes, k * step, width, group, spark)))
+    return F.flatten(F.transform(starts, lambda k: _verify(hashes, held, k * step, width, group, spark)))
 
 
 _SIGNATURES: dict[tuple, list[list[int]]] = {}
@@ -150,16 +153,16 @@ def _signatures(spark: SparkSession, group: list[tuple[str, int, list[int]]]) ->
     return _SIGNATURES[key]
 
 
-def _verify(hashes_: Column, start: Column, width: int, group: list[tuple[str, int, list[int]]], spark: SparkSession) -> Column:
-    """The templates of a group that share a band with the window at ``start`` and that it contains."""
+def _verify(hashes_: Column, every: Column, start: Column, width: int, group: list[tuple[str, int, list[int]]], spark: SparkSession) -> Column:
+    """The templates of a group that share a band with the window at ``start`` and that the text, whose template shingles are ``every``, contains."""
     signatures = _signatures(spark, group)
 
     def check(window: Column, bands: Column) -> Column:
         rows = []
         for (name, _, hashes), signature in zip(group, signatures, strict=True):
             shared = F.exists(F.zip_with(bands, F.array(*[F.lit(x) for x in signature]), lambda a, b: a == b), lambda same: same)
-            held = F.size(F.array_intersect(window, F.array(*[F.lit(h) for h in hashes]))) / float(len(hashes))
-            rows.append(F.when(shared & (held >= CONTAINMENT), F.struct(F.lit(name).alias("license"), held.alias("containment"), start.cast("int").alias("first_shingle"))))
+            held, within = (F.size(F.array_intersect(some, F.array(*[F.lit(h) for h in hashes]))) / float(len(hashes)) for some in (every, window))
+            rows.append(F.when(shared & (held >= CONTAINMENT), F.struct(F.lit(name).alias("license"), held.alias("containment"), within.alias("within"), start.cast("int").alias("first_shingle"))))
         return F.filter(F.array(*rows), lambda m: m.isNotNull())
 
     return bind(F.slice(hashes_, start + 1, width), lambda window: bind(_bands(window), lambda bands: check(window, bands)))

@@ -419,6 +419,23 @@ def test_licenses_within_long_texts(spark):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
+def test_licenses_of_interrupted_notices(spark):
+    texts = []
+    for many in licenses.TEMPLATES.values():
+        for t in many:
+            w = t.split()
+            for n in (5, 20, 60, 400):
+                if len(w) > 24:
+                    header = [f"page{k}" for k in range(n)]
+                    texts += [" ".join([*w[:at], *header, *w[at:]]) for at in (3, len(w) // 2, len(w) - 6)]
+                    third = len(w) // 3
+                    texts.append(" ".join(["x", *w[:third], *header, *w[third : 2 * third], *header, *w[2 * third :]]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: {m["license"]: m["containment"] for m in r["licenses"]} for r in licenses.scan(frame).collect()}
+    want = {i: brute_licenses(t) for i, t in enumerate(texts)}
+    assert got == want and sum(map(bool, want.values())) > len(texts) // 2
+
+
 def test_pseudonyms_are_permutations():
     for n in (1, 2, 7, 100, 1000):
         assert sorted(pii.permute_range(v, n, b"k", "t") for v in range(n)) == list(range(n))
