@@ -5,12 +5,13 @@ Group keys are passed as ``img`` columns, so the same operators work per image,
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.durable import checkpoint
+
 
 def contingency(pair: DataFrame, img: Sequence[str] = ("img",)) -> DataFrame:
     """Pixels by (img, gt, pr), background included: the shared input of all overlap metrics, partly summed before the shuffle."""
@@ -18,14 +19,9 @@ def contingency(pair: DataFrame, img: Sequence[str] = ("img",)) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df computed once, in the session's checkpoint folder, which all executors share; a temporary one only if none is set.
-
-    For a contingency that several branches of a plan read, as it is far smaller than the pixels it comes from.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    """df computed once, in the shared folder: for a contingency that several branches of a plan read, as it is far smaller
+    than the pixels it comes from."""
+    return checkpoint(df)
 
 
 def with_areas(table: DataFrame, img: Sequence[str] = ("img",)) -> DataFrame:
