@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.durable import checkpoint
+
+__all__ = ["CHUNK_CHARS", "bind", "checkpoint", "free_name", "groups", "remainder", "share", "table"]
+
 #: Characters of the text that one numpy step of a Python worker handles at most, unless a single text is longer.
 CHUNK_CHARS = 1 << 20
 
@@ -16,17 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
-
-    The folder is taken from the session; only where it is unset (tests) a temporary one is used.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def remainder(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % k

@@ -5,8 +5,10 @@ ones that are its own (not only quoted in it) into a bit-sliced Bloom filter: ev
 n-gram is the mask of *all* languages that contain it. A text is scored by the popcount of each language over its
 n-grams; the popcounts are corrected for the false positives that the filter's fill implies, and the largest decides.
 
-Defined results: a null text and a text without letters are ``und`` with score 0; without any learned language every
-text is ``und``. Equal corrected counts go to the language with more learned documents, then to the smaller name.
+Defined results: a null text and a text without letters are ``und`` with score 0; without any learned language (such as
+from an empty table) every text is ``und``. Equal corrected counts go to the language with more learned documents, then
+to the smaller name. Repeated rows are counted and predicted each; very long texts are read whole, a piece at a time,
+with the same result as in one piece.
 """
 
 from __future__ import annotations
@@ -39,9 +41,15 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, a character for each character, whatever stands beside it."""
+    # the only characters whose lower case is longer, or depends on the end of a word
+    return text.replace("\u0130", "i").replace("\u03a3", "\u03c3").lower()
+
+
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The trigram codes of a text around each letter, and the place of each; what is no letter counts as an edge."""
-    cp = np.frombuffer(("\n" + text.lower() + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    cp = np.frombuffer(("\n" + lowered(text) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     cp = np.where(_letters()[cp], cp, 0).astype(np.uint64)
     at = np.flatnonzero(cp[1:-1])
     return (cp[at] << np.uint64(42)) | (cp[at + 1] << np.uint64(21)) | cp[at + 2], at

@@ -11,7 +11,8 @@ first, each into the smallest gap that holds it, which leaves about 1 %.
 
 Pieces are packed in shards of bounded size, in parallel; a shard costs a few sequences at most.
 
-Defined results: null and empty texts are the end id alone; repeated documents are packed each.
+Defined results: null and empty texts are the end id alone; repeated documents, and rows without an id, are packed
+each; very long texts are cut into as many pieces as they need; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -167,19 +168,23 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
 
 
 def _pack_table(table: pa.Table, capacity: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """A shard in packing order with (sequence, offset); larger pieces first, ties in a fixed order, so that a repeated task gives the same rows."""
-    length, mixed, piece, start = (table.column(c).to_numpy() for c in ("length", "mixed", "piece", "start"))
-    order = np.lexsort((start, piece, mixed, -length))
+    """A shard in packing order with (sequence, offset): larger pieces first, then by row, so that a repeated task gives the same."""
+    length, row = (table.column(c).to_numpy() for c in ("length", "row"))
+    order = np.lexsort((row, -length))
     return table.take(pa.array(order)), *place(length[order], capacity)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """pieces (as of ``tokenise``, computed once) with sequence_id and offset; full pieces are sequences of their own."""
-    given = checkpoint(pieces.withColumn("mixed", F.xxhash64("doc_id", "piece", "length", "ids_crc32")))
-    alone = given.where(F.col("length") >= capacity).withColumns({"offset": F.lit(0).cast("long"), "sequence_id": -1 - F.monotonically_increasing_id()})
+    """pieces (as of ``tokenise``, computed once) with sequence_id and offset; full pieces are sequences of their own.
+
+    Pieces are numbered before they are checkpointed, so that the numbers last, and dealt to shards by number: repeated
+    documents spread over all shards.
+    """
+    given = checkpoint(pieces.withColumn("row", F.monotonically_increasing_id()))
+    alone = given.where(F.col("length") >= capacity).withColumns({"offset": F.lit(0).cast("long"), "sequence_id": -1 - F.col("row")})
     rest = given.where(F.col("length") < capacity)
     shards = max(1, -(-rest.count() // shard))
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("mixed", "start"), F.lit(shards)).cast("int"))
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table, where, offset = _pack_table(table.drop_columns(["shard"]), capacity)

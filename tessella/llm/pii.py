@@ -6,7 +6,13 @@ pseudonyms in every document, different ones different, and a pseudonym is valid
 cards and account numbers get matching check digits, dates stay dates, addresses keep their shape. What does not
 validate is left alone.
 
-Defined results: null stays null with zero counts, a text without finds stays as it is, byte for byte.
+A date is permuted as its day, however it is written, so ``2024-02-29`` and ``29.02.2024`` stay linked. Only dates that
+can be read month first alone (``07/30/2054``) are permuted among themselves: written month first, a pseudonym with a
+day of 12 or less would be read as another day.
+
+Defined results: null stays null with zero counts; a text without finds, the empty one included, stays as it is, byte
+for byte; repeated rows and values get the same pseudonyms in each; texts and values of any length are taken whole, in
+time that grows with their length; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,16 +41,23 @@ CANDIDATE = rf"[\p{{Nd}}\p{{Cn}}@]|{ACCESS_ID}|(?iu:{SECRET_WORDS})"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 
 
-def _round(key: bytes, tweak: str, i: int, value: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{tweak}|{i}|{value}".encode(), key=key[:64], digest_size=32).digest(), "big")
+def _stream(key: bytes, tweak: str, i: int, value: bytes, n: int) -> bytes:
+    """n bytes that key, tweak, round and value decide: as many as what they are added to needs, and a margin."""
+    head = hashlib.blake2b(f"{tweak}|{i}|{len(value)}".encode(), key=key[:64]).digest()
+    return hashlib.shake_256(head + value).digest(n)
 
 
 def permute(value: int, a: int, b: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of range(a * b): a Feistel network over the halves of sizes a and b, adding within each."""
     left, right = divmod(value, b)
+    n = (max(a, b).bit_length() + 135) // 8  # 16 bytes more than a half has, so that remainders are as good as even
+
+    def step(i: int, half: int) -> int:
+        return int.from_bytes(_stream(key, tweak, i, half.to_bytes(n, "big"), n), "big")
+
     for i in range(0, ROUNDS, 2):
-        left = (left + _round(key, tweak, i, right)) % a
-        right = (right + _round(key, tweak, i + 1, left)) % b
+        left = (left + step(i, right)) % a
+        right = (right + step(i + 1, left)) % b
     return left * b + right
 
 
@@ -58,18 +72,19 @@ def permute_range(value: int, n: int, key: bytes, tweak: str) -> int:
 
 
 def permute_digits(digits: Sequence[int], radices: Sequence[int], key: bytes, tweak: str) -> list[int]:
-    """A keyed permutation of the mixed-radix numbers with these radices."""
-    half = len(digits) // 2
-    size, value = [1, 1], 0
-    for k, (d, r) in enumerate(zip(digits, radices, strict=True)):
-        size[k >= half] *= r
-        value = value * r + d
-    value = permute(value, size[0], size[1], key, f"{tweak}{list(radices)}")
-    out = []
-    for r in reversed(radices):
-        value, d = divmod(value, r)
-        out.append(d)
-    return out[::-1]
+    """A keyed permutation of the strings of digits with these radices: a Feistel network whose halves are strings, each
+    digit moved on within its own radix, so that the work grows with the number of digits."""
+    half, r = len(digits) // 2, np.asarray(radices, np.uint64)
+    left, right = (np.asarray(d, np.uint64) for d in (digits[:half], digits[half:]))
+    tweak = f"{tweak}{hashlib.sha256(r.astype('<u8').tobytes()).hexdigest()}"
+
+    def moved(x: np.ndarray, by: np.ndarray, i: int, radix: np.ndarray) -> np.ndarray:
+        return (x + np.frombuffer(_stream(key, tweak, i, by.astype("<u8").tobytes(), 8 * len(x)), "<u8") % radix) % radix
+
+    for i in range(0, ROUNDS, 2):
+        left = moved(left, right, i, r[:half])
+        right = moved(right, left, i + 1, r[half:])
+    return [*left.tolist(), *right.tolist()]
 
 
 def permute_text(text: str, key: bytes, tweak: str, sets: Sequence[str] = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) -> str:
@@ -77,7 +92,8 @@ def permute_text(text: str, key: bytes, tweak: str, sets: Sequence[str] = ("0123
     places = [(i, s) for i, c in enumerate(text) for s in sets if c in s]
     if not places:
         return text
-    new = permute_digits([s.index(text[i]) for i, s in places], [len(s) for _, s in places], key, tweak + re.sub(r"[0-9A-Za-z]", "x", text))
+    shape = re.sub(r"[0-9A-Za-z]", "x", text)
+    new = permute_digits([s.index(text[i]) for i, s in places], [len(s) for _, s in places], key, tweak + shape)
     out = list(text)
     for (i, s), d in zip(places, new, strict=True):
         out[i] = s[d]
@@ -128,22 +144,36 @@ def _ip(text: str, key: bytes) -> str | None:
 DATES = ((re.compile(r"(\d{4})([-/.])(\d\d?)\2(\d\d?)\Z"), "ymd"), (re.compile(r"(\d\d?)([-/.])(\d\d?)\2(\d{4})\Z"), "dmy"))
 
 
+def _day(y: str, mo: str, d: str) -> date | None:
+    try:
+        day = date(int(y), int(mo), int(d))
+    except ValueError:
+        return None
+    return day if FIRST_DAY <= day <= LAST_DAY else None
+
+
+def _other_day(day: date, key: bytes) -> date:
+    return FIRST_DAY + timedelta(permute_range((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, key, "date"))
+
+
 def _date(text: str, key: bytes) -> str | None:
     for pattern, order in DATES:
-        if m := pattern.match(text):
-            a, mark, b, c = m.groups()
-            tries = [(a, b, c)] if order == "ymd" else [(c, b, a), (c, a, b)]  # day first, else month first
-            for k, (y, mo, d) in enumerate(tries):
-                try:
-                    day = date(int(y), int(mo), int(d))
-                except ValueError:
-                    continue
-                if not FIRST_DAY <= day <= LAST_DAY:
-                    continue
-                new = FIRST_DAY + timedelta(permute_range((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, key, "date"))
-                # a month or day of one digit has no leading zero in its pseudonym either
-                y, mo, d = f"{new.year:04d}", f"{new.month:0{len(mo)}d}", f"{new.day:0{len(d)}d}"
-                return mark.join((y, mo, d) if order == "ymd" else (d, mo, y) if k == 0 else (mo, d, y))
+        if not (m := pattern.match(text)):
+            continue
+        a, mark, b, c = m.groups()
+        month_first = False
+        y, mo, d = (a, b, c) if order == "ymd" else (c, b, a)
+        if (day := _day(y, mo, d)) is None and order == "dmy":
+            month_first, y, mo, d = True, c, a, b
+            day = _day(y, mo, d)
+        if day is None:
+            return None
+        new = _other_day(day, key)
+        while month_first and new.day <= 12:  # such days of the calendar are permuted among themselves
+            new = _other_day(new, key)
+        # a month or day of one digit has no leading zero in its pseudonym either
+        y, mo, d = f"{new.year:04d}", f"{new.month:0{len(mo)}d}", f"{new.day:0{len(d)}d}"
+        return mark.join((y, mo, d) if order == "ymd" else (mo, d, y) if month_first else (d, mo, y))
     return None
 
 

@@ -5,31 +5,36 @@ Long texts are cut into chunks that overlap. Every chunk is pre-tokenised from i
 falls; where a pre-token boundary of a chunk is one of the next chunk too, the two are in step from there on, because
 pre-tokens depend only on what follows. The chunks are stitched at the first such boundary, encoded piece by piece in
 different tasks, and put together by text. Where two chunks never get in step (a run without any boundary, longer than
-the overlap), the text is encoded whole.
+the overlap), or hold characters that the encoder and this module's patterns may take for different kinds, the text is
+encoded whole.
 
-Defined results: null and empty texts have no ids; ids outside the ranks are an error on decoding.
+Defined results: null and empty texts have no ids; repeated rows are encoded each; ids outside the ranks are an error on
+decoding; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import free_name
+from tessella.llm.common import checkpoint, free_name, groups
 
 CHUNK, OVERLAP = 1 << 16, 1 << 11
-#: Texts that travel to a Python worker at once, at most: ids take more room than their text.
-BATCH_ROWS = 1000
+#: Characters of texts, and ids, that a Python worker turns over at once, unless one text has more: ids take more room than text.
+STEP = 1 << 20
 
 
 @lru_cache(4)
@@ -49,14 +54,16 @@ def encode_column(text: Column, path: str, pattern: str) -> Column:
     """The ids (array<int>) of a text column, each text encoded whole."""
 
     @F.arrow_udf("array<int>")
-    def udf(texts: pa.Array) -> pa.Array:
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(path, pattern)
-        # a list of Python numbers takes ten times the room of an array, so there is never more than one text's
-        values, ends = array("i"), [0]
-        for t in texts:
-            values.fromlist(enc.encode_ordinary(t.as_py() or ""))
-            ends.append(len(values))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
+        for texts in batches:
+            # a list of Python numbers takes ten times the room of an array, so there is never more than one text's
+            for lo, hi in groups(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist(), STEP):
+                values, ends = array("i"), [0]
+                for t in texts[lo:hi]:
+                    values.fromlist(enc.encode_ordinary(t.as_py() or ""))
+                    ends.append(len(values))
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
 
     return udf(text)
 
@@ -65,16 +72,31 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
     """The bytes (binary) of a column of ids."""
 
     @F.arrow_udf("binary")
-    def udf(many: pa.Array) -> pa.Array:
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(path, pattern)
-        ends, values = many.offsets.to_numpy(), many.values.to_numpy()
-        return pa.array([enc.decode_bytes(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        for many in batches:
+            ends, values = many.offsets.to_numpy(), many.values.to_numpy()
+            for lo, hi in groups(np.diff(ends).tolist(), STEP):
+                yield pa.array([enc.decode_bytes(values[a:b].tolist()) for a, b in zip(ends[lo:hi], ends[lo + 1 : hi + 1], strict=True)], pa.binary())
 
     return udf(ids)
 
 
+@lru_cache(1)
+def _unsure() -> np.ndarray:
+    """Which code points have become or ceased to be letters, marks, numbers or spaces since an old Unicode version.
+
+    On the rest, engines of any version agree.
+    """
+    old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
+    return np.fromiter((old(c) != new(c) and bool({old(c)[0], new(c)[0]} & set("LMNZ")) for c in map(chr, range(0x110000))), bool, 0x110000)
+
+
 def boundaries(text: str, pattern: str, final: bool) -> list[int]:
-    """Starts of the pre-tokens of a text, and its end; unless final, without those that more text could move."""
+    """Starts of the pre-tokens of a text, and its end; unless final, without those that more text could move; none if the
+    text holds a character on whose kind the encoder may differ."""
+    if _unsure()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+        return []
     ends = [m.end() for m in _compiled(pattern).finditer(text)]
     # A run of white space gives its last character away to a word that follows it, so the last two ends are open.
     return [0, *ends] if final else [0, *ends[:-2]]
@@ -98,7 +120,7 @@ def _long(rows: DataFrame, key: str, text: str, path: str, pattern: str, chunk:
     met = marked.withColumn("stop", F.when(~F.col("last"), F.array_min(F.array_intersect("tail", F.lead("head").over(along)))))
     met = met.withColumn("begin", F.when(F.col("i") == 0, F.lit(0)).otherwise(F.lag("stop").over(along)))
     piece = F.when(F.col("last"), F.substr("part", F.col("begin") + 1)).otherwise(F.substr(F.col("part"), F.col("begin") + 1, F.lit(chunk) + F.col("stop") - F.col("begin")))
-    lost = F.col("begin").isNull() | (F.col("stop").isNull() & ~F.col("last"))
+    lost = F.col("begin").isNull() | (F.col("stop").isNull() & ~F.col("last")) | (F.size("head") == 0)
     encoded = met.select(key, "i", lost.alias("lost"), encode_column(F.when(~lost, piece), path, pattern).alias("ids"))
     joined = encoded.groupBy(key).agg(F.max("lost").alias("lost"), F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("all"))
     return joined.select(key, "lost", F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids"))
@@ -107,13 +129,11 @@ def _long(rows: DataFrame, key: str, text: str, path: str, pattern: str, chunk:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """docs with a column of ids (array<int>), the same as the encoding of each whole text.
 
-    Lowers the session's rows of an Arrow batch to ``BATCH_ROWS`` if there are more.
+    Long texts are numbered and checkpointed before they are cut, so that their pieces find them whatever is repeated.
     """
-    conf = docs.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or BATCH_ROWS)))
     short = docs.where(F.col(text).isNull() | (F.length(text) <= chunk)).withColumn(ids, encode_column(F.col(text), path, pattern))
     key = free_name(docs, "_row")  # of this run only
-    long = docs.where(F.length(text) > chunk).withColumn(key, F.monotonically_increasing_id())
+    long = checkpoint(docs.where(F.length(text) > chunk).withColumn(key, F.monotonically_increasing_id()))
     pieces = _long(long.select(key, F.col(text).alias("_text")), key, "_text", path, pattern, chunk, overlap)
     lost, found = free_name(docs, "_lost"), free_name(docs, "_ids")
     both = long.join(pieces.withColumnsRenamed({"lost": lost, "ids": found}), key)

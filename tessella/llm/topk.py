@@ -11,7 +11,9 @@ Scores are integers, added without rounding. Bounds carry a slack above their ro
 equals the score to beat survive, so ties are exact.
 
 Defined results: vectors that are null or empty, hold a null or non-finite component or have a null id take no part; queries are
-compared with vectors of their own length; a query never finds rows of its own id; ties go to the smaller id.
+compared with vectors of their own length; a query never finds rows of its own id; ties go to the smaller id; repeated
+rows are found each, and asked each where they are queries; an empty table gives no rows. Components and scores beyond
+a long count as its nearest end.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ LEVELS = (1, 4, 16)
 SPARSE = 0.1
 #: Pairs whose vectors are gathered at once.
 STEP = 1 << 14
+#: The largest score.
+LONG = (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -63,20 +67,21 @@ def _distinct(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np
 
 
 def _products(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The inner products of the rows i of a and j of b; exact for objects (Python numbers) and for sums below 2**53."""
+    """The inner products of the rows i of a and j of b; exact for sums below 2**53 and for objects (Python numbers), whose ends are those of a long."""
     out = np.empty(len(i), a.dtype)
     for lo in range(0, len(i), STEP):
         at = slice(lo, lo + STEP)
-        out[at] = (a[i[at]] * b[j[at]]).sum(1) if a.dtype == object else np.einsum("nd,nd->n", a[i[at]], b[j[at]])
+        out[at] = [min(max(s, -LONG - 1), LONG) for s in (a[i[at]] * b[j[at]]).sum(1)] if a.dtype == object else np.einsum("nd,nd->n", a[i[at]], b[j[at]])
     return out
 
 
 def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, candidate id, score) of the k best candidates of each query, exactly; q and c hold integers."""
-    big = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] >= 2.0**52
+    fq, fc = q.astype(np.float64), c.astype(np.float64)
+    big = np.abs(fq).max(initial=0) * np.abs(fc).max(initial=0) * q.shape[1] >= 2.0**52
     own_times = int(np.unique(cid, return_counts=True)[1].max(initial=0))
     cid, c = _distinct(cid, c, k + own_times)
-    fq, fc = q.astype(np.float64), c.astype(np.float64)
+    fc = c.astype(np.float64)
     xq, xc = (q.astype(object), c.astype(object)) if big else (fq, fc)
     levels = [s for s in LEVELS if s <= q.shape[1]]
     own = qid[:, None] == cid[None, :]
