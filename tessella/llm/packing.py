@@ -177,14 +177,14 @@ def _pack_table(table: pa.Table, capacity: int) -> tuple[pa.Table, np.ndarray, n
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """pieces (as of ``tokenise``, computed once) with sequence_id and offset; full pieces are sequences of their own.
 
-    Pieces are numbered before they are checkpointed, so that the numbers last, and dealt to shards by number: repeated
-    documents spread over all shards.
+    Pieces are numbered before they are checkpointed, so that the numbers last, and dealt to shards in turn, from another
+    one in each partition: repeated documents spread over all shards, and shards are of equal size.
     """
     given = checkpoint(pieces.withColumn("row", F.monotonically_increasing_id()))
     alone = given.where(F.col("length") >= capacity).withColumns({"offset": F.lit(0).cast("long"), "sequence_id": -1 - F.col("row")})
     rest = given.where(F.col("length") < capacity)
     shards = max(1, -(-rest.count() // shard))
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    dealt = rest.withColumn("shard", F.pmod(F.pmod("row", F.lit(shards)) + F.pmod(F.xxhash64(F.shiftright("row", 33)), F.lit(shards)), F.lit(shards)).cast("int"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table, where, offset = _pack_table(table.drop_columns(["shard"]), capacity)

@@ -3,6 +3,10 @@
 Sequential covering learns what is rejected: a rule is grown on part of the labelled rows, one threshold condition after
 the other by information gain, then pruned from its end on the rest, where it must stay precise; the rows it covers
 leave, and the next rule is grown, until no rule is precise enough. The ordered list becomes one conditional expression.
+
+Defined results: without labelled rows there are no rules and everything that passes the base rule is kept; null and
+empty texts have no words and fail the base rule; a condition on a null feature does not hold; equal rows get equal
+verdicts; an empty table gives no rows. Ties between conditions go to the first feature, then the smaller cut.
 """
 
 from __future__ import annotations

@@ -12,8 +12,8 @@ equals the score to beat survive, so ties are exact.
 
 Defined results: vectors that are null or empty, hold a null or non-finite component or have a null id take no part; queries are
 compared with vectors of their own length; a query never finds rows of its own id; ties go to the smaller id; repeated
-rows are found each, and asked each where they are queries; an empty table gives no rows. Components and scores beyond
-a long count as its nearest end.
+rows are found each; queries that share an id share one list, the best of what each finds; an empty table gives no rows.
+Components and scores beyond a long count as its nearest end.
 """
 
 from __future__ import annotations
