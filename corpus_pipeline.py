@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and reread as the next one's docs. All
 but the last return the columns of documents; what a stage rejects is gone.
+
+Near duplicates are those of the SimHash operator, fingerprints that differ in at most three bits. That is stricter than
+a similarity of 0.8 of five-word shingles; the README says what that leaves and why.
 """
 
 from __future__ import annotations
@@ -15,13 +18,18 @@ from pyspark.sql import functions as F
 from tessella.llm import language, packing, pii, simhash
 from tessella.llm.common import checkpoint, free_name, remainder, table
 from tessella.llm.queries import quality_rules
+from tessella.operators.durable import remove, shared_folder
 
 #: Share of a text's n-grams that its language has to explain; far below what prose of a known language shows.
 MIN_LANGUAGE_SCORE = 0.2
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; texts that are null or without a letter, or in none, go."""
+    """Documents in one of the learned languages; texts that are null, empty or without a letter, or in none, go.
+
+    Without any row with a language nothing is learned and all go. Repeated rows are judged alike, null ids like any
+    other, texts of any length whole; an empty table gives none.
+    """
     learned = language.learn(docs, F.coalesce(remainder(F.col("doc_id"), 4) != 2, F.lit(True)))
     found = free_name(docs, "found")
     judged = docs.withColumn(found, language.predict(F.col("text"), learned))
@@ -29,13 +37,20 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the learned decision list."""
+    """Documents that pass the base rule and the learned decision list; null and empty texts fail the base rule and go.
+
+    Without labelled rows the base rule decides alone. Repeated rows are judged alike; an empty table gives none.
+    """
     rows, judged = quality_rules(spark, docs, sf_dir)
     return rows.where(f"{judged}.kept").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row: the smallest doc_id, then the smallest hash of the text; null ids come last."""
+    """Of each group of near duplicates one row: the smallest doc_id, then the smallest hash of the text; null ids come last.
+
+    Rows that share an id, or have none, but not a text are rows of their own; of equal rows one stays. Null and empty
+    texts are one group; an empty table gives none.
+    """
     kept = checkpoint(simhash.representatives(docs)).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "n")
     repeated = not kept.where("n > 1").isEmpty()
     mark = free_name(docs, "text_hash")
@@ -48,7 +63,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced; n_chars, if there, counts the new text."""
+    """All documents, personal data in their texts replaced; n_chars, if there, counts the new text.
+
+    Null and empty texts, and texts without finds, stay as they are; repeated rows change alike; an empty table gives none.
+    """
     found = free_name(docs, "found")
     out = docs.withColumn(found, pii.pseudonyms(F.col("text"))).withColumn("text", F.coalesce(F.col(f"{found}.text"), "text"))
     if "n_chars" in docs.columns:
@@ -57,7 +75,10 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences; null and empty texts are the end id alone.
+
+    Repeated rows are packed each, long texts cut into pieces; an empty table gives none.
+    """
     pieces = packing.tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -75,11 +96,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what is written between them lies in the shared checkpoint folder."""
-    docs = table(spark, sf_dir, "documents")
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{base}/corpus-{uuid.uuid4().hex}"
+    """All stages over documents; what is written between them lies in the shared folder and is removed when it has been used.
+
+    The last stage's rows stay there, as the result reads them.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
     return docs
