@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Endings of image files, and of names that are results rather than images (fixed values).
@@ -32,13 +32,12 @@ def is_image(path: Column, suffixes: Sequence[str] = RESULT_SUFFIXES, endings: S
 
 
 def slug(name: Column) -> Column:
-    """Lower case, without parenthesised parts, other characters as underscores; ``layer`` if nothing is left."""
-    s = F.regexp_replace(F.lower(F.trim(name)), r"\s*\(.*?\)\s*", "")
-    s = F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.when(s == "", "layer").otherwise(s)
+    """Lower case, without parenthesised parts; runs of other characters become one underscore, none at the ends; ``layer`` if nothing is left."""
+    parts = F.regexp_extract_all(F.regexp_replace(F.lower(name), r"\s*\(.*?\)\s*", ""), F.lit("[a-z0-9]+"), 0)
+    return F.when(F.size(parts) == 0, "layer").otherwise(F.array_join(parts, "_"))
 
 
-#: Shapes of log lines, by what became of a cell (fixed formats); the first group is the label.
+#: Shapes of log lines, by what became of a cell (fixed formats, any name of the kept mask and of the tool); the first group is the label.
 LOG_LINES = {
     "pasted": r"^label\s+(\d+):\s+bbox=\((\d+),(\d+),(\d+),(\d+)\)\s+placed_pixels=(\d+)(?:\s+merge=.*)?\s*$",
     "min_cell_area_fallback": r"^label\s+(\d+):\s+area=(\d+)\s+<\s+min_cell_area,\s+kept \w+ mask\s*$",
@@ -47,8 +46,11 @@ LOG_LINES = {
 }
 
 
-def parse_log(lines: DataFrame, order: str = "n", line: str = "line") -> DataFrame:
-    """(label, status, r0, r1, c0, c1, placed, error) of log lines; other lines are left out, the last line of a label wins."""
+def parse_log(lines: DataFrame, order: str = "n", line: str = "line", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, label, status, r0, r1, c0, c1, placed, error) of log lines; other lines are left out.
+
+    ``keys`` tell logs apart, such as the name of the file; of a log's lines on one label the last wins.
+    """
     def group(kind: str, k: int) -> Column:
         return F.regexp_extract(line, LOG_LINES[kind], k)
 
@@ -59,9 +61,20 @@ def parse_log(lines: DataFrame, order: str = "n", line: str = "line") -> DataFra
     box = [F.when(is_("pasted"), group("pasted", k)).cast("int").alias(n) for k, n in ((2, "r0"), (3, "r1"), (4, "c0"), (5, "c1"))]
     placed = F.when(is_("pasted"), group("pasted", 6)).when(is_("min_cell_area_fallback"), group("min_cell_area_fallback", 2)).cast("int")
     error = F.when(is_("failed_fallback"), F.substr(F.trim(group("failed_fallback", 2)), F.lit(1), F.lit(500)))
-    parsed = rows.select(order, label.alias("label"), "status", *box, placed.alias("placed"), error.alias("error"))
-    last = Window.partitionBy("label").orderBy(F.desc(order))
-    return parsed.withColumn("k", F.row_number().over(last)).where("k = 1").drop("k", order)
+    parsed = rows.select(*keys, order, label.alias("label"), F.struct("status", *box, placed.alias("placed"), error.alias("error")).alias("r"))
+    return parsed.groupBy(*keys, "label").agg(F.max_by("r", order).alias("r")).select(*keys, "label", "r.*")
+
+
+#: Trained models by the name of the data set (fixed values), and the one of all others.
+MODELS, OTHER_MODEL = {"dsb2018": "2D_versatile_fluo", "ihc_tma": "2D_versatile_fluo"}, "2D_versatile_he"
+
+
+def model_of(dataset: Column) -> Column:
+    """The trained model that fits a data set."""
+    out = F.lit(OTHER_MODEL)
+    for name in sorted(set(MODELS.values())):
+        out = F.when(dataset.isin(*[k for k, v in MODELS.items() if v == name]), name).otherwise(out)
+    return out
 
 
 def first_existing(rows: DataFrame, key: str, priority: str) -> DataFrame:

@@ -53,11 +53,21 @@ def pooled(pair: DataFrame, radius: int = 2) -> DataFrame:
     return one.select(r.alias("recall"), q.alias("precision"), F.when(r + q > 0, 2 * r * q / (r + q)).when(some, 0.0).alias("f"))
 
 
-def cells(pair: DataFrame, table: DataFrame, margin: int, height: int, width: int) -> DataFrame:
-    """Rows (img, gt, y, x, g, p) of the crop around every label: is the pixel in it, and in its matched prediction."""
+#: Side of the tiles on which pixels and boxes of cells meet.
+TILE = 32
+
+
+def cells(pair: DataFrame, table: DataFrame, margin: int, height: int, width: int, tile: int = TILE) -> DataFrame:
+    """Rows (img, gt, y, x, g, p) of the crop around every label: is the pixel in it, and in its matched prediction.
+
+    Boxes are repeated for the tiles that they touch, and pixels meet the boxes of their own tile: an equi-join, whose
+    work grows with the area of the boxes rather than with pixels times cells of an image.
+    """
     box = shapes(pair, "gt").select("img", "gt", "r0", "r1", "c0", "c1").join(largest_overlap(table), ["img", "gt"], "left")
     box = box.select(F.col("img"), F.col("gt").alias("cell"), F.coalesce("pr", F.lit(-1)).alias("match"), F.greatest(F.lit(0), F.col("r0") - margin).alias("r0"), F.least(F.lit(height), F.col("r1") + margin).alias("r1"), F.greatest(F.lit(0), F.col("c0") - margin).alias("c0"), F.least(F.lit(width), F.col("c1") + margin).alias("c1"))
-    inside = pair.join(box, "img").where("y >= r0 and y < r1 and x >= c0 and x < c1")
+    of = lambda c: F.floor(c / tile).cast("int")
+    touched = box.withColumn("ty", F.explode(F.sequence(of(F.col("r0")), of(F.col("r1") - 1)))).withColumn("tx", F.explode(F.sequence(of(F.col("c0")), of(F.col("c1") - 1))))
+    inside = pair.withColumns({"ty": of(F.col("y")), "tx": of(F.col("x"))}).join(touched, ["img", "ty", "tx"]).where("y >= r0 and y < r1 and x >= c0 and x < c1")
     return inside.select("img", "cell", "y", "x", (F.col("gt") == F.col("cell")).cast("int").alias("g"), (F.col("pr") == F.col("match")).cast("int").alias("p"), (F.col("r1") - F.col("r0")).alias("h"), (F.col("c1") - F.col("c0")).alias("w"))
 
 

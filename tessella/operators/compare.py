@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tessella.functions.distributions import signed_rank_two_sided, t_two_sided
+from tessella.operators.durable import checkpoint
 
 #: What counts as a tie between methods on a sample, and between two methods on a cell.
 SAMPLE_TIE, CELL_TIE = 0.01, 0.02
@@ -74,19 +75,42 @@ def paired_statistics(pairs: DataFrame) -> DataFrame:
     return s.select("n", "delta", F.when(F.col("sd") > 0, F.col("delta") / (F.col("sd") / F.sqrt("n"))).alias("t"), F.when(F.col("sd") > 0, F.col("delta") / F.col("sd")).otherwise(0.0).alias("cohens_d"))
 
 
+def ranged(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """rows in ranges of an order, one range per partition, with the number ``_part`` of the range and ``_at`` within it.
+
+    What counts on through all rows counts within each range by a window of its own, and adds what ``before`` says of
+    the ranges before it, which are few. The ranges are checkpointed, so that all that use them see the same.
+    """
+    laid = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return checkpoint(laid).withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+
+
+def before(laid: DataFrame, amount: Column) -> DataFrame:
+    """(_part, _before): the sum of an amount over all ranges before each; a row for each range."""
+    sums = laid.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    return sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+
+
+def numbered(rows: DataFrame, order: Sequence[str], out: str = "at") -> DataFrame:
+    """rows with their number from 0 in an order, without a window over all of them."""
+    laid = ranged(rows, order)
+    return laid.join(F.broadcast(before(laid, F.lit(1))), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")  # as many rows as partitions
+
+
 def signed_ranks(pairs: DataFrame, digits: int = 9) -> DataFrame:
     """One row: n differences that are not zero, rank sums of the positive and negative ones, ties (sum of t**3 - t), zeros.
 
-    Differences are rounded to ``digits``, so that equal ones tie. They are counted by size before they are ranked:
-    what one window numbers are the distinct sizes.
+    Differences are rounded to ``digits``, so that equal ones tie. They are counted by size before they are ranked, and
+    ranked range by range.
     """
     d = pairs.select(F.round(F.col("a") - F.col("b"), digits).alias("d"))
     zeros = F.count_if(F.col("d") == 0)
     sizes = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"), zeros.alias("zero"))
-    before = F.coalesce(F.sum(F.col("t") - F.col("zero")).over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sizes.withColumn("rank", before + (F.col("t") + 1) / 2)
+    own, laid = F.col("t") - F.col("zero"), ranged(sizes, ["size"])
+    within = F.coalesce(F.sum(own).over(Window.partitionBy("_part").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = laid.withColumn("_within", within).join(F.broadcast(before(laid, own)), "_part").withColumn("rank", F.col("_before") + F.col("_within") + (F.col("t") + 1) / 2)
     down = F.col("t") - F.col("up") - F.col("zero")
-    total = [F.sum(F.col("t") - F.col("zero")).alias("n"), F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum(down * F.col("rank")).alias("minus")]
+    total = [F.sum(own).alias("n"), F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum(down * F.col("rank")).alias("minus")]
     tied = F.sum(F.when(F.col("zero") == 0, F.col("t") * F.col("t") * F.col("t") - F.col("t")).otherwise(0)).alias("ties")
     sums = ranked.agg(*total, tied, F.sum("zero").alias("zeros"))
     return sums.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "plus", "minus", "ties", "zeros")])
@@ -111,15 +135,28 @@ def paired_tests(pairs: DataFrame) -> DataFrame:
 def bootstrap(pairs: DataFrame, order: Sequence[str], rounds: int = 200, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentiles of resampled mean differences; draws come from a hash of round and place, so they are repeatable.
 
-    The rows are one per sample of an evaluation, few enough to be numbered by one window.
+    Rows are numbered range by range; every row draws once in each round, and draws meet rows on the number drawn.
     """
-    numbered = pairs.select((F.col("a") - F.col("b")).alias("d"), F.row_number().over(Window.orderBy(*order)).alias("i"))
-    n = numbered.withColumn("n", F.count("*").over(Window.partitionBy()))
-    draws = n.select("n", "i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("pick", (1 + F.conv(F.substr(F.md5(F.concat_ws("-", "round", "i")), F.lit(1), F.lit(8)), 16, 10).cast("long") % F.col("n")).cast("int"))
-    taken = draws.join(numbered.select(F.col("i").alias("pick"), "d"), "pick").groupBy("round").agg(F.avg("d").alias("m"))
+    places = numbered(pairs.select(*order, (F.col("a") - F.col("b")).alias("d")), order, "i").select("d", (F.col("i") + 1).cast("int").alias("i"))
+    total = places.agg(F.count("*").alias("n"))  # one row
+    draws = places.crossJoin(F.broadcast(total)).select("n", "i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    draws = draws.withColumn("pick", (1 + F.conv(F.substr(F.md5(F.concat_ws("-", "round", "i")), F.lit(1), F.lit(8)), 16, 10).cast("long") % F.col("n")).cast("int"))
+    taken = draws.join(places.select(F.col("i").alias("pick"), "d"), "pick").groupBy("round").agg(F.avg("d").alias("m"))
     return taken.agg(F.percentile("m", low).alias("lo"), F.percentile("m", high).alias("hi"))
 
 
+def spread(scores: DataFrame, metrics: Sequence[str], reference: str, keys: Sequence[str]) -> DataFrame:
+    """(method, metric, n, mean, sd, pairs, delta, t): each method's mean and spread, and its paired difference from a reference.
+
+    One pass over the scores, widened by metric; the reference's values meet all others on the sample.
+    """
+    long = scores.select(*keys, "method", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), finite(F.col(m)).alias("v")) for m in metrics])).alias("s")).select(*keys, "method", "s.metric", "s.v").where("v is not null")
+    base = long.where(F.col("method") == reference).groupBy(*keys, "metric").agg(F.max("v").alias("base"))
+    both = long.join(base, [*keys, "metric"], "left").withColumn("d", F.col("v") - F.col("base"))
+    rows = both.groupBy("method", "metric").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count("d").alias("pairs"), F.avg("d").alias("delta"), F.stddev_samp("d").alias("dd"))
+    return rows.withColumn("t", F.when(F.col("dd") > 0, F.col("delta") / (F.col("dd") / F.sqrt("pairs")))).drop("dd")
+
+
 def against(means_: DataFrame, reference: str, metric: str) -> DataFrame:
     """Means with their difference from the reference method's."""
     base = means_.where(F.col("method") == reference).select(F.col(metric).alias("base"))
@@ -136,8 +173,8 @@ def pending(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def shard(rows: DataFrame, order: str, shards: int, number: int, most: int | None = None) -> DataFrame:
-    """Every ``shards``-th row by order from ``number`` on, at most ``most`` of them: a sample catalogue, numbered as a whole."""
-    out = rows.withColumn("at", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("at") % shards == number)
+    """Every ``shards``-th row by order from ``number`` on, at most ``most`` of them."""
+    out = numbered(rows, [order]).where(F.col("at") % shards == number)
     return out.where(F.col("at") < shards * most) if most is not None else out
 
 

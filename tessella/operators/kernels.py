@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -48,23 +49,35 @@ def per_pair(pair: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict[st
     return pair.select(*names, "y", "x", "gt", "pr").groupBy(*names).applyInPandas(run, ", ".join(f"`{k}` {fields[k]}" for k in names) + ", " + schema)
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each of n nodes' components, by minima along the links (a, b) and pointer jumping."""
+    root = np.arange(n)
+    while True:
+        lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (lo == hi).all():
+            return root
+        np.minimum.at(root, hi, lo)
+        while not np.array_equal(further := root[root], root):
+            root = further
+
+
 def components(mask: np.ndarray, near: Sequence[tuple[int, int]] = EIGHT) -> np.ndarray:
-    """Components of a mask numbered 1 to N in reading order, by a flood from each first pixel."""
-    out, n = np.zeros(mask.shape, np.int64), 0
+    """Components of a mask numbered 1 to N in reading order: runs of rows are nodes, linked where they touch in the next row."""
     h, w = mask.shape
-    for y, x in np.argwhere(mask):
-        if out[y, x]:
-            continue
-        n += 1
-        out[y, x], front = n, [(y, x)]
-        while front:
-            a, b = front.pop()
-            for dy, dx in near:
-                c, d = a + dy, b + dx
-                if 0 <= c < h and 0 <= d < w and mask[c, d] and not out[c, d]:
-                    out[c, d] = n
-                    front.append((c, d))
-    return out
+    turns = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    y, lo = np.nonzero(turns == 1)
+    hi = np.nonzero(turns == -1)[1]
+    reach, stride = int(len(near) == 8), w + 3
+    # rows follow one another in the keys, so the runs of the next row that a run touches are a range
+    first = np.searchsorted(y * stride + hi, (y + 1) * stride + lo - reach, "right")
+    count = np.maximum(np.searchsorted(y * stride + lo, (y + 1) * stride + hi + reach, "left") - first, 0)
+    a = np.repeat(np.arange(len(y)), count)
+    b = np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(a))
+    _, number = np.unique(_roots(len(y), a, b), return_inverse=True)
+    out = np.zeros((h, w + 1), np.int64)
+    np.add.at(out, (y, lo), number.ravel() + 1)
+    np.add.at(out, (y, hi), -number.ravel() - 1)
+    return np.cumsum(out, axis=1)[:, :w]
 
 
 def fill_holes(mask: np.ndarray) -> np.ndarray:
@@ -73,22 +86,66 @@ def fill_holes(mask: np.ndarray) -> np.ndarray:
     return ~(outside == outside[0, 0])[1:-1, 1:-1]
 
 
+def boxes(labels: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, ...]]]:
+    """The labels above 0, ascending, and the box of each, from one pass over the pixels."""
+    at = np.argwhere(labels > 0)
+    names, which = np.unique(labels[tuple(at.T)], return_inverse=True)
+    lo = np.full((len(names), labels.ndim), max(labels.shape, default=0))
+    hi = np.zeros((len(names), labels.ndim), np.int64)
+    np.minimum.at(lo, which.ravel(), at)
+    np.maximum.at(hi, which.ravel(), at + 1)
+    return names, [tuple(slice(*x) for x in zip(l, h, strict=True)) for l, h in zip(lo.tolist(), hi.tolist(), strict=True)]
+
+
+def renumber(labels: np.ndarray) -> np.ndarray:
+    """Labels 1 to N by ascending id, background 0."""
+    names, at = np.unique(labels, return_inverse=True)
+    return (at.reshape(labels.shape) + int(len(names) > 0 and names[0] != 0)).astype(np.int64)
+
+
 def clean(labels: np.ndarray, least: int) -> np.ndarray:
     """Small labels dropped, holes of each label filled in ascending order, labels numbered anew, small ones dropped again."""
-    def renumber(a: np.ndarray) -> np.ndarray:
-        names, at = np.unique(a, return_inverse=True)
-        return (at.reshape(a.shape) + int(names[0] != 0)).astype(np.int64)
 
     def without_small(a: np.ndarray) -> np.ndarray:
         names, n = np.unique(a, return_counts=True)
         return renumber(np.where(np.isin(a, names[(n < least) & (names > 0)]), 0, a)) if least > 0 else a
 
-    out = without_small(labels)
-    for k in np.unique(out[out > 0]):
-        out[fill_holes(out == k)] = k
+    out = without_small(labels).copy()
+    for k, box in zip(*boxes(out), strict=True):
+        part = out[box]
+        part[fill_holes(part == k)] = k
     return without_small(out)
 
 
+def _moved(mask: np.ndarray, near: Sequence[tuple[int, int]]) -> list[np.ndarray]:
+    p = np.pad(mask, 1)
+    return [p[1 + dy : 1 + dy + mask.shape[0], 1 + dx : 1 + dx + mask.shape[1]] for dy, dx in [(0, 0), *near]]
+
+
+def opened(mask: np.ndarray, steps: int) -> np.ndarray:
+    """The mask eroded, then dilated so many steps by four-neighbours; what is outside the image is background."""
+    for _ in range(steps):
+        mask = np.logical_and.reduce(_moved(mask, FOUR))
+    for _ in range(steps):
+        mask = np.logical_or.reduce(_moved(mask, FOUR))
+    return mask
+
+
+def closed(mask: np.ndarray, radius: int) -> np.ndarray:
+    """The mask dilated, then eroded, by a disk, as if nothing ended at the edge of the image."""
+    if not radius or not mask.any():
+        return mask
+    inner = tuple(slice(2 * radius, 2 * radius + n) for n in mask.shape)
+    return (distance(distance(~np.pad(mask, 2 * radius)) <= radius) > radius)[inner]
+
+
+def clean_object(mask: np.ndarray, radius: int = 1) -> np.ndarray:
+    """One object: gaps closed, holes filled, then the largest of its eight-neighbour components (the first of equal ones)."""
+    parts = components(fill_holes(closed(mask, radius)))
+    sizes = np.bincount(parts.ravel())[1:]
+    return parts == 1 + int(sizes.argmax()) if len(sizes) else mask
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """The assignment of rows to columns of the smallest total cost, by shortest augmenting paths with potentials."""
     flip = cost.shape[0] > cost.shape[1]
@@ -119,64 +176,108 @@ def iou_matrix(gt: np.ndarray, pr: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """The labels of both maps and the IoU of each pair."""
     g, p = np.unique(gt[gt > 0]), np.unique(pr[pr > 0])
     both = (gt > 0) & (pr > 0)
-    n = np.zeros((len(g), len(p)), np.int64)
-    np.add.at(n, (np.searchsorted(g, gt[both]), np.searchsorted(p, pr[both])), 1)
-    ga, pa = np.array([(gt == k).sum() for k in g], np.int64), np.array([(pr == k).sum() for k in p], np.int64)
-    union = ga[:, None] + pa[None, :] - n
-    return g, p, n / np.maximum(union, 1)
+    at = np.searchsorted(g, gt[both]) * len(p) + np.searchsorted(p, pr[both])
+    n = np.bincount(at, minlength=len(g) * len(p)).reshape(len(g), len(p))
+    ga, pa = (np.bincount(np.searchsorted(names, v[v > 0]), minlength=len(names)) for names, v in ((g, gt), (p, pr)))
+    return g, p, n / np.maximum(ga[:, None] + pa[None, :] - n, 1)
+
+
+def best_pairs(gt: np.ndarray, pr: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """Which of the pairs (gt, pr) of positive worth are in an assignment of the largest total worth.
+
+    Pairs fall into components that share no label, each assigned on its own; one of a single pair needs no assignment.
+    """
+    g, i = np.unique(gt, return_inverse=True)
+    p, j = np.unique(pr, return_inverse=True)
+    root = _roots(len(g) + len(p), i.ravel(), j.ravel() + len(g))[i.ravel()]
+    taken, order = np.zeros(len(gt), bool), np.argsort(root, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(root[order])) + 1) if len(order) else []:
+        if len(part) == 1:
+            taken[part] = True
+            continue
+        a, r = np.unique(gt[part], return_inverse=True)
+        b, c = np.unique(pr[part], return_inverse=True)
+        cost, at = np.zeros((len(a), len(b))), np.full((len(a), len(b)), -1)
+        cost[r.ravel(), c.ravel()], at[r.ravel(), c.ravel()] = -worth[part], part
+        chosen = np.array([at[x] for x in assign(cost)])
+        taken[chosen[chosen >= 0]] = True
+    return taken
+
+
+def matching_scores(gt: np.ndarray, pr: np.ndarray, n: np.ndarray, iou: np.ndarray, fewest: int, threshold: float = 0.5) -> tuple[int, float, int]:
+    """(tp, iou_sum, overlap) of the overlapping pairs of an image, ``fewest`` being the smaller number of labels.
+
+    tp and iou_sum: of an assignment that first maximises how many pairs reach the threshold, then the sum of IoU.
+    overlap: pixels shared by the pairs of an assignment that maximises the sum of IoU alone.
+    """
+    first = best_pairs(gt, pr, (iou >= threshold) + iou / (2 * max(fewest, 1)))
+    return int((iou[first] >= threshold).sum()), float(iou[first].sum()), int(n[best_pairs(gt, pr, iou)].sum())
 
 
 def optimal_matching(gt: np.ndarray, pr: np.ndarray, threshold: float = 0.5) -> dict[str, float]:
-    """Matches of an assignment that first maximises how many reach the threshold, then the sum of IoU; and the fused AJI."""
+    """``matching_scores`` of two maps, with the shared pixels as a share of both foregrounds together."""
     g, p, iou = iou_matrix(gt, pr)
-    union = int(((gt > 0) | (pr > 0)).sum())
-    if not len(g) or not len(p):
-        return {"tp": 0, "iou_sum": 0.0, "aji_fused": 0.0 if union else 1.0}
-    pairs = assign(-((iou >= threshold) + iou / (2 * min(iou.shape))))
-    overlap = sum(int(((gt == g[i]) & (pr == p[j])).sum()) for i, j in assign(-iou) if iou[i, j] > 0)
-    return {"tp": sum(int(iou[i, j] >= threshold) for i, j in pairs), "iou_sum": float(sum(iou[i, j] for i, j in pairs)), "aji_fused": overlap / union}
+    i, j = np.nonzero(iou)
+    both, union = (gt > 0) & (pr > 0), int(((gt > 0) | (pr > 0)).sum())
+    _, n = np.unique(np.stack([gt[both], pr[both]], 1), axis=0, return_counts=True)  # in the order of the pairs (i, j)
+    tp, total, overlap = matching_scores(g[i], p[j], n, iou[i, j], min(len(g), len(p)), threshold)
+    return {"tp": tp, "iou_sum": total, "aji_fused": overlap / union if union else 1.0}
 
 
 def distance(mask: np.ndarray) -> np.ndarray:
-    """Euclidean distance of each mask pixel to the nearest pixel outside it; infinite if there is none."""
-    zero = np.argwhere(~mask)
-    out = np.zeros(mask.shape)
-    if not len(zero):
-        out[mask] = np.inf
-        return out
-    for y, x in np.argwhere(mask):
-        out[y, x] = np.sqrt(((zero - (y, x)) ** 2).sum(1).min())
-    return out
+    """Euclidean distance of each mask pixel to the nearest pixel outside it; infinite if there is none.
+
+    Distances along columns come from running maxima and minima of rows; then columns are tried from near to far, until
+    no distance can become smaller.
+    """
+    if mask.all():
+        return np.where(mask, np.inf, 0.0)
+    h, w = mask.shape
+    rows = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(mask, -np.inf, rows), axis=0)
+    below = np.minimum.accumulate(np.where(mask, np.inf, rows)[::-1], axis=0)[::-1]
+    column = np.minimum(rows - above, below - rows) ** 2
+    out = column.copy()
+    for k in range(1, w):
+        if k * k >= out.max():
+            break
+        np.minimum(out[:, k:], column[:, :-k] + k * k, out=out[:, k:])
+        np.minimum(out[:, :-k], column[:, k:] + k * k, out=out[:, :-k])
+    return np.sqrt(out)
 
 
 def peaks(values: np.ndarray, apart: int) -> list[tuple[int, int]]:
     """Local maxima above zero, highest first, none within ``apart`` rows and columns of a higher one."""
-    found: list[tuple[int, int]] = []
-    for k in np.argsort(-values.ravel(), kind="stable"):
-        y, x = divmod(int(k), values.shape[1])
-        if values[y, x] <= 0:
-            break
-        near = values[max(0, y - apart) : y + apart + 1, max(0, x - apart) : x + apart + 1]
-        if values[y, x] >= near.max() and all(max(abs(y - a), abs(x - b)) > apart for a, b in found):
-            found.append((y, x))
+    top = values
+    for axis in (0, 1):
+        pads = [(0, 0), (0, 0)]
+        pads[axis] = (apart, apart)
+        top = np.lib.stride_tricks.sliding_window_view(np.pad(top, pads, constant_values=-np.inf), 2 * apart + 1, axis).max(-1)
+    y, x = np.nonzero((values > 0) & (values >= top))
+    taken, found = np.zeros(values.shape, bool), []
+    for k in np.argsort(-values[y, x], kind="stable").tolist():
+        if not taken[y[k], x[k]]:
+            found.append((int(y[k]), int(x[k])))
+            taken[max(0, y[k] - apart) : y[k] + apart + 1, max(0, x[k] - apart) : x[k] + apart + 1] = True
     return found
 
 
 def watershed(height: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Floods from the markers within the mask in the order of height, then of arrival."""
-    out, n = np.where(mask, markers, 0), 0
-    heap = [(height[y, x], k, int(y), int(x)) for k, (y, x) in enumerate(np.argwhere(out > 0))]
+    """Floods from the markers within the mask in the order of height, then of arrival; each pixel is queued once."""
+    w = mask.shape[1] + 2
+    level = np.pad(height.astype(float), 1).ravel().tolist()
+    out = np.pad(np.where(mask, markers, -1), 1, constant_values=-1).ravel().tolist()  # -1: not to be flooded
+    heap = [(level[i], k, i) for k, i in enumerate(np.flatnonzero(np.pad(np.where(mask, markers, 0), 1).ravel() > 0).tolist())]
     heapq.heapify(heap)
-    n = len(heap)
+    n, pop, push = len(heap), heapq.heappop, heapq.heappush
     while heap:
-        _, _, y, x = heapq.heappop(heap)
-        for dy, dx in FOUR:
-            a, b = y + dy, x + dx
-            if 0 <= a < out.shape[0] and 0 <= b < out.shape[1] and mask[a, b] and not out[a, b]:
-                out[a, b] = out[y, x]
-                heapq.heappush(heap, (height[a, b], n, a, b))
+        _, _, i = pop(heap)
+        for j in (i - w, i - 1, i + 1, i + w):
+            if out[j] == 0:
+                out[j] = out[i]
+                push(heap, (level[j], n, j))
                 n += 1
-    return out
+    return np.maximum(np.array(out).reshape(-1, w)[1:-1, 1:-1], 0)
 
 
 def classical(values: np.ndarray, apart: int = 1) -> np.ndarray:
@@ -198,68 +299,118 @@ def classical(values: np.ndarray, apart: int = 1) -> np.ndarray:
     return watershed(-deep, markers, mask)
 
 
-def centre(mask: np.ndarray) -> tuple[int, int]:
-    """The mask pixel nearest to the mean of all."""
-    at = np.argwhere(mask)
-    return tuple(int(v) for v in at[((at - at.mean(0)) ** 2).sum(1).argmin()])
+def centres(labels: np.ndarray) -> np.ndarray:
+    """Of each label, ascending, the flat place of its pixel nearest to the mean of all, the first in reading order of equal ones."""
+    at = np.flatnonzero(labels > 0)
+    _, which, n = np.unique(labels.ravel()[at], return_inverse=True, return_counts=True)
+    which = which.ravel()
+    far = np.zeros(len(at))
+    for c in np.unravel_index(at, labels.shape):
+        far += (c - (np.bincount(which, c) / n)[which]) ** 2
+    order = np.lexsort((at, far.round(9), which))
+    return at[order[np.concatenate(([0], np.cumsum(n)[:-1]))]] if len(n) else at
 
 
 def to_flows(labels: np.ndarray) -> np.ndarray:
-    """Unit vectors (dy, dx) towards each label's centre, along the gradient of heat that spreads from there within the label."""
-    flows = np.zeros((2, *labels.shape))
-    for k in np.unique(labels[labels > 0]):
-        ys, xs = np.nonzero(labels == k)
-        lo = np.array([ys.min(), xs.min()]) - 1
-        inside = np.pad((labels == k)[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1], 1)
-        cy, cx = np.array(centre(labels == k)) - lo
-        heat = np.zeros(inside.shape)
-        for _ in range(2 * sum(inside.shape)):
-            heat[cy, cx] += 1
-            padded = np.pad(heat, 1)
-            heat = np.where(inside, sum(padded[1 + dy : 1 + dy + heat.shape[0], 1 + dx : 1 + dx + heat.shape[1]] for dy, dx in [(0, 0), *EIGHT]) / 9, 0)
-        logs = np.pad(np.log1p(heat), 1)
-        dy, dx = logs[2:, 1:-1] - logs[:-2, 1:-1], logs[1:-1, 2:] - logs[1:-1, :-2]
-        size = np.sqrt(dy * dy + dx * dx) + 1e-60
-        flows[0, ys, xs], flows[1, ys, xs] = (dy / size)[ys - lo[0], xs - lo[1]], (dx / size)[ys - lo[0], xs - lo[1]]
+    """Unit vectors, an array for each axis, towards each label's centre, along the gradient of heat that spreads from there
+    within the label; for planes and volumes. All labels spread at once, each as many rounds as its box is wide."""
+    dims = labels.ndim
+    steps = [(0, 0), *EIGHT] if dims == 2 else [(0,) * dims, *[tuple(int(k == a) * d for k in range(dims)) for a in range(dims) for d in (-1, 1)]]
+    wide = np.pad(labels, 1)
+    at = np.flatnonzero(wide.ravel() > 0)
+    flows = np.zeros((dims, *labels.shape))
+    if not len(at):
+        return flows
+    names, where = boxes(wide)
+    which = np.searchsorted(names, wide.ravel()[at])
+    rounds = np.array([2 * sum(x.stop - x.start + 2 for x in box) for box in where])[which]
+    order = np.argsort(-rounds, kind="stable")  # what still spreads is a beginning of the list
+    at, which, rounds = at[order], which[order], rounds[order]
+    place = np.full(wide.size, len(at))
+    place[at] = np.arange(len(at))
+    shift = lambda step: int(np.dot(step, [int(np.prod(wide.shape[k + 1 :])) for k in range(dims)]))
+    own = wide.ravel()[at]
+    near = [np.where(wide.ravel()[at + shift(s)] == own, place[at + shift(s)], len(at)) for s in steps]
+    sources = np.sort(place[centres(wide)])
+    heat = np.zeros(len(at) + 1)
+    for k in range(int(rounds[0])):
+        m = int(np.searchsorted(-rounds, -k, "left"))
+        heat[sources[: np.searchsorted(sources, m)]] += 1
+        heat[:m] = sum(heat[x[:m]] for x in near) / len(steps)
+    logs = np.log1p(heat)
+    slope = []
+    for axis in range(dims):
+        up, down = (shift([int(k == axis) * d for k in range(dims)]) for d in (1, -1))
+        a, b = (np.where(wide.ravel()[at + d] == own, place[at + d], len(at)) for d in (up, down))
+        slope.append(logs[a] - logs[b])
+    size = np.sqrt(sum(v * v for v in slope)) + 1e-60
+    inner = tuple(c - 1 for c in np.unravel_index(at, wide.shape))
+    for axis, v in enumerate(slope):
+        flows[axis][inner] = v / size
     return flows
 
 
 def follow(flows: np.ndarray, mask: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Where the mask's pixels (in reading order) are after steps along the flow, interpolated and kept inside."""
+    """Where the mask's pixels (in reading order) are after steps along the flow, interpolated and kept inside; in any number of dimensions."""
     at = np.argwhere(mask).astype(float)
     top = np.array(mask.shape) - 1.0
+    last = np.maximum(top.astype(int) - 1, 0)
     for _ in range(steps):
-        lo = np.clip(np.floor(at).astype(int), 0, np.maximum(top.astype(int) - 1, 0))
+        lo = np.clip(np.floor(at).astype(int), 0, last)
         hi = np.minimum(lo + 1, top.astype(int))
-        fy, fx = (at - lo).T
-        step = [f[lo[:, 0], lo[:, 1]] * (1 - fy) * (1 - fx) + f[hi[:, 0], lo[:, 1]] * fy * (1 - fx) + f[lo[:, 0], hi[:, 1]] * (1 - fy) * fx + f[hi[:, 0], hi[:, 1]] * fy * fx for f in flows]
-        at = np.clip(at + np.stack(step, 1), 0, top)
+        part = at - lo
+        move = np.zeros_like(at)
+        for corner in product((0, 1), repeat=mask.ndim):
+            weight = np.prod([part[:, k] if c else 1 - part[:, k] for k, c in enumerate(corner)], axis=0)
+            place = tuple(hi[:, k] if c else lo[:, k] for k, c in enumerate(corner))
+            move += weight[:, None] * np.stack([f[place] for f in flows], 1)
+        at = np.clip(at + move, 0, top)
     return at
 
 
+#: How ends of flows become labels (fixed values): margin of the histogram, reach of a peak, steps and reach that a seed grows.
+MARGIN, PEAK, GROWTH = 20, 2, 5
+
+
+def _reach(a: np.ndarray, n: int) -> np.ndarray:
+    """Maxima within n places along every axis, one axis after the other."""
+    for axis in range(a.ndim):
+        pads = [(n * (k == axis),) * 2 for k in range(a.ndim)]
+        a = np.lib.stride_tricks.sliding_window_view(np.pad(a, pads), 2 * n + 1, axis).max(-1)
+    return a
+
+
+def _grown(part: np.ndarray) -> np.ndarray:
+    """A mask and what touches it, corners included."""
+    for axis in range(part.ndim):
+        wide = part.copy()
+        low, high = ((slice(None),) * axis + (x,) for x in (slice(1, None), slice(None, -1)))
+        wide[low] |= part[high]
+        wide[high] |= part[low]
+        part = wide
+    return part
+
+
 def gather(ends: np.ndarray, mask: np.ndarray, seed_count: int = 10, grow_count: int = 2, most: float = 0.4) -> np.ndarray:
-    """Labels of the mask's pixels by where they end: peaks of the histogram of ends seed regions, which grow five steps."""
-    h = np.zeros(tuple(np.array(mask.shape) + 40), np.int64)
-    at = np.floor(ends).astype(int) + 20
-    np.add.at(h, tuple(at.T), 1)
-    wide = np.pad(h, 2)
-    top = np.max([wide[2 + dy : 2 + dy + h.shape[0], 2 + dx : 2 + dx + h.shape[1]] for dy in range(-2, 3) for dx in range(-2, 3)], 0)
-    seeds = np.argwhere((h >= top) & (h > seed_count))
+    """Labels of the mask's pixels by where they end: peaks of the histogram of ends seed regions, which grow some steps."""
+    h = np.zeros(tuple(np.array(mask.shape) + 2 * MARGIN), np.int64)
+    at = tuple((np.floor(ends).astype(int) + MARGIN).T)
+    np.add.at(h, at, 1)
+    seeds = np.argwhere((h >= _reach(h, PEAK)) & (h > seed_count))
     region = np.zeros(h.shape, np.int64)
-    for k, (y, x) in enumerate(seeds[np.argsort(h[tuple(seeds.T)], kind="stable")], 1):
-        part = np.zeros((11, 11), bool)
-        part[5, 5] = True
-        near = h[y - 5 : y + 6, x - 5 : x + 6] > grow_count
-        for _ in range(5):
-            p = np.pad(part, 1)
-            part = np.any([p[1 + dy : 12 + dy, 1 + dx : 12 + dx] for dy, dx in [(0, 0), *EIGHT]], 0) & near
-        region[y - 5 : y + 6, x - 5 : x + 6][part] = k
+    for k, seed in enumerate(seeds[np.argsort(h[tuple(seeds.T)], kind="stable")].tolist(), 1):
+        box = tuple(slice(c - GROWTH, c + GROWTH + 1) for c in seed)
+        part = np.zeros((2 * GROWTH + 1,) * mask.ndim, bool)
+        part[(GROWTH,) * mask.ndim] = True
+        near = h[box] > grow_count
+        for _ in range(GROWTH):
+            part = _grown(part) & near
+        region[box][part] = k
     out = np.zeros(mask.shape, np.int64)
-    out[mask] = region[tuple(at.T)]
+    out[mask] = region[at]
     names, n = np.unique(out, return_counts=True)
     out[np.isin(out, names[(n > most * mask.size) & (names > 0)])] = 0
-    names, at = np.unique(out, return_inverse=True)
-    return at.reshape(out.shape) + int(len(names) > 0 and names[0] != 0)
+    return renumber(out)
 
 
 def stitch(planes: Sequence[np.ndarray], threshold: float = 0.25) -> list[np.ndarray]:
@@ -269,28 +420,34 @@ def stitch(planes: Sequence[np.ndarray], threshold: float = 0.25) -> list[np.nda
     for plane in planes[1:]:
         names, before, iou = iou_matrix(plane, out[-1])
         iou = np.where((iou >= threshold) & (iou >= iou.max(0, initial=0)), iou, 0)
-        new = np.zeros_like(plane)
-        for i, k in enumerate(names):
-            if len(before) and iou[i].max() > 0:
-                new[plane == k] = before[iou[i].argmax()]
-            else:
-                top += 1
-                new[plane == k] = top
-        out.append(new)
+        carried = iou.max(1, initial=0) > 0
+        new = np.zeros(len(names) + 1, np.int64)
+        new[1:][carried] = before[iou[carried].argmax(1)] if len(before) else 0
+        new[1:][~carried] = top + 1 + np.arange((~carried).sum())
+        top += int((~carried).sum())
+        out.append(new[np.where(plane > 0, np.searchsorted(names, plane) + 1, 0)])
     return out
 
 
 def rasterise(polygons: Sequence[Sequence[tuple[float, float]]], height: int, width: int, last: bool = False) -> np.ndarray:
-    """Labels 1 to N of the pixels whose centres lie in polygons of (x, y) points, by crossings; the first or the last polygon wins."""
+    """Labels 1 to N of the pixels whose centres lie in polygons of (x, y) points, by crossings; the first or the last polygon wins.
+
+    Each polygon is tried on the pixels of its own box.
+    """
     out = np.zeros((height, width), np.int64)
-    y, x = np.indices((height, width))
     for k, points in enumerate(polygons, 1):
-        inside = np.zeros((height, width), bool)
-        for (x0, y0), (x1, y1) in zip(points, [*points[1:], points[0]], strict=True):
-            if y0 != y1:
-                crosses = (y0 > y) != (y1 > y)
-                inside ^= crosses & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
-        out[inside & ((out == 0) | last)] = k
+        xs, ys = np.array(points, float).reshape(-1, 2).T
+        if not len(xs):
+            continue
+        y0, y1 = int(np.clip(np.floor(ys.min()), 0, height)), int(np.clip(np.ceil(ys.max()) + 1, 0, height))
+        x0, x1 = int(np.clip(np.floor(xs.min()), 0, width)), int(np.clip(np.ceil(xs.max()) + 1, 0, width))
+        y, x = np.arange(y0, y1)[:, None], np.arange(x0, x1)[None, :]
+        inside = np.zeros((y1 - y0, x1 - x0), bool)
+        for xa, ya, xb, yb in zip(xs, ys, np.roll(xs, -1), np.roll(ys, -1), strict=True):
+            if ya != yb:
+                inside ^= ((ya > y) != (yb > y)) & (x < (xb - xa) * (y - ya) / (yb - ya) + xa)
+        part = out[y0:y1, x0:x1]
+        part[inside & ((part == 0) | last)] = k
     return out
 
 
@@ -324,13 +481,64 @@ def shape_statistics(mask: np.ndarray) -> dict[str, float]:
 
 def without_covered(masks: Sequence[np.ndarray], threshold: float = 0.75) -> np.ndarray:
     """Overlapping masks made one map: small to large, those covered to the threshold by the rest go; shared pixels to the nearest centre."""
-    live = list(range(len(masks)))
-    for k in sorted(live, key=lambda i: (masks[i].sum(), i)):
-        rest = np.any([masks[i] for i in live if i != k], 0) if len(live) > 1 else np.zeros_like(masks[k])
-        if masks[k].sum() and (masks[k] & rest).sum() / masks[k].sum() >= threshold:
-            live.remove(k)
-    middle = {k: np.median(np.argwhere(masks[k]), axis=0) for k in live if masks[k].any()}
-    out = np.zeros(masks[0].shape, np.int64)
-    for y, x in np.argwhere(np.any([masks[k] for k in live], 0)):
-        out[y, x] = 1 + min((k for k in live if masks[k][y, x]), key=lambda k: (((middle[k] - (y, x)) ** 2).sum(), k))
-    return out
+    shape = masks[0].shape
+    places = [np.flatnonzero(m) for m in masks]
+    cover = np.bincount(np.concatenate(places), minlength=masks[0].size)  # masks that hold a pixel
+    live = []
+    for k in sorted(range(len(masks)), key=lambda i: (len(places[i]), i)):
+        own = places[k]
+        if len(own) and (cover[own] > 1).mean() >= threshold:
+            cover[own] -= 1
+        elif len(own):
+            live.append(k)
+    if not live:
+        return np.zeros(shape, np.int64)
+    at, which = np.concatenate([places[k] for k in live]), np.repeat(live, [len(places[k]) for k in live])
+    yx = {k: np.stack(np.divmod(places[k], shape[1])) for k in live}
+    far = np.concatenate([((yx[k] - np.median(yx[k], axis=1, keepdims=True)) ** 2).sum(0) for k in live])
+    order = np.lexsort((which, far, at))
+    pixel, first = np.unique(at[order], return_index=True)
+    out = np.zeros(masks[0].size, np.int64)
+    out[pixel] = 1 + which[order][first]
+    return out.reshape(shape)
+
+
+def outline(mask: np.ndarray) -> np.ndarray:
+    """The points (x, y) along the outer border of a mask's largest eight-neighbour component, in order, clockwise from its first pixel.
+
+    Neighbours are tried clockwise from the one after where the walk came from, until it leaves the first pixel as it did first.
+    """
+    parts = components(mask)
+    if not parts.any():
+        return np.zeros((0, 2), np.int64)
+    p = np.pad(parts == 1 + int(np.bincount(parts.ravel())[1:].argmax()), 1)
+    y, x = (int(v) for v in np.argwhere(p)[0])
+    around = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]  # clockwise from the left
+    start, points, came = (y, x), [(x - 1, y - 1)], 0
+    first = None
+    while True:
+        for turn in range(1, 9):
+            k = (came + turn) % 8
+            if p[y + around[k][0], x + around[k][1]]:
+                break
+        else:
+            break  # a single pixel
+        if (y, x) == start and first == k:
+            break
+        first = k if first is None else first
+        y, x = y + around[k][0], x + around[k][1]
+        came = (k + 4) % 8
+        points.append((x - 1, y - 1))
+    return np.array(points[:-1] if len(points) > 1 else points)
+
+
+def band_passed(values: np.ndarray, smooth: float = 0.0, sharpen: float = 0.0) -> np.ndarray:
+    """An image smoothed by a Gaussian of one radius, less itself smoothed by another; edges go over to the other side."""
+    far = sum(g.astype(float) ** 2 for g in np.meshgrid(*[np.minimum(np.arange(n), n - np.arange(n)) for n in values.shape], indexing="ij"))
+
+    def blur(radius: float) -> np.ndarray:
+        weights = np.exp(-far / (2 * radius * radius))
+        return np.fft.fftn(weights / weights.sum())
+
+    weight = blur(smooth) if smooth > 0 else np.ones(values.shape)
+    return np.real(np.fft.ifftn(np.fft.fftn(values) * (weight - blur(sharpen) if sharpen > 0 else weight)))

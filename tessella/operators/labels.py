@@ -205,3 +205,43 @@ def erode(labels: DataFrame, label: str, img: Sequence[str] = ("img",)) -> DataF
     near = [f(label, 1).over(w) for w in (row, column) for f in (F.lag, F.lead)]
     same = [F.coalesce(n == F.col(label), F.lit(False)) for n in near]
     return labels.withColumn("inner", (F.col(label) > 0) & same[0] & same[1] & same[2] & same[3])
+
+
+def opening(labels: DataFrame, label: str, steps: int, height: int, width: int, wanted: int = 1, background: int = 2, img: Sequence[str] = ("img",)) -> DataFrame:
+    """The map with one label opened by a cross, step by step, and everything else background.
+
+    A step is one grouped count: a pixel stays if it and its four neighbours vote for it, and grows where any does.
+    What is outside the image is background.
+    """
+    cross = [(0, 0), (-1, 0), (0, -1), (0, 1), (1, 0)]
+    spread = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in cross]))
+    at = labels.where(F.col(label) == wanted).select(*img, "y", "x")
+    for least in [5] * steps + [1] * steps:
+        moved = at.withColumn("s", spread).select(*img, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
+        at = moved.where(f"y between 0 and {height - 1} and x between 0 and {width - 1}").groupBy(*img, "y", "x").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    kept = labels.join(at.withColumn("kept", F.lit(True)), [*img, "y", "x"], "left")
+    return kept.withColumn(label, F.when(F.col("kept"), wanted).otherwise(background)).drop("kept")
+
+
+def shrunk(faces: DataFrame, label: str, along: str, keys: Sequence[str]) -> Column:
+    """The label along a line of a block's face, 0 where it changes (by the slope over both neighbours) or next to that."""
+    w = Window.partitionBy(*keys).orderBy(along)
+    before, after = (F.coalesce(f(label, 1).over(w), F.col(label)) for f in (F.lag, F.lead))
+    return F.when(before == after, F.col(label)).otherwise(0)
+
+
+def shrunk_faces(rows: DataFrame, size: int, img: Sequence[str] = ("img",)) -> DataFrame:
+    """Pairs of global ids (a, b) across faces of blocks, as ``block_faces``, of labels shrunk by a pixel along the face first."""
+    at = rows.withColumns({"by": F.floor(F.col("y") / size), "bx": F.floor(F.col("x") / size)})
+    found = []
+    for across, along, face, other in (("x", "y", F.col("x") % size, "by"), ("y", "x", F.col("y") % size, "bx")):
+        lines = at.where((face == size - 1) | (face == 0))
+        keys = [*img, across, other]
+        flat = lines.withColumn("flat", shrunk(lines, "id", along, keys))
+        w = Window.partitionBy(*keys).orderBy(along)
+        inner = (F.coalesce(F.lag("flat", 1).over(w), F.col("flat")) != 0) & (F.coalesce(F.lead("flat", 1).over(w), F.col("flat")) != 0)
+        kept = flat.withColumn("inner", inner).where("inner and flat <> 0")
+        left = kept.where(F.col(across) % size == size - 1).select(*img, (F.col(across) + 1).alias(across), along, F.col("id").alias("a"))
+        right = kept.where(F.col(across) % size == 0).select(*img, across, along, F.col("id").alias("b"))
+        found.append(left.join(right, [*img, across, along]).select(*img, "a", "b"))
+    return found[0].unionByName(found[1]).distinct()

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.kernels import best_pairs, matching_scores
 from tessella.operators.labels import iou_pairs, with_areas
 
 #: The ten thresholds as they come out of floating-point steps of 0.05 (fixed values): 0.75 is not one of them.
@@ -37,19 +40,52 @@ def counts(table: DataFrame, img: Sequence[str] = ("img",)) -> DataFrame:
 
 
 def matched(pairs: DataFrame, thresholds: Sequence[float], img: Sequence[str] = ("img",)) -> DataFrame:
-    """(img, t, gt, pr, iou) of a largest matching at IoU >= t, for t of at least a half.
+    """(img, t, gt, pr, iou) of a largest matching at IoU >= t, of the largest sum of IoU among those of equal size.
 
-    Two predictions can both reach a half with one label only if both equal it, so candidates form stars: the best
-    prediction of each label, then the best label of each prediction, is a largest matching. The pairs are few; they
-    are repeated by threshold and ranked by two windows.
+    From a half on two predictions can both reach it with one label only if both equal it, so candidates form stars: the
+    best prediction of each label, then the best label of each prediction, is a largest matching. The pairs are few;
+    they are repeated by threshold and ranked by two windows. Below a half, pairs that have neither label in common with
+    another are taken as they are, and only the rest of an image's candidates goes to an assignment.
     """
+    at = pairs.where(F.col("iou") >= min(thresholds)).select(*img, "gt", "pr", "iou", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("t")).where("iou >= t")
+    by_gt, by_pr = Window.partitionBy(*img, "t", "gt"), Window.partitionBy(*img, "t", "pr")
+    found = []
+    if max(thresholds) >= 0.5:
+        first = at.where("t >= 0.5").withColumn("k", F.row_number().over(by_gt.orderBy(F.desc("iou"), "pr"))).where("k = 1")
+        found.append(first.withColumn("k", F.row_number().over(by_pr.orderBy(F.desc("iou"), "gt"))).where("k = 1"))
     if min(thresholds) < 0.5:
-        raise ValueError("below a half a true assignment is needed")
-    at = pairs.where(F.col("iou") >= min(thresholds)).withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).where("iou >= t")
-    by_gt = Window.partitionBy(*img, "t", "gt").orderBy(F.desc("iou"), "pr")
-    by_pr = Window.partitionBy(*img, "t", "pr").orderBy(F.desc("iou"), "gt")
-    first = at.withColumn("k", F.row_number().over(by_gt)).where("k = 1")
-    return first.withColumn("k", F.row_number().over(by_pr)).where("k = 1").select(*img, "t", "gt", "pr", "iou")
+        low = at.where("t < 0.5").withColumns({"g": F.count("*").over(by_gt), "p": F.count("*").over(by_pr)}).withColumn("alone", (F.col("g") == 1) & (F.col("p") == 1))
+        found += [low.where("alone"), _assigned(low.where("not alone").select(*img, "t", "gt", "pr", "iou"), img)]
+    out = [f.select(*img, "t", "gt", "pr", "iou") for f in found]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _assigned(candidates: DataFrame, img: Sequence[str]) -> DataFrame:
+    """The candidates of an assignment for each image and threshold; a group is what competes in one image."""
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        iou = rows["iou"].to_numpy()
+        return rows[best_pairs(rows["gt"].to_numpy(), rows["pr"].to_numpy(), 1 + iou / (2 * len(rows)))]
+
+    return candidates.groupBy(*img, "t").applyInPandas(choose, candidates.schema)
+
+
+def optimal(table: DataFrame, threshold: float = 0.5, img: Sequence[str] = ("img",)) -> DataFrame:
+    """tp, iou_sum and aji_fused of every image, by assignments over its overlapping pairs, those below the threshold included.
+
+    Pixels are counted before the shuffle; a group is the pairs of labels that overlap in one image.
+    """
+    areas = table.groupBy(*img).agg(F.coalesce(F.sum(F.when(F.expr("gt > 0 or pr > 0"), F.col("n"))), F.lit(0)).alias("together"))
+    pairs = iou_pairs(table, img).join(counts(table, img), list(img)).select(*img, "gt", "pr", "n", "iou", F.least("n_gt", "n_pr").alias("fewest"))
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema}
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        found = matching_scores(*(rows[c].to_numpy() for c in ("gt", "pr", "n", "iou")), int(rows["fewest"].iloc[0]), threshold)
+        return pd.DataFrame([{**{k: rows[k].iloc[0] for k in img}, **dict(zip(("tp", "iou_sum", "overlap"), found, strict=True))}])
+
+    scored = pairs.groupBy(*img).applyInPandas(score, ", ".join(f"`{k}` {kinds[k]}" for k in img) + ", tp long, iou_sum double, overlap long")
+    rows = areas.join(scored, list(img), "left").fillna(0, ["tp", "overlap"]).fillna(0.0, ["iou_sum"])
+    return rows.select(*img, "tp", "iou_sum", ratio(F.col("overlap"), F.col("together"), 1.0).alias("aji_fused"))
 
 
 def detection(table: DataFrame, thresholds: Sequence[float], img: Sequence[str] = ("img",)) -> DataFrame:

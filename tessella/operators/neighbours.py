@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,8 +71,8 @@ def nearest_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, label: np.nda
     return i[keep], cid[j[keep]], label[j[keep]], d[keep]
 
 
-def nearest_labels(vectors: DataFrame, k: int = 5, row_id: str = "vec_id", label: str = "label", vector: str = "embedding", rows: int = ROWS) -> DataFrame:
-    """(vec_id, predicted) of every vector: the label that most of its k nearest other vectors have."""
+def _found(vectors: DataFrame, k: int, row_id: str, label: str, vector: str, rows: int) -> DataFrame:
+    """(row, query_id, id, label, d, k): the k nearest labelled rows of every row."""
     v = F.col(vector)
     sound = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))), F.lit(False))
     used = vectors.where(sound & F.col(row_id).isNotNull())
@@ -113,7 +115,31 @@ def nearest_labels(vectors: DataFrame, k: int = 5, row_id: str = "vec_id", label
             yield best
 
     near = pairs.mapInPandas(run, "row long, query_id long, id long, label long, d double")
-    chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("d", "id", "label"))).where(F.col("k") <= k)
+    return near.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("d", "id", "label"))).where(F.col("k") <= k)
+
+
+def nearest(vectors: DataFrame, k: int = 5, row_id: str = "vec_id", label: str = "label", vector: str = "embedding", rows: int = ROWS) -> DataFrame:
+    """(vec_id, k, id, d): the k nearest labelled others of every vector, with squared distances."""
+    return _found(vectors, k, row_id, label, vector, rows).select(F.col("query_id").alias(row_id), "k", "id", "d")
+
+
+def nearest_labels(vectors: DataFrame, k: int = 5, row_id: str = "vec_id", label: str = "label", vector: str = "embedding", rows: int = ROWS) -> DataFrame:
+    """(vec_id, predicted) of every vector: the label that most of its k nearest other vectors have."""
+    chosen = _found(vectors, k, row_id, label, vector, rows)
     votes = chosen.groupBy("row", "query_id", "label").agg(F.count("*").alias("n"))
     out = votes.groupBy("row", "query_id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("predicted"))
     return out.select(F.col("query_id").alias(row_id), F.col("predicted").cast(vectors.schema[label].dataType).alias("predicted"))
+
+
+def principal(vectors: DataFrame, count: int, row_id: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
+    """(vec_id, label, pc1, pc2, ...): vectors in the directions of largest variance of all of them.
+
+    Directions come from one covariance matrix, summed where the rows are; each points to where its largest part is
+    positive. Null or unsound vectors have no row; all others are of one length.
+    """
+    sound = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    rows = vectors.where(F.coalesce((F.size(vector) > 0) & sound, F.lit(False))).select(row_id, label, F.col(vector).cast("array<double>").alias("v"))
+    axes = PCA(k=count, inputCol="v", outputCol="place").fit(rows.select(array_to_vector("v").alias("v"))).pc.toArray()
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+    parts = [F.aggregate(F.zip_with("v", F.lit([float(x) for x in axis]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for axis in axes.T]
+    return rows.select(row_id, label, *[p.alias(f"pc{i}") for i, p in enumerate(parts, 1)])

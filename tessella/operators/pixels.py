@@ -185,3 +185,53 @@ def reduce_channels(values: Column, mode: str) -> Column:
         return F.array_max(absolute)
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x * x if mode == "l2" else F.abs(x)))
     return F.sqrt(total) if mode == "l2" else total / F.size(values)
+
+
+def neutralise(rows: DataFrame, v: str, where: Column, background: Column, empty: float = 128.0, keys: Sequence[str] = ("img",)) -> DataFrame:
+    """Pixels that hold ``where`` get the mean of the background, else of all others, else a fixed value; one grouped pass."""
+    fill = rows.groupBy(*keys).agg(F.coalesce(F.avg(F.when(background, F.col(v))), F.avg(F.when(~where, F.col(v))), F.lit(empty)).alias("fill"))
+    return rows.join(fill, list(keys)).withColumn(v, F.when(where, F.col("fill")).otherwise(F.col(v))).drop("fill")
+
+
+def normalise_tiles(rows: DataFrame, v: str, size: int, height: int, width: int, lower: float = 0.01, upper: float = 0.99, flat: float = 1e-3, keys: Sequence[str] = ("img",)) -> DataFrame:
+    """Percentile stretch by tile, with percentiles that go over from tile to tile.
+
+    Each tile of ``size`` has its own percentiles; flat tiles take those of the nearest tile of the image that is not (the
+    first of equal ones), and none if all are. At a pixel the ends of up to four tiles are mixed by its distance to their
+    middles. What is joined to pixels are tiles; ``norm`` is 0 where every tile is flat.
+    """
+    tiles_ = rows.groupBy(*keys, F.floor(F.col("y") / size).cast("int").alias("ty"), F.floor(F.col("x") / size).cast("int").alias("tx")).agg(F.percentile(v, F.array(F.lit(lower), F.lit(upper))).alias("p"))
+    tiles_ = tiles_.select(*keys, "ty", "tx", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), (F.col("p")[1] - F.col("p")[0] > flat).alias("sound"))
+    sound = tiles_.where("sound").groupBy(*keys).agg(F.collect_list(F.struct("ty", "tx", "lo", "hi")).alias("all"))  # the tiles of one image
+    far = lambda t: (t["ty"] - F.col("ty")) * (t["ty"] - F.col("ty")) + (t["tx"] - F.col("tx")) * (t["tx"] - F.col("tx"))
+    near = F.array_min(F.transform("all", lambda t: F.struct(far(t).alias("far"), t["ty"].alias("y"), t["tx"].alias("x"), t["lo"].alias("lo"), t["hi"].alias("hi"))))
+    filled = tiles_.join(sound, list(keys)).withColumn("n", near).select(*keys, "ty", "tx", "n.lo", "n.hi")
+    last = {"y": -(-height // size) - 1, "x": -(-width // size) - 1}
+
+    def parts(c: str) -> Column:
+        """The two tiles around a pixel and their weights; at the edges of the image both are one."""
+        at = (F.col(c) + 0.5) / size - 0.5
+        low, share = F.floor(at).cast("int"), at - F.floor(at)
+        held = lambda k: F.greatest(F.lit(0), F.least(F.lit(last[c]), k))
+        return F.explode(F.array(F.struct(held(low).alias("t"), (1 - share).alias("w")), F.struct(held(low + 1).alias("t"), share.alias("w"))))
+
+    spread = rows.withColumn("py", parts("y")).withColumn("px", parts("x")).withColumns({"ty": F.col("py.t"), "tx": F.col("px.t"), "w": F.col("py.w") * F.col("px.w")})
+    ends = spread.join(filled, [*keys, "ty", "tx"]).groupBy(*keys, "y", "x").agg(F.sum(F.col("w") * F.col("lo")).alias("lo"), F.sum(F.col("w") * F.col("hi")).alias("hi"))
+    return rows.join(ends, [*keys, "y", "x"], "left").withColumn("norm", F.coalesce((F.col(v) - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0))).drop("lo", "hi")
+
+
+def axes_moved(rows: DataFrame, axes: Sequence[str], source: str, last: bool = True) -> DataFrame:
+    """Rows whose coordinate ``source`` becomes the last (or first) of the axes; the others follow in their order."""
+    rest = [a for a in axes if a != source]
+    order = [*rest, source] if last else [source, *rest]
+    return rows.select(*[c for c in rows.columns if c not in axes], *[F.col(a).alias(b) for a, b in zip(order, axes, strict=True)])
+
+
+def three_channels(rows: DataFrame, channels: Column, c: str = "c", v: str = "v") -> DataFrame:
+    """Pixels (…, c, v) with exactly three channels: further ones are dropped, missing ones are 0; no channel at all is an error.
+
+    ``channels`` is the number that the image has.
+    """
+    checked = F.when(channels < 1, F.raise_error(F.lit("an image has at least one channel"))).otherwise(channels)
+    extra = F.explode(F.when(F.col(c) == 0, F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.lit(2)), lambda k: k >= checked))).otherwise(F.array(F.col(c))))
+    return rows.where(F.col(c) < 3).withColumn("_c", extra).withColumn(v, F.when(F.col("_c") == F.col(c), F.col(v)).otherwise(0.0)).withColumn(c, F.col("_c")).drop("_c")

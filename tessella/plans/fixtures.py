@@ -30,6 +30,19 @@ def lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("img", y.alias("y"), x.alias("x"), F.when(F.col("v") > 0, quadrant).otherwise(0).alias("gt"), F.when(left > 0, quadrant).otherwise(0).alias("pr"))
 
 
+#: Tiles in a row of a mosaic, and its side.
+TILES = 20
+LARGE = TILES * SIDE
+
+
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(img, y, x, gt, pr): 400 images of ``lab`` as one of 160 by 160 pixels, with up to 1,600 labels; no shuffle."""
+    at = F.col("img") % (TILES * TILES)
+    place = lambda c, k: (k.cast("int") * SIDE + F.col(c)).cast("int").alias(c)
+    named = lambda c: F.when(F.col(c) > 0, at.cast("int") * 4 + F.col(c)).otherwise(0).alias(c)
+    return lab(spark, sf_dir).select(F.floor(F.col("img") / (TILES * TILES)).alias("img"), place("y", F.floor(at / TILES)), place("x", at % TILES), named("gt"), named("pr"))
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(img, y, x, label): labels 1 to 9 in a raster of three pixels; only label 5 is off the edge."""
     cell = 1 + F.floor(F.col("y") / 3).cast("int") * 3 + F.floor(F.col("x") / 3).cast("int")
@@ -58,6 +71,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "pix": "SELECT vec_id AS img, CAST(p - 1 AS INTEGER) AS pos, CAST((p - 1) // 8 AS INTEGER) AS y, CAST((p - 1) % 8 AS INTEGER) AS x, CAST(embedding[p] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(p)",
     "lab": "SELECT img, y, x, CASE WHEN v > 0 THEN 1 + (y // 4) * 2 + x // 4 ELSE 0 END AS gt, CASE WHEN lag(v, 1, 0.0) OVER (PARTITION BY img, y ORDER BY x) > 0 THEN 1 + (y // 4) * 2 + x // 4 ELSE 0 END AS pr FROM pix",
+    "mosaic": "SELECT img // 400 AS img, CAST(img % 400 // 20 * 8 + y AS INTEGER) AS y, CAST(img % 20 * 8 + x AS INTEGER) AS x, CAST(CASE WHEN gt > 0 THEN img % 400 * 4 + gt ELSE 0 END AS INTEGER) AS gt, CAST(CASE WHEN pr > 0 THEN img % 400 * 4 + pr ELSE 0 END AS INTEGER) AS pr FROM lab",
     "grid": "SELECT img, y, x, CASE WHEN v > 0 THEN 1 + (y // 3) * 3 + x // 3 ELSE 0 END AS label FROM pix",
     "lab_big": "SELECT l_returnflag || l_linestatus AS img, CAST(l_suppkey % 11 AS INTEGER) AS gt, CAST(l_partkey % 13 AS INTEGER) AS pr FROM lineitem",
     "scores": """SELECT c_mktsegment AS dataset, r_name AS category, n_name AS sample_id, o_orderpriority AS method, round(avg(l_quantity) / 50, 9) AS br_mean_strict,
@@ -73,7 +87,7 @@ SQL = {
     "best": "SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY img, gt ORDER BY iou DESC, pr) = 1",
 }
 #: What each view is made from.
-NEEDS = {"lab": ["pix"], "grid": ["pix"], "cont": ["lab"], "area": ["cont"], "pairs": ["area"], "counts": ["cont"], "hits": ["pairs"], "det": ["counts", "hits"], "best": ["pairs"]}
+NEEDS = {"lab": ["pix"], "mosaic": ["lab"], "grid": ["pix"], "cont": ["lab"], "area": ["cont"], "pairs": ["area"], "counts": ["cont"], "hits": ["pairs"], "det": ["counts", "hits"], "best": ["pairs"]}
 
 
 def sql(views: str, body: str, recursive: bool = False, **more: str) -> str:
@@ -91,3 +105,8 @@ def sql(views: str, body: str, recursive: bool = False, **more: str) -> str:
         add(name)
     parts = [f"{n} AS ({more[n]})" for n in first] + [f"{n} AS ({SQL[n]})" for n in order] + [f"{n} AS ({q})" for n, q in more.items() if n not in first]
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body
+
+
+def on_mosaic(text: str) -> str:
+    """SQL over the view ``lab`` as SQL over the mosaic in its place."""
+    return text.replace(f"lab AS ({SQL['lab']})", f"plain AS ({SQL['lab']}),\nlab AS ({SQL['mosaic'].replace('FROM lab', 'FROM plain')})")

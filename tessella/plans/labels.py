@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators import blocks as blocks_
 from tessella.operators import boundary as b
+from tessella.operators import kernels
 from tessella.operators import labels as l
 from tessella.operators import metrics as m
-from tessella.plans.fixtures import SIDE, SQL, grid, lab, lab_big, pix, sql
+from tessella.plans.fixtures import LARGE, SIDE, SQL, grid, lab, lab_big, mosaic, on_mosaic, pix, sql
 from tessella.plans.registry import register
 
 
@@ -433,3 +436,78 @@ def largest_component(spark, d):
 def boundary_scales(spark, d):
     rows = lab(spark, d)
     return b.scales(rows, l.contingency(rows), (0.25, 0.5)).select("img", "factor", r6("precision"), r6("recall"))
+
+
+# Images of real size: the same SQL over a mosaic of 400 images, with up to 1,600 labels each.
+
+
+@register("mosaic_detection", on_mosaic(sql("det", "SELECT img, t, n_gt, n_pr, tp FROM det", ts="SELECT unnest([0.5::DOUBLE, 0.75::DOUBLE]) AS t")))
+def mosaic_detection(spark, d):
+    return m.detection(l.contingency(mosaic(spark, d)), (0.5, 0.75)).select("img", "t", "n_gt", "n_pr", "tp")
+
+
+@register("mosaic_matching", on_mosaic(sql("pairs", "SELECT img, CAST(coalesce(count(*) FILTER (iou >= 0.5), 0) AS BIGINT) AS tp, round(coalesce(sum(iou), 0), 6) AS iou_sum FROM pairs GROUP BY img")))
+def mosaic_matching(spark, d):
+    return m.optimal(l.contingency(mosaic(spark, d))).select("img", "tp", r6("iou_sum"))
+
+
+@register("mosaic_recall", on_mosaic(sql("lab pairs", f"""SELECT m.img, m.cell, round(sum(CASE WHEN bg AND EXISTS (SELECT 1 FROM marked o WHERE o.img = m.img AND o.cell = m.cell AND o.bp AND (o.y - m.y) * (o.y - m.y) + (o.x - m.x) * (o.x - m.x) <= 4) THEN 1 ELSE 0 END) / nullif(count(*) FILTER (bg), 0), 6) AS br FROM marked m GROUP BY ALL""",
+    s="SELECT img, gt, min(y) AS r0, max(y) + 1 AS r1, min(x) AS c0, max(x) + 1 AS c1 FROM lab WHERE gt > 0 GROUP BY ALL",
+    crops="""SELECT l.img, s.gt AS cell, l.y, l.x, CAST(l.gt = s.gt AS INTEGER) AS g, CAST(coalesce(l.pr = t.pr, false) AS INTEGER) AS p FROM s LEFT JOIN (SELECT img, gt, pr FROM pairs QUALIFY row_number() OVER (PARTITION BY img, gt ORDER BY n DESC, pr) = 1) t ON t.img = s.img AND t.gt = s.gt
+    JOIN lab l ON l.img = s.img AND l.y BETWEEN r0 - 1 AND r1 AND l.x BETWEEN c0 - 1 AND c1""",
+    marked="SELECT a.img, a.cell, a.y, a.x, bool_or(a.g <> b.g) AS bg, bool_or(a.p <> b.p) AS bp FROM crops a JOIN crops b ON a.img = b.img AND a.cell = b.cell AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY ALL")))
+def mosaic_recall(spark, d):
+    rows = mosaic(spark, d)
+    crops_ = l.settle(b.cells(rows, l.contingency(rows), 1, LARGE, LARGE))
+    return b.recall_by_cell(crops_).select("img", "cell", r6("br"))
+
+
+@register("mosaic_components", on_mosaic(sql("lab", "SELECT img, count(*) AS n, CAST(sum(area) AS BIGINT) AS area, max(area) AS largest FROM (SELECT img, root, count(*) AS area FROM (SELECT node, img, min(root) AS root FROM reach GROUP BY ALL) GROUP BY ALL) GROUP BY img", recursive=True,
+    nodes="SELECT img, y * 160 + x AS node, y, x, gt FROM lab WHERE gt > 0", reach="SELECT img, node, node AS root FROM nodes UNION SELECT n.img, n.node, r.root FROM reach r JOIN nodes m ON m.img = r.img AND m.node = r.node JOIN nodes n ON n.img = m.img AND n.gt = m.gt AND abs(n.y - m.y) <= 1 AND abs(n.x - m.x) <= 1")))
+def mosaic_components(spark, d):
+    """Eight-neighbour components within each label of a large image."""
+    def parts(a: np.ndarray) -> np.ndarray:
+        out, top = np.zeros(a.shape, np.int64), 0
+        for k, box in zip(*kernels.boxes(a), strict=True):
+            found = kernels.components(a[box] == k)
+            out[box] += np.where(found > 0, found + top, 0)
+            top += int(found.max())
+        return out
+
+    found = kernels.per_image(mosaic(spark, d), parts, "gt", "part", LARGE, LARGE).where("part > 0").groupBy("img", "part").agg(F.count("*").alias("area"))
+    return found.groupBy("img").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.max("area").alias("largest"))
+
+
+@register("label_opening", sql("pix", "SELECT p.img, p.y, p.x, CASE WHEN d.img IS NULL THEN 2 ELSE 1 END AS label FROM pix p LEFT JOIN grown d USING (img, y, x)",
+    fg="SELECT img, y, x FROM pix WHERE v > 0", eroded="SELECT a.img, a.y, a.x FROM fg a JOIN fg b ON a.img = b.img AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY ALL HAVING count(*) = 5",
+    grown="SELECT DISTINCT p.img, p.y, p.x FROM pix p JOIN eroded e ON p.img = e.img AND abs(p.y - e.y) + abs(p.x - e.x) <= 1"))
+def label_opening(spark, d):
+    rows = pix(spark, d).select("img", "y", "x", F.when(F.col("v") > 0, 1).otherwise(2).alias("label"))
+    return l.opening(rows, "label", 1, SIDE, SIDE)
+
+
+@register("label_borders", sql("pix", "SELECT a.img, a.y, a.x FROM fg a LEFT JOIN fg b ON a.img = b.img AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY ALL HAVING count(b.img) < 4", fg="SELECT img, y, x FROM pix WHERE v > 0"))
+def label_borders(spark, d):
+    """Pixels of the object with a four-neighbour that is not; the outside of the image is not."""
+    rows = pix(spark, d).select("img", "y", "x", (F.col("v") > 0).cast("int").alias("object"))
+    return l.erode(rows, "object").where("object = 1 and not inner").select("img", "y", "x")
+
+
+@register("block_faces_shrunk", sql("pix", """SELECT DISTINCT a.id AS a, b.id AS b FROM kept a JOIN kept b ON a.img = b.img AND a.way = b.way AND a.along = b.along AND b.across = a.across + 1 AND a.across % 4 = 3""",
+    ids=BLOCKS, every="SELECT p.img, p.y, p.x, coalesce(i.id, 0) AS id FROM pix p LEFT JOIN ids i USING (img, y, x)",
+    lines="SELECT 'x' AS way, img, x AS across, y AS along, y // 4 AS block, id FROM every WHERE x % 4 IN (0, 3) UNION ALL SELECT 'y', img, y, x, x // 4, id FROM every WHERE y % 4 IN (0, 3)",
+    flat="SELECT *, CASE WHEN coalesce(lag(id) OVER w, id) = coalesce(lead(id) OVER w, id) THEN id ELSE 0 END AS f FROM lines WINDOW w AS (PARTITION BY way, img, across, block ORDER BY along)",
+    kept="SELECT way, img, across, along, id FROM flat WINDOW w AS (PARTITION BY way, img, across, block ORDER BY along) QUALIFY f <> 0 AND coalesce(lag(f) OVER w, f) <> 0 AND coalesce(lead(f) OVER w, f) <> 0"))
+def block_faces_shrunk(spark, d):
+    """Labels that touch across faces after they are shrunk along them."""
+    return l.shrunk_faces(blocks(spark, d), 4).select("a", "b")
+
+
+@register("block_segmentation", sql("pix", "SELECT img, count(*) AS n, CAST(sum(area) AS BIGINT) AS area, CAST(sum(r1 - r0) AS BIGINT) AS heights, CAST(sum(c1 - c0) AS BIGINT) AS widths FROM (SELECT n.img, r.root, count(*) AS area, min(y) AS r0, max(y) + 1 AS r1, min(x) AS c0, max(x) + 1 AS c1 FROM (SELECT node, min(root) AS root FROM reach GROUP BY node) r JOIN nodes n USING (node) GROUP BY ALL) GROUP BY img", recursive=True,
+    nodes=NODES, reach="SELECT node, node AS root FROM nodes UNION SELECT n.node, r.root FROM reach r JOIN nodes m ON m.node = r.node JOIN nodes n ON n.img = m.img AND abs(n.y - m.y) + abs(n.x - m.x) <= 1"))
+def block_segmentation(spark, d):
+    """Components found block by block and joined across faces are those of the whole images."""
+    parts = blocks_.run_blocks(pix(spark, d), lambda a: kernels.components(a > 0, kernels.FOUR), "v", 4, 0, SIDE, SIDE)
+    joined, boxes = blocks_.join_blocks(parts, 4, 2)
+    areas = joined.where("label > 0").groupBy("label").agg(F.first("img").alias("img"), F.count("*").alias("area")).join(boxes, "label")
+    return areas.groupBy("img").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.sum(F.col("r1") - F.col("r0")).alias("heights"), F.sum(F.col("c1") - F.col("c0")).alias("widths"))

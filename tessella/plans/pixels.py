@@ -6,10 +6,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.operators import kernels as k
+from tessella.operators import metrics as m
 from tessella.operators import neighbours
 from tessella.operators import pixels as p
+from tessella.operators.labels import contingency, iou_pairs
 from tessella.plans.fixtures import SIDE, grid, lab, pix, sql
 from tessella.plans.registry import register
+from tessella.sources import tables
 
 SIGMOID = "1 / (1 + exp(-greatest(-50.0, least(50.0, v))))"
 
@@ -216,12 +219,33 @@ def centrality(spark, d):
 # Kernels: no SQL expresses them in reasonable room; tests hold them against plain versions.
 
 
-@register("optimal_matching")
+@register("optimal_matching", sql("pairs", """SELECT img, CAST(coalesce(tp, 0) AS BIGINT) AS tp, round(coalesce(s, 0), 6) AS iou_sum, round(CASE WHEN u > 0 THEN coalesce(o, 0) / u ELSE 1 END, 6) AS aji_fused
+    FROM (SELECT img, coalesce(sum(n) FILTER (gt > 0 OR pr > 0), 0) AS u FROM cont GROUP BY img) LEFT JOIN (SELECT img, count(*) FILTER (iou >= 0.5) AS tp, sum(iou) AS s, sum(n) AS o FROM pairs GROUP BY img) USING (img)"""))
 def optimal_matching(spark, d):
-    return k.per_pair(lab(spark, d), k.optimal_matching, "tp long, iou_sum double, aji_fused double", SIDE, SIDE)
+    """An assignment over all overlapping pairs. In these maps no label overlaps with two, so SQL needs no assignment; ``assignments`` is the case in which it does."""
+    return m.optimal(contingency(lab(spark, d))).select("img", "tp", F.round("iou_sum", 6).alias("iou_sum"), F.round("aji_fused", 6).alias("aji_fused"))
 
 
-@register("fill_holes_and_small")
+LOW = (0.1, 0.2, 0.3, 0.5)
+#: Every way to give the labels of one map in turn a free label of the other: ``used`` has a bit for each that is taken.
+WAYS = {
+    "crossed": "SELECT g.img, g.label AS gt, l.gt AS pr, count(*) AS n FROM grid g JOIN lab l USING (img, y, x) GROUP BY ALL",
+    "met": "SELECT img, gt, pr, n / (ga + pa - n) AS iou FROM (SELECT *, sum(n) OVER (PARTITION BY img, gt) AS ga, sum(n) OVER (PARTITION BY img, pr) AS pa FROM crossed) WHERE gt > 0 AND pr > 0",
+    "low": f"SELECT t, img, gt, pr FROM met, (SELECT unnest({list(LOW)}) AS t) WHERE iou >= t",
+    "ways": "SELECT t, img, 0 AS g, 0 AS used, 0 AS tp FROM (SELECT DISTINCT t, img FROM low) UNION SELECT w.t, w.img, w.g + 1, w.used | coalesce(b.bit, 0), w.tp + (b.bit IS NOT NULL)::INT FROM ways w LEFT JOIN (SELECT t, img, gt, (1 << (pr - 1))::INT AS bit FROM low UNION ALL SELECT DISTINCT t, img, gt, NULL FROM low) b ON b.t = w.t AND b.img = w.img AND b.gt = w.g + 1 AND coalesce(w.used & b.bit, 0) = 0 WHERE w.g < 9",
+}
+
+
+@register("assignments", sql("grid lab", "SELECT img, t, CAST(max(tp) AS BIGINT) AS tp FROM ways GROUP BY ALL", recursive=True, **WAYS))
+def assignments(spark, d):
+    """Largest matchings below a half, where labels compete: a raster of nine against quadrants."""
+    both = grid(spark, d).join(lab(spark, d).select("img", "y", "x", F.col("gt").alias("pr")), ["img", "y", "x"]).withColumnRenamed("label", "gt")
+    return m.matched(iou_pairs(contingency(both)), LOW).groupBy("img", "t").agg(F.count("*").alias("tp"))
+
+
+@register("fill_holes_and_small", sql("grid", "SELECT g.img, g.y, g.x, CAST(coalesce(k.new, 0) AS BIGINT) AS label FROM (SELECT grid.img, grid.y, grid.x, coalesce(h.label, grid.label) AS label FROM grid LEFT JOIN holes h USING (img, y, x)) g LEFT JOIN kept k ON k.img = g.img AND k.label = g.label",
+    kept="SELECT img, label, row_number() OVER (PARTITION BY img ORDER BY label) AS new FROM grid WHERE label > 0 GROUP BY img, label HAVING count(*) >= 3",
+    holes="SELECT c.img, c.y, c.x, min(n.label) AS label FROM grid c JOIN grid n ON n.img = c.img AND abs(n.y - c.y) + abs(n.x - c.x) = 1 WHERE c.label = 0 AND n.label > 0 AND c.y % 3 = 1 AND c.x % 3 = 1 GROUP BY ALL HAVING count(*) = 4 AND min(n.label) = max(n.label)"))
 def fill_holes_and_small(spark, d):
     return k.per_image(grid(spark, d), lambda a: k.clean(a, 3), "label", "label", SIDE, SIDE)
 
@@ -233,6 +257,9 @@ def image_components(spark, d):
     return found.where("label > 0").groupBy("img").agg(F.count_distinct("label").alias("n"), F.count("*").alias("area"))
 
 
+# Priority floods and flows: no SQL expresses them; tests hold them against plain versions.
+
+
 @register("watershed")
 def watershed(spark, d):
     return k.per_image(pix(spark, d), k.classical, "v", "label", SIDE, SIDE)
@@ -247,19 +274,61 @@ def flows_and_back(spark, d):
     return k.per_image(grid(spark, d), there, "label", "label", SIDE, SIDE)
 
 
-@register("stitched_planes")
+@register("sharpened")
+def sharpened(spark, d):
+    """Images less their own blur, after a little smoothing."""
+    return k.per_image(pix(spark, d), lambda a: k.band_passed(a, 0.5, 2.0), "v", "v", SIDE, SIDE, kind="double").select("img", "y", "x", F.round("v", 9).alias("v"))
+
+
+@register("traced_outlines")
+def traced_outlines(spark, d):
+    """The outer border of each label as points in order, as text, with its padded number."""
+    return tables.traced(grid(spark, d).where("label > 0"))
+
+
+@register("cleaned_objects")
+def cleaned_objects(spark, d):
+    """Foregrounds with gaps closed and holes filled, and of that the largest component."""
+    return k.per_image(pix(spark, d), lambda a: k.clean_object(a > 0, 1), "v", "object", SIDE, SIDE, kind="boolean")
+
+
+QUADRANTS = "(SELECT unnest([1, 2, 3, 4]) AS q)"
+VOLUMES = {
+    "planes": f"SELECT CAST(img // 10 AS BIGINT) AS vol, CAST(img % 10 AS INTEGER) AS z, q, bool_or(gt = q) AS has FROM lab, {QUADRANTS} GROUP BY ALL",
+    "shared": "SELECT a.img // 10 AS vol, CAST(a.img % 10 AS INTEGER) AS z, a.gt AS q, count(*) AS n FROM lab a JOIN lab b ON b.img = a.img - 1 AND a.img // 10 = b.img // 10 AND a.y = b.y AND a.x = b.x AND a.gt = b.gt WHERE a.gt > 0 GROUP BY ALL",
+    "sizes": "SELECT img // 10 AS vol, CAST(img % 10 AS INTEGER) AS z, gt AS q, count(*) AS n FROM lab WHERE gt > 0 GROUP BY ALL",
+    "carried": "SELECT s.vol, s.z, s.q FROM shared s JOIN sizes a USING (vol, z, q) JOIN sizes b ON b.vol = s.vol AND b.z = s.z - 1 AND b.q = s.q WHERE s.n / (a.n + b.n - s.n) >= 0.25",
+    "steps": "SELECT p.vol, p.z, list(CASE WHEN NOT has THEN 0 WHEN c.q IS NOT NULL THEN 2 ELSE 1 END ORDER BY p.q) AS kind FROM planes p LEFT JOIN carried c USING (vol, z, q) GROUP BY ALL",  # absent, new, carried
+    "walk": """SELECT vol, z, list_transform(kind, lambda x, i: CASE WHEN x > 0 THEN i ELSE 0 END) AS ids, list_max(list_transform(kind, lambda x, i: CASE WHEN x > 0 THEN i ELSE 0 END)) AS top FROM steps WHERE z = 0
+        UNION ALL SELECT s.vol, s.z, list_transform(s.kind, lambda x, i: CASE x WHEN 0 THEN 0 WHEN 2 THEN w.ids[i] ELSE w.top + len(list_filter(s.kind[1:i], lambda y: y = 1)) END), w.top + len(list_filter(s.kind, lambda y: y = 1)) FROM walk w JOIN steps s ON s.vol = w.vol AND s.z = w.z + 1""",
+}
+
+
+@register("stitched_planes", sql("lab", "SELECT w.vol AS img, CAST(w.z * 8 + l.y AS INTEGER) AS y, l.x, CAST(CASE WHEN l.gt > 0 THEN w.ids[l.gt] ELSE 0 END AS BIGINT) AS label FROM lab l JOIN walk w ON w.vol = l.img // 10 AND w.z = l.img % 10", recursive=True, **VOLUMES))
 def stitched_planes(spark, d):
     """Labels of the planes of a volume (ten images in turn) carried from plane to plane."""
     rows = lab(spark, d).select((F.floor(F.col("img") / 10)).cast("long").alias("img"), (F.col("img") % 10 * SIDE + F.col("y")).cast("int").alias("y"), "x", "gt")
     return k.per_image(rows, lambda a: np.concatenate(k.stitch(np.split(a, 10))), "gt", "label", 10 * SIDE, SIDE)
 
 
-@register("shape_descriptors")
+@register("shape_descriptors", sql("lab", """SELECT i.img, coalesce(a.area, 0) AS area, CAST(coalesce(a.edge, 0) AS DOUBLE) AS perimeter, round(coalesce(least(1.0, 4 * pi() * a.area / (a.edge * a.edge)), 0), 6) AS compactness, round(coalesce(a.area / h.whole, 0), 6) AS solidity
+    FROM (SELECT DISTINCT img FROM lab) i LEFT JOIN (SELECT f.img, count(*) AS area, sum(4 - coalesce(n, 0)) AS edge FROM fg f LEFT JOIN near USING (img, y, x) GROUP BY f.img) a USING (img) LEFT JOIN (SELECT img, abs(sum(turn)) / 2 AS whole FROM rim GROUP BY img) h USING (img)""",
+    fg="SELECT img, y, x FROM lab WHERE gt > 0", near="SELECT a.img, a.y, a.x, count(*) AS n FROM fg a JOIN fg b ON a.img = b.img AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY ALL",
+    corners="SELECT img, y + v AS y, min(x) AS lo, max(x) + 1 AS hi FROM fg, (SELECT unnest([0, 1]) AS v) GROUP BY ALL", ends="SELECT img, y, lo AS x FROM corners UNION SELECT img, y, hi FROM corners",
+    rim="""SELECT a.img, a.x * b.y - b.x * a.y AS turn FROM ends a JOIN ends b ON a.img = b.img AND (a.x <> b.x OR a.y <> b.y) JOIN ends c ON c.img = a.img GROUP BY a.img, a.x, a.y, b.x, b.y
+        HAVING bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND c.x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x) AND c.y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y)))"""))
 def shape_descriptors(spark, d):
-    return k.per_pair(lab(spark, d), lambda g, _: k.shape_statistics(g > 0), "area long, perimeter double, compactness double, solidity double", SIDE, SIDE)
+    """Area, perimeter, compactness and solidity of each foreground; in SQL, hull edges are those that have all other ends on one side."""
+    found = k.per_pair(lab(spark, d), lambda g, _: k.shape_statistics(g > 0), "area long, perimeter double, compactness double, solidity double", SIDE, SIDE)
+    return found.select("img", "area", "perimeter", F.round("compactness", 6).alias("compactness"), F.round("solidity", 6).alias("solidity"))
 
 
-@register("overlap_removal")
+@register("overlap_removal", sql("lab", """SELECT l.img, l.y, l.x, CAST(coalesce(m.place, 0) AS BIGINT) AS label FROM lab l LEFT JOIN (SELECT p.img, p.y, p.x, arg_min(place, struct_pack(f := (p.y - my) * (p.y - my) + (p.x - mx) * (p.x - mx), k := m.k)) AS place FROM px p JOIN masks m USING (img, k) JOIN live USING (img, k) GROUP BY ALL) m USING (img, y, x)""",
+    px="SELECT img, gt AS k, y, x FROM lab WHERE gt > 0 UNION ALL SELECT img, pr + 4, y, x FROM lab WHERE pr > 0",
+    masks="SELECT img, k, count(*) AS n, median(y) AS my, median(x) AS mx, row_number() OVER (PARTITION BY img ORDER BY k) AS place FROM px GROUP BY img, k",
+    shared="SELECT img, gt, count(*) AS n FROM lab WHERE gt > 0 AND gt = pr GROUP BY ALL",
+    dropped="SELECT s.img, CASE WHEN a.n <= b.n THEN a.k ELSE b.k END AS k FROM shared s JOIN masks a ON a.img = s.img AND a.k = s.gt JOIN masks b ON b.img = s.img AND b.k = s.gt + 4 WHERE s.n / least(a.n, b.n) >= 0.75",
+    live="SELECT img, k FROM masks EXCEPT SELECT img, k FROM dropped"))
 def overlap_removal(spark, d):
     def both(a: np.ndarray) -> np.ndarray:
         masks = [a % 10 == j for j in range(1, 5)] + [a // 10 == j for j in range(1, 5)]
@@ -293,26 +362,30 @@ def training_filter(spark, d):
     return rows.crossJoin(F.broadcast(total)).select("img", "n", F.round(F.greatest(F.lit(5.0), F.col("d")), 6).alias("diameter"), F.round(F.col("n") / F.col("total"), 9).alias("p"))
 
 
-@register("style_neighbours", "WITH q AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id < 20), r AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id % 5 = 0), n AS (SELECT q.vec_id, r.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.e, r.e), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))), 9), r.vec_id) AS k FROM q JOIN r ON q.vec_id <> r.vec_id) SELECT vec_id, label AS predicted FROM (SELECT vec_id, label, count(*) AS c FROM n WHERE k <= 5 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) = 1")
-def style_neighbours(spark, d):
-    """Labels of the first twenty vectors by the majority of their five nearest among every fifth one: a fixed set of queries, broadcast."""
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    asked = rows.where("vec_id < 20").select(F.col("vec_id").alias("q"), F.col("e").alias("qe"))
-    d2 = F.round(F.aggregate(F.zip_with("e", "qe", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), 9)
-    from pyspark.sql import Window
+#: All pairs of vectors: fit for tables of a few thousand rows.
+NEAREST = "SELECT vec_id, id, label, k, d FROM (SELECT q.vec_id, r.vec_id AS id, r.label, round(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))), 9) AS d, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))), 9), r.vec_id) AS INTEGER) AS k FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id) WHERE k <= 5"
+
 
-    near = rows.where("vec_id % 5 = 0").crossJoin(F.broadcast(asked)).where("q <> vec_id").select("q", "label", "vec_id", d2.alias("d"))
-    best = near.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))).where("k <= 5")
-    votes = best.groupBy("q", "label").count()
-    return votes.groupBy(F.col("q").alias("vec_id")).agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("predicted"))
+@register("style_neighbours", f"SELECT vec_id, k, id, round(d, 6) AS d FROM ({NEAREST})")
+def style_neighbours(spark, d):
+    """The five nearest of every vector among all others, with squared distances."""
+    near = neighbours.nearest(spark.read.parquet(f"{d}/embeddings.parquet"))
+    return near.select("vec_id", "k", "id", F.round("d", 6).alias("d"))
 
 
-@register("style_labels")
+@register("style_labels", f"SELECT vec_id, label AS predicted FROM (SELECT vec_id, label, count(*) AS c FROM ({NEAREST}) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) = 1")
 def style_labels(spark, d):
-    """Labels of all vectors by the majority of their five nearest among all others. ``style_neighbours`` is a sample of it that its SQL fixes."""
+    """Labels of all vectors by the majority of their five nearest among all others."""
     return neighbours.nearest_labels(spark.read.parquet(f"{d}/embeddings.parquet"))
 
 
+@register("style_components")
+def style_components(spark, d):
+    """Every vector in the three directions of largest variance."""
+    found = neighbours.principal(spark.read.parquet(f"{d}/embeddings.parquet"), 3)
+    return found.select("vec_id", "label", *[F.round(c, 6).alias(c) for c in ("pc1", "pc2", "pc3")])
+
+
 @register("block_index_parse", "SELECT p_partkey, CAST(p_size AS INTEGER) AS bz, CAST(p_partkey % 7 AS INTEGER) AS \"by\", CAST(p_partkey % 3 AS INTEGER) AS bx FROM part")
 def block_index_parse(spark, d):
     """Block indices out of file names, for folders that hold one file per block."""

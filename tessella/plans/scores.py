@@ -103,11 +103,32 @@ def signed_rank_sums(spark, d):
     return c.signed_ranks(pairs(spark, d))
 
 
-@register("paired_tests")
+#: Tails of the t and the normal distribution as finite or fast series of positive terms; more than 50 differences, so no exact count of rank sums.
+TAILS = {
+    "core": "SELECT count(*) AS n, avg(a - b) AS delta, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t, avg(a - b) / stddev_samp(a - b) AS cohens_d FROM p",
+    "turned": "SELECT n - 1 AS v, atan(abs(t) / sqrt(n - 1)) AS theta FROM core",
+    "terms": "SELECT v, theta, j, exp(sum(ln(CASE WHEN v % 2 = 0 THEN (2 * j - 1) / (2.0 * j) ELSE 2 * j / (2 * j + 1.0) END * cos(theta) * cos(theta))) OVER (ORDER BY j)) AS term FROM turned, range(1, 5000) r(j) WHERE j <= CASE WHEN v % 2 = 0 THEN (v - 2) // 2 ELSE (v - 3) // 2 END",
+    "tail": "SELECT CASE WHEN any_value(v) % 2 = 0 THEN 1 - sin(any_value(theta)) * (1 + sum(term)) ELSE 1 - 2 / pi() * (any_value(theta) + sin(any_value(theta)) * cos(any_value(theta)) * (1 + sum(term))) END AS p_t FROM terms",
+    "sized": "SELECT size, count(*) AS t, count(*) FILTER (d > 0) AS up, min(low) + (count(*) - 1) / 2.0 AS r FROM (SELECT d, abs(d) AS size, rank() OVER (ORDER BY abs(d)) AS low FROM (SELECT round(a - b, 9) AS d FROM p) WHERE d <> 0) GROUP BY size",
+    "z": "SELECT abs(sum(up * r) - sum(t) * (sum(t) + 1) / 4.0) / sqrt((sum(t) * (sum(t) + 1) * (2 * sum(t) + 1) - sum(t * t * t - t) / 2.0) / 24) / sqrt(2.0) AS x FROM sized",
+    "normal": "SELECT 1 - 2 / sqrt(pi()) * exp(-x * x) * sum(term) AS p_w FROM (SELECT x, exp(sum(ln(CASE WHEN j = 0 THEN x ELSE 2 * x * x / (2 * j + 1) END)) OVER (ORDER BY j)) AS term FROM z, range(0, 200) r(j)) GROUP BY x",
+}
+
+
+@register("paired_tests", sql("scores", "SELECT n, round(delta, 9) AS delta, round(t, 9) AS t, round(cohens_d, 9) AS cohens_d, round(p_t, 9) AS p_t, round(p_w, 9) AS p_w FROM core, tail, normal", p=PAIRS, **TAILS))
 def paired_tests(spark, d):
     return c.paired_tests(pairs(spark, d)).select("n", *[F.round(x, 9).alias(x) for x in ("delta", "t", "cohens_d", "p_t", "p_w")])
 
 
+@register("macro_spread", sql("scores", f"""SELECT s.method, s.metric, count(*) AS n, round(avg(s.v), 6) AS mean, round(stddev_samp(s.v), 6) AS sd, count(b.v) AS pairs, round(avg(s.v - b.v), 6) AS delta, round(CASE WHEN stddev_samp(s.v - b.v) > 0 THEN avg(s.v - b.v) / (stddev_samp(s.v - b.v) / sqrt(count(b.v))) END, 6) AS t
+    FROM long s LEFT JOIN long b ON b.method = '{B}' AND s.metric = b.metric AND s.dataset = b.dataset AND s.category = b.category AND s.sample_id = b.sample_id GROUP BY ALL""",
+    long="SELECT * FROM (UNPIVOT (SELECT dataset, category, sample_id, method, br_mean_strict, fb_mean_strict, f_area_mean_strict, pixel_dice FROM scores) ON br_mean_strict, fb_mean_strict, f_area_mean_strict, pixel_dice INTO NAME metric VALUE v)"))
+def macro_spread(spark, d):
+    """Means with their spread by method and metric, and paired differences from one method."""
+    found = c.spread(scores(spark, d), ["br_mean_strict", "fb_mean_strict", "f_area_mean_strict", "pixel_dice"], B, ROI)
+    return found.select("method", "metric", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "pairs", F.round("delta", 6).alias("delta"), F.round("t", 6).alias("t"))
+
+
 @register("bootstrap_ci_hash", sql("scores", """SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM (SELECT round, avg(d) AS m FROM (SELECT r.round, 1 + CAST('0x' || md5(r.round || '-' || i)[1:8] AS BIGINT) % n AS pick FROM num, range(1, 201) r(round)) JOIN (SELECT i AS pick, d FROM num) USING (pick) GROUP BY round)""",
     p=PAIRS, num="SELECT a - b AS d, row_number() OVER (ORDER BY dataset, category, sample_id) AS i, count(*) OVER () AS n FROM p"))
 def bootstrap_ci_hash(spark, d):

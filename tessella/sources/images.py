@@ -18,7 +18,7 @@ from tessella.functions.text import is_image, natural_key, stem
 
 
 def decode(name: str, data: bytes, key: str = "masks") -> np.ndarray:
-    """The array of a file by its ending: npy, npz and mat (by key), png, pgm or ppm, tif, nrrd (volumes as planes, rows,
+    """The array of a file by its ending: npy, npz and mat (by key), png, bmp, pgm or ppm, tif, nrrd (volumes as planes, rows,
     columns). An unknown ending is an error."""
     kind = name.rsplit(".", 1)[-1].lower()
     if kind == "npy":
@@ -28,6 +28,8 @@ def decode(name: str, data: bytes, key: str = "masks") -> np.ndarray:
         return np.load(io.BytesIO(data), allow_pickle=False)[key]
     if kind == "png":
         return _png(data)
+    if kind == "bmp":
+        return _bmp(data)
     if kind in ("pgm", "ppm"):
         return _netpbm(data)
     if kind in ("tif", "tiff"):
@@ -71,6 +73,22 @@ def _png(data: bytes) -> np.ndarray:
     return values.reshape(height, width, channels).squeeze(2) if channels == 1 else values.reshape(height, width, channels)
 
 
+def _bmp(data: bytes) -> np.ndarray:
+    """Plain rows of 8 bit grey or coloured palettes, or of 24 or 32 bits; bottom up unless the height is negative."""
+    start, size = struct.unpack("<I", data[10:14])[0], struct.unpack("<I", data[14:18])[0]
+    width, height, _, depth, packed = struct.unpack("<iiHHI", data[18:34])
+    if packed not in (0, 3) or depth not in (8, 24, 32):
+        raise ValueError("only plain rows of 8, 24 and 32 bits are read")
+    stride = (width * depth // 8 + 3) // 4 * 4
+    rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)[:, : width * depth // 8]
+    rows = rows[::-1] if height > 0 else rows
+    if depth > 8:
+        return rows.reshape(abs(height), width, depth // 8)[:, :, 2::-1]
+    palette = np.frombuffer(data[14 + size : start], np.uint8).reshape(-1, 4)[:, 2::-1]
+    out = palette[rows]
+    return out[:, :, 0] if (palette == palette[:, :1]).all() else out
+
+
 def _netpbm(data: bytes) -> np.ndarray:
     words, at = [], 0
     while len(words) < 4:
@@ -194,9 +212,9 @@ def image_files(spark: SparkSession, path: str, recurse: bool = False) -> DataFr
     return files.where(is_image(F.col("path"))).withColumns({"key": natural_key(F.col("path")), "stem": stem(F.col("path"))})
 
 
-def read_images(spark: SparkSession, path: str, key: str = "masks", glob: str = "*") -> DataFrame:
+def read_images(spark: SparkSession, path: str, key: str = "masks", glob: str = "*", recurse: bool = False) -> DataFrame:
     """Pixel rows (path, y, x, c, v) of image files; a file that cannot be decoded fails its task with its name."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recurse).lower()).load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -212,12 +230,25 @@ def read_images(spark: SparkSession, path: str, key: str = "masks", glob: str =
     return files.mapInPandas(run, "path string, y int, x int, c int, v double")
 
 
-def pair_by_stem(images: DataFrame, labels: DataFrame, suffix: str = "_masks") -> DataFrame:
-    """Images with the label file of the same stem and suffix, the first of tif, tiff, png, npy; images without one are dropped."""
+#: Endings of label files, in the order in which they are tried (fixed values).
+LABEL_ENDINGS = ("tif", "tiff", "png", "npy")
+
+
+def pair_by_stem(images: DataFrame, labels: DataFrame, suffix: str = "_masks", required: bool = True) -> DataFrame:
+    """Images with the label file of the same stem and suffix, the first of ``LABEL_ENDINGS``; in one pass over the names.
+
+    Images without one are dropped, or have a null if not ``required``.
+    """
     ending = F.regexp_extract("path", r"\.([^./]+)$", 1)
-    rank = F.array_position(F.array(*[F.lit(e) for e in ("tif", "tiff", "png", "npy")]), ending)
-    named = labels.select(F.regexp_replace(stem(F.col("path")), f"{suffix}$", "").alias("stem"), F.col("path").alias("label_path"), rank.alias("rank")).where(F.endswith(stem(F.col("label_path")), F.lit(suffix)))
-    return images.join(named.groupBy("stem").agg(F.min_by("label_path", "rank").alias("label_path")), "stem")
+    rank = F.array_position(F.array(*[F.lit(e) for e in LABEL_ENDINGS]), ending)
+    named = labels.select(F.regexp_replace(stem(F.col("path")), f"{suffix}$", "").alias("stem"), F.col("path").alias("label_path"), rank.alias("rank")).where(F.endswith(stem(F.col("label_path")), F.lit(suffix)) & (F.col("rank") > 0))
+    return images.join(named.groupBy("stem").agg(F.min_by("label_path", "rank").alias("label_path")), "stem", "inner" if required else "left")
+
+
+def catalogue(annotated: DataFrame, images: DataFrame, order: tuple[str, ...] = ("healthy", "severe")) -> DataFrame:
+    """(category, stem, at): annotated files (category, stem) that have an image, by category in the given order, then by stem."""
+    place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("category"))
+    return annotated.join(images, ["category", "stem"], "left_semi").where(place > 0).select("category", "stem", place.alias("at"))
 
 
 def read_label_maps(spark: SparkSession, path: str, key: str = "masks", glob: str = "*") -> DataFrame:

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import io
+import struct
+import zipfile
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import markdown_row, mean_cell
 from tessella.operators.compare import finite
+from tessella.operators.kernels import boxes, outline
 
+#: Columns of result files, the metrics among them, and the shape of a tile's bounds (fixed values).
 SCORE_SCHEMA = "dataset string, sample_id string, category string, method string, br_mean_strict string, br_seraph string, boundary_precision_seraph string, boundary_f_seraph string, fb_mean_strict string, f_area_mean_strict string, pixel_dice string"
 METRICS = ("br_mean_strict", "br_seraph", "boundary_precision_seraph", "boundary_f_seraph", "fb_mean_strict", "f_area_mean_strict", "pixel_dice")
 
@@ -57,6 +66,55 @@ def outlines(labels: DataFrame, label: str = "label", width: int = 4) -> DataFra
     return labels.groupBy("img", label).agg(line.alias("points")).withColumn("name", F.lpad(F.col(label).cast("string"), width, "0"))
 
 
+def traced(labels: DataFrame, label: str = "label", width: int = 4, least: int = 5) -> DataFrame:
+    """(img, label, name, points, n) of label rows: the outer border of each label traced in order, as "x,y,x,y,...".
+
+    A group is the labelled pixels of one image. Borders of fewer than ``least`` points are left empty.
+    """
+    kind = dict(labels.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
+        grid = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), np.int64)
+        grid[y - y.min(), x - x.min()] = rows[label].to_numpy()
+        names, found = [], []
+        for name, box in zip(*boxes(grid), strict=True):
+            points = outline(grid[box] == name) + (int(x.min()) + box[1].start, int(y.min()) + box[0].start)
+            names.append(name)
+            found.append(points if len(points) >= least else points[:0])
+        return pd.DataFrame({"img": rows["img"].iloc[0], label: names, "points": [",".join(map(str, p.ravel().tolist())) for p in found], "n": [len(p) for p in found]})
+
+    done = labels.where(F.col(label) > 0).select("img", label, "y", "x").groupBy("img").applyInPandas(run, f"img {kind['img']}, `{label}` {kind[label]}, points string, n int")
+    return done.select("img", label, F.lpad(F.col(label).cast("string"), width, "0").alias("name"), "points", "n")
+
+
+#: Layout of a polygon in the region files of a common image editor (fixed values): magic, version, kind, length of the header.
+ROI_MAGIC, ROI_VERSION, ROI_POLYGON, ROI_HEADER = b"Iout", 227, 0, 64
+
+
+def roi(points: Sequence[tuple[int, int]]) -> bytes:
+    """The bytes of a region file of a polygon of (x, y) points: a big-endian header with the box, then places within it."""
+    xs, ys = [x for x, _ in points], [y for _, y in points]
+    top, left = min(ys), min(xs)
+    head = ROI_MAGIC + struct.pack(">hBBhhhhh", ROI_VERSION, ROI_POLYGON, 0, top, left, max(ys), max(xs), len(points))
+    return head.ljust(ROI_HEADER, b"\0") + struct.pack(f">{2 * len(points)}h", *(x - left for x in xs), *(y - top for y in ys))
+
+
+def roi_archives(outlines_: DataFrame) -> DataFrame:
+    """(img, content): of each image an archive with a region file for each label of ``traced``, named by its padded number."""
+    kind = dict(outlines_.dtypes)["img"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, points in sorted(zip(rows["name"], rows["points"], strict=True)):
+                flat = [int(v) for v in points.split(",")]
+                archive.writestr(zipfile.ZipInfo(f"{name}.roi"), roi(list(zip(flat[::2], flat[1::2], strict=True))))
+        return pd.DataFrame({"img": [rows["img"].iloc[0]], "content": [data.getvalue()]})
+
+    return outlines_.where("n > 0").select("img", "name", "points").groupBy("img").applyInPandas(run, f"img {kind}, content binary")
+
+
 def report(scores: DataFrame, metrics: list[str]) -> DataFrame:
     """Report lines (dataset, n, line): means by dataset and method, then over all datasets, by one pass of grouping sets."""
     grouped = scores.groupingSets([["dataset", "method"], ["method"]], "dataset", "method").agg(*[F.avg(m).alias(m) for m in metrics], F.count("*").alias("n"))

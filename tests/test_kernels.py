@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import time
 from itertools import permutations
 
 import numpy as np
@@ -110,3 +112,171 @@ def test_covered_masks_go():
     a[:6, :6], b[1:3, 1:3], c[4:8, 4:8] = True, True, True
     got = k.without_covered([a, b, c])
     assert 2 not in got and got[0, 0] == 1 and got[7, 7] == 3
+
+
+def plain_distance(mask):
+    zero = np.argwhere(~mask)
+    return np.array([[np.sqrt(((zero - (y, x)) ** 2).sum(1).min()) if mask[y, x] else 0.0 for x in range(mask.shape[1])] for y in range(mask.shape[0])])
+
+
+def plain_components(mask, near):
+    out, n = np.zeros(mask.shape, np.int64), 0
+    for y, x in np.argwhere(mask):
+        if not out[y, x]:
+            n += 1
+            front = [(y, x)]
+            out[y, x] = n
+            while front:
+                a, b = front.pop()
+                for dy, dx in near:
+                    c, d = a + dy, b + dx
+                    if 0 <= c < mask.shape[0] and 0 <= d < mask.shape[1] and mask[c, d] and not out[c, d]:
+                        out[c, d] = n
+                        front.append((c, d))
+    return out
+
+
+def plain_watershed(height, markers, mask):
+    out = np.where(mask, markers, 0)
+    heap = [(height[y, x], k, y, x) for k, (y, x) in enumerate(np.argwhere(out > 0).tolist())]
+    heapq.heapify(heap)
+    n = len(heap)
+    while heap:
+        _, _, y, x = heapq.heappop(heap)
+        for dy, dx in k.FOUR:
+            a, b = y + dy, x + dx
+            if 0 <= a < out.shape[0] and 0 <= b < out.shape[1] and mask[a, b] and not out[a, b]:
+                out[a, b] = out[y, x]
+                heapq.heappush(heap, (height[a, b], n, a, b))
+                n += 1
+    return out
+
+
+wide = st.tuples(st.integers(1, 14), st.integers(1, 14), st.floats(0.1, 0.9), st.integers(0, 10**6)).map(lambda t: np.random.default_rng(t[3]).random(t[:2]) < t[2])
+
+
+@settings(max_examples=150, deadline=None)
+@given(wide)
+def test_masks_equal_plain_versions(mask):
+    for near in (k.EIGHT, k.FOUR):
+        assert np.array_equal(k.components(mask, near), plain_components(mask, near))
+    if not mask.all():
+        assert np.allclose(k.distance(mask), plain_distance(mask))
+    outside = plain_components(~np.pad(mask, 1), k.FOUR)
+    assert np.array_equal(k.fill_holes(mask), ~(outside == outside[0, 0])[1:-1, 1:-1])
+    near = k._moved(mask, k.FOUR)
+    assert np.array_equal(k.opened(mask, 1), np.logical_or.reduce(k._moved(np.logical_and.reduce(near), k.FOUR)))
+    for radius in (1, 2):
+        at = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
+        p = np.pad(mask, 2 * radius)
+        grown = np.logical_or.reduce([np.roll(p, s, (0, 1)) for s in at])
+        kept = np.logical_and.reduce([np.roll(np.pad(grown, radius), s, (0, 1)) for s in at])
+        cut = 3 * radius
+        assert np.array_equal(k.closed(mask, radius), kept[cut : cut + mask.shape[0], cut : cut + mask.shape[1]])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 12), st.integers(2, 12), st.integers(0, 10**6))
+def test_floods_peaks_and_flows_equal_plain_versions(h, w, seed):
+    rng = np.random.default_rng(seed)
+    height, mask = rng.integers(0, 5, (h, w)).astype(float), rng.random((h, w)) < 0.8
+    markers = np.where(rng.random((h, w)) < 0.1, rng.integers(1, 9, (h, w)), 0)
+    assert np.array_equal(k.watershed(height, markers, mask), plain_watershed(height, markers, mask))
+    found = []
+    for at in np.argsort(-height.ravel(), kind="stable"):
+        y, x = divmod(int(at), w)
+        near = height[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
+        if height[y, x] > 0 and height[y, x] >= near.max() and all(max(abs(y - a), abs(x - b)) > 1 for a, b in found):
+            found.append((y, x))
+    assert k.peaks(height, 1) == found
+    labels = np.where(mask, 1 + (np.arange(w) // 4)[None, :] + 3 * (np.arange(h) // 4)[:, None], 0)
+    flows, plain = k.to_flows(labels), np.zeros((2, h, w))
+    for name in np.unique(labels[labels > 0]):
+        inside = np.pad(labels == name, 1)
+        pts = np.argwhere(inside)
+        cy, cx = pts[((pts - pts.mean(0)) ** 2).sum(1).round(9).argmin()]
+        heat = np.zeros(inside.shape)
+        box = pts.max(0) - pts.min(0) + 3
+        for _ in range(2 * int(box.sum())):
+            heat[cy, cx] += 1
+            p = np.pad(heat, 1)
+            heat = np.where(inside, sum(p[1 + dy : 1 + dy + heat.shape[0], 1 + dx : 1 + dx + heat.shape[1]] for dy, dx in [(0, 0), *k.EIGHT]) / 9, 0)
+        logs = np.pad(np.log1p(heat), 1)
+        dy, dx = logs[2:, 1:-1] - logs[:-2, 1:-1], logs[1:-1, 2:] - logs[1:-1, :-2]
+        size = np.sqrt(dy * dy + dx * dx) + 1e-60
+        own = inside[1:-1, 1:-1]
+        plain[0][own], plain[1][own] = (dy / size)[1:-1, 1:-1][own], (dx / size)[1:-1, 1:-1][own]
+    steep = np.abs(plain).sum(0) > 0
+    assert np.allclose(flows[:, steep], plain[:, steep], atol=1e-6) or np.allclose((flows * plain).sum(0)[steep & ((plain**2).sum(0) > 0.5)], 1, atol=1e-3)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 6), st.integers(1, 6), st.integers(0, 10**6))
+def test_sparse_assignment_is_the_best(n, m, seed):
+    rng = np.random.default_rng(seed)
+    worth = np.where(rng.random((n, m)) < 0.5, rng.integers(1, 20, (n, m)), 0).astype(float)
+    i, j = np.nonzero(worth)
+    taken = k.best_pairs(i, j, worth[i, j])
+    assert len(set(i[taken])) == len(set(j[taken])) == taken.sum()
+    small = worth if n <= m else worth.T
+    best = max(sum(small[r, p[r]] for r in range(len(small))) for p in permutations(range(max(n, m)), len(small)))
+    assert worth[i, j][taken].sum() == best
+
+
+def test_outlines_are_traced():
+    square = np.zeros((6, 7), bool)
+    square[1:4, 2:5] = True
+    points = k.outline(square)
+    assert points[0].tolist() == [2, 1] and len(points) == 8 and len({tuple(p) for p in points}) == 8
+    steps = np.abs(np.diff(np.vstack([points, points[:1]]), axis=0)).max(1)
+    assert (steps == 1).all() and [4, 1] in points.tolist() and [3, 2] not in points.tolist()
+    assert k.outline(np.ones((1, 1), bool)).tolist() == [[0, 0]] and len(k.outline(np.zeros((3, 3), bool))) == 0
+    line = k.outline(np.ones((1, 3), bool)).tolist()
+    assert line == [[0, 0], [1, 0], [2, 0], [1, 0]]
+    two = np.zeros((5, 9), bool)
+    two[0, 0], two[1:4, 3:8] = True, True
+    assert len(k.outline(two)) == 12  # of the larger part
+
+
+def test_band_pass_is_a_blur_less_a_blur():
+    a = np.random.default_rng(1).random((16, 20))
+    assert np.allclose(k.band_passed(a), a) and abs(k.band_passed(a, 2.0).mean() - a.mean()) < 1e-9 and k.band_passed(a, 2.0).std() < a.std()
+    assert np.allclose(k.band_passed(a, 1.0, 3.0), k.band_passed(a, 1.0) - k.band_passed(a, 3.0)) and abs(k.band_passed(a, 1.0, 3.0).mean()) < 1e-9
+    y, x = (np.minimum(np.arange(n), n - np.arange(n)) for n in a.shape)
+    kernel = np.exp(-(y[:, None] ** 2 + x[None, :] ** 2) / 2)
+    kernel /= kernel.sum()
+    direct = sum(kernel[dy, dx] * np.roll(a, (dy, dx), (0, 1)) for dy in range(16) for dx in range(20))
+    assert np.allclose(k.band_passed(a, 1.0), direct)
+
+
+def test_volumes_flow_back():
+    a = np.zeros((20, 24, 24), np.int64)
+    a[3:12, 3:12, 3:12], a[4:16, 14:22, 12:22] = 1, 2
+    back = k.gather(k.follow(k.to_flows(a), a > 0, 60), a > 0)
+    for label in (1, 2):
+        inside = back[a == label]
+        assert (inside == np.bincount(inside).argmax()).mean() > 0.95 and np.bincount(inside).argmax() > 0
+
+
+def test_large_images_take_little_time():
+    rng = np.random.default_rng(0)
+    yy, xx = np.indices((512, 512))
+    a = np.zeros((512, 512), np.int64)
+    for n, (cy, cx) in enumerate(((cy, cx) for cy in range(8, 512, 16) for cx in range(8, 512, 16)), 1):
+        box = np.s_[cy - 8 : cy + 8, cx - 8 : cx + 8]
+        a[box][(yy[box] - cy) ** 2 + (xx[box] - cx) ** 2 <= rng.integers(16, 50)] = n
+        a[cy, cx] = a[cy, cx] if n % 3 else 0
+    b = np.roll(a, 2, 1)
+    d = k.distance(a > 0)
+    runs = {
+        "components": lambda: k.components(a > 0), "clean": lambda: k.clean(a, 15), "iou_matrix": lambda: k.iou_matrix(a, b), "optimal_matching": lambda: k.optimal_matching(a, b), "distance": lambda: k.distance(a > 0),
+        "peaks": lambda: k.peaks(d, 3), "classical": lambda: k.classical(d, 3), "to_flows": lambda: k.to_flows(a), "stitch": lambda: k.stitch([a, b, a]), "clean_object": lambda: k.clean_object(a == 5, 2),
+    }
+    took = {}
+    for name, run in runs.items():
+        began = time.process_time()
+        run()
+        took[name] = time.process_time() - began
+    assert max(took.values()) < 2, took  # a second and what a busy machine adds
+    filled = k.clean(a, 15)
+    assert len(np.unique(filled)) == 1025 and k.optimal_matching(a, a)["tp"] == 1024

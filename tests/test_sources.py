@@ -113,6 +113,10 @@ def test_stream_keeps_latest(spark, tmp_path):
             spark.createDataFrame([("a", 2, 9), ("b", 0, 7)], schema).write.mode("append").parquet(str(tmp_path / "in"))
     got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/batch=1").select("k", "n", "v").collect()}
     assert got == {("a", 2, 9), ("b", 1, 2)}
+    spark.createDataFrame([("c", 5, 5), ("a", 1, 0)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    results.keep_latest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), ["k"], ["n"]).awaitTermination(60)
+    assert spark.read.parquet(f"{tmp_path}/out/batch=2").count() == 2  # only what the batch touched is written
+    assert {tuple(r) for r in results.current(spark, f"{tmp_path}/out", ["k"]).select("k", "n", "v").collect()} == {("a", 2, 9), ("b", 1, 2), ("c", 5, 5)}
 
 
 def pair(spark, rows):
@@ -166,3 +170,157 @@ def test_frames_maps_and_packs(spark, tmp_path):
     lines = tables.latex_rows(spark.createDataFrame([("a_b", 0.5, None)], "m string, x double, y double"), "m", ["x", "y"]).first()["line"]
     assert lines == r"a\_b & 0.5000 & — \\"
     assert json.loads(tables.progress_line(1, 4, 2.0, "s", "now")) == {"sample": "s", "current": 1, "total": 4, "pct": 25.0, "eta_s": 6.0, "at": "now"}
+
+
+def test_matching_at_any_threshold(spark):
+    from itertools import permutations
+
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for img in range(40):
+        n = rng.integers(0, 12, (4, 4))
+        rows += [(img, g + 1, p + 1, int(n[g, p])) for g in range(4) for p in range(4) if n[g, p]] + [(img, 0, 0, 5)]
+        iou = n / np.maximum(n.sum(1)[:, None] + n.sum(0)[None, :] - n, 1)
+        for t in (0.1, 0.15, 0.3, 0.5, 0.9):
+            want[img, t] = max(sum(iou[i, q[i]] >= t for i in range(4)) for q in permutations(range(4)))
+    t = pair(spark, rows)
+    got = {(r["img"], r["t"]): r["tp"] for r in metrics.detection(t, (0.1, 0.15, 0.3, 0.5, 0.9)).collect()}
+    assert got == want
+    only_low = {(r["img"], r["t"]): r["tp"] for r in metrics.detection(t, (0.1, 0.3)).collect()}
+    assert only_low == {k_: v for k_, v in want.items() if k_[1] in (0.1, 0.3)}
+
+
+def test_logs_are_told_apart(spark):
+    lines = [("a.log", 1, "label 3: no fg seeds, kept Base mask"), ("b.log", 1, "label 3: area=7 < min_cell_area, kept Base mask"), ("b.log", 2, "label 4: bbox=(1,2,3,4) placed_pixels=9"), ("b.log", 3, "label 4: no fg seeds, kept Base mask"), ("b.log", 4, "done")]
+    frame = spark.createDataFrame(lines, "file string, n int, line string")
+    got = {(r["file"], r["label"], r["status"], r["placed"]) for r in text.parse_log(frame, keys=["file"]).collect()}
+    assert got == {("a.log", 3, "no_fg_seeds_fallback", None), ("b.log", 3, "min_cell_area_fallback", 7), ("b.log", 4, "no_fg_seeds_fallback", None)}
+
+
+def test_numbers_and_shards_without_one_window(spark):
+    from tessella.operators import compare
+
+    values = [((i * 7919) % 1000, i) for i in range(3000)]
+    frame = spark.createDataFrame(values, "v int, i int").repartition(7)
+    got = [(r["v"], r["i"]) for r in compare.numbered(frame, ["v", "i"]).orderBy("at").collect()]
+    assert got == sorted(values) and compare.numbered(frame, ["v", "i"]).agg(F.max("at"), F.count_distinct("at")).first()[:] == (2999, 3000)
+    assert [r["i"] for r in compare.shard(frame, "i", 10, 3, 4).orderBy("at").collect()] == [3, 13, 23, 33]
+    assert "Window [" not in compare.shard(frame, "i", 10, 3)._jdf.queryExecution().executedPlan().toString() or compare.numbered(frame.limit(0), ["v"]).count() == 0
+
+
+def test_cells_meet_pixels_of_their_tiles(spark):
+    from tessella.operators import boundary, labels
+
+    rng = np.random.default_rng(2)
+    rows = [(i, y, x, int(rng.integers(0, 9)), int(rng.integers(0, 9))) for i in range(2) for y in range(14) for x in range(11)]
+    frame = spark.createDataFrame(rows, "img int, y int, x int, gt int, pr int")
+    table = labels.contingency(frame)
+    few, many = (sorted(map(tuple, boundary.cells(frame, table, 1, 14, 11, tile=t).collect())) for t in (3, 100))
+    assert few == many and len(few) > 1000
+
+
+def test_block_store_and_block_runs(spark, tmp_path):
+    from tessella.operators import blocks, kernels
+    from tessella.sources import blocks as store
+
+    rng = np.random.default_rng(3)
+    a = (rng.random((2, 30, 22)) < 0.5).astype(np.int64)
+    rows = spark.createDataFrame([(i, y, x, int(v)) for (i, y, x), v in np.ndenumerate(a)], "img int, y int, x int, v long")
+    store.write_blocks(rows, str(tmp_path / "s"), 8)
+    assert sorted(map(tuple, store.read_blocks(spark, str(tmp_path / "s")).select("img", "y", "x", "v").collect())) == sorted(map(tuple, rows.collect()))
+    part = store.read_blocks(spark, str(tmp_path / "s"), rows=(9, 17))
+    assert {r["y"] for r in part.select("y").distinct().collect()} == set(range(9, 17)) and "PartitionFilters: [isnotnull(by" in part._jdf.queryExecution().toString()
+    joined, boxes = blocks.join_blocks(blocks.run_blocks(rows, lambda b: kernels.components(b > 0, kernels.FOUR), "v", 8, 2, 30, 22), 8, 4)
+    for i in range(2):
+        want = kernels.components(a[i] > 0, kernels.FOUR)
+        got = np.zeros(want.shape, np.int64)
+        for r in joined.where(F.col("img") == i).collect():
+            got[r["y"], r["x"]] = r["label"]
+        assert len(set(zip(got.ravel(), want.ravel(), strict=True))) == len(np.unique(want)) == len(np.unique(got))
+    assert boxes.count() == joined.where("label > 0").select("label").distinct().count()
+    doubled = blocks.run_blocks(rows, lambda b: b, "v", 8, 0, 30, 22, steps=[lambda b: b * 2])
+    assert doubled.agg(F.sum("label")).first()[0] == 2 * a.sum()
+    named = store.blocks_of_files(spark.createDataFrame([("v_Z1Y22X3.tif",), ("other.tif",)], "path string"))
+    assert [tuple(r)[1:] for r in named.collect()] == [(1, 22, 3)]
+
+
+def test_data_sets_in_their_layouts(spark, tmp_path):
+    from tessella.sources import datasets
+
+    for case, parts in (("c1", 2), ("c2", 1)):
+        (tmp_path / "dsb" / case / "masks").mkdir(parents=True)
+        for k in range(parts):
+            m = np.zeros((4, 5), np.int64)
+            m[k, k : k + 2] = 255
+            (tmp_path / "dsb" / case / "masks" / f"{'ba'[k]}.png").write_bytes(images.write_png(m))
+    got = {(r["case_id"], r["instance"], r["y"], r["x"]) for r in datasets.instance_masks(spark, str(tmp_path / "dsb")).collect()}
+    assert got == {("c1", 2, 0, 0), ("c1", 2, 0, 1), ("c1", 1, 1, 1), ("c1", 1, 1, 2), ("c2", 1, 0, 0), ("c2", 1, 0, 1)}
+
+    (tmp_path / "folds").mkdir()
+    fold = np.arange(24, dtype=np.float64).reshape(2, 2, 3, 2)
+    np.save(tmp_path / "folds" / "fold_2.npy", fold)
+    rows = {(r["sample_id"], r["y"], r["x"], r["c"]): r["v"] for r in datasets.fold_samples(spark, str(tmp_path / "folds")).collect()}
+    assert len(rows) == 24 and rows["fold2_00001", 1, 2, 0] == fold[1, 1, 2, 0]
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "s1_tile.xml").write_text('<tile><bounds x1="1" y1="2" x2="30" y2="40"/></tile>')
+    (tmp_path / "lab.json").write_text(json.dumps([{"path": "w", "tiles": [{"rects": [[1, 2, 30, 40]], "segmentation_layers": [{"name": "Cells (x)", "polygons": [[[1, 2], [3, 4], [5, 6]], [[0, 0], [1, 1]]]}]}, {"rects": [[9, 9, 9, 9]], "segmentation_layers": []}, {"rects": []}]}]))
+    got = {(r["slice"], r["tile"], r["layer"], r["polygon"], len(r["points"])) for r in datasets.slice_layers(spark, str(tmp_path / "lab.json"), str(tmp_path / "t")).collect()}
+    assert got == {("w", "s1", "cells", 1, 3), ("w", "s1", "cells", 2, 2)}
+
+    xml = '<Annotations><Annotation Id="1"><Attributes><Attribute Name="Epithelial"/></Attributes><Regions><Region><Vertices><Vertex X="1" Y="2"/><Vertex X="3" Y="4"/></Vertices></Region></Regions></Annotation><Annotation Id="2"><Attributes><Attribute Name="Neutrophil"/></Attributes><Region><Vertices><Vertex X="5" Y="6"/></Vertices></Region></Annotation></Annotations>'
+    rows = datasets.class_polygons(spark.createDataFrame([("i", xml)], "name string, xml string")).collect()
+    assert {(r["class"], r["region"], r["vertex"], r["x"]) for r in rows} == {("Epithelial", 1, 1, 1.0), ("Epithelial", 1, 2, 3.0), ("Neutrophil", 1, 1, 5.0)}
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.png").write_bytes(b"x"), (tmp_path / "m" / "a.xml").write_text(xml), (tmp_path / "m" / "b.xml").write_text(xml)
+    assert [r["stem"] for r in datasets.annotated_images(spark, str(tmp_path / "m"), str(tmp_path / "m")).collect()] == ["a"]
+
+
+def test_bitmaps():
+    a = np.random.default_rng(5).integers(0, 256, (3, 5, 3)).astype(np.uint8)
+    rows = b"".join(r[:, ::-1].tobytes().ljust(16, b"\0") for r in a[::-1])
+    head = lambda depth, height, colours: b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + 4 * colours) + struct.pack("<IiiHHIIiiII", 40, 5, height, 1, depth, 0, 0, 0, 0, colours, 0)
+    assert (images.decode("x.bmp", head(24, 3, 0) + rows) == a).all()
+    grey = b"".join(struct.pack("BBBB", v, v, v, 0) for v in range(256))
+    assert (images.decode("x.bmp", head(8, -3, 256) + grey + b"".join(r.tobytes().ljust(8, b"\0") for r in a[:, :, 0])) == a[:, :, 0]).all()
+
+
+def test_outlines_and_region_files(spark):
+    import io
+    import zipfile
+
+    labels = spark.createDataFrame([("i", y, x, 1 + int(x > 4)) for y in range(3) for x in (*range(3), *range(5, 9))], "img string, y int, x int, label int")
+    made = tables.traced(labels)
+    assert {(r["name"], r["n"]) for r in made.collect()} == {("0001", 8), ("0002", 10)}
+    one = tables.roi_archives(made).first()
+    with zipfile.ZipFile(io.BytesIO(bytes(one["content"]))) as archive:
+        assert archive.namelist() == ["0001.roi", "0002.roi"]
+        data = archive.read("0002.roi")
+    top, left, bottom, right, n = struct.unpack(">hhhhh", data[8:18])
+    xs = struct.unpack(f">{n}h", data[64 : 64 + 2 * n])
+    assert data[:4] == b"Iout" and (top, left, bottom, right, n) == (0, 5, 2, 8, 10) and xs[0] == 0 and max(xs) == 3
+
+
+def test_benchmark_resumes(spark, tmp_path):
+    from tessella.operators import methods
+
+    rows = spark.createDataFrame([(s, y, x, float(x - s), int(x > 1)) for s in range(4) for y in range(3) for x in range(4)], "sample_id int, y int, x int, v double, gt int")
+    known = {"a": F.col("v") > 0, "b": F.col("v") > 1}
+    first = methods.resume(spark, str(tmp_path / "scores"), rows.select("sample_id").where("sample_id < 2").distinct(), rows, known)
+    assert first.count() == 4
+    again = methods.resume(spark, str(tmp_path / "scores"), rows.select("sample_id").distinct(), rows, known)
+    assert again.count() == 8 and spark.read.parquet(str(tmp_path / "scores")).count() == 8
+    dice = {(r["sample_id"], r["method"]): r["dice"] for r in again.collect()}
+    assert dice[1, "a"] == 1.0 and dice[0, "b"] == 1.0 and dice[3, "a"] == 0.0
+
+
+def test_directions_of_largest_variance(spark):
+    from tessella.operators import neighbours
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 5)) * [5, 3, 1, 0.5, 0.1]
+    frame = spark.createDataFrame([(i, 0, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, 0, None)], "vec_id int, label int, embedding array<double>")
+    got = np.array([[r["pc1"], r["pc2"]] for r in neighbours.principal(frame, 2).orderBy("vec_id").collect()])
+    axes = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:2]
+    axes *= np.sign(axes[np.arange(2), np.abs(axes).argmax(1)])[:, None]
+    assert got.shape == (200, 2) and np.allclose(got, x @ axes.T, atol=1e-8)
