@@ -274,10 +274,13 @@ def flows_and_back(spark, d):
     return k.per_image(grid(spark, d), there, "label", "label", SIDE, SIDE)
 
 
-@register("sharpened")
+WEIGHTS = "SELECT dy, dx, exp(-d / 0.5) / sum(exp(-d / 0.5)) OVER () - exp(-d / 8.0) / sum(exp(-d / 8.0)) OVER () AS w FROM (SELECT CAST(a AS INTEGER) AS dy, CAST(b AS INTEGER) AS dx, least(a, 8 - a) * least(a, 8 - a) + least(b, 8 - b) * least(b, 8 - b) AS d FROM range(0, 8) u(a), range(0, 8) v(b))"
+
+
+@register("sharpened", sql("pix", "SELECT p.img, p.y, p.x, round(sum(q.v * w), 6) AS v FROM pix p JOIN pix q ON q.img = p.img JOIN weights ON dy = (p.y - q.y + 8) % 8 AND dx = (p.x - q.x + 8) % 8 GROUP BY p.img, p.y, p.x", weights=WEIGHTS))
 def sharpened(spark, d):
     """Images less their own blur, after a little smoothing."""
-    return k.per_image(pix(spark, d), lambda a: k.band_passed(a, 0.5, 2.0), "v", "v", SIDE, SIDE, kind="double").select("img", "y", "x", F.round("v", 9).alias("v"))
+    return k.per_image(pix(spark, d), lambda a: k.band_passed(a, 0.5, 2.0), "v", "v", SIDE, SIDE, kind="double").select("img", "y", "x", F.round("v", 6).alias("v"))
 
 
 @register("traced_outlines")
@@ -286,7 +289,15 @@ def traced_outlines(spark, d):
     return tables.traced(grid(spark, d).where("label > 0"))
 
 
-@register("cleaned_objects")
+CROSS = "abs(a.y - b.y) + abs(a.x - b.x) <= 1"
+
+
+@register("cleaned_objects", sql("pix", "SELECT p.img, p.y, p.x, w.root IS NOT NULL AS object FROM pix p LEFT JOIN parts t ON t.img = p.img AND t.y = p.y AND t.x = p.x LEFT JOIN won w ON w.img = t.img AND w.root = t.root", recursive=True,
+    fg="SELECT img, y, x FROM pix WHERE v > 0", wide="SELECT img, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM (SELECT DISTINCT img FROM pix), range(-1, 9) u(y), range(-1, 9) v(x)",
+    grown=f"SELECT DISTINCT a.img, a.y, a.x FROM wide a JOIN fg b ON a.img = b.img AND {CROSS}", shut=f"SELECT a.img, a.y, a.x FROM grown a JOIN grown b ON a.img = b.img AND {CROSS} GROUP BY ALL HAVING count(*) = 5",
+    open_="SELECT w.* FROM wide w ANTI JOIN shut s ON s.img = w.img AND s.y = w.y AND s.x = w.x", outside=f"SELECT img, y, x FROM open_ WHERE y = -1 AND x = -1 UNION SELECT a.img, a.y, a.x FROM open_ a JOIN outside b ON a.img = b.img AND {CROSS}",
+    whole="SELECT p.img, p.y, p.x, p.pos FROM pix p ANTI JOIN outside o ON o.img = p.img AND o.y = p.y AND o.x = p.x", reach="SELECT img, pos, y, x, pos AS root FROM whole UNION SELECT a.img, a.pos, a.y, a.x, b.root FROM whole a JOIN reach b ON a.img = b.img AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1",
+    parts="SELECT img, y, x, min(root) AS root FROM reach GROUP BY img, y, x", won="SELECT img, root FROM parts GROUP BY img, root QUALIFY row_number() OVER (PARTITION BY img ORDER BY count(*) DESC, root) = 1"))
 def cleaned_objects(spark, d):
     """Foregrounds with gaps closed and holes filled, and of that the largest component."""
     return k.per_image(pix(spark, d), lambda a: k.clean_object(a > 0, 1), "v", "object", SIDE, SIDE, kind="boolean")
