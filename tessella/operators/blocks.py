@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.kernels import by_group
 from tessella.operators.labels import block_faces, components, global_ids, merge_boxes, settle, shrunk_faces
 
 
@@ -46,7 +47,7 @@ def run_blocks(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], v: s
 
     spread = in_blocks(rows.select(*names, "y", "x", v), size, halo, height, width)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in names) + ", by int, bx int, y int, x int, label long"
-    return spread.groupBy(*names, "by", "bx").applyInPandas(run, schema)
+    return by_group(spread, [*names, "by", "bx"], run, schema)
 
 
 def join_blocks(parts: DataFrame, size: int, across: int, shrink: bool = False, keys: Sequence[str] = ("img",)) -> tuple[DataFrame, DataFrame]:

@@ -15,24 +15,25 @@ def disk(radius: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
 
 
-def thick(rows: DataFrame, label: str, keys: Sequence[str] = ("img",)) -> Column:
-    """True where one of the four neighbours inside the map has another label; for dense rows (keys, y, x)."""
-    row, column = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
-    near = [f(label, 1).over(w) for w in (row, column) for f in (F.lag, F.lead)]
-    out = F.lit(False)
-    for n in near:
-        out = out | F.coalesce(n != F.col(label), F.lit(False))
-    return out
-
-
-def contour(label: str, keys: Sequence[str] = ("img",)) -> Column:
-    """One-pixel contours of a 0/1 mask: where it differs from its right, lower or lower-right neighbour inside the map."""
-    m = F.col(label)
-    row, column = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
-    diagonal = Window.partitionBy(*keys, F.col("y") - F.col("x")).orderBy("x")
-    right, below, corner = F.lead(label, 1).over(row), F.lead(label, 1).over(column), F.lead(label, 1).over(diagonal)
-    differ = lambda n: F.coalesce(n != m, F.lit(False))
-    return differ(right) | differ(below) | differ(corner)
+#: Neighbours that make a pixel a thick boundary, and those that make it a contour.
+CROSS, CORNER = ((-1, 0), (0, -1), (0, 1), (1, 0)), ((0, 1), (1, 0), (1, 1))
+
+
+def bordered(rows: DataFrame, marks: dict[str, str], near: Sequence[tuple[int, int]], keys: Sequence[str] = ("img",)) -> DataFrame:
+    """rows (keys, y, x, …) with a mark for each label: does a neighbour inside the map have another label.
+
+    Every pixel tells those that it is a neighbour of, and one grouped pass takes the extremes of what a pixel was told.
+    That is one shuffle, after most of it is summed where it is: pixels of an image are stored together.
+    """
+    rest = [c for c in rows.columns if c not in (*keys, "y", "x")]
+    step = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), *((-dy, -dx) for dy, dx in near))]))
+    told = rows.withColumn("_s", step).withColumn("_own", (F.col("_s.dy") == 0) & (F.col("_s.dx") == 0))
+    told = told.select(*keys, (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x") + F.col("_s.dx")).alias("x"), "_own", *rest)
+    labels = sorted(set(marks.values()))
+    ends = [f(F.when(~F.col("_own"), F.col(c))).alias(f"_{n}_{c}") for c in labels for n, f in (("lo", F.min), ("hi", F.max))]
+    met = told.groupBy(*keys, "y", "x").agg(*[F.max(F.when(F.col("_own"), F.col(c))).alias(c) for c in rest], *ends, F.count_if("_own").alias("_n")).where("_n > 0")
+    differs = {m: F.coalesce((F.col(f"_lo_{c}") != F.col(c)) | (F.col(f"_hi_{c}") != F.col(c)), F.lit(False)) for m, c in marks.items()}
+    return met.withColumns(differs).select(*rows.columns, *marks)
 
 
 def within(points: DataFrame, others: DataFrame, radius: int, keys: Sequence[str] = ("img",)) -> DataFrame:
@@ -44,7 +45,7 @@ def within(points: DataFrame, others: DataFrame, radius: int, keys: Sequence[str
 
 def pooled(pair: DataFrame, radius: int = 2) -> DataFrame:
     """Recall, precision and F of thick boundaries over all images together; null if either side has no boundary."""
-    marked = pair.withColumns({"bg": thick(pair, "gt"), "bp": thick(pair, "pr")})
+    marked = bordered(pair, {"bg": "gt", "bp": "pr"}, CROSS)
     g, p = marked.where("bg").select("img", "y", "x"), marked.where("bp").select("img", "y", "x")
     n = [d.agg(F.count("*").alias(k)) for d, k in ((g, "ng"), (p, "np"), (within(g, p, radius), "hg"), (within(p, g, radius), "hp"))]
     one = n[0].crossJoin(n[1]).crossJoin(n[2]).crossJoin(n[3])  # four single rows
@@ -74,7 +75,7 @@ def cells(pair: DataFrame, table: DataFrame, margin: int, height: int, width: in
 def recall_by_cell(crops: DataFrame, radius: int = 2) -> DataFrame:
     """Share of each cell's thick boundary near its prediction's; null without a boundary, 0 without a predicted one."""
     keys = ["img", "cell"]
-    marked = crops.withColumns({"bg": thick(crops, "g", keys), "bp": thick(crops, "p", keys)})
+    marked = bordered(crops, {"bg": "g", "bp": "p"}, CROSS, keys)
     g, p = marked.where("bg").select(*keys, "y", "x"), marked.where("bp").select(*keys, "y", "x")
     hit = within(g, p, radius, keys).groupBy(*keys).agg(F.count("*").alias("hit"))
     every = marked.groupBy(*keys).agg(F.count_if("bg").alias("n"))
@@ -85,7 +86,7 @@ def contour_f_by_cell(crops: DataFrame, share: float = 0.0075) -> DataFrame:
     """Contour precision, recall and F of each cell within a tolerance that grows with the diagonal of its crop."""
     keys = ["img", "cell"]
     radius = F.greatest(F.lit(1), F.ceil(share * F.sqrt(F.col("h") * F.col("h") + F.col("w") * F.col("w")))).cast("int")
-    marked = crops.withColumns({"bg": contour("g", keys), "bp": contour("p", keys), "r": radius})
+    marked = bordered(crops, {"bg": "g", "bp": "p"}, CORNER, keys).withColumn("r", radius)
     disk_of = F.expr("flatten(transform(sequence(-r, r), dy -> transform(sequence(-r, r), dx -> struct(dy, dx))))")
 
     def near(points: DataFrame, others: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def scales(pair: DataFrame, table: DataFrame, factors: Sequence[float] = (0.05,
     """(factor, precision, recall, f) of thick boundaries per image, within tolerances that are shares of the median diameter."""
     areas = table.where("gt > 0").groupBy(*img, "gt").agg(F.sum("n").alias("a"))
     size = areas.groupBy(*img).agg((F.percentile(F.sqrt("a"), 0.5) / (F.sqrt(F.pi()) / 2)).alias("d"))
-    marked = pair.withColumns({"bg": thick(pair, "gt", img), "bp": thick(pair, "pr", img)}).join(size, list(img)).withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
+    marked = bordered(pair, {"bg": "gt", "bp": "pr"}, CROSS, img).join(size, list(img)).withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
     marked = marked.withColumn("r", F.greatest(F.lit(1), F.ceil(F.col("factor") * F.col("d"))).cast("int"))
     keys = [*img, "factor"]
     disk_of = F.expr("flatten(transform(sequence(-r, r), dy -> transform(sequence(-r, r), dx -> struct(dy, dx))))")

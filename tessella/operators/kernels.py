@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
@@ -17,6 +17,40 @@ EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
 
 
+def by_group(rows: DataFrame, keys: Sequence[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """run on the rows of each group, as a grouped map does, for many small groups: they come sorted, in large batches.
+
+    What a task holds is a batch and the group that goes on after it. Null keys form a group of their own.
+    """
+    names = list(keys)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # kernels take time that the size of rows does not tell
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            on = batch[names]
+            before = on.shift()
+            new = ((on != before) & ~(on.isna() & before.isna())).any(axis=1).to_numpy()
+            key = [None if pd.isna(v) else v for v in on.iloc[0]]
+            new[0] = bool(held) and key != last
+            at = np.flatnonzero(new)
+            last = [None if pd.isna(v) else v for v in on.iloc[-1]]
+            if not len(at):
+                held.append(batch)
+                continue
+            done = [run(pd.concat([*held, batch.iloc[: at[0]]], ignore_index=True))] if held or at[0] else []
+            done += [run(batch.iloc[i:j].reset_index(drop=True)) for i, j in zip(at[:-1], at[1:], strict=True)]
+            held = [batch.iloc[at[-1] :]]
+            yield pd.concat(done, ignore_index=True)
+        if held:
+            yield run(pd.concat(held, ignore_index=True))
+
+    return rows.repartition(parts, *names).sortWithinPartitions(*names).mapInPandas(work, schema)
+
+
 def per_image(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], v: str, out: str, height: int, width: int, keys: Sequence[str] = ("img",), kind: str = "long") -> DataFrame:
     """(keys, y, x, out) of a kernel from array to array; pixels that have no row are 0."""
     names = list(keys)
@@ -30,7 +64,7 @@ def per_image(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], v: st
 
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{k}` {fields[k]}" for k in names) + f", y int, x int, {out} {kind}"
-    return rows.select(*names, "y", "x", v).groupBy(*names).applyInPandas(run, schema)
+    return by_group(rows.select(*names, "y", "x", v), names, run, schema)
 
 
 def per_pair(pair: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict[str, float]], schema: str, height: int, width: int, keys: Sequence[str] = ("img",)) -> DataFrame:
@@ -46,7 +80,7 @@ def per_pair(pair: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict[st
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in names}, **kernel(*grids)}])
 
     fields = {f.name: f.dataType.simpleString() for f in pair.schema}
-    return pair.select(*names, "y", "x", "gt", "pr").groupBy(*names).applyInPandas(run, ", ".join(f"`{k}` {fields[k]}" for k in names) + ", " + schema)
+    return by_group(pair.select(*names, "y", "x", "gt", "pr"), names, run, ", ".join(f"`{k}` {fields[k]}" for k in names) + ", " + schema)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

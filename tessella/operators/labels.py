@@ -200,11 +200,14 @@ def dilate(labels: DataFrame, label: str, height: int, width: int, img: Sequence
 
 
 def erode(labels: DataFrame, label: str, img: Sequence[str] = ("img",)) -> DataFrame:
-    """Pixels whose four neighbours all lie in the image and have the same label."""
-    row, column = Window.partitionBy(*img, "y").orderBy("x"), Window.partitionBy(*img, "x").orderBy("y")
-    near = [f(label, 1).over(w) for w in (row, column) for f in (F.lag, F.lead)]
-    same = [F.coalesce(n == F.col(label), F.lit(False)) for n in near]
-    return labels.withColumn("inner", (F.col(label) > 0) & same[0] & same[1] & same[2] & same[3])
+    """Pixels whose four neighbours all lie in the image and have the same label: one grouped pass over what neighbours tell."""
+    rest = [c for c in labels.columns if c not in (*img, "y", "x")]
+    step = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (-1, 0), (0, -1), (0, 1), (1, 0))]))
+    told = labels.withColumn("_s", step).withColumn("_own", (F.col("_s.dy") == 0) & (F.col("_s.dx") == 0))
+    told = told.select(*img, (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x") + F.col("_s.dx")).alias("x"), "_own", *rest)
+    met = told.groupBy(*img, "y", "x").agg(*[F.max(F.when(F.col("_own"), F.col(c))).alias(c) for c in rest], F.min(label).alias("_lo"), F.max(label).alias("_hi"), F.count("*").alias("_n"), F.count_if("_own").alias("_here"))
+    inner = (F.col(label) > 0) & (F.col("_n") == 5) & (F.col("_lo") == F.col("_hi"))
+    return met.where("_here > 0").withColumn("inner", inner).select(*labels.columns, "inner")
 
 
 def opening(labels: DataFrame, label: str, steps: int, height: int, width: int, wanted: int = 1, background: int = 2, img: Sequence[str] = ("img",)) -> DataFrame:

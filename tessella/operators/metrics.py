@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.kernels import best_pairs, matching_scores
+from tessella.operators.kernels import best_pairs, by_group, matching_scores
 from tessella.operators.labels import iou_pairs, with_areas
 
 #: The ten thresholds as they come out of floating-point steps of 0.05 (fixed values): 0.75 is not one of them.
@@ -67,7 +67,7 @@ def _assigned(candidates: DataFrame, img: Sequence[str]) -> DataFrame:
         iou = rows["iou"].to_numpy()
         return rows[best_pairs(rows["gt"].to_numpy(), rows["pr"].to_numpy(), 1 + iou / (2 * len(rows)))]
 
-    return candidates.groupBy(*img, "t").applyInPandas(choose, candidates.schema)
+    return by_group(candidates, [*img, "t"], choose, candidates.schema)
 
 
 def optimal(table: DataFrame, threshold: float = 0.5, img: Sequence[str] = ("img",)) -> DataFrame:
@@ -83,7 +83,7 @@ def optimal(table: DataFrame, threshold: float = 0.5, img: Sequence[str] = ("img
         found = matching_scores(*(rows[c].to_numpy() for c in ("gt", "pr", "n", "iou")), int(rows["fewest"].iloc[0]), threshold)
         return pd.DataFrame([{**{k: rows[k].iloc[0] for k in img}, **dict(zip(("tp", "iou_sum", "overlap"), found, strict=True))}])
 
-    scored = pairs.groupBy(*img).applyInPandas(score, ", ".join(f"`{k}` {kinds[k]}" for k in img) + ", tp long, iou_sum double, overlap long")
+    scored = by_group(pairs, img, score, ", ".join(f"`{k}` {kinds[k]}" for k in img) + ", tp long, iou_sum double, overlap long")
     rows = areas.join(scored, list(img), "left").fillna(0, ["tp", "overlap"]).fillna(0.0, ["iou_sum"])
     return rows.select(*img, "tp", "iou_sum", ratio(F.col("overlap"), F.col("together"), 1.0).alias("aji_fused"))
 

@@ -285,7 +285,7 @@ NEAR = "(o.y - s.y) * (o.y - s.y) + (o.x - s.x) * (o.x - s.x) <= 4"
 @register("thick_boundary_pixels", sql("lab", "SELECT img, count(*) FILTER (bg) AS n_gt, count(*) FILTER (bp) AS n_pr FROM th GROUP BY img", th=THICK))
 def thick_boundary_pixels(spark, d):
     rows = lab(spark, d)
-    return rows.withColumns({"bg": b.thick(rows, "gt"), "bp": b.thick(rows, "pr")}).groupBy("img").agg(F.count_if("bg").alias("n_gt"), F.count_if("bp").alias("n_pr"))
+    return b.bordered(rows, {"bg": "gt", "bp": "pr"}, b.CROSS).groupBy("img").agg(F.count_if("bg").alias("n_gt"), F.count_if("bp").alias("n_pr"))
 
 
 @register("br_pooled", sql("lab", f"""SELECT round(r, 6) AS recall, round(p, 6) AS precision, round(2 * r * p / (r + p), 6) AS f FROM (SELECT

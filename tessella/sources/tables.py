@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import markdown_row, mean_cell
 from tessella.operators.compare import finite
-from tessella.operators.kernels import boxes, outline
+from tessella.operators.kernels import boxes, by_group, outline
 
 #: Columns of result files, the metrics among them, and the shape of a tile's bounds (fixed values).
 SCORE_SCHEMA = "dataset string, sample_id string, category string, method string, br_mean_strict string, br_seraph string, boundary_precision_seraph string, boundary_f_seraph string, fb_mean_strict string, f_area_mean_strict string, pixel_dice string"
@@ -84,7 +84,7 @@ def traced(labels: DataFrame, label: str = "label", width: int = 4, least: int =
             found.append(points if len(points) >= least else points[:0])
         return pd.DataFrame({"img": rows["img"].iloc[0], label: names, "points": [",".join(map(str, p.ravel().tolist())) for p in found], "n": [len(p) for p in found]})
 
-    done = labels.where(F.col(label) > 0).select("img", label, "y", "x").groupBy("img").applyInPandas(run, f"img {kind['img']}, `{label}` {kind[label]}, points string, n int")
+    done = by_group(labels.where(F.col(label) > 0).select("img", label, "y", "x"), ["img"], run, f"img {kind['img']}, `{label}` {kind[label]}, points string, n int")
     return done.select("img", label, F.lpad(F.col(label).cast("string"), width, "0").alias("name"), "points", "n")
 
 

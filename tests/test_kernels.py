@@ -280,3 +280,20 @@ def test_large_images_take_little_time():
     assert max(took.values()) < 2, took  # a second and what a busy machine adds
     filled = k.clean(a, 15)
     assert len(np.unique(filled)) == 1025 and k.optimal_matching(a, a)["tp"] == 1024
+
+
+def test_groups_come_whole(spark):
+    import pandas as pd
+
+    rows = [(None if k == 3 else k, i) for k in range(9) for i in range(1 + 40 * k)]
+    frame = spark.createDataFrame(rows, "k int, i int").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for keys in (["k"], ["k", "k2"]):
+            found = k.by_group(frame.selectExpr("*", "i % 2 as k2"), keys, lambda p: pd.DataFrame({"k": [p["k"].iloc[0]], "n": [len(p)], "s": [p["i"].sum()]}).astype({"k": "Int64"}), "k int, n long, s long")
+            want = frame.selectExpr("*", "i % 2 as k2").groupBy(*keys).agg({"*": "count", "i": "sum"}).select("k", "count(1)", "sum(i)")
+            assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert k.by_group(frame.limit(0), ["k"], lambda p: p, "k int, i int").count() == 0
