@@ -34,8 +34,8 @@ KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "phone", "card")
 #: What stands before a secret, and how the ids of access keys begin.
 SECRET_WORDS, ACCESS_ID = "p(?:assword|asswd|wd)|s(?:ecret)|t(?:oken)|a(?:pi[_-]?key)|access[_-]?key", "AKIA"
 #: Only texts that hold one of these can hold a find; the others do not leave the JVM. A character that the JVM does not
-#: know (Cn) may be a digit of a later Unicode version.
-CANDIDATE = rf"[\p{{Nd}}\p{{Cn}}@]|{ACCESS_ID}|(?iu:{SECRET_WORDS})"
+#: know (Cn) may be a digit of a later Unicode version. What stands before a secret counts only if its mark stands there too.
+CANDIDATE, SECRET_MARK = r"[\p{Nd}\p{Cn}@]", "[=:]"
 
 #: First and last day of the calendar within which dates are permuted.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
@@ -224,7 +224,7 @@ def _secret(text: str, key: bytes) -> str | None:
 #: find is checked after its first character. That of cards takes whole runs of groups of digits, see ``_cards``.
 FINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes], str | None]], ...] = (
     ("secret", re.compile(rf"{ACCESS_ID[0]}(?<!\w{ACCESS_ID[0]}){ACCESS_ID[1:]}[0-9A-Z]{{16}}(?!\w)"), _secret),
-    ("secret", re.compile(rf"""(?:{SECRET_WORDS})["']?\s{{0,3}}[=:]\s{{0,3}}["']?(?P<v>[\w+/.-]{{8,}}=*)""", re.I), _secret),
+    ("secret", re.compile(rf"""(?:{SECRET_WORDS})["']?\s{{0,3}}{SECRET_MARK}\s{{0,3}}["']?(?P<v>[\w+/.-]{{8,}}=*)""", re.I), _secret),
     ("email", re.compile(r"(?<![\w.+-])(?P<v>[\w.+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"), _email),
     ("iban", re.compile(r"[A-Z](?<![\w][A-Z])[A-Z]\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"), _iban),
     ("date", re.compile(r"\d(?<![\w./-]\d)(?:\d{3}([-/.])\d\d?\1\d\d?|\d?([-/.])\d\d?\2\d{4})(?:(?=[Tt]\d\d)|(?![\w/-]))(?!\.\d)"), _date),
@@ -319,4 +319,5 @@ def _udf(key: bytes) -> Callable:
 
 def pseudonyms(text: Column, key: bytes = KEY) -> Column:
     """A struct of the replaced text (null if nothing changed) and the number of finds of each kind."""
-    return _udf(key)(F.when(text.rlike(CANDIDATE), text))
+    secret = text.rlike(SECRET_MARK) & text.rlike(f"(?iu:{SECRET_WORDS})")
+    return _udf(key)(F.when(text.rlike(CANDIDATE) | F.contains(text, F.lit(ACCESS_ID)) | secret, text))
