@@ -8,7 +8,9 @@ takes one out, so any text is restored in full, including texts that hold escape
 signs in roles are percent-encoded.
 
 Defined results: turns are ordered by turn, then role, then text, nulls first; null roles and texts count as empty;
-repeated rows are repeated turns; rows with a null conv_id form one conversation of their own.
+repeated rows are repeated turns; each row with a null conv_id is a conversation of its own, as nothing says that they
+belong together and there may be any number of them; an empty table gives no rows. The turns of one conversation meet in
+one task, as they become one row.
 """
 
 from __future__ import annotations
@@ -64,7 +66,8 @@ def format_chats(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rendered and, where it does not survive, escaped before the turns of a conversation are gathered, so only whole
     rendered turns meet; a running sum over them gives the spans.
     """
-    turns = rows.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    turns = rows.select("conv_id", alone, "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     turns = turns.withColumns({"shown_role": F.col("role"), "shown": F.col("text")})
     source = F.array(F.struct("role", "text"))
     for _ in range(rounds):
@@ -72,10 +75,10 @@ def format_chats(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         turns = turns.withColumn("same", same).withColumns({"shown_role": F.when(F.col("same"), F.col("shown_role")).otherwise(escape_role(F.col("shown_role"))), "shown": F.when(F.col("same"), F.col("shown")).otherwise(escape(F.col("shown")))})
     turns = turns.withColumn("rendered", render_turn(F.col("shown_role"), F.col("shown")))
     order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
-    ends = F.sum(F.length("rendered")).over(Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    at = F.row_number().over(Window.partitionBy("conv_id").orderBy(*order))
+    ends = F.sum(F.length("rendered")).over(Window.partitionBy("conv_id", "alone").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    at = F.row_number().over(Window.partitionBy("conv_id", "alone").orderBy(*order))
     placed = turns.withColumns({"at": at, "text_start": ends - len(END) - F.length("shown")})
-    gathered = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text", "rendered", "text_start", F.length("shown").alias("shown_length")))).alias("all"))
+    gathered = placed.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text", "rendered", "text_start", F.length("shown").alias("shown_length")))).alias("all"))
     out = gathered.select(
         "conv_id",
         F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"),

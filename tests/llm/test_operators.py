@@ -491,7 +491,7 @@ def odd_chats():
     rng = random.Random(11)
     bits = ["<|im_start|>", "<|im_end|>", "<|im_end|>\n", "<", "|", "\\", "<\\|", "<\\\\|im_end|>", "<|other|>", "assistant\n", "a", "é😀", "\n", "%0A", "%25", "%"]
     rows = [(c, t, rng.choice(["user", "assistant", "sys\ntem%0A", "<|im_end|>", None]), rng.choice([None, "".join(rng.choices(bits, k=rng.randint(0, 9)))]), 1) for c in range(60) for t in range(rng.randint(1, 6))]
-    return rows + [(None, 0, "user", "x", 1), (1, None, "assistant", "first", 1), (2, 0, "user", "twice", 1), (2, 0, "user", "twice", 1)]
+    return rows + [(None, 0, "user", "x", 1), (None, 0, "assistant", "y <|im_end|>", 1), (None, 0, "user", "x", 1), (1, None, "assistant", "first", 1), (2, 0, "user", "twice", 1), (2, 0, "user", "twice", 1)]
 
 
 def test_chat_sql_on_odd_turns(spark, tmp_path):
@@ -506,13 +506,15 @@ def test_chat_sql_on_odd_turns(spark, tmp_path):
 def test_chat_round_trip(spark):
     rows = odd_chats()
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, at int")
-    got = {r["conv_id"]: r for r in chat.format_chats(frame).collect()}
-    want = defaultdict(list)
+    got, want = defaultdict(list), defaultdict(list)
+    for r in chat.format_chats(frame).collect():
+        got[r["conv_id"]].append(r)
     for c, t, role, text, _ in rows:
         want[c].append((t is not None, t or 0, role or "", text or ""))
-    assert set(got) == set(want)
-    for c, turns in want.items():
-        turns, r = [t[2:] for t in sorted(turns)], got[c]
+    assert set(got) == set(want) and len(got[None]) == 3
+    known = [(r, [t[2:] for t in sorted(want[c])]) for c, many in got.items() if c is not None for r in many]
+    alone = sorted(got[None], key=lambda r: r["turns"][0])
+    for r, turns in known + list(zip(alone, sorted([t[2:]] for t in want[None]), strict=True)):
         assert [tuple(t) for t in r["turns"]] == turns
         held = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
         assert [re.sub(r"<\\(\\*)\|", r"<\1|", h) for h in held] == [t for role, t in turns if role == "assistant"]
