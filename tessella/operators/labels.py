@@ -18,6 +18,14 @@ def contingency(pair: DataFrame, img: Sequence[str] = ("img",)) -> DataFrame:
     return pair.groupBy(*img, "gt", "pr").agg(F.count("*").alias("n"))
 
 
+def pair_maps(gt: DataFrame, pr: DataFrame, img: Sequence[str] = ("img",), label: str = "label") -> DataFrame:
+    """(img, y, x, gt, pr) of two maps of the same images; a pixel that only one has, as where shapes differ, is an error."""
+    both = gt.select(*img, "y", "x", F.col(label).alias("gt")).join(pr.select(*img, "y", "x", F.col(label).alias("pr")), [*img, "y", "x"], "full")
+    same = F.col("gt").isNotNull() & F.col("pr").isNotNull()
+    failed = F.raise_error(F.concat(F.lit("the maps differ in shape: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in img]))).cast("int")
+    return both.withColumn("gt", F.when(same, F.col("gt")).otherwise(failed))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df computed once, in the shared folder: for a contingency that several branches of a plan read, as it is far smaller
     than the pixels it comes from."""

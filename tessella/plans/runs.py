@@ -13,7 +13,7 @@ from tessella.operators.labels import contingency, iou_pairs
 from tessella.operators.metrics import counts
 from tessella.plans.fixtures import SIDE, grid, lab, pix, scores, sql, table
 from tessella.plans.registry import register
-from tessella.sources import images
+from tessella.sources import images, tables
 
 
 def files(spark, d, ending: str, below: int, suffix: str = "") -> DataFrame:
@@ -151,3 +151,18 @@ def instance_numbers(spark, d):
     """Instance files of each case numbered in the order of their names."""
     name = F.concat(F.lit("m"), F.col("o_orderkey"), F.lit(".png"))
     return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(name)).alias("instance"))
+
+
+@register("overlay_index", sql("grid", "SELECT img, count(DISTINCT label) FILTER (label > 0) AS instances, CAST(max(x) + 1 AS INTEGER) AS width, CAST(max(y) + 1 AS INTEGER) AS height, 'overlays/' || img || '.png' AS path FROM grid GROUP BY img"))
+def overlay_index(spark, d):
+    """An index of overlays: instances and size of each image, and where its overlay lies."""
+    rows = grid(spark, d).groupBy("img").agg(F.count_distinct(F.when(F.col("label") > 0, F.col("label"))).alias("instances"), (F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"))
+    return rows.withColumn("path", F.concat(F.lit("overlays/"), F.col("img"), F.lit(".png")))
+
+
+@register("segmentation_records", sql("grid", "SELECT img, 8 AS height, 8 AS width, count(DISTINCT label) FILTER (label > 0) AS n_labels, md5(string_agg(CAST(label AS VARCHAR), ',' ORDER BY y, x)) AS masks_md5 FROM grid GROUP BY img"))
+def segmentation_records(spark, d):
+    """One nested record per image: size, labels in reading order and traced outlines; the labels as their digest."""
+    rows = grid(spark, d)
+    made = tables.records(rows, tables.traced(rows))
+    return made.select("img", "height", "width", "n_labels", F.md5(F.array_join(F.col("masks").cast("array<string>"), ",")).alias("masks_md5"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import is_image, natural_key, stem
+from tessella.operators.kernels import by_group
 
 
 def decode(name: str, data: bytes, key: str = "masks") -> np.ndarray:
@@ -267,6 +268,15 @@ def write_png(labels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", labels.shape[1], labels.shape[0], 16, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def write_tiff(labels: np.ndarray) -> bytes:
+    """A 32 bit grey image of labels in one deflated strip, for maps of any number of labels."""
+    body = zlib.compress(labels.astype("<u4").tobytes())
+    # width, height, bits, packing, meaning of values, place, channels, rows, length and kind of the strip (fixed numbers)
+    tags = ((256, labels.shape[1]), (257, labels.shape[0]), (258, 32), (259, 8), (262, 1), (273, 8), (277, 1), (278, labels.shape[0]), (279, len(body)), (339, 1))
+    entries = b"".join(struct.pack("<HHII", tag, 4, 1, value) for tag, value in tags)
+    return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0"
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Pixel rows (path, z, y, x, v) of raw 16 bit frame files whose sidecar of the same stem tells their shape and byte order."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -291,11 +301,31 @@ def ready(files: DataFrame) -> DataFrame:
 
 
 def encode_label_maps(labels: DataFrame, img: str = "img", label: str = "label") -> DataFrame:
-    """(img, n_labels, png) of label rows: one image per group, as a column that any sink can hold."""
+    """(img, n_labels, kind, content) of label rows: one image per group, as a column that any sink can hold.
+
+    kind is png up to 65,535 labels, tif beyond.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1), np.int64)
         grid[pdf["y"], pdf["x"]] = pdf[label]
-        return pd.DataFrame({img: [pdf[img].iloc[0]], "n_labels": [int((np.unique(grid) > 0).sum())], "png": [write_png(grid)]})
-
-    return labels.select(img, "y", "x", label).groupBy(img).applyInPandas(run, f"`{img}` {dict(labels.dtypes)[img]}, n_labels long, png binary")
+        kind, write = ("png", write_png) if grid.max(initial=0) < 65536 else ("tif", write_tiff)
+        return pd.DataFrame({img: [pdf[img].iloc[0]], "n_labels": [int((np.unique(grid) > 0).sum())], "kind": [kind], "content": [write(grid)]})
+
+    return by_group(labels.select(img, "y", "x", label), [img], run, f"`{img}` {dict(labels.dtypes)[img]}, n_labels long, kind string, content binary")
+
+
+def rgb_of_shape(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """Pixel rows (path, y, x, c, v) as three bytes per pixel of one shape: other depths are stretched from their smallest
+    to their largest value, grey becomes three equal channels, sizes change to the nearest pixel."""
+    size = pixels.groupBy("path").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"), F.max("c").alias("_c"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    rows = pixels.join(size, "path").where("c < 3")
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    byte = F.when((F.col("_hi") <= 255) & (F.col("_lo") >= 0), F.col("v")).otherwise(255 * share)
+    # target y takes source floor(y * h / height): the targets of a source are a range
+    ends = lambda c, n, m: F.sequence(F.ceil(F.col(c) * m / F.col(n)).cast("int"), (F.ceil((F.col(c) + 1) * m / F.col(n)) - 1).cast("int"))
+    some = lambda c, n, m: F.ceil((F.col(c) + 1) * m / F.col(n)) > F.ceil(F.col(c) * m / F.col(n))
+    kept = rows.where(some("y", "_h", height) & some("x", "_w", width))
+    spread = kept.withColumn("_y", F.explode(ends("y", "_h", height))).withColumn("_x", F.explode(ends("x", "_w", width)))
+    channels = F.explode(F.when(F.col("_c") == 0, F.array(*[F.lit(k) for k in range(3)])).otherwise(F.array(F.col("c"))))
+    return spread.select("path", F.col("_y").alias("y"), F.col("_x").alias("x"), channels.alias("c"), F.floor(byte).cast("int").alias("v"))

@@ -88,6 +88,17 @@ def traced(labels: DataFrame, label: str = "label", width: int = 4, least: int =
     return done.select("img", label, F.lpad(F.col(label).cast("string"), width, "0").alias("name"), "points", "n")
 
 
+def records(labels: DataFrame, outlines_: DataFrame, label: str = "label") -> DataFrame:
+    """(img, height, width, n_labels, masks, outlines) of label rows: one nested row per image, for Parquet.
+
+    masks holds the labels of all pixels in reading order, outlines the points of each label as of ``traced``.
+    """
+    lines = outlines_.groupBy("img").agg(F.array_sort(F.collect_list(F.struct(label, "points"))).alias("outlines"))
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", label)))
+    grids = labels.groupBy("img").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.count_distinct(F.when(F.col(label) > 0, F.col(label))).alias("n_labels"), cells.alias("cells"))
+    return grids.join(lines, "img", "left").select("img", "height", "width", "n_labels", F.transform("cells", lambda c: c[label]).alias("masks"), "outlines")
+
+
 #: Layout of a polygon in the region files of a common image editor (fixed values): magic, version, kind, length of the header.
 ROI_MAGIC, ROI_VERSION, ROI_POLYGON, ROI_HEADER = b"Iout", 227, 0, 64
 

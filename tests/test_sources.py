@@ -163,7 +163,9 @@ def test_frames_maps_and_packs(spark, tmp_path):
     assert [r["v"] for r in rows] == list(range(24))
     labels = spark.createDataFrame([("i", y, x, int(v)) for (y, x), v in np.ndenumerate(a[0])], "img string, y int, x int, label long")
     made = images.encode_label_maps(labels).first()
-    assert made["n_labels"] == 11 and (images.decode("x.png", bytes(made["png"])) == a[0]).all()
+    assert made["n_labels"] == 11 and made["kind"] == "png" and (images.decode("x.png", bytes(made["content"])) == a[0]).all()
+    many = images.encode_label_maps(labels.withColumn("label", F.col("label") + 70_000)).first()
+    assert many["kind"] == "tif" and (images.decode("x.tif", bytes(many["content"])) == a[0].astype(int) + 70_000).all()
     cells = spark.createDataFrame([("h", "r", 2, 0.5), ("h", "r", 1, 0.25)], "category string, roi string, gt_id int, br double")
     pack = tables.cell_pack(cells).first()
     assert pack["n"] == 2 and [c["gt_id"] for c in json.loads(pack["manifest"])] == [1, 2]
@@ -324,3 +326,28 @@ def test_directions_of_largest_variance(spark):
     axes = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:2]
     axes *= np.sign(axes[np.arange(2), np.abs(axes).argmax(1)])[:, None]
     assert got.shape == (200, 2) and np.allclose(got, x @ axes.T, atol=1e-8)
+
+
+def test_maps_of_different_shapes_are_an_error(spark):
+    import pytest
+
+    from tessella.operators import labels
+
+    a = spark.createDataFrame([(1, y, x, 1) for y in range(2) for x in range(2)], "img int, y int, x int, label int")
+    assert labels.pair_maps(a, a.withColumn("label", F.lit(3))).where("gt = 1 and pr = 3").count() == 4
+    with pytest.raises(Exception, match="differ in shape"):
+        labels.pair_maps(a, a.where("y = 0")).collect()
+
+
+def test_records_and_images_of_one_shape(spark):
+    labels = spark.createDataFrame([(1, y, x, int(x > 0)) for y in range(3) for x in range(4)], "img int, y int, x int, label int")
+    r = tables.records(labels, tables.traced(labels)).first()
+    assert (r["height"], r["width"], r["n_labels"]) == (3, 4, 1) and r["masks"] == [0, 1, 1, 1] * 3 and len(r["outlines"]) == 1
+    a = np.arange(12).reshape(3, 4) * 1000.0
+    grey = spark.createDataFrame([("a", y, x, 0, float(v)) for (y, x), v in np.ndenumerate(a)], "path string, y int, x int, c int, v double")
+    for h, w in ((6, 2), (3, 4), (2, 9)):
+        got = np.full((h, w, 3), -1)
+        for p in images.rgb_of_shape(grey, h, w).collect():
+            got[p["y"], p["x"], p["c"]] = p["v"]
+        want = np.floor(a / a.max() * 255).astype(int)[np.arange(h) * 3 // h][:, np.arange(w) * 4 // w]
+        assert (got == want[:, :, None]).all()
