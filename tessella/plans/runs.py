@@ -29,11 +29,11 @@ def label_pairing(spark, d):
     return images.pair_by_stem(every, labels, required=False).select("stem", "label_path")
 
 
-@register("roi_catalogue", "SELECT category, p_name AS stem, CAST(row_number() OVER (ORDER BY category, p_name, p_partkey) AS BIGINT) AS place FROM (SELECT DISTINCT CASE WHEN p_size <= 25 THEN 'healthy' ELSE 'severe' END AS category, p_name, p_partkey FROM part WHERE p_size % 5 <> 0 AND p_retailprice > 910)")
+@register("roi_catalogue", "SELECT category, p_name AS stem, CAST(row_number() OVER (ORDER BY category, p_name, p_partkey) AS BIGINT) AS place FROM (SELECT DISTINCT CASE WHEN p_size <= 25 THEN 'healthy' ELSE 'severe' END AS category, p_name, p_partkey FROM part WHERE p_size < 45 AND p_retailprice > 910)")
 def roi_catalogue(spark, d):
     """Annotated regions that have an image, healthy ones first, then by name, numbered."""
     parts = table(spark, d, "part").withColumns({"category": F.when(F.col("p_size") <= 25, "healthy").otherwise("severe"), "stem": F.struct("p_name", "p_partkey")})
-    found = images.catalogue(parts.where("p_size % 5 <> 0"), parts.where("p_retailprice > 910").select("category", "stem"))
+    found = images.catalogue(parts.where("p_size < 45"), parts.where("p_retailprice > 910").select("category", "stem"))
     return numbered(found.withColumnRenamed("at", "first"), ["first", "stem"], "place").select("category", F.col("stem.p_name").alias("stem"), (F.col("place") + 1).alias("place"))
 
 
