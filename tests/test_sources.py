@@ -351,3 +351,26 @@ def test_records_and_images_of_one_shape(spark):
             got[p["y"], p["x"], p["c"]] = p["v"]
         want = np.floor(a / a.max() * 255).astype(int)[np.arange(h) * 3 // h][:, np.arange(w) * 4 // w]
         assert (got == want[:, :, None]).all()
+
+
+def test_intermediate_data_needs_a_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tessella.operators import durable
+
+    def session(master, folder=None):
+        given = []
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: given[-1] if given else None, setCheckpointDir=given.append)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: folder))
+
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint.dir"):
+            durable.shared_folder(session(master))
+        assert durable.shared_folder(session(master, "/shared")) == "/shared"
+    assert "checkpoints-" in durable.shared_folder(session("local[8]"))
+    frame = spark.range(5)
+    frame.write.parquet(f"{tmp_path}/gone")
+    durable.remove(spark, f"{tmp_path}/gone")
+    assert not (tmp_path / "gone").exists() and durable.checkpoint(frame).count() == 5
