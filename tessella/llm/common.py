@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.durable import checkpoint
+from tessella.operators.durable import checkpoint, remove, shared_folder
 
-__all__ = ["CHUNK_CHARS", "bind", "checkpoint", "free_name", "groups", "remainder", "share", "table"]
+__all__ = ["CHUNK_CHARS", "Stored", "bind", "checkpoint", "free_name", "groups", "remainder", "share", "table"]
 
 #: Characters of the text that one numpy step of a Python worker handles at most, unless a single text is longer.
 CHUNK_CHARS = 1 << 20
@@ -52,3 +53,15 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once however often it occurs in there."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+class Stored:
+    """Rows written to the shared folder: ``rows`` reads them, ``drop`` removes them once nothing reads them any more."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.folder)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.folder)
+
+    def drop(self) -> None:
+        remove(self.spark, self.folder)

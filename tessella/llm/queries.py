@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, gam, labelled, language, licenses, packing, pii, rules, simhash, tokens, topk
-from tessella.llm.common import free_name, remainder, table
+from tessella.llm import alignment, chat, gam, labelled, language, licenses, packing, pii, rules, simhash, tokens, topk
+from tessella.llm.common import Stored, checkpoint, free_name, remainder, table
 from tessella.llm.textstats import FEATURES, features, stats
 
 
@@ -116,8 +116,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every row. Null and empty texts, and those whose tokens do not spell them, have zeros and no digest; repeated rows count each; an empty table gives no rows."""
+    at = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.align(table(spark, sf_dir, "documents"), *at)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    aligned = Stored(found.select("doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "links"))
+    weighed = checkpoint(alignment.weigh(aligned.rows, alignment.pair_counts(aligned.rows, *at), *at))
+    aligned.drop()
+    return weighed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_simhash, op4_quality, op5_pseudonyms, op6_chat, op7_licenses, op8_packing, op9_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_simhash, op4_quality, op5_pseudonyms, op6_chat, op7_licenses, op8_packing, op9_quality_rules, op10_bpe, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
