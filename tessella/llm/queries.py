@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import alignment, chat, gam, labelled, language, licenses, packing, pii, rules, simhash, tokens, topk
+from tessella.llm import alignment, chat, gam, labelled, language, licenses, packing, phrases, pii, rules, simhash, tokens, topk
 from tessella.llm.common import Stored, checkpoint, free_name, remainder, table
 from tessella.llm.textstats import FEATURES, features, stats
 
@@ -116,6 +116,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language. A null language is und; null and empty texts have no words; repeated rows count each; an empty table gives no rows."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of every row. Null and empty texts, and those whose tokens do not spell them, have zeros and no digest; repeated rows count each; an empty table gives no rows."""
     at = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -128,12 +133,12 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_simhash, op4_quality, op5_pseudonyms, op6_chat, op7_licenses, op8_packing, op9_quality_rules, op10_bpe, op13_alignment)}
+    return {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_simhash, op4_quality, op5_pseudonyms, op6_chat, op7_licenses, op8_packing, op9_quality_rules, op10_bpe, op11_collocations, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express over whole tables in reasonable time."""
-    return {"op1_topk_search": TOPK_SQL, "op6_chat": CHAT_SQL, "op7_licenses": licenses_sql()}
+    return {"op1_topk_search": TOPK_SQL, "op6_chat": CHAT_SQL, "op7_licenses": licenses_sql(), "op11_collocations": PHRASES_SQL}
 
 
 #: Every query against every row, by brute force.
@@ -175,6 +180,29 @@ FROM shown GROUP BY conv_id, alone
 """
 
 
+#: Every run of one to three words counted, and every cut and every longer phrase looked at.
+PHRASES_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+grams AS (SELECT lang, w[i:i + k - 1] AS p FROM places, range(1, 4) t(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, p, count(*) AS f FROM grams GROUP BY lang, p),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang),
+keyed AS (SELECT [lang] || p AS key, f FROM f),
+candidates AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 10),
+halves AS (SELECT *, [lang] || p[1:k] AS head, [lang] || p[k + 1:len(p)] AS rest FROM candidates, range(1, 3) t(k) WHERE k < len(p)),
+cuts AS (
+    SELECT h.lang, h.p, h.a, h.k, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * h.a * h.a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM halves h JOIN keyed x ON x.key = h.head JOIN keyed y ON y.key = h.rest
+), weakest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS nth FROM cuts) WHERE nth = 1),
+held AS (SELECT lang, s AS p, max(a) AS held FROM (SELECT lang, a, unnest([p[1:2], p[2:3]]) AS s FROM candidates WHERE len(p) = 3) GROUP BY lang, s),
+kept AS (SELECT w.lang, array_to_string(w.p, ' ') AS phrase, a, l, r, score FROM weakest w LEFT JOIN held h USING (lang, p) WHERE h.held IS NULL OR 100 * h.held < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
 def licenses_sql() -> str:
     """Every shingle of every document against every template, without windows or bands."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
