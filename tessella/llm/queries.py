@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import alignment, chat, gam, labelled, language, licenses, packing, phrases, pii, rules, simhash, tokens, topk
+from tessella.llm import alignment, chat, gam, labelled, language, licenses, packing, phrases, pii, repeats, rules, simhash, tokens, topk
 from tessella.llm.common import Stored, checkpoint, free_name, remainder, table
 from tessella.llm.textstats import FEATURES, features, stats
 
@@ -121,6 +121,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed of every row, and the digest of the rest. Null and empty texts lose nothing; a null id is larger than all others; rows with one id keep what they share; an empty table gives no rows."""
+    found, used = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    out = checkpoint(found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
+    for done in used:
+        done.drop()
+    return out
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of every row. Null and empty texts, and those whose tokens do not spell them, have zeros and no digest; repeated rows count each; an empty table gives no rows."""
     at = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -133,12 +142,12 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_simhash, op4_quality, op5_pseudonyms, op6_chat, op7_licenses, op8_packing, op9_quality_rules, op10_bpe, op11_collocations, op13_alignment)}
+    return {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_simhash, op4_quality, op5_pseudonyms, op6_chat, op7_licenses, op8_packing, op9_quality_rules, op10_bpe, op11_collocations, op12_suffix_dedup, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express over whole tables in reasonable time."""
-    return {"op1_topk_search": TOPK_SQL, "op6_chat": CHAT_SQL, "op7_licenses": licenses_sql(), "op11_collocations": PHRASES_SQL}
+    return {"op1_topk_search": TOPK_SQL, "op6_chat": CHAT_SQL, "op7_licenses": licenses_sql(), "op11_collocations": PHRASES_SQL, "op12_suffix_dedup": REPEATS_SQL}
 
 
 #: Every query against every row, by brute force.
@@ -180,6 +189,24 @@ FROM shown GROUP BY conv_id, alone
 """
 
 
+#: Every window of 50 bytes, two hexadecimal digits each, with its smallest document; then what marked windows cover.
+REPEATS_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS d, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS MATERIALIZED (SELECT r, d, i, md5(substr(x, 2 * i - 1, 100)) AS w FROM (SELECT r, d, x, unnest(range(1, length(x) // 2 - 48)) AS i FROM docs)),
+least AS (SELECT w, min(d) AS d FROM windows GROUP BY w HAVING min(d) < max(d)),
+marked AS (SELECT windows.r, windows.i FROM windows JOIN least ON windows.w = least.w AND windows.d > least.d),
+spans AS (SELECT r, min(i) AS first, max(i) + 49 AS last FROM (
+    SELECT r, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY i) AS s FROM (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 50, true) AS fresh FROM marked)
+) GROUP BY r, s),
+gaps AS (
+    SELECT r, last + 1 AS first, coalesce(lead(first) OVER (PARTITION BY r ORDER BY first), 9223372036854775807) AS next FROM spans
+    UNION ALL SELECT r, 1, min(first) FROM spans GROUP BY r
+), kept AS (SELECT r, string_agg(substr(x, 2 * first - 1, 2 * least(next - first, length(x))), '' ORDER BY first) AS x FROM gaps JOIN docs USING (r) GROUP BY r),
+removed AS (SELECT r, sum(last - first + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, length(docs.x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, docs.x))) AS kept_sha256
+FROM docs LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+"""
+
 #: Every run of one to three words counted, and every cut and every longer phrase looked at.
 PHRASES_SQL = r"""
 WITH pieces AS (
