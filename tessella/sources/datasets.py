@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import slug, stem
+from tessella.sources.arrays import read_planes
 from tessella.sources.images import image_files, read_images
 from tessella.sources.tables import polygons, tile_rectangle
 
@@ -27,23 +23,14 @@ def instance_masks(spark: SparkSession, path: str, glob: str = "*.png") -> DataF
     return pixels.where("v > 0").select("path", "y", "x").distinct().join(named, "path").select("case_id", "instance", "y", "x")
 
 
-def fold_samples(spark: SparkSession, path: str, glob: str = "*.npy", pattern: str = r"fold_?(\d+)") -> DataFrame:
+def fold_samples(spark: SparkSession, path: str, glob: str = "*.npy", pattern: str = r"fold_?(\d+)", first: int = 0, end: int | None = None) -> DataFrame:
     """(sample_id, y, x, c, v) of array files of samples, rows, columns and channels; ids tell the fold and the place in it.
 
-    A file is read where it lies and given on a sample at a time.
+    Files of any size are read by ranges of samples, and only the samples from ``first`` to before ``end`` of each.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    files = files.select(F.regexp_extract("path", pattern, 1).cast("int").alias("fold"), "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for fold, content in zip(batch["fold"], batch["content"], strict=True):
-                for i, a in enumerate(np.load(io.BytesIO(bytes(content)), allow_pickle=False)):
-                    a = a[:, :, None] if a.ndim == 2 else a
-                    y, x, c = (v.ravel().astype(np.int32) for v in np.indices(a.shape))
-                    yield pd.DataFrame({"sample_id": f"fold{fold}_{i:05d}", "y": y, "x": x, "c": c, "v": a.ravel().astype(np.float64)})
-
-    return files.mapInPandas(run, "sample_id string, y int, x int, c int, v double")
+    rows = read_planes(spark, path, glob, first=first, end=end)
+    named = F.format_string("fold%s_%05d", F.regexp_extract("path", pattern, 1).cast("int"), F.col("z"))
+    return rows.select(named.alias("sample_id"), "y", "x", "c", "v")
 
 
 def slice_layers(spark: SparkSession, slices: str, tiles: str) -> DataFrame:

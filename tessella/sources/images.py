@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import is_image, natural_key, stem
 from tessella.operators.kernels import by_group
+from tessella.sources import arrays
 
 
 def decode(name: str, data: bytes, key: str = "masks") -> np.ndarray:
-    """The array of a file by its ending: npy, npz and mat (by key), png, bmp, pgm or ppm, tif, nrrd (volumes as planes, rows,
-    columns). An unknown ending is an error."""
+    """The array of a file by its ending: npy, npz and mat (by key), png, bmp, pgm or ppm, tif (several pages as planes), nrrd
+    (volumes as planes, rows, columns). An unknown ending is an error."""
     kind = name.rsplit(".", 1)[-1].lower()
     if kind == "npy":
         out = np.load(io.BytesIO(data), allow_pickle=False)
@@ -34,7 +35,7 @@ def decode(name: str, data: bytes, key: str = "masks") -> np.ndarray:
     if kind in ("pgm", "ppm"):
         return _netpbm(data)
     if kind in ("tif", "tiff"):
-        return _tiff(data)
+        return arrays.whole(io.BytesIO(data))
     if kind == "nrrd":
         return _nrrd(data)
     if kind == "mat":
@@ -43,35 +44,65 @@ def decode(name: str, data: bytes, key: str = "masks") -> np.ndarray:
 
 
 def _png(data: bytes) -> np.ndarray:
-    at, parts, head = 8, [], None
+    """Grey of any depth (less than eight bits stretched to a byte), colours, and palettes as their colours; not interlaced."""
+    at, parts, head, palette = 8, [], None, None
     while at < len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", data[at + 8 : at + 21])
+        if kind == b"PLTE":
+            palette = np.frombuffer(data[at + 8 : at + 8 + n], np.uint8).reshape(-1, 3)
         if kind == b"IDAT":
             parts.append(data[at + 8 : at + 8 + n])
         at += 12 + n
     width, height, depth, colour, _, _, interlaced = head
-    if depth not in (8, 16) or interlaced or colour == 3:
-        raise ValueError("only plain 8 and 16 bit images are read")
-    channels, size = {0: 1, 2: 3, 4: 2, 6: 4}[colour], depth // 8
-    step, stride = channels * size, width * channels * size
-    raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(height, stride + 1)
-    out = np.zeros((height, stride), np.uint8)
-    for y in range(height):
-        line, above = raw[y, 1:].astype(np.int64), out[y - 1].astype(np.int64) if y else np.zeros(stride, np.int64)
-        kind = raw[y, 0]
-        if kind in (0, 2):
-            out[y] = (line + (above if kind == 2 else 0)) & 255
-            continue
-        for x in range(stride):
-            left = int(out[y, x - step]) if x >= step else 0
-            corner = int(above[x - step]) if x >= step else 0
-            guess = left + int(above[x]) - corner
-            pick = min((left, int(above[x]), corner), key=lambda v: abs(guess - v))
-            out[y, x] = (line[x] + (left if kind == 1 else (left + int(above[x])) // 2 if kind == 3 else pick)) & 255
-    values = out.view(">u2").astype(np.uint16) if size == 2 else out
-    return values.reshape(height, width, channels).squeeze(2) if channels == 1 else values.reshape(height, width, channels)
+    if interlaced:
+        raise ValueError("interlaced images are not read")
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    step, stride = max(1, channels * depth // 8), -(-width * channels * depth // 8)
+    raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)[: height * (stride + 1)].reshape(height, stride + 1)
+    out = _unfiltered(raw[:, 0], raw[:, 1:].reshape(height, stride // step, step)).reshape(height, stride)
+    if depth == 16:
+        out = out.view(">u2").astype(np.uint16)
+    elif depth < 8:
+        bits = np.unpackbits(out, axis=1).reshape(height, -1, depth)
+        out = (bits @ (1 << np.arange(depth - 1, -1, -1))).astype(np.uint8)[:, :width]
+        out = out if colour == 3 else out * np.uint8(255 // ((1 << depth) - 1))
+    if colour == 3:
+        colours = palette[out]
+        return colours[:, :, 0] if (palette == palette[:, :1]).all() else colours
+    return out.reshape(height, width, channels) if channels > 1 else out
+
+
+def _unfiltered(kinds: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Rows of bytes (rows, places, bytes of a place) as they were before each was stored as differences.
+
+    Rows that look left only, or up only, are sums. The other two kinds look at three neighbours each; all places on a
+    diagonal have theirs on the two diagonals before, so an image is done diagonal by diagonal.
+    """
+    height, width, size = raw.shape
+    if not np.isin(kinds, (3, 4)).any():
+        out = np.zeros((height + 1, width, size), np.uint8)
+        for y, kind in enumerate(kinds.tolist()):
+            line = np.cumsum(raw[y], axis=0, dtype=np.uint8) if kind == 1 else raw[y]
+            out[y + 1] = line + out[y] if kind == 2 else line
+        return out[1:]
+    # a row for each diagonal, a column for each row of the image, with a border of zeros to look back at
+    y, x = np.indices((height, width))
+    skew = np.zeros((height + width + 1, height + 1, size), np.int16)
+    skew[y + x + 2, y + 1] = raw
+    left_too, up_too, mean, nearest = ((kinds == k)[:, None] for k in (1, 2, 3, 4))
+    for d in range(height + width - 1):
+        lo, hi = max(0, d - width + 1), min(height, d + 1)
+        now = skew[d + 2, lo + 1 : hi + 1]
+        left, up, corner = skew[d + 1, lo + 1 : hi + 1], skew[d + 1, lo:hi], skew[d, lo:hi]
+        guess = left + up - corner
+        far = [np.abs(guess - v) for v in (left, up, corner)]
+        pick = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+        rows = slice(lo, hi)
+        now += left * left_too[rows] + up * up_too[rows] + (left + up >> 1) * mean[rows] + pick * nearest[rows]
+        now &= 255
+    return skew[y + x + 2, y + 1].astype(np.uint8)
 
 
 def _bmp(data: bytes) -> np.ndarray:
@@ -105,29 +136,6 @@ def _netpbm(data: bytes) -> np.ndarray:
     return values.reshape(height, width, 3) if words[0] == b"P6" else values.reshape(height, width)
 
 
-def _tiff(data: bytes) -> np.ndarray:
-    """The first page of a file of plain or deflated strips."""
-    end = "<" if data[:2] == b"II" else ">"
-    at = struct.unpack(end + "I", data[4:8])[0]
-    tags: dict[int, tuple] = {}
-    for k in range(struct.unpack(end + "H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(end + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
-        code = {1: "B", 3: "H", 4: "I"}.get(kind)
-        if code:
-            size = n * struct.calcsize(code)
-            where = at + 10 + 12 * k if size <= 4 else struct.unpack(end + "I", data[at + 10 + 12 * k : at + 14 + 12 * k])[0]
-            tags[tag] = struct.unpack(f"{end}{n}{code}", data[where : where + size])
-    packed = tags.get(259, (1,))[0]
-    if packed not in (1, 8, 32946):
-        raise ValueError("only plain and deflated strips are read")
-    strips = [data[a : a + n] for a, n in zip(tags[273], tags[279], strict=True)]
-    raw = b"".join(zlib.decompress(s) if packed != 1 else s for s in strips)
-    kind = {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]]
-    out = np.frombuffer(raw, f"{end}{kind}{tags.get(258, (1,))[0] // 8}")
-    channels = tags.get(277, (1,))[0]
-    return out.reshape((tags[257][0], tags[256][0], channels) if channels > 1 else (tags[257][0], tags[256][0]))
-
-
 #: Types of values by their names in nrrd headers and by their numbers in mat files (fixed values).
 NRRD_TYPES = {"int8": "i1", "signed char": "i1", "uint8": "u1", "uchar": "u1", "unsigned char": "u1", "int16": "i2", "short": "i2", "uint16": "u2", "ushort": "u2", "unsigned short": "u2", "int32": "i4", "int": "i4", "uint32": "u4", "uint": "u4", "unsigned int": "u4", "int64": "i8", "uint64": "u8", "float": "f4", "double": "f8"}
 MAT_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
@@ -224,6 +232,8 @@ def read_images(spark: SparkSession, path: str, key: str = "masks", glob: str =
                     a = decode(name, bytes(data), key)
                 except Exception as e:
                     raise ValueError(f"{name}: {e}") from e
+                if a.ndim > 3 or a.ndim == 3 and a.shape[2] > 4:
+                    raise ValueError(f"{name}: {a.shape} are no channels but planes: read them by read_volumes or read_planes")
                 a = a[:, :, None] if a.ndim == 2 else a
                 y, x, c = np.indices(a.shape)
                 yield pd.DataFrame({"path": name, "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32), "c": c.ravel().astype(np.int32), "v": a.ravel().astype(np.float64)})
@@ -278,21 +288,11 @@ def write_tiff(labels: np.ndarray) -> bytes:
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Pixel rows (path, z, y, x, v) of raw 16 bit frame files whose sidecar of the same stem tells their shape and byte order."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    notes = files.where(F.endswith("path", F.lit(".inf"))).select(stem(F.col("path")).alias("stem"), F.col("content").cast("string").alias("note"))
-    size = F.regexp_extract("note", r"frame dimensions = (\d+) x (\d+)", 1).cast("int"), F.regexp_extract("note", r"frame dimensions = (\d+) x (\d+)", 2).cast("int")
-    raw = files.where(F.endswith("path", F.lit(".dax"))).withColumn("stem", stem(F.col("path"))).join(notes, "stem")
-    given = raw.select("path", "content", size[0].alias("height"), size[1].alias("width"), F.contains("note", F.lit("little endian")).alias("little"))
+    """Voxel rows (path, z, y, x, v) of raw 16 bit frame files whose sidecar of the same stem tells their shape and byte order.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                a = np.frombuffer(bytes(r.content), "<u2" if r.little else ">u2").reshape(-1, r.height, r.width)
-                z, y, x = np.indices(a.shape)
-                yield pd.DataFrame({"path": r.path, "z": z.ravel().astype(np.int32), "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32), "v": a.ravel().astype(np.float64)})
-
-    return given.mapInPandas(run, "path string, z int, y int, x int, v double")
+    Files are read by ranges of frames, whatever their size; one whose sidecar is missing or has no shape is an error.
+    """
+    return arrays.read_planes(spark, path, "*.dax").drop("c")
 
 
 def ready(files: DataFrame) -> DataFrame:
