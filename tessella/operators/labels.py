@@ -155,13 +155,19 @@ def difference_counts(pair: DataFrame, img: Sequence[str] = ("img",)) -> DataFra
     )
 
 
-#: Factor that separates block numbers from labels in a global id.
-BLOCK_FACTOR = 100_000
+#: Bits of a global id that hold the label; those above hold the number of the block.
+LABEL_BITS = 32
 
 
 def global_ids(block: Column, label: Column) -> Column:
-    """An id that is unique over blocks; background stays 0. As a long it has no limit of blocks."""
-    return F.when(label == 0, F.lit(0).cast("long")).otherwise(block.cast("long") * BLOCK_FACTOR + label)
+    """An id that no label of another block has: the block's number, then 32 bits of label; background stays 0.
+
+    A label or a number of a block that does not fit is an error, never another id.
+    """
+    block, label = block.cast("long"), label.cast("long")
+    fits = label.between(0, (1 << LABEL_BITS) - 1) & block.between(0, (1 << 63 - LABEL_BITS) - 1)
+    failed = F.raise_error(F.concat(F.lit("no id holds label "), label.cast("string"), F.lit(" of block "), block.cast("string"))).cast("long")
+    return F.when(label == 0, F.lit(0).cast("long")).when(fits, F.shiftleft(block, LABEL_BITS).bitwiseOR(label)).otherwise(failed)
 
 
 def block_faces(rows: DataFrame, size: int, img: Sequence[str] = ("img",)) -> DataFrame:

@@ -83,23 +83,36 @@ def gradient(rows: DataFrame, v: str, keys: Sequence[str] = ("img",)) -> DataFra
     return out.withColumns({"gx": gx, "gy": gy}).withColumn("grad", F.hypot("gx", "gy")).drop("dx_", "sx_")
 
 
+def _targets(c: str, n: int, m: int) -> Column:
+    """The targets k of m whose source floor(k n / m) is this place of n: a range, which may be empty."""
+    first, last = F.ceil(F.col(c) * m / n).cast("int"), (F.ceil((F.col(c) + 1) * m / n) - 1).cast("int")
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
 def resize_nearest(rows: DataFrame, height: int, width: int, to_height: int, to_width: int) -> DataFrame:
     """Nearest-neighbour resize: every target pixel takes the source pixel floor(y * height / to_height)."""
-    ys = F.explode(F.filter(F.sequence(F.lit(0), F.lit(to_height - 1)), lambda k: F.floor(k * height / to_height) == F.col("y")))
-    xs = F.explode(F.filter(F.sequence(F.lit(0), F.lit(to_width - 1)), lambda k: F.floor(k * width / to_width) == F.col("x")))
-    return rows.withColumn("ty", ys).withColumn("tx", xs)
+    return rows.withColumn("ty", F.explode(_targets("y", height, to_height))).withColumn("tx", F.explode(_targets("x", width, to_width)))
 
 
 def resize_bilinear(rows: DataFrame, v: str, height: int, width: int, to_height: int, to_width: int, keys: Sequence[str] = ("img",)) -> DataFrame:
-    """Bilinear resize with pixel centres: a target pixel is the weighted sum of the up to four sources that reach it."""
-    def reach(c: str, n: int, m: int) -> Column:
+    """Bilinear resize with pixel centres: two passes, columns and then rows; a target is the weighted sum of the two sources around it.
+
+    The targets that a source reaches are those whose centre falls within one source of it: a range. The first pass is
+    summed where rows are before it is shuffled, and the axis that shrinks more goes first.
+    """
+
+    def one(df: DataFrame, c: str, out: str, n: int, m: int, rest: Sequence[str]) -> DataFrame:
         scale = n / m
         target = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), (k + 0.5) * scale - 0.5))
-        every = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda k: F.struct(k.alias("at"), (1 - F.abs(target(k) - F.col(c))).alias("w")))
-        return F.explode(F.filter(every, lambda s: s["w"] > 0))
+        # a little wider than what reaches: weights of zero are dropped; the ends also serve what lies beyond them
+        first = F.when(F.col(c) == 0, 0).otherwise(F.greatest(F.lit(0), F.floor((F.col(c) - 0.5) / scale - 0.5).cast("int") - 1))
+        last = F.when(F.col(c) == n - 1, m - 1).otherwise(F.least(F.lit(m - 1), F.ceil((F.col(c) + 1.5) / scale - 0.5).cast("int") + 1))
+        reached = F.filter(F.transform(F.sequence(first, last), lambda k: F.struct(k.alias("at"), (1 - F.abs(target(k) - F.col(c))).alias("w"))), lambda s: s["w"] > 0)
+        return df.withColumn("_s", F.explode(reached)).groupBy(*keys, *rest, F.col("_s.at").alias(out)).agg(F.sum(F.col(v) * F.col("_s.w")).alias(v))
 
-    spread = rows.withColumn("sy", reach("y", height, to_height)).withColumn("sx", reach("x", width, to_width))
-    return spread.groupBy(*keys, F.col("sy.at").alias("ty"), F.col("sx.at").alias("tx")).agg(F.sum(F.col(v) * F.col("sy.w") * F.col("sx.w")).alias(v))
+    if to_height * width <= height * to_width:
+        return one(one(rows, "y", "ty", height, to_height, ["x"]), "x", "tx", width, to_width, ["ty"]).select(*keys, "ty", "tx", v)
+    return one(one(rows, "x", "tx", width, to_width, ["y"]), "y", "ty", height, to_height, ["tx"]).select(*keys, "ty", "tx", v)
 
 
 def taper(i: Column, n: int, sigma: float, half: float) -> Column:
@@ -109,8 +122,10 @@ def taper(i: Column, n: int, sigma: float, half: float) -> Column:
 
 def tiles(rows: DataFrame, size: int, step: int, height: int, width: int) -> DataFrame:
     """Each pixel once for every tile (ty, tx) of ``size`` at multiples of ``step`` that covers it, with its place (ly, lx)."""
+
     def starts(c: str, n: int) -> Column:
-        return F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - size), F.lit(step)), lambda s: (s <= F.col(c)) & (F.col(c) < s + size)))
+        first, last = F.greatest(F.lit(0), F.ceil((F.col(c) - size + 1) / step).cast("int")), F.least(F.floor(F.col(c) / step).cast("int"), F.lit((n - size) // step))
+        return F.explode(F.when(first <= last, F.transform(F.sequence(first, last), lambda k: k * step)).otherwise(F.array().cast("array<int>")))
 
     out = rows.withColumn("ty", starts("y", height)).withColumn("tx", starts("x", width))
     return out.withColumns({"ly": F.col("y") - F.col("ty"), "lx": F.col("x") - F.col("tx")})

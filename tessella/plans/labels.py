@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import blocks as blocks_
 from tessella.operators import boundary as b
-from tessella.operators import kernels
+from tessella.operators import distance, kernels
 from tessella.operators import labels as l
 from tessella.operators import metrics as m
+from tessella.operators import tiles as t_
+from tessella.plans import fixtures
 from tessella.plans.fixtures import LARGE, SIDE, SQL, grid, lab, lab_big, mosaic, on_mosaic, pix, sql
 from tessella.plans.registry import register
 
@@ -243,7 +244,7 @@ def pixel_components(spark, d):
     return l.components(neighbours(rows, [(0, 1), (1, -1), (1, 0), (1, 1)]), rows)
 
 
-BLOCKS = "SELECT img, y, x, (img * 4 + (y // 4) * 2 + x // 4) * 100000 + 1 AS id FROM pix WHERE v > 0"
+BLOCKS = "SELECT img, y, x, (img * 4 + (y // 4) * 2 + x // 4) * 4294967296 + 1 AS id FROM pix WHERE v > 0"
 TOUCH = "SELECT DISTINCT a.id AS a, b.id AS b FROM ids a JOIN ids b ON a.img = b.img AND ((a.y = b.y AND a.x % 4 = 3 AND b.x = a.x + 1) OR (a.x = b.x AND a.y % 4 = 3 AND b.y = a.y + 1))"
 
 
@@ -386,11 +387,8 @@ def clip_to_dilated(spark, d):
 @register("distance_to_boundary", sql("lab", """SELECT l.img, l.y, l.x, min((l.y - b.y) * (l.y - b.y) + (l.x - b.x) * (l.x - b.x)) AS d2, min((l.y - b.y) * (l.y - b.y) + (l.x - b.x) * (l.x - b.x)) < 1 AS edge FROM lab l JOIN
     (SELECT img, y, x, gt FROM lab a WHERE gt > 0 AND (y IN (0, 7) OR x IN (0, 7) OR 4 > (SELECT count(*) FROM lab n WHERE n.img = a.img AND n.gt = a.gt AND abs(n.y - a.y) + abs(n.x - a.x) = 1))) b ON b.img = l.img AND b.gt = l.gt WHERE l.gt > 0 GROUP BY ALL"""))
 def distance_to_boundary(spark, d):
-    """Squared distance of each pixel to its label's own border: an equi-join within the label, then a minimum."""
-    rows = l.erode(lab(spark, d), "gt")
-    border = rows.where("gt > 0 and not inner").select("img", "gt", F.col("y").alias("by"), F.col("x").alias("bx"))
-    dy, dx = F.col("y") - F.col("by"), F.col("x") - F.col("bx")
-    near = rows.where("gt > 0").join(border, ["img", "gt"]).groupBy("img", "y", "x").agg(F.min(dy * dy + dx * dx).alias("d2"))
+    """Squared distance of each pixel to its label's own border, exact, by two passes of one axis each."""
+    near = distance.to_own_border(lab(spark, d), "gt")
     return near.withColumn("edge", F.col("d2") < 1)
 
 
@@ -506,8 +504,8 @@ def block_faces_shrunk(spark, d):
 @register("block_segmentation", sql("pix", "SELECT img, count(*) AS n, CAST(sum(area) AS BIGINT) AS area, CAST(sum(r1 - r0) AS BIGINT) AS heights, CAST(sum(c1 - c0) AS BIGINT) AS widths FROM (SELECT n.img, r.root, count(*) AS area, min(y) AS r0, max(y) + 1 AS r1, min(x) AS c0, max(x) + 1 AS c1 FROM (SELECT node, min(root) AS root FROM reach GROUP BY node) r JOIN nodes n USING (node) GROUP BY ALL) GROUP BY img", recursive=True,
     nodes=NODES, reach="SELECT node, node AS root FROM nodes UNION SELECT n.node, r.root FROM reach r JOIN nodes m ON m.node = r.node JOIN nodes n ON n.img = m.img AND abs(n.y - m.y) + abs(n.x - m.x) <= 1"))
 def block_segmentation(spark, d):
-    """Components found block by block and joined across faces are those of the whole images."""
-    parts = blocks_.run_blocks(pix(spark, d), lambda a: kernels.components(a > 0, kernels.FOUR), "v", 4, 0, SIDE, SIDE)
-    joined, boxes = blocks_.join_blocks(parts, 4, 2)
-    areas = joined.where("label > 0").groupBy("label").agg(F.first("img").alias("img"), F.count("*").alias("area")).join(boxes, "label")
+    """Components found tile by tile and joined across faces are those of the whole images."""
+    images = fixtures.table(spark, d, "embeddings").select(F.col("vec_id").alias("img"), "embedding")
+    parts = t_.run_blocks(t_.of_arrays(images, "embedding", SIDE, SIDE, 4), lambda a: kernels.components(a > 0, kernels.FOUR))
+    areas = t_.measured(t_.joined(parts))
     return areas.groupBy("img").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.sum(F.col("r1") - F.col("r0")).alias("heights"), F.sum(F.col("c1") - F.col("c0")).alias("widths"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessella.operators import holes, neighbours, overlaps, tiles, volumes
 from tessella.operators import kernels as k
 from tessella.operators import metrics as m
-from tessella.operators import neighbours
 from tessella.operators import pixels as p
-from tessella.operators.labels import contingency, iou_pairs
+from tessella.operators.labels import contingency, iou_pairs, relabel
 from tessella.plans.fixtures import SIDE, grid, lab, pix, sql
 from tessella.plans.registry import register
 from tessella.sources import tables
@@ -247,7 +247,10 @@ def assignments(spark, d):
     kept="SELECT img, label, row_number() OVER (PARTITION BY img ORDER BY label) AS new FROM grid WHERE label > 0 GROUP BY img, label HAVING count(*) >= 3",
     holes="SELECT c.img, c.y, c.x, min(n.label) AS label FROM grid c JOIN grid n ON n.img = c.img AND abs(n.y - c.y) + abs(n.x - c.x) = 1 WHERE c.label = 0 AND n.label > 0 AND c.y % 3 = 1 AND c.x % 3 = 1 GROUP BY ALL HAVING count(*) = 4 AND min(n.label) = max(n.label)"))
 def fill_holes_and_small(spark, d):
-    return k.per_image(grid(spark, d), lambda a: k.clean(a, 3), "label", "label", SIDE, SIDE)
+    """Labels of three pixels or more, their holes filled across tiles of five pixels, numbered anew; background stays."""
+    rows = grid(spark, d)
+    found = holes.cleaned(tiles.of_pixels(rows, "label", SIDE, SIDE, 5), 3)
+    return rows.select("img", "y", "x").join(found, ["img", "y", "x"], "left").withColumn("label", F.coalesce("label", F.lit(0).cast("long")))
 
 
 @register("image_components", sql("pix", "SELECT img, count(DISTINCT root) AS n, CAST(sum(area) AS BIGINT) AS area FROM (SELECT n.img, r.root, count(*) AS area FROM (SELECT node, min(root) AS root FROM reach GROUP BY node) r JOIN nodes n USING (node) GROUP BY ALL) GROUP BY img", recursive=True,
@@ -318,8 +321,9 @@ VOLUMES = {
 @register("stitched_planes", sql("lab", "SELECT w.vol AS img, CAST(w.z * 8 + l.y AS INTEGER) AS y, l.x, CAST(CASE WHEN l.gt > 0 THEN w.ids[l.gt] ELSE 0 END AS BIGINT) AS label FROM lab l JOIN walk w ON w.vol = l.img // 10 AND w.z = l.img % 10", recursive=True, **VOLUMES))
 def stitched_planes(spark, d):
     """Labels of the planes of a volume (ten images in turn) carried from plane to plane."""
-    rows = lab(spark, d).select((F.floor(F.col("img") / 10)).cast("long").alias("img"), (F.col("img") % 10 * SIDE + F.col("y")).cast("int").alias("y"), "x", "gt")
-    return k.per_image(rows, lambda a: np.concatenate(k.stitch(np.split(a, 10))), "gt", "label", 10 * SIDE, SIDE)
+    rows = lab(spark, d).select((F.floor(F.col("img") / 10)).cast("long").alias("img"), (F.col("img") % 10).cast("int").alias("z"), "y", "x", "gt")
+    done = volumes.stitched(rows, "gt", vol="img")
+    return done.select("img", (F.col("z") * SIDE + F.col("y")).cast("int").alias("y"), "x", F.col("gt").alias("label"))
 
 
 @register("shape_descriptors", sql("lab", """SELECT i.img, coalesce(a.area, 0) AS area, CAST(coalesce(a.edge, 0) AS DOUBLE) AS perimeter, round(coalesce(least(1.0, 4 * pi() * a.area / (a.edge * a.edge)), 0), 6) AS compactness, round(coalesce(a.area / h.whole, 0), 6) AS solidity
@@ -341,11 +345,12 @@ def shape_descriptors(spark, d):
     dropped="SELECT s.img, CASE WHEN a.n <= b.n THEN a.k ELSE b.k END AS k FROM shared s JOIN masks a ON a.img = s.img AND a.k = s.gt JOIN masks b ON b.img = s.img AND b.k = s.gt + 4 WHERE s.n / least(a.n, b.n) >= 0.75",
     live="SELECT img, k FROM masks EXCEPT SELECT img, k FROM dropped"))
 def overlap_removal(spark, d):
-    def both(a: np.ndarray) -> np.ndarray:
-        masks = [a % 10 == j for j in range(1, 5)] + [a // 10 == j for j in range(1, 5)]
-        return k.without_covered([m for m in masks if m.any()] or [a > 0])
-
-    return k.per_image(lab(spark, d).withColumn("code", F.col("gt") + 10 * F.col("pr")), both, "code", "label", SIDE, SIDE)
+    """The labels of both maps as masks that overlap, made one map; masks are numbered from 1 in each image."""
+    rows = lab(spark, d)
+    masks = rows.where("gt > 0").select("img", F.col("gt").alias("mask"), "y", "x").unionByName(rows.where("pr > 0").select("img", (F.col("pr") + 4).alias("mask"), "y", "x"))
+    names = relabel(masks.select("img", "mask").distinct(), "mask").select("img", F.col("mask").alias("label"), "new")
+    found = overlaps.without_covered(masks).join(names, ["img", "label"])
+    return rows.select("img", "y", "x").join(found, ["img", "y", "x"], "left").select("img", "y", "x", F.coalesce("new", F.lit(0)).cast("long").alias("label"))
 
 
 @register("flipped_tiles", sql("pix", "SELECT img, ty, tx, flip, ly, lx, v FROM (SELECT img, CAST(ty AS INTEGER) AS ty, CAST(tx AS INTEGER) AS tx, (ty // 4 % 2) * 2 + tx // 4 % 2 AS flip, CAST(CASE WHEN ty // 4 % 2 = 1 THEN 3 - (y - ty) ELSE y - ty END AS INTEGER) AS ly, CAST(CASE WHEN tx // 4 % 2 = 1 THEN 3 - (x - tx) ELSE x - tx END AS INTEGER) AS lx, v FROM pix, range(0, 5, 4) a(ty), range(0, 5, 4) b(tx) WHERE y >= ty AND y < ty + 4 AND x >= tx AND x < tx + 4)"))

@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 
 def write_blocks(pixels: DataFrame, path: str, size: int, img: str = "img", v: str = "v") -> None:
-    """Stores pixel rows (img, y, x, v) as blocks: a row holds the places and values of one square, sorted."""
+    """Stores pixel rows (img, y, x, v) as blocks: a row holds the box of a square's pixels and their values, row by row.
+
+    Only a block whose box has pixels without a row also stores their places. Blocks are dealt by image and block row.
+    """
     placed = pixels.withColumns({"by": F.floor(F.col("y") / size).cast("int"), "bx": F.floor(F.col("x") / size).cast("int")})
-    blocks = placed.groupBy(img, "by", "bx").agg(F.array_sort(F.collect_list(F.struct("y", "x", v))).alias("cells"))
-    kept = blocks.select(img, "by", "bx", F.lit(size).alias("size"), F.transform("cells", lambda c: c["y"]).alias("y"), F.transform("cells", lambda c: c["x"]).alias("x"), F.transform("cells", lambda c: c[v]).alias(v))
-    kept.repartition("by").write.mode("overwrite").partitionBy("by").parquet(path)
+    box = [F.min("y").alias("top"), F.min("x").alias("left"), (F.max("y") - F.min("y") + 1).alias("height"), (F.max("x") - F.min("x") + 1).alias("width")]
+    blocks = placed.groupBy(img, "by", "bx").agg(*box, F.array_sort(F.collect_list(F.struct("y", "x", v))).alias("cells"))
+    partial = F.size("cells") < F.col("height") * F.col("width")
+    places = [F.when(partial, F.transform("cells", lambda c, n=n: c[n])).alias(n) for n in ("y", "x")]
+    kept = blocks.select(img, "by", "bx", F.lit(size).alias("size"), "top", "left", "height", "width", *places, F.transform("cells", lambda c: c[v]).alias(v))
+    kept.repartition(img, "by").write.mode("overwrite").partitionBy("by").parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str, v: str = "v", rows: tuple[int, int] | None = None) -> DataFrame:
@@ -20,8 +26,11 @@ def read_blocks(spark: SparkSession, path: str, v: str = "v", rows: tuple[int, i
     if rows is not None:
         size = blocks.select("size").first()["size"]
         blocks = blocks.where((F.col("by") >= rows[0] // size) & (F.col("by") <= (rows[1] - 1) // size))
-    cells = blocks.select(*[c for c in blocks.columns if c not in ("by", "bx", "size", "y", "x", v)], F.explode(F.arrays_zip("y", "x", v)).alias("c"))
-    out = cells.select(*[c for c in cells.columns if c != "c"], "c.y", "c.x", f"c.{v}")
+    own = [c for c in blocks.columns if c not in ("by", "bx", "size", "top", "left", "height", "width", "y", "x", v)]
+    cells = blocks.select(*own, "top", "left", "width", "y", "x", F.posexplode(v).alias("_at", "_v"))
+    y = F.coalesce(F.get("y", F.col("_at")), (F.col("top") + F.floor(F.col("_at") / F.col("width"))).cast("int"))
+    x = F.coalesce(F.get("x", F.col("_at")), (F.col("left") + F.col("_at") % F.col("width")).cast("int"))
+    out = cells.select(*own, y.alias("y"), x.alias("x"), F.col("_v").alias(v))
     return out if rows is None else out.where((F.col("y") >= rows[0]) & (F.col("y") < rows[1]))
 
 
