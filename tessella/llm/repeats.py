@@ -238,14 +238,7 @@ def stretches(block: Block, state: np.ndarray, buckets: int) -> Stretches:
     key, place = np.concatenate([all_.anchor[kept], own]), np.concatenate([all_.place[kept], np.full(len(single), 255)])
     text = np.concatenate([all_.text[kept], own])
     doc = block.ids[np.searchsorted(block.ends, start, "right")] if len(start) else start
-    same = _mixed(key ^ _mixed(text ^ (place << 8 | count).astype(np.uint64)))
-    by = np.lexsort((doc, same))
-    first = np.flatnonzero(np.diff(same[by], prepend=same[by[:1]] + np.uint64(1)) != 0)
-    which = np.empty(len(by), np.int64)
-    which[by] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
-    rep = by[first]
-    if not _alike(block.body, start, rep[which], count):  # two texts with one hash: tell none of them apart by it
-        which, rep = np.arange(len(start)), np.arange(len(start))
+    which, rep = _classes(block.body, start, count, key, place, text, doc)
     bucket = (key[rep] >> np.uint64(20)) % np.uint64(buckets)
     order = np.lexsort((rep, bucket))
     rank = np.empty(len(order), np.int64)
@@ -254,6 +247,19 @@ def stretches(block: Block, state: np.ndarray, buckets: int) -> Stretches:
     return Stretches(bucket[order].astype(np.int64), key[rep], place[rep], count[rep], doc[rep], start[rep], (start, count, doc, rank[which]))
 
 
+def _classes(body: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, place: np.ndarray, text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each stretch, and for each class of equal ones the stretch with the smallest order."""
+    same = _mixed(key ^ _mixed(text ^ (place << 8 | count).astype(np.uint64)))
+    by = np.lexsort((order, same))
+    first = np.flatnonzero(np.diff(same[by], prepend=same[by[:1]] + np.uint64(1)) != 0)
+    which = np.empty(len(by), np.int64)
+    which[by] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
+    rep = by[first]
+    if _alike(body, start, rep[which], count):
+        return which, rep
+    return np.arange(len(start)), np.arange(len(start))  # two texts with one hash: tell none of them apart by it
+
+
 def _alike(body: np.ndarray, start: np.ndarray, rep: np.ndarray, count: np.ndarray) -> bool:
     """Whether each stretch has the bytes of the one that stands for it."""
     if (count != count[rep]).any():
@@ -375,12 +381,17 @@ def _answer_stretches(table: pa.Table) -> pa.Table:
     heads = [np.frombuffer(h.as_buffer(), HEAD) for h in table["heads"]]
     data = np.frombuffer(b"".join(d.as_buffer() for d in table["data"]), np.uint8)
     head = np.concatenate(heads)
-    count = head["count"].astype(np.int64)
+    count, place = head["count"].astype(np.int64), head["place"].astype(np.int64)
     begins = np.cumsum(count + WIDTH - 1) - (count + WIDTH - 1)
-    of = np.repeat(np.arange(len(head)), count)
-    step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    group = _mixed(head["key"][of] ^ _mixed((head["place"][of].astype(np.int64) - step).astype(np.uint64)))
-    marks = repeated(data, begins[of] + step, group, head["order"][of]).astype(np.uint8)
+    text = _hash(prefixes(data), begins, begins + count + WIDTH - 1)
+    which, rep = _classes(data, begins, count, head["key"], place, text, head["order"])
+    # equal stretches of several blocks are sorted once, with the smallest of their documents
+    of = np.repeat(rep, count[rep])
+    step = _ragged(np.zeros(len(rep), np.int64), count[rep])
+    group = _mixed(head["key"][of] ^ _mixed((place[of] - step).astype(np.uint64)))
+    once = repeated(data, begins[of] + step, group, head["order"][of])
+    marks = once[_ragged((np.cumsum(count[rep]) - count[rep])[which], count)] | np.repeat(head["order"] > head["order"][rep][which], count)
+    marks = marks.astype(np.uint8)
     ends = np.cumsum([h["count"].astype(np.int64).sum() for h in heads])[:-1]
     return pa.table({"bucket": table["bucket"], "block": table["block"], "reply": pa.array([x.tobytes() for x in np.split(marks, ends)], pa.binary())})
 
