@@ -29,15 +29,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from tessella.llm.common import free_name, groups
 from tessella.llm.packing import Encoder, _shown_bytes
 
 #: Characters of texts that one step takes apart, joins and puts together, unless a single text is longer.
-STEP = 6 << 20
+STEP = 2 << 20
+#: Rows that are handed on at a time.
+ROWS = 64
 #: First bytes of characters some of which are white space.
 _MAYBE_SPACE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _SPACE = "▁"
@@ -180,8 +182,17 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers in any order as their differences when sorted, packed: a fifth of the room."""
+    return zstandard.compress(np.diff(np.sort(numbers), prepend=0).astype("<u4").tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), "<u4"), dtype=np.int64)
+
+
 def _aligned(texts: pa.Array, both: Sides) -> list[pa.Array]:
-    """n_a, n_b, n_groups, groups and the numbers of the linked pairs of texts without nulls."""
+    """n_a, n_b, n_groups, groups and the packed numbers of the linked pairs of texts without nulls."""
     counts, of, parts = taken_apart(texts, both.apart)
     n_a, n_b, n_groups, shown, links = _parts(parts, both)
     text = np.repeat(np.arange(len(texts)), counts)
@@ -193,14 +204,13 @@ def _aligned(texts: pa.Array, both: Sides) -> list[pa.Array]:
     row_ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
     groups_ = pc.binary_join(pa.ListArray.from_arrays(row_ends, shown.take(pa.array(of))), ";")
     own = links[_ragged((np.cumsum(n_groups) - n_groups)[of], n_groups[of])]
-    link_ends = np.concatenate([[0], np.cumsum(totals[2].to_numpy())]).astype(np.int32)
-    return [*totals, groups_, pa.ListArray.from_arrays(pa.array(link_ends), pa.array(own))]
+    return [*totals, groups_, pa.array([pack(x) for x in np.split(own, np.cumsum(totals[2].to_numpy())[:-1])], pa.binary())]
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with n_a, n_b, n_groups, groups (``a1,a2|b1;...``) and links (array<int>, the numbers of ``pairs``)."""
+    """The columns ``keep`` with n_a, n_b, n_groups, groups (``a1,a2|b1;...``) and links (the numbers of the linked ``Sides.pairs``, for ``unpack``)."""
     out = docs.select(*keep).schema
-    for name, kind in (("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("groups", "string"), ("links", ArrayType(IntegerType()))):
+    for name, kind in (("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("groups", "string"), ("links", "binary")):
         out = out.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +218,11 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", keep: t
             texts = pc.fill_null(batch.column(len(keep)), "")
             for lo, hi in groups(pc.binary_length(texts).to_numpy(zero_copy_only=False).tolist(), STEP):
                 made = _aligned(texts.slice(lo, hi - lo), sides(path_a, path_b))
-                yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]] + made, out.names)
+                done = pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]] + made, out.names)
+                for at in range(0, hi - lo, ROWS):  # the ids as text take several times the room of the text
+                    yield done.slice(at, ROWS)
+                del made, done
+                pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, F.col(text).alias(free_name(docs, "text"))).mapInArrow(run, out)
 
@@ -220,7 +234,8 @@ def pair_counts(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:
         pairs = sides(path_a, path_b).pairs
         total = np.zeros(len(pairs), np.int64)
         for batch in batches:
-            total += np.bincount(batch.column("links").flatten().to_numpy(), minlength=len(pairs))
+            for links in batch.column("links"):
+                np.add.at(total, unpack(links.as_buffer()), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs[at] >> 32, pairs[at] & 0xFFFFFFFF, total[at])], ["a", "b", "n"])
 
@@ -244,10 +259,8 @@ def weigh(aligned: DataFrame, counts: DataFrame, path_a: str, path_b: str) -> Da
     def step(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, best = shared.value
         for batch in rows:
-            of = batch.column("links")
-            ends, flat = of.offsets.to_numpy(), of.values.to_numpy()
-            sums = [np.concatenate([[0], np.cumsum(x[flat])]) for x in (total, best.astype(np.int64))]
-            made = [ends[1:] - ends[:-1], *(s[ends[1:]] - s[ends[:-1]] for s in sums[::-1])]
+            found = [unpack(x.as_buffer()) for x in batch.column("links")]
+            made = [np.array(x, np.int64) for x in ([len(f) for f in found], [best[f].sum() for f in found], [total[f].sum() for f in found])]
             names = [c for c in batch.schema.names if c != "links"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(x.astype(np.int64)) for x in made], [*names, "n_links", "n_best", "count_sum"])
 
