@@ -188,10 +188,10 @@ def _spelled(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def _best(rows: DataFrame, top: int) -> DataFrame:
-    """The first rows of each language; those of a part of the rows first, so that no task ranks a whole language."""
+    """The first rows of each language; those of a part of the rows first, then of some parts, so that no task ranks a whole language."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     within = rows.withColumn("_part", F.spark_partition_id())
-    for keys in (["lang", "_part"], ["lang"]):
+    for keys in (["lang", "_part"], ["lang", F.col("_part") % 256], ["lang", F.col("_part") % 16], ["lang"]):
         within = within.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return within.drop("_part")
 
