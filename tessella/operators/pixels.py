@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.percentiles import percentiles
+
 
 def sigmoid(v: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), v))))
@@ -33,7 +35,7 @@ def stretch(rows: DataFrame, v: str, keys: Sequence[str] = ("img",), where: Colu
 
 def normalise(rows: DataFrame, v: str = "v", lower: float = 0.01, upper: float = 0.99, keys: Sequence[str] = ("img",)) -> DataFrame:
     """Percentile stretch of each group with interpolated percentiles; a flat group becomes 0."""
-    ends = rows.groupBy(*keys).agg(F.percentile(v, F.array(F.lit(lower), F.lit(upper))).alias("p"))
+    ends = percentiles(rows, v, (lower, upper), keys)
     joined = rows.join(ends, list(keys))
     lo, hi = F.col("p")[0], F.col("p")[1]
     return joined.withColumn("norm", F.when(hi - lo > 1e-3, (F.col(v) - lo) / (hi - lo)).otherwise(0.0)).drop("p")
@@ -215,7 +217,7 @@ def normalise_tiles(rows: DataFrame, v: str, size: int, height: int, width: int,
     first of equal ones), and none if all are. At a pixel the ends of up to four tiles are mixed by its distance to their
     middles. What is joined to pixels are tiles; ``norm`` is 0 where every tile is flat.
     """
-    tiles_ = rows.groupBy(*keys, F.floor(F.col("y") / size).cast("int").alias("ty"), F.floor(F.col("x") / size).cast("int").alias("tx")).agg(F.percentile(v, F.array(F.lit(lower), F.lit(upper))).alias("p"))
+    tiles_ = percentiles(rows.withColumns({"ty": F.floor(F.col("y") / size).cast("int"), "tx": F.floor(F.col("x") / size).cast("int")}), v, (lower, upper), [*keys, "ty", "tx"])
     tiles_ = tiles_.select(*keys, "ty", "tx", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), (F.col("p")[1] - F.col("p")[0] > flat).alias("sound"))
     sound = tiles_.where("sound").groupBy(*keys).agg(F.collect_list(F.struct("ty", "tx", "lo", "hi")).alias("all"))  # the tiles of one image
     far = lambda t: (t["ty"] - F.col("ty")) * (t["ty"] - F.col("ty")) + (t["tx"] - F.col("tx")) * (t["tx"] - F.col("tx"))
