@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import boundary as b
-from tessella.operators import distance, kernels
+from tessella.operators import choices, distance, kernels
 from tessella.operators import labels as l
 from tessella.operators import metrics as m
 from tessella.operators import tiles as t_
@@ -378,10 +378,7 @@ def radius_histogram(spark, d):
 @register("clip_to_dilated", sql("lab", "SELECT img, y, x, gt AS label FROM lab l WHERE gt > 0 AND EXISTS (SELECT 1 FROM lab o WHERE o.img = l.img AND o.pr = l.gt AND abs(o.y - l.y) <= 1 AND abs(o.x - l.x) <= 1)"))
 def clip_to_dilated(spark, d):
     """Pixels of a label that lie on the other map's same label, dilated once."""
-    rows = lab(spark, d)
-    step = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-    allowed = rows.where("pr > 0").withColumn("s", step).select("img", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("pr").alias("gt"))
-    return rows.where("gt > 0").join(allowed, ["img", "y", "x", "gt"], "left_semi").select("img", "y", "x", F.col("gt").alias("label"))
+    return choices.clipped_to_dilated(lab(spark, d))
 
 
 @register("distance_to_boundary", sql("lab", """SELECT l.img, l.y, l.x, min((l.y - b.y) * (l.y - b.y) + (l.x - b.x) * (l.x - b.x)) AS d2, min((l.y - b.y) * (l.y - b.y) + (l.x - b.x) * (l.x - b.x)) < 1 AS edge FROM lab l JOIN
@@ -402,30 +399,20 @@ def outline_pixels(spark, d):
     (SELECT s.img, s.gt, count(*) AS n FROM s JOIN lab l ON l.img = s.img AND l.pr = s.gt AND l.y >= s.r0 AND l.y < s.r1 AND l.x >= s.c0 AND l.x < s.c1 GROUP BY ALL) p ON p.img = s.img AND p.gt = s.gt""", s=SHAPES))
 def log_area_join(spark, d):
     """Area of a label and of the other map's same label within its box, with ratio and agreement."""
-    rows = lab(spark, d)
-    box = l.shapes(rows, "gt")
-    inside = rows.where("pr > 0").select("img", F.col("pr").alias("gt"), "y", "x").join(box, ["img", "gt"]).where("y >= r0 and y < r1 and x >= c0 and x < c1").groupBy("img", "gt").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return box.join(inside, ["img", "gt"], "left").select("img", "gt", "area", n.alias("in_box"), F.round(n / F.col("area"), 6).alias("ratio"), (n == F.col("area")).alias("agrees"))
+    return choices.area_in_box(lab(spark, d)).withColumn("ratio", F.round("ratio", 6))
 
 
 @register("merged_by_winner", sql("area best", """SELECT l.img, l.y, l.x, max(CASE WHEN b.iou > 0.5 THEN CASE WHEN l.pr = b.pr THEN b.gt END ELSE CASE WHEN l.gt = b.gt THEN b.gt END END) AS label FROM lab l JOIN best b ON b.img = l.img AND (l.gt = b.gt OR l.pr = b.pr) GROUP BY ALL HAVING label IS NOT NULL"""))
 def merged_by_winner(spark, d):
     """Each label's region from the map that does better on it, else its own; later labels overwrite."""
-    rows = lab(spark, d)
-    best = l.iou_pairs(l.contingency(rows)).groupBy("img", "gt").agg(F.max_by(F.struct("pr", "iou"), F.struct("iou", -F.col("pr"))).alias("b")).select("img", F.col("gt").alias("label"), "b.*")
-    other = rows.where("pr > 0").select("img", "y", "x", "pr").join(best.where("iou > 0.5"), ["img", "pr"]).select("img", "y", "x", "label")
-    own = rows.where("gt > 0").select("img", "y", "x", F.col("gt").alias("label")).join(best.where("iou <= 0.5").select("img", "label"), ["img", "label"]).select("img", "y", "x", "label")
-    return l.resolve_overlap(other.unionByName(own), last=True)
+    return choices.merged_by_winner(lab(spark, d))
 
 
 @register("largest_component", sql("pix", """SELECT img, root, n FROM (SELECT n.img, c.root, count(*) AS n FROM (SELECT node, min(root) AS root FROM reach GROUP BY node) c JOIN nodes n USING (node) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY img ORDER BY n DESC, root) = 1""", recursive=True, nodes=NODES, reach=REACH))
 def largest_component(spark, d):
     """The largest component of each image, the first of equal ones."""
     rows = pix(spark, d).where("v > 0").select((F.col("img") * 64 + F.col("pos")).alias("node"), "img", "y", "x")
-    roots = l.components(neighbours(rows, [(0, 1), (1, -1), (1, 0), (1, 1)]), rows)
-    sizes = roots.join(rows.select("node", "img"), "node").groupBy("img", "root").agg(F.count("*").alias("n"))
-    return sizes.groupBy("img").agg(F.max_by(F.struct("root", "n"), F.struct("n", -F.col("root"))).alias("b")).select("img", "b.root", "b.n")
+    return choices.largest_component(neighbours(rows, [(0, 1), (1, -1), (1, 0), (1, 1)]), rows)
 
 
 @register("boundary_scales", sql("lab", """SELECT img, factor, round(CASE WHEN np > 0 THEN hp / np ELSE 0 END, 6) AS precision, round(CASE WHEN ng > 0 THEN hg / ng ELSE 0 END, 6) AS recall FROM (SELECT s.img, factor, count(*) FILTER (bg) AS ng, count(*) FILTER (bp) AS np,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessella.operators import holes, neighbours, overlaps, tiles, volumes
+from tessella.operators import choices, holes, neighbours, overlaps, tiles, volumes
 from tessella.operators import kernels as k
 from tessella.operators import metrics as m
 from tessella.operators import pixels as p
@@ -213,7 +213,8 @@ def flow_error(spark, d):
 
 @register("centrality", sql("lab", "SELECT img, gt, round(sqrt((avg(y) - 4) * (avg(y) - 4) + (avg(x) - 4) * (avg(x) - 4)) / (sqrt(128) / 2), 6) AS c FROM lab WHERE gt > 0 GROUP BY ALL"))
 def centrality(spark, d):
-    return lab(spark, d).where("gt > 0").groupBy("img", "gt").agg(F.round(F.hypot(F.avg("y") - 4, F.avg("x") - 4) / (128**0.5 / 2), 6).alias("c"))
+    """How far each label lies from the middle of its image."""
+    return choices.centrality(lab(spark, d), "gt", SIDE, SIDE).withColumn("c", F.round("c", 6))
 
 
 # Kernels: no SQL expresses them in reasonable room; tests hold them against plain versions.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as t
-from tessella.operators import methods
+from tessella.operators import choices, methods
 from tessella.operators import pixels as p
 from tessella.operators.compare import numbered
 from tessella.operators.labels import contingency, iou_pairs
@@ -67,18 +67,14 @@ def ablation_best(spark, d):
 def best_scale(spark, d):
     """The candidate of the best score by solidity and overlap, of equal ones the first; without any the last of all."""
     known = contingency(lab(spark, d))
-    solid = F.col("n") / 16
-    rows = iou_pairs(known).where(solid >= 0.3).withColumn("s", F.round(solid * (0.35 + 0.65 * F.col("iou")), 9))
-    best = rows.groupBy("img").agg(F.max_by("gt", F.struct("s", -F.col("gt"))).alias("scale"), F.max("s").alias("s"))
-    return counts(known).join(best, "img", "left").select("img", F.coalesce("scale", F.lit(4)).alias("scale"), F.round(F.coalesce("s", F.lit(-1.0)), 6).alias("score"))
+    candidates = iou_pairs(known).select("img", F.col("gt").alias("scale"), (F.col("n") / 16).alias("solidity"), "iou")
+    return choices.best_scale(candidates, counts(known), 4).withColumn("score", F.round("score", 6))
 
 
 @register("seed_label", sql("lab", "SELECT i.img, s.label FROM (SELECT DISTINCT img FROM lab) i LEFT JOIN (SELECT img, pr AS label FROM (SELECT img, pr, count(*) AS n FROM lab WHERE gt > 0 AND pr > 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY img ORDER BY n DESC, pr) = 1) s USING (img)"))
 def seed_label(spark, d):
     """The label that covers most of an image's seeds, the smaller id of equal ones; none where no seed lies on a label."""
-    rows = lab(spark, d)
-    votes = rows.where("gt > 0 and pr > 0").groupBy("img", "pr").agg(F.count("*").alias("n"))
-    return rows.select("img").distinct().join(votes.groupBy("img").agg(F.max_by("pr", F.struct("n", -F.col("pr"))).alias("label")), "img", "left")
+    return choices.seed_label(lab(spark, d))
 
 
 @register("model_names", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '2D_versatile_fluo' WHEN s_suppkey % 3 = 1 THEN '2D_versatile_fluo' ELSE '2D_versatile_he' END AS model FROM supplier")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators import scan, tiles, volumes
+from tessella.operators import percell, sampling, scan, tiles, volumes
 from tessella.operators.labels import global_ids
-from tessella.plans.fixtures import LARGE, SIDE, mosaic, on_mosaic, pix, sql, table
+from tessella.operators.percentiles import percentiles
+from tessella.plans.fixtures import LARGE, SIDE, lab, mosaic, on_mosaic, pix, sql, table
 from tessella.plans.registry import register
 from tessella.sources.tables import polygons
 
@@ -122,3 +124,64 @@ def volume_faces(spark, d):
 def volume_faces_whole(spark, d):
     """Labels of blocks of volumes that touch across faces."""
     return volumes.block_faces(voxels(spark, d), 4, shrink=False)
+
+
+@register("line_percentiles", "SELECT l_returnflag AS img, round(unnest(quantile_cont(CAST(l_extendedprice AS DOUBLE), [0.01, 0.5, 0.99])), 6) AS p, unnest([0, 1, 2]) AS n FROM lineitem GROUP BY l_returnflag")
+def line_percentiles(spark, d):
+    """Percentiles of groups that are too large to be sorted whole: histograms, refined where the ranks lie."""
+    found = percentiles(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "img"), "l_extendedprice", (0.01, 0.5, 0.99))
+    return found.select("img", F.posexplode("p").alias("n", "p")).withColumn("p", F.round("p", 6))
+
+
+UNIFORM = "((CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+@register("weighted_epochs", f"""SELECT epoch, CAST(row_number() OVER (PARTITION BY epoch ORDER BY t, o_orderkey) AS INTEGER) AS place, o_orderkey FROM (SELECT CAST(epoch AS INTEGER) AS epoch, o_orderkey, -ln({UNIFORM.format("'7:' || epoch || ':' || o_orderkey")}) / CAST(o_totalprice AS DOUBLE) AS t FROM orders, range(3) e(epoch)) QUALIFY place <= 100""")
+def weighted_epochs(spark, d):
+    """A hundred different orders for each of three epochs, drawn by price."""
+    return sampling.drawn(table(spark, d, "orders"), "o_orderkey", "o_totalprice", 3, 100, seed=7)
+
+
+@register("weighted_draws", f"""WITH line AS (SELECT o_orderkey, CAST(sum(w) OVER (ORDER BY o_orderkey) AS BIGINT) AS hi, w FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS w FROM orders)),
+draws AS (SELECT CAST(epoch AS INTEGER) AS epoch, draw, CAST(floor({UNIFORM.format("'7:' || epoch || ':' || draw")} * (SELECT max(hi) FROM line)::DOUBLE) AS BIGINT) AS place FROM range(2) e(epoch), range(500) n(draw))
+SELECT epoch, draw, o_orderkey FROM draws d ASOF JOIN line l ON d.place >= l.hi - l.w""")
+def weighted_draws(spark, d):
+    """Five hundred draws for each of two epochs with replacement, by price in whole units."""
+    rows = table(spark, d, "orders").withColumn("w", F.floor("o_totalprice"))
+    return sampling.drawn_again(rows, "o_orderkey", "w", 2, 500, seed=7)
+
+
+def bright(values: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """What is above a half in the cell; an error where nothing is."""
+    out = mask & (values > 0.5)
+    if not out.any():
+        raise ValueError("nothing bright")
+    return out
+
+
+def cells(spark, d) -> DataFrame:
+    """The true labels of all images, run cell by cell."""
+    rows = lab(spark, d).select("img", F.struct("y", "x", "gt").alias("p")).groupBy("img").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["gt"].cast("long")).alias("labels"))  # an image of 64 pixels
+    values = table(spark, d, "embeddings").select(F.col("vec_id").alias("img"), F.col("embedding").cast("array<double>").alias("values"))
+    images = values.join(rows, "img").withColumns({"height": F.lit(SIDE), "width": F.lit(SIDE)})
+    return percell.run(percell.crops(images, 1), bright, least=4, erosion=1, check=lambda result, mask: 3 * result.sum() >= mask.sum())
+
+
+CELLS = {
+    "each": "SELECT l.img, l.y, l.x, l.gt AS label, v FROM lab l JOIN pix p ON p.img = l.img AND p.y = l.y AND p.x = l.x WHERE l.gt > 0",
+    "inner_": "SELECT a.img, a.y, a.x, a.label FROM each a JOIN each b ON b.img = a.img AND b.label = a.label AND abs(b.y - a.y) + abs(b.x - a.x) = 1 GROUP BY ALL HAVING count(*) = 4",
+    "sums": "SELECT e.img, e.label, count(*) AS area, count(i.y) AS seeds, count(*) FILTER (v > 0.5) AS bright FROM each e LEFT JOIN inner_ i ON i.img = e.img AND i.y = e.y AND i.x = e.x GROUP BY e.img, e.label",
+    "states": "SELECT *, CASE WHEN area < 4 THEN 'small' WHEN seeds = 0 THEN 'unseeded' WHEN bright = 0 THEN 'failed' WHEN 3 * bright < area THEN 'ragged' ELSE 'placed' END AS status FROM sums",
+}
+
+
+@register("percell_status", sql("lab", "SELECT status, count(*) AS n FROM states GROUP BY status", **CELLS))
+def percell_status(spark, d):
+    """How many cells came to each end."""
+    return cells(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@register("percell_labels", sql("lab", "SELECT e.img, e.y, e.x, CAST(e.label AS BIGINT) AS label FROM each e JOIN states s ON s.img = e.img AND s.label = e.label WHERE status <> 'placed' OR v > 0.5", **CELLS))
+def percell_labels(spark, d):
+    """The label map that the cells make together."""
+    return percell.merged(cells(spark, d))
