@@ -102,11 +102,16 @@ def records(labels: DataFrame, outlines_: DataFrame, label: str = "label") -> Da
 #: Layout of a polygon in the region files of a common image editor (fixed values): magic, version, kind, length of the header.
 ROI_MAGIC, ROI_VERSION, ROI_POLYGON, ROI_HEADER = b"Iout", 227, 0, 64
 
+#: The largest number that a field of 16 bits holds.
+ROI_MOST = 32767
+
 
 def roi(points: Sequence[tuple[int, int]]) -> bytes:
     """The bytes of a region file of a polygon of (x, y) points: a big-endian header with the box, then places within it."""
     xs, ys = [x for x, _ in points], [y for _, y in points]
     top, left = min(ys), min(xs)
+    if len(points) > ROI_MOST or max(ys) > ROI_MOST or max(xs) > ROI_MOST:
+        raise ValueError(f"a region file holds at most {ROI_MOST} points and places, not {max(len(points), *xs, *ys)}")
     head = ROI_MAGIC + struct.pack(">hBBhhhhh", ROI_VERSION, ROI_POLYGON, 0, top, left, max(ys), max(xs), len(points))
     return head.ljust(ROI_HEADER, b"\0") + struct.pack(f">{2 * len(points)}h", *(x - left for x in xs), *(y - top for y in ys))
 
@@ -120,7 +125,11 @@ def roi_archives(outlines_: DataFrame) -> DataFrame:
         with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
             for name, points in sorted(zip(rows["name"], rows["points"], strict=True)):
                 flat = [int(v) for v in points.split(",")]
-                archive.writestr(zipfile.ZipInfo(f"{name}.roi"), roi(list(zip(flat[::2], flat[1::2], strict=True))))
+                try:
+                    region = roi(list(zip(flat[::2], flat[1::2], strict=True)))
+                except ValueError as e:
+                    raise ValueError(f"image {rows['img'].iloc[0]}, label {name}: {e}") from e
+                archive.writestr(zipfile.ZipInfo(f"{name}.roi"), region)
         return pd.DataFrame({"img": [rows["img"].iloc[0]], "content": [data.getvalue()]})
 
     return outlines_.where("n > 0").select("img", "name", "points").groupBy("img").applyInPandas(run, f"img {kind}, content binary")

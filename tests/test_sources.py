@@ -374,3 +374,11 @@ def test_intermediate_data_needs_a_shared_folder(spark, tmp_path):
     frame.write.parquet(f"{tmp_path}/gone")
     durable.remove(spark, f"{tmp_path}/gone")
     assert not (tmp_path / "gone").exists() and durable.checkpoint(frame).count() == 5
+
+
+def test_regions_that_do_not_fit_name_their_label(spark):
+    import pytest
+
+    far = spark.createDataFrame([(4, "0007", "0,0,40000,1,3,3", 3)], "img long, name string, points string, n long")
+    with pytest.raises(Exception, match="image 4, label 0007: a region file holds at most 32767"):
+        tables.roi_archives(far).collect()
