@@ -15,8 +15,8 @@ def write_blocks(pixels: DataFrame, path: str, size: int, img: str = "img", v: s
     box = [F.min("y").alias("top"), F.min("x").alias("left"), (F.max("y") - F.min("y") + 1).alias("height"), (F.max("x") - F.min("x") + 1).alias("width")]
     blocks = placed.groupBy(img, "by", "bx").agg(*box, F.array_sort(F.collect_list(F.struct("y", "x", v))).alias("cells"))
     partial = F.size("cells") < F.col("height") * F.col("width")
-    places = [F.when(partial, F.transform("cells", lambda c, n=n: c[n])).alias(n) for n in ("y", "x")]
-    kept = blocks.select(img, "by", "bx", F.lit(size).alias("size"), "top", "left", "height", "width", *places, F.transform("cells", lambda c: c[v]).alias(v))
+    places = [F.when(partial, F.col(f"cells.{n}")).alias(n) for n in ("y", "x")]
+    kept = blocks.select(img, "by", "bx", F.lit(size).alias("size"), "top", "left", "height", "width", *places, F.col(f"cells.{v}").alias(v))
     kept.repartition(img, "by").write.mode("overwrite").partitionBy("by").parquet(path)
 
 
