@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from tessella.operators.labels import LABEL_BITS, components, settle
 
@@ -296,6 +296,9 @@ def global_labels(tiles: DataFrame, down: int, across: int, keys: Sequence[str]
 
 def faces(tiles: DataFrame, keys: Sequence[str] = ("img",)) -> DataFrame:
     """Different pairs (keys, a, b) of ids that touch across the right or lower face of a tile; only faces are shuffled."""
+    schema = tiles.select(*keys).schema
+    for name, kind in (("way", "integer"), ("by", "integer"), ("bx", "integer"), ("near", "boolean"), ("line", ArrayType(LongType()))):
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,23 +308,15 @@ def faces(tiles: DataFrame, keys: Sequence[str] = ("img",)) -> DataFrame:
                 y, x = batch.column("by")[k].as_py(), batch.column("bx")[k].as_py()
                 for w, first, place, values in ((0, True, (y, x + 1), a[:, -1]), (0, False, (y, x), a[:, 0]), (1, True, (y + 1, x), a[-1]), (1, False, (y, x), a[0])):
                     if values.any():
-                        at.append(k), way.append(w), by.append(place[0]), bx.append(place[1]), near.append(first), line.append(np.ascontiguousarray(values).tobytes())
-            taken = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in keys), pa.array(way, pa.int32()), pa.array(by, pa.int32()), pa.array(bx, pa.int32()), pa.array(near, pa.bool_()), pa.array(line, pa.binary())], [*keys, "way", "by", "bx", "near", "line"])
-
-    schema = tiles.select(*keys).schema
-    pairs = tiles.select(*keys).schema.add("a", "long").add("b", "long")
-    for name, kind in (("way", "integer"), ("by", "integer"), ("bx", "integer"), ("near", "boolean"), ("line", "binary")):
-        schema = schema.add(name, kind)
-
-    def meet(table: pa.Table) -> pa.Table:
-        lines = {n: np.frombuffer(d.as_buffer(), "<i8") for n, d in zip(table["near"].to_pylist(), table["line"], strict=True)}
-        both = np.stack([lines[True], lines[False]], 1) if len(lines) == 2 else np.empty((0, 2), "<i8")
-        both = np.unique(both[(both > 0).all(1)], axis=0)
-        taken = pa.array(np.zeros(len(both), np.int64))
-        return pa.table([*(table[c].take(taken) for c in keys), pa.array(both[:, 0]), pa.array(both[:, 1])], [*keys, "a", "b"])
-
-    return tiles.mapInArrow(run, schema).groupBy(*keys, "way", "by", "bx").applyInArrow(meet, pairs).distinct()
+                        at.append(k), way.append(w), by.append(place[0]), bx.append(place[1]), near.append(first), line.append(values)
+            taken, ends = pa.array(at, pa.int64()), pa.array(np.cumsum([0, *map(len, line)]).astype(np.int32))
+            lines = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *line]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in keys), pa.array(way, pa.int32()), pa.array(by, pa.int32()), pa.array(bx, pa.int32()), pa.array(near, pa.bool_()), lines], schema.names)
+
+    lines = tiles.mapInArrow(run, schema)
+    met = lines.groupBy(*keys, "way", "by", "bx").agg(F.max_by("line", "near").alias("first"), F.min_by("line", "near").alias("second"), F.count("*").alias("n")).where("n = 2")
+    pairs = met.select(*keys, F.explode(F.array_distinct(F.arrays_zip(F.col("first").alias("a"), F.col("second").alias("b")))).alias("p"))
+    return pairs.select(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b")).where("a > 0 and b > 0").distinct()
 
 
 def relabelled(tiles: DataFrame, roots: DataFrame, keys: Sequence[str] = ("img",)) -> DataFrame:

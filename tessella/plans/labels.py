@@ -6,12 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators import blocks as blocks_
 from tessella.operators import boundary as b
 from tessella.operators import choices, distance, kernels
 from tessella.operators import labels as l
 from tessella.operators import metrics as m
-from tessella.operators import tiles as t_
-from tessella.plans import fixtures
 from tessella.plans.fixtures import LARGE, SIDE, SQL, grid, lab, lab_big, mosaic, on_mosaic, pix, sql
 from tessella.plans.registry import register
 
@@ -491,8 +490,8 @@ def block_faces_shrunk(spark, d):
 @register("block_segmentation", sql("pix", "SELECT img, count(*) AS n, CAST(sum(area) AS BIGINT) AS area, CAST(sum(r1 - r0) AS BIGINT) AS heights, CAST(sum(c1 - c0) AS BIGINT) AS widths FROM (SELECT n.img, r.root, count(*) AS area, min(y) AS r0, max(y) + 1 AS r1, min(x) AS c0, max(x) + 1 AS c1 FROM (SELECT node, min(root) AS root FROM reach GROUP BY node) r JOIN nodes n USING (node) GROUP BY ALL) GROUP BY img", recursive=True,
     nodes=NODES, reach="SELECT node, node AS root FROM nodes UNION SELECT n.node, r.root FROM reach r JOIN nodes m ON m.node = r.node JOIN nodes n ON n.img = m.img AND abs(n.y - m.y) + abs(n.x - m.x) <= 1"))
 def block_segmentation(spark, d):
-    """Components found tile by tile and joined across faces are those of the whole images."""
-    images = fixtures.table(spark, d, "embeddings").select(F.col("vec_id").alias("img"), "embedding")
-    parts = t_.run_blocks(t_.of_arrays(images, "embedding", SIDE, SIDE, 4), lambda a: kernels.components(a > 0, kernels.FOUR))
-    areas = t_.measured(t_.joined(parts))
+    """Components found block by block and joined across faces are those of the whole images: many blocks of few pixels, which packed tiles do not suit."""
+    parts = blocks_.run_blocks(pix(spark, d), lambda a: kernels.components(a > 0, kernels.FOUR), "v", 4, 0, SIDE, SIDE)
+    joined, boxes = blocks_.join_blocks(parts, 4, 2)
+    areas = joined.where("label > 0").groupBy("label").agg(F.first("img").alias("img"), F.count("*").alias("area")).join(boxes, "label")
     return areas.groupBy("img").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.sum(F.col("r1") - F.col("r0")).alias("heights"), F.sum(F.col("c1") - F.col("c0")).alias("widths"))
