@@ -41,6 +41,9 @@ REACH = WIDTH - GRAM + 1
 BLOCK, SLICE = 1 << 21, 1 << 19
 #: Bytes of the corpus for each bucket.
 BUCKET = 1 << 19
+#: Blocks ask buckets, each of them nearly every one. Up to FEW bytes of corpus they are as small as above; beyond, both
+#: grow with the root of messages that this would take, WIDER times at most, which a task still holds with ease.
+FEW, WIDER = 1 << 28, 8
 #: Blocks that an anchor may stand in before its windows are dealt one by one.
 HOT = 1000
 LAST = np.int64((1 << 63) - 1)
@@ -423,10 +426,20 @@ def _results(blocks: DataFrame, buckets: int) -> DataFrame:
     return blocks.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def spread(total: int, hot: int = HOT, size: int = BLOCK) -> tuple[int, int, int]:
+    """For a corpus of that many bytes: bytes of a block, number of buckets, blocks from which on an anchor is hot.
+
+    Messages are blocks times buckets. As both are wider for a larger corpus, messages grow with it rather than with its
+    square, and an anchor is hot from the same number of bytes on.
+    """
+    wide = min(WIDER, max(1.0, (total / FEW) ** 0.5))
+    return int(size * wide), 16 + int(total / (BUCKET * wide)), int(hot / wide)
+
+
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, size: int = BLOCK) -> tuple[DataFrame, list[Stored]]:
     """doc_id, n_bytes, n_removed, n_spans and the bytes kept of each row, and what to drop when they have been read."""
+    size, buckets, hot = spread(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0, hot, size)
     stored = _blocks(docs, doc_id, text, size)
-    buckets = 16 + (stored.rows.agg(F.sum("size")).first()[0] or 0) // BUCKET
     blocks = stored.rows.drop("size")
     asked = _ask_anchors(blocks, buckets)
     anchors = Stored(asked.groupBy("bucket").applyInArrow(lambda t: _answer_anchors(t, hot), "bucket int, block long, reply binary"))

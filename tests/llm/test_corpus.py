@@ -174,6 +174,24 @@ def test_repeats_of_planted_passages(spark, how):
     assert sorted(removed(docs, **how), key=key) == want
 
 
+def test_messages_of_repeats_grow_with_the_corpus():
+    def messages(total):
+        size, buckets, _ = repeats.spread(total)
+        return total / size * buckets
+
+    assert repeats.spread(10**8) == (repeats.BLOCK, 16 + 10**8 // repeats.BUCKET, repeats.HOT)
+    assert messages(6 * 10**9) < 7 * messages(10**9)
+    assert messages(15 * 10**9) < 16 * messages(10**9)
+
+
+def test_repeats_in_wide_blocks_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "FEW", 100)
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted([(d, *x) for (d, _), x in zip(rows, brute_repeats(rows), strict=True)], key=key)
+    assert sorted(removed(docs, size=300, hot=20), key=key) == want
+
+
 def test_repeats_of_odd_rows(spark):
     docs = odd_docs(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if len(r["text"] or "") < 10_000]
