@@ -189,10 +189,14 @@ def to_rgb(h: Column, s: Column, v: Column) -> dict[str, Column]:
 
 
 def cyclic_colours(dy: Column, dx: Column, magnitude: Column) -> dict[str, Column]:
-    """Three channels of a flow: half the clipped magnitude times the raised cosine of its angle, a third of a turn apart."""
+    """Three channels of a flow: half the clipped magnitude times the raised cosine of its angle, a third of a turn apart.
+
+    A channel is rounded to six places before its fraction is cut, as cosines differ in their last bit between machines;
+    it is null where the flow is.
+    """
     angle = F.atan2(dx, dy) + 3.141592653589793
     half = 127.5 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), magnitude))
-    return {k: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), half * (F.cos(angle + i * 2.0943951023931953) + 1)))).cast("int") for i, k in enumerate(("r", "g", "b"))}
+    return {k: F.floor(F.round(half * (F.cos(angle + i * 2.0943951023931953) + 1), 6)).cast("int") for i, k in enumerate(("r", "g", "b"))}
 
 
 def reduce_channels(values: Column, mode: str) -> Column:
