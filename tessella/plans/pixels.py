@@ -271,11 +271,11 @@ def watershed(spark, d):
 
 @register("flows_and_back")
 def flows_and_back(spark, d):
-    def there(a: np.ndarray) -> np.ndarray:
-        flow = k.to_flows(a)
-        return k.gather(k.follow(flow, a > 0, 60), a > 0, seed_count=3, grow_count=1)
+    def there(stack: np.ndarray) -> np.ndarray:
+        ends = k.follow(k.each_to_flows(stack), stack > 0, 60, apart=1)
+        return k.gather(ends, stack > 0, seed_count=3, grow_count=1, apart=1)
 
-    return k.per_image(grid(spark, d), there, "label", "label", SIDE, SIDE)
+    return k.per_image(grid(spark, d), there, "label", "label", SIDE, SIDE, stacked=True)
 
 
 WEIGHTS = "SELECT dy, dx, exp(-d / 0.5) / sum(exp(-d / 0.5)) OVER () - exp(-d / 8.0) / sum(exp(-d / 8.0)) OVER () AS w FROM (SELECT CAST(a AS INTEGER) AS dy, CAST(b AS INTEGER) AS dx, least(a, 8 - a) * least(a, 8 - a) + least(b, 8 - b) * least(b, 8 - b) AS d FROM range(0, 8) u(a), range(0, 8) v(b))"

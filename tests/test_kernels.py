@@ -297,3 +297,27 @@ def test_groups_come_whole(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert k.by_group(frame.limit(0), ["k"], lambda p: p, "k int, i int").count() == 0
+
+
+def test_stacks_give_what_their_images_give():
+    rng = np.random.default_rng(3)
+    cell = 1 + (np.arange(11)[:, None] // 4) * 3 + np.arange(14)[None] // 5
+    stack = np.where(rng.random((12, 11, 14)) < 0.8, cell, 0)
+    stack[0] = stack[4] = 0
+    for near in (k.EIGHT, k.FOUR):
+        assert (k.each_components(stack > 0, near) == np.stack([k.components(a > 0, near) for a in stack])).all()
+    flows = k.each_to_flows(stack)
+    assert all((flows[:, i] == k.to_flows(a)).all() for i, a in enumerate(stack))
+    got = k.gather(k.follow(flows, stack > 0, 60, apart=1), stack > 0, seed_count=3, grow_count=1, apart=1)
+    want = [k.gather(k.follow(k.to_flows(a), a > 0, 60), a > 0, seed_count=3, grow_count=1) for a in stack]
+    assert (got == np.stack(want)).all() and got.max() > 2
+
+
+def test_images_of_a_table_reach_the_kernel_together(spark):
+    rows = spark.range(600).selectExpr("id div 6 as img", "cast(id % 6 div 3 as int) as y", "cast(id % 3 as int) as x", "id as v").repartition(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        each = k.per_image(rows, lambda stack: stack * 0 + len(stack), "v", "n", 2, 3, stacked=True).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(each) == 600 and min(r["n"] for r in each) >= 1 and max(r["n"] for r in each) > 50
