@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.kernels import by_groups, stacks
 from tessella.operators.labels import largest_overlap, shapes
 from tessella.operators.metrics import ratio, region_f
 
@@ -43,12 +47,74 @@ def within(points: DataFrame, others: DataFrame, radius: int, keys: Sequence[str
     return points.join(near, [*keys, "y", "x"], "left_semi")
 
 
+def disks(marks: np.ndarray, radius: int) -> np.ndarray:
+    """The places of a stack of masks within a distance of ``radius`` of a marked one: a window of each row's sums for each row of the disk."""
+    n, h, w = marks.shape
+    sums = np.zeros((n, h, w + 1), np.int32)
+    np.cumsum(marks, 2, out=sums[:, :, 1:])
+    out, x = np.zeros(marks.shape, bool), np.arange(w)
+    for dy in range(-min(radius, h - 1), min(radius, h - 1) + 1):
+        half = math.isqrt(radius * radius - dy * dy)
+        met = sums[:, :, np.minimum(w, x + half + 1)] > sums[:, :, np.maximum(0, x - half)]
+        out[:, max(0, -dy) : h - max(0, dy)] |= met[:, max(0, dy) : h - max(0, -dy)]
+    return out
+
+
+def _thick(labels: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Where a neighbour of four that is there has another label."""
+    out = np.zeros(labels.shape, bool)
+    for axis in (1, 2):
+        low, high = ((slice(None),) * axis + (x,) for x in (slice(None, -1), slice(1, None)))
+        differ = (labels[low] != labels[high]) & there[low] & there[high]
+        out[low] |= differ
+        out[high] |= differ
+    return out
+
+
+def near_counts(pair: DataFrame, keys: Sequence[str] = ("img",), tile: int = 64) -> DataFrame:
+    """(keys, ng, np, hg, hp) by tile of images (keys, y, x, gt, pr, r): pixels on thick boundaries of both maps, and how many of them have one of the other map within r.
+
+    Pixels are dealt once, to each tile whose square widened by r + 1 holds them; numpy does the rest for many tiles at
+    once. What a task holds is a batch and a tile, which is as wide as r at least. r is the same for all pixels of an image.
+    """
+    names = list(keys)
+    kinds = dict(pair.dtypes)
+    size = F.greatest(F.lit(tile), F.col("r"))
+
+    def held(c: str) -> Column:
+        own = F.floor(F.col(c) / size)
+        first = F.floor((F.col(c) - F.col("r") - 1) / size)
+        return F.explode(F.sequence(F.greatest(first, F.least(own, F.lit(0))).cast("int"), F.floor((F.col(c) + F.col("r") + 1) / size).cast("int")))
+
+    def run(pdf: pd.DataFrame, of: np.ndarray) -> pd.DataFrame:
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        out = {c: np.zeros(len(first), np.int64) for c in ("ng", "np", "hg", "hp")}
+        radius = pdf["r"].to_numpy()[first]
+        at_y, at_x, own = (pdf[c].to_numpy() for c in ("y", "x", "own"))
+        for at, place, shape, these in stacks(of, at_y, at_x):
+            inner = np.zeros(shape, bool)
+            inner[place] = own[at]
+            thick = []
+            for c in ("gt", "pr"):
+                labels, there = np.zeros(shape, pdf[c].to_numpy().dtype), np.zeros(shape, bool)
+                labels[place], there[place] = pdf[c].to_numpy()[at], pdf[c].notna().to_numpy()[at]
+                thick.append(_thick(labels, there))
+            for r in np.unique(radius[these]).tolist():
+                same = radius[these] == r
+                g, p, kept = (a[same] for a in (*thick, inner))
+                for name, found in (("ng", g), ("np", p), ("hg", g & disks(p, r)), ("hp", p & disks(g, r))):
+                    out[name][these[same]] = (found & kept).sum((1, 2))
+        return pd.DataFrame({**{c: pdf[c].iloc[first].to_numpy() for c in names}, **out})
+
+    dealt = pair.withColumn("by", held("y")).withColumn("bx", held("x"))
+    dealt = dealt.withColumn("own", (F.floor(F.col("y") / size) == F.col("by")) & (F.floor(F.col("x") / size) == F.col("bx")))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", ng long, np long, hg long, hp long"
+    return by_groups(dealt.select(*names, "by", "bx", "y", "x", "gt", "pr", "r", "own"), [*names, "by", "bx"], run, schema)
+
+
 def pooled(pair: DataFrame, radius: int = 2) -> DataFrame:
     """Recall, precision and F of thick boundaries over all images together; null if either side has no boundary."""
-    marked = bordered(pair, {"bg": "gt", "bp": "pr"}, CROSS)
-    g, p = marked.where("bg").select("img", "y", "x"), marked.where("bp").select("img", "y", "x")
-    n = [d.agg(F.count("*").alias(k)) for d, k in ((g, "ng"), (p, "np"), (within(g, p, radius), "hg"), (within(p, g, radius), "hp"))]
-    one = n[0].crossJoin(n[1]).crossJoin(n[2]).crossJoin(n[3])  # four single rows
+    one = near_counts(pair.select("img", "y", "x", "gt", "pr", F.lit(radius).alias("r"))).agg(*[F.sum(c).alias(c) for c in ("ng", "np", "hg", "hp")])
     some = (F.col("ng") > 0) & (F.col("np") > 0)
     r, q = F.when(some, F.col("hg") / F.col("ng")), F.when(some, F.col("hp") / F.col("np"))
     return one.select(r.alias("recall"), q.alias("precision"), F.when(r + q > 0, 2 * r * q / (r + q)).when(some, 0.0).alias("f"))
@@ -130,18 +196,9 @@ def scales(pair: DataFrame, table: DataFrame, factors: Sequence[float] = (0.05,
     """(factor, precision, recall, f) of thick boundaries per image, within tolerances that are shares of the median diameter."""
     areas = table.where("gt > 0").groupBy(*img, "gt").agg(F.sum("n").alias("a"))
     size = areas.groupBy(*img).agg((F.percentile(F.sqrt("a"), 0.5) / (F.sqrt(F.pi()) / 2)).alias("d"))
-    marked = bordered(pair, {"bg": "gt", "bp": "pr"}, CROSS, img).join(size, list(img)).withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
-    marked = marked.withColumn("r", F.greatest(F.lit(1), F.ceil(F.col("factor") * F.col("d"))).cast("int"))
+    spread = pair.select(*img, "y", "x", "gt", "pr").join(size, list(img)).withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
+    spread = spread.withColumn("r", F.greatest(F.lit(1), F.ceil(F.col("factor") * F.col("d"))).cast("int"))
     keys = [*img, "factor"]
-    disk_of = F.expr("flatten(transform(sequence(-r, r), dy -> transform(sequence(-r, r), dx -> struct(dy, dx))))")
-
-    def hits(points: DataFrame, others: DataFrame, name: str) -> DataFrame:
-        step = F.explode(F.filter(disk_of, lambda s: s["dy"] * s["dy"] + s["dx"] * s["dx"] <= F.col("r") * F.col("r")))
-        moved = others.withColumn("s", step).select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-        return points.join(moved, [*keys, "y", "x"], "left_semi").groupBy(*keys).agg(F.count("*").alias(name))
-
-    g, p = marked.where("bg"), marked.where("bp")
-    every = marked.groupBy(*keys).agg(F.count_if("bg").alias("ng"), F.count_if("bp").alias("np"))
-    rows = every.join(hits(g, p, "hg"), keys, "left").join(hits(p, g, "hp"), keys, "left").fillna(0, ["hg", "hp"])
+    rows = near_counts(spread, keys).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("ng", "np", "hg", "hp")])
     precision, recall = ratio(F.col("hp"), F.col("np"), 0.0), ratio(F.col("hg"), F.col("ng"), 0.0)
     return rows.select(*keys, precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall, 0.0).alias("f"))
