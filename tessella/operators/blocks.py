@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.kernels import by_group
-from tessella.operators.labels import block_faces, components, global_ids, merge_boxes, settle, shrunk_faces
+from tessella.operators.kernels import by_groups, stacks
+from tessella.operators.labels import LABEL_BITS, block_faces, components, global_ids, merge_boxes, settle, shrunk_faces
 
 
 def in_blocks(rows: DataFrame, size: int, halo: int, height: int, width: int) -> DataFrame:
@@ -26,28 +26,35 @@ def in_blocks(rows: DataFrame, size: int, halo: int, height: int, width: int) ->
     return out.withColumn("own", (F.floor(F.col("y") / size) == F.col("by")) & (F.floor(F.col("x") / size) == F.col("bx")))
 
 
-def run_blocks(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], v: str, size: int, halo: int, height: int, width: int, keys: Sequence[str] = ("img",), steps: Sequence[Callable[[np.ndarray], np.ndarray]] = ()) -> DataFrame:
+def run_blocks(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], v: str, size: int, halo: int, height: int, width: int, keys: Sequence[str] = ("img",), steps: Sequence[Callable[[np.ndarray], np.ndarray]] = (), stacked: bool = False) -> DataFrame:
     """(keys, by, bx, y, x, label) of a kernel run on every block with its halo, after the preprocessing steps in turn.
 
-    Only the pixels of the block itself come back.
+    Only the pixels of the block itself come back. A stacked kernel, and its steps, take a stack of blocks of one shape.
     """
     names = list(keys)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        block = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), pdf[v].to_numpy().dtype)
-        block[y - y.min(), x - x.min()] = pdf[v].to_numpy()
+    def each(block: np.ndarray) -> np.ndarray:
         for step in steps:
             block = step(block)
-        labels = np.asarray(kernel(block))
-        own = pdf[pdf["own"]]
-        first = {c: [own[c].iloc[0]] * len(own) for c in (*names, "by", "bx")}
-        return pd.DataFrame({**first, "y": own["y"], "x": own["x"], "label": labels[own["y"] - y.min(), own["x"] - x.min()].astype(np.int64)})
+        return np.asarray(kernel(block))
+
+    def run(pdf: pd.DataFrame, of: np.ndarray) -> pd.DataFrame:
+        y, x, own = (pdf[c].to_numpy() for c in ("y", "x", "own"))
+        labels, values = np.empty(len(pdf), np.int64), pdf[v].to_numpy()
+        for at, place, shape, _ in stacks(of, y, x):
+            stack = np.zeros(shape, values.dtype)
+            stack[place] = values[at]
+            labels[at] = (each(stack) if stacked else np.stack([each(a) for a in stack]))[place]
+        return pdf.loc[own, [*names, "by", "bx", "y", "x"]].assign(label=labels[own])
 
     spread = in_blocks(rows.select(*names, "y", "x", v), size, halo, height, width)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in names) + ", by int, bx int, y int, x int, label long"
-    return by_group(spread, [*names, "by", "bx"], run, schema)
+    return by_groups(spread, [*names, "by", "bx"], run, schema)
+
+
+#: Blocks in a row whose numbers differ in these last bits only are joined together first.
+BAND = 10
 
 
 def join_blocks(parts: DataFrame, size: int, across: int, shrink: bool = False, keys: Sequence[str] = ("img",)) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +66,8 @@ def join_blocks(parts: DataFrame, size: int, across: int, shrink: bool = False,
     block = F.col(keys[0]).cast("long") * (across * across) + F.col("by") * across + F.col("bx")
     ids = settle(parts.select(*keys, "y", "x", global_ids(block, F.col("label")).alias("id")))
     edges = shrunk_faces(ids, size, keys) if shrink else block_faces(ids, size, keys)
-    roots = components(edges.select("a", "b"), ids.where("id > 0").select(F.col("id").alias("node")).distinct())
+    roots = components(edges.select("a", "b"), ids.where("id > 0").select(F.col("id").alias("node")).distinct(), near=F.shiftright("a", LABEL_BITS + BAND))
     boxes = ids.where("id > 0").groupBy("id").agg(F.min("y").alias("r0"), (F.max("y") + 1).alias("r1"), F.min("x").alias("c0"), (F.max("x") + 1).alias("c1")).join(roots, F.col("id") == F.col("node"))
-    joined = ids.join(roots, F.col("id") == F.col("node"), "left").select(*keys, "y", "x", F.coalesce("root", F.lit(0)).cast("long").alias("label"))
+    # background has no root, and all of it would meet in one task
+    joined = ids.where("id > 0").join(roots, F.col("id") == F.col("node")).select(*keys, "y", "x", F.col("root").cast("long").alias("label")).unionByName(ids.where("id = 0").select(*keys, "y", "x", F.lit(0).cast("long").alias("label")))
     return joined, merge_boxes(boxes, "root").withColumnRenamed("root", "label")

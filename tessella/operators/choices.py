@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.labels import components, contingency, iou_pairs, shapes
@@ -33,9 +33,9 @@ def area_in_box(pair: DataFrame, img: Sequence[str] = ("img",)) -> DataFrame:
     return box.join(inside, [*img, "gt"], "left").select(*img, "gt", "area", n.alias("in_box"), (n / F.col("area")).alias("ratio"), (n == F.col("area")).alias("agrees"))
 
 
-def largest_component(edges: DataFrame, nodes: DataFrame, img: Sequence[str] = ("img",)) -> DataFrame:
-    """(img, root, n): the component with the most of an image's nodes (img, node), the one with the smallest root of equal ones."""
-    sizes = components(edges, nodes).join(nodes.select("node", *img), "node").groupBy(*img, "root").agg(F.count("*").alias("n"))
+def largest_component(edges: DataFrame, nodes: DataFrame, img: Sequence[str] = ("img",), near: Column | None = None) -> DataFrame:
+    """(img, root, n): the component with the most of an image's nodes (img, node), the one with the smallest root of equal ones; ``near`` as in ``components``."""
+    sizes = components(edges, nodes, near=near).join(nodes.select("node", *img), "node").groupBy(*img, "root").agg(F.count("*").alias("n"))
     return sizes.groupBy(*img).agg(F.max_by(F.struct("root", "n"), F.struct("n", -F.col("root"))).alias("b")).select(*img, "b.root", "b.n")
 
 

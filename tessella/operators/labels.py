@@ -5,12 +5,15 @@ Group keys are passed as ``img`` columns, so the same operators work per image,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.durable import checkpoint
+from tessella.operators.kernels import _roots
 
 
 def contingency(pair: DataFrame, img: Sequence[str] = ("img",)) -> DataFrame:
@@ -179,8 +182,56 @@ def block_faces(rows: DataFrame, size: int, img: Sequence[str] = ("img",)) -> Da
     return right.unionByName(below).join(at.select(*keys, F.col("id").alias("b")), keys).select(*img, "a", "b").distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root): the smallest node that each node is linked with; a grouped minimum along edges, then along roots.
+#: Edges that a task joins at a time before any are shuffled by their ends.
+EDGES = 1 << 20
+
+
+def _stars(edges: DataFrame, near: Column) -> DataFrame:
+    """(node, root): edges that ``near`` deals to one task, joined there EDGES at a time; root is the least node linked within those."""
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("a", "b"))
+        names, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = _roots(len(names), of[: len(a)], of[len(a) :])
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], ["node", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= EDGES:
+                yield joined(held)
+                held, n = [], 0
+        if n:
+            yield joined(held)
+
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = edges.select(F.col("a").cast("long"), F.col("b").cast("long"), near.alias("_near")).repartition(parts, "_near").sortWithinPartitions("_near")
+    return dealt.select("a", "b").mapInArrow(run, "node long, root long")
+
+
+def components(edges: DataFrame, nodes: DataFrame, rounds: int = 100, near: Column | None = None) -> DataFrame:
+    """(node, root): the smallest node that each node is linked with.
+
+    With ``near``, a value of edges (a, b) that is often the same for edges of one component, such as a range of a, edges
+    are first joined where that deals them, and only nodes that several such parts hold link those parts' roots further.
+    The value decides how much is left for the rounds, never the result.
+    """
+    if near is None:
+        return _in_rounds(edges, nodes, rounds)
+    stars = settle(_stars(edges, near))
+    met = settle(stars.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other")))
+    shared = met.where("root <> other").select("node", F.col("root").alias("a"))
+    if not shared.isEmpty():
+        links = settle(shared.join(stars.withColumnRenamed("root", "b"), "node").where("a <> b").select("a", "b").distinct())
+        tops = _in_rounds(links, links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), rounds)
+        met = met.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return nodes.select("node").join(met.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def _in_rounds(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
+    """Components by a grouped minimum along edges, then along roots.
 
     After each step the roots' own roots are taken (pointer jumping), so rounds grow with the logarithm of a chain. Each
     round is checkpointed in the session's checkpoint folder.

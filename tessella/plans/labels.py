@@ -237,10 +237,15 @@ def neighbours(rows: DataFrame, offsets) -> DataFrame:
     return moved.join(rows.withColumnRenamed("node", "b"), ["img", "y", "x"]).select("a", "b")
 
 
+def band() -> F.Column:
+    """Pixels whose numbers share all but the last 14 bits are joined together first."""
+    return F.shiftright("a", 14)
+
+
 @register("pixel_components", sql("pix", "SELECT node, min(root) AS root FROM reach GROUP BY node", recursive=True, nodes=NODES, reach=REACH))
 def pixel_components(spark, d):
     rows = pix(spark, d).where("v > 0").select((F.col("img") * 64 + F.col("pos")).alias("node"), "img", "y", "x")
-    return l.components(neighbours(rows, [(0, 1), (1, -1), (1, 0), (1, 1)]), rows)
+    return l.components(neighbours(rows, [(0, 1), (1, -1), (1, 0), (1, 1)]), rows, near=band())
 
 
 BLOCKS = "SELECT img, y, x, (img * 4 + (y // 4) * 2 + x // 4) * 4294967296 + 1 AS id FROM pix WHERE v > 0"
@@ -411,7 +416,7 @@ def merged_by_winner(spark, d):
 def largest_component(spark, d):
     """The largest component of each image, the first of equal ones."""
     rows = pix(spark, d).where("v > 0").select((F.col("img") * 64 + F.col("pos")).alias("node"), "img", "y", "x")
-    return choices.largest_component(neighbours(rows, [(0, 1), (1, -1), (1, 0), (1, 1)]), rows)
+    return choices.largest_component(neighbours(rows, [(0, 1), (1, -1), (1, 0), (1, 1)]), rows, near=band())
 
 
 @register("boundary_scales", sql("lab", """SELECT img, factor, round(CASE WHEN np > 0 THEN hp / np ELSE 0 END, 6) AS precision, round(CASE WHEN ng > 0 THEN hg / ng ELSE 0 END, 6) AS recall FROM (SELECT s.img, factor, count(*) FILTER (bg) AS ng, count(*) FILTER (bp) AS np,
@@ -491,7 +496,7 @@ def block_faces_shrunk(spark, d):
     nodes=NODES, reach="SELECT node, node AS root FROM nodes UNION SELECT n.node, r.root FROM reach r JOIN nodes m ON m.node = r.node JOIN nodes n ON n.img = m.img AND abs(n.y - m.y) + abs(n.x - m.x) <= 1"))
 def block_segmentation(spark, d):
     """Components found block by block and joined across faces are those of the whole images: many blocks of few pixels, which packed tiles do not suit."""
-    parts = blocks_.run_blocks(pix(spark, d), lambda a: kernels.components(a > 0, kernels.FOUR), "v", 4, 0, SIDE, SIDE)
+    parts = blocks_.run_blocks(pix(spark, d), lambda stack: kernels.each_components(stack > 0, kernels.FOUR), "v", 4, 0, SIDE, SIDE, stacked=True)
     joined, boxes = blocks_.join_blocks(parts, 4, 2)
     areas = joined.where("label > 0").groupBy("label").agg(F.first("img").alias("img"), F.count("*").alias("area")).join(boxes, "label")
     return areas.groupBy("img").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.sum(F.col("r1") - F.col("r0")).alias("heights"), F.sum(F.col("c1") - F.col("c0")).alias("widths"))
