@@ -6,6 +6,7 @@ import io
 import struct
 import zipfile
 from collections.abc import Sequence
+from xml.parsers import expat
 
 import numpy as np
 import pandas as pd
@@ -39,11 +40,25 @@ def write_scores(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.write.mode("append" if append else "overwrite").csv(path, header=True)
 
 
+def _vertices(regions: pd.Series) -> pd.Series:
+    """The X and Y of each Vertex of a region's XML, in order; one pass of a parser."""
+
+    def one(text: str | None) -> list[dict[str, str | None]] | None:
+        if text is None:
+            return None
+        found = []
+        parser = expat.ParserCreate()
+        parser.StartElementHandler = lambda name, of: found.append({"x": of.get("X"), "y": of.get("Y")}) if name == "Vertex" else None
+        parser.Parse(text, True)
+        return found
+
+    return regions.map(one)
+
+
 def polygons(rows: DataFrame, xml: str = "xml") -> DataFrame:
     """(…, region, vertex, x, y) of the Region/Vertices/Vertex elements of an XML column, numbered from 1."""
     regions = rows.select("*", F.posexplode(F.expr(f"regexp_extract_all({xml}, '(?s)<Region[ >].*?</Region>', 0)")).alias("region", "_region"))
-    points = F.arrays_zip(F.expr("xpath(_region, '//Vertex/@X')").alias("x"), F.expr("xpath(_region, '//Vertex/@Y')").alias("y"))
-    spread = regions.select("*", F.posexplode(points).alias("vertex", "_p")).drop("_region", xml)
+    spread = regions.select("*", F.posexplode(F.pandas_udf(_vertices, "array<struct<x string, y string>>")("_region")).alias("vertex", "_p")).drop("_region", xml)
     return spread.select(*[c for c in spread.columns if c not in ("region", "vertex", "_p")], (F.col("region") + 1).alias("region"), (F.col("vertex") + 1).alias("vertex"), F.col("_p")["x"].cast("double").alias("x"), F.col("_p")["y"].cast("double").alias("y"))
 
 
