@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import tiles as t
 from tessella.operators.kernels import FOUR, components
-from tessella.operators.labels import relabel
+from tessella.operators.labels import relabel, settle
 
 
 def filled(tiles: DataFrame, keys: Sequence[str] = ("img",)) -> DataFrame:
@@ -21,9 +21,9 @@ def filled(tiles: DataFrame, keys: Sequence[str] = ("img",)) -> DataFrame:
     across faces. What travels besides is a row for each component and label that touch in a tile, or across a face.
     """
     background = t.joined(t.run_blocks(tiles, lambda a: components(a == 0, FOUR), keys=keys), keys)
-    both = background.select(*keys, "by", "bx", F.col("data").alias("_holes")).join(tiles, [*keys, "by", "bx"])
+    both = settle(background.select(*keys, "by", "bx", F.col("data").alias("_holes")).join(tiles, [*keys, "by", "bx"]))
     lined = t.over(_stacked(both, keys), 1, _next_to, keys, outside=None)
-    touched = _touching(lined, keys)
+    touched = settle(_touching(lined, keys))
     around = touched.groupBy(*keys, "hole").agg(F.max("edge").alias("edge"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("not edge and lo = hi")
     fills = touched.select(*keys, "by", "bx", "hole").distinct().join(around.select(*keys, "hole", F.col("lo").alias("label")), [*keys, "hole"])
     listed = fills.groupBy(*keys, "by", "bx").agg(F.collect_list(F.struct("hole", "label")).alias("_fills"))
@@ -102,9 +102,10 @@ def cleaned(tiles: DataFrame, least: int, keys: Sequence[str] = ("img",)) -> Dat
     def only(of: DataFrame) -> DataFrame:
         return t.pixels(of, "label", "long", keys).join(large(of), [*keys, "label"], "left_semi")
 
+    tiles = settle(tiles)  # each of these is read in several branches, which would each make it anew
     first = large(tiles)
     dropped = t.measured(tiles, keys).where("label > 0").join(first, [*keys, "label"], "left_anti").select(*keys, "label")
-    holes = filled(_without(tiles, dropped, keys), keys)
+    holes = settle(filled(settle(_without(tiles, dropped, keys)), keys))
     return relabel(only(holes), "label", "new", keys).select(*keys, "y", "x", F.col("new").cast("long").alias("label"))
 
 
