@@ -34,3 +34,11 @@ def test_chains_within_a_part_need_no_rounds(spark):
     rows = spark.range(300).selectExpr("id as a", "id + 1 as b")
     got = l.components(rows, spark.range(301).withColumnRenamed("id", "node"), rounds=0, near=F.shiftright("a", 20)).collect()
     assert {r["root"] for r in got} == {0}
+
+
+def test_vertices_keep_their_own_coordinates(spark):
+    from tessella.sources import tables
+
+    xml = '<A><Region Id="1"><Vertices><Vertex X="1"/><Vertex X="2" Y="3"/></Vertices></Region></A>'
+    got = tables.polygons(spark.createDataFrame([(7, xml), (8, None)], "k int, xml string")).orderBy("vertex").collect()
+    assert [tuple(r) for r in got] == [(7, 1, 1, 1.0, None), (7, 1, 2, 2.0, 3.0)]
