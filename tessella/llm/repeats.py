@@ -6,11 +6,14 @@ and neighbours share theirs: there is one anchor for some 17 bytes.
 
 * Texts are packed into blocks. Blocks send the hashes of their anchors to buckets, each once, and learn which of them
   stand in another document too. What has no such anchor is unique.
-* Of the others, blocks send the stretches of text around them, each different one once, with its smallest document.
-* A bucket sorts the suffixes at all windows of its stretches, anchor by anchor, in a mergesort whose comparisons find
-  the common extension of two suffixes by binary search over hashes of their prefixes (polynomials modulo 2 ** 64). Then
-  it compares all neighbours byte by byte; were hashes ever to mislead the sort, it is done by bytes instead. Of equal
-  windows, all but those of the smallest document are marked, and the marks go back to the blocks.
+* Of the others, blocks send the stretches of text around them, each different one once, with its smallest document and
+  place; where else a block shows it stays with the block.
+* A bucket sorts the suffixes that begin at the anchors of its stretches, anchor by anchor, in a mergesort whose
+  comparisons find the common extension of two suffixes by binary search over hashes of their prefixes (polynomials
+  modulo 2 ** 64), and what stands before the anchors likewise, read backwards. Then it compares all neighbours byte by
+  byte; were hashes ever to mislead a sort, it is done by bytes instead. Windows are equal where both what precedes the
+  anchor and what follows are common as far as the window reaches. Of equal windows, all but those of the smallest
+  document are marked, and the places of the marks go back to the blocks.
 * Anchors of very many blocks would fill a bucket; their windows go out one by one, dealt by their own hash.
 
 Defined results: null and empty texts have nothing to remove; a null id is larger than all others; rows with one id are
@@ -161,7 +164,7 @@ def _replies(batch: pa.RecordBatch, k: int, name: str) -> np.ndarray:
 
 
 def _answered(blocks: DataFrame, **replies: DataFrame) -> DataFrame:
-    """blocks with the replies of all buckets, of which there is one for each that a block has asked."""
+    """blocks with the replies of all buckets."""
     for name, rows in replies.items():
         blocks = blocks.join(rows.groupBy("block").agg(F.collect_list(F.struct("bucket", "reply")).alias(name)), "block", "left")
     return blocks
@@ -218,16 +221,17 @@ def _answer_anchors(table: pa.Table, hot: int) -> pa.Table:
     return pa.table({"bucket": table["bucket"], "block": table["block"], "reply": pa.array([x.tobytes() for x in np.split(state, np.cumsum(sizes)[:-1])], pa.binary())})
 
 
+HEAD = np.dtype([("key", "<u8"), ("order", "<i8"), ("start", "<u4"), ("place", "u1"), ("count", "u1")])
+COPY = np.dtype([("start", "<u4"), ("like", "<u4"), ("count", "u1"), ("later", "u1")])
+MARK = np.dtype([("start", "<u4"), ("count", "u1")])
+
+
 class Stretches(NamedTuple):
-    """Different stretches of text of a block, by bucket: key, place of the anchor, windows, smallest document, first byte; and for each place in the block (start, windows, document) the stretch that it shows."""
+    """Different stretches of text of a block, by bucket: key, smallest document, first byte, place of the anchor, windows; and the other places that show one: where, like which one, and whether a larger document holds it there."""
 
     bucket: np.ndarray
-    key: np.ndarray
-    place: np.ndarray
-    count: np.ndarray
-    order: np.ndarray
-    start: np.ndarray
-    shown: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+    heads: np.ndarray
+    copies: np.ndarray
 
 
 def stretches(block: Block, state: np.ndarray, buckets: int) -> Stretches:
@@ -238,16 +242,19 @@ def stretches(block: Block, state: np.ndarray, buckets: int) -> Stretches:
     single = _ragged(all_.start[hot], all_.count[hot])
     own = np.concatenate([np.empty(0, np.uint64), *(_mixed((block.body[x[:, None] + np.arange(WIDTH)].astype(np.uint64) + np.uint64(1)) @ _powers(1 << 20)[0][:WIDTH]) for x in np.split(single, range(1 << 16, len(single), 1 << 16)))])
     start, count = np.concatenate([all_.start[kept], single]), np.concatenate([all_.count[kept], np.ones(len(single), np.int64)])
-    key, place = np.concatenate([all_.anchor[kept], own]), np.concatenate([all_.place[kept], np.full(len(single), 255)])
+    key, place = np.concatenate([all_.anchor[kept], own]), np.concatenate([all_.place[kept], np.zeros(len(single), np.int64)])
     text = np.concatenate([all_.text[kept], own])
     doc = block.ids[np.searchsorted(block.ends, start, "right")] if len(start) else start
     which, rep = _classes(block.body, start, count, key, place, text, doc)
     bucket = (key[rep] >> np.uint64(20)) % np.uint64(buckets)
+    like = rep[which]
+    other = np.flatnonzero(like != np.arange(len(like)))
+    like = like[other]
+    copies = np.rec.fromarrays([start[other], start[like], count[other], doc[other] > doc[like]], dtype=COPY)
     order = np.lexsort((rep, bucket))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
     rep = rep[order]
-    return Stretches(bucket[order].astype(np.int64), key[rep], place[rep], count[rep], doc[rep], start[rep], (start, count, doc, rank[which]))
+    heads = np.rec.fromarrays([x[rep] for x in (key, doc, start, place, count)], dtype=HEAD)
+    return Stretches(bucket[order].astype(np.int64), heads, copies)
 
 
 def _classes(body: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, place: np.ndarray, text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,32 +274,38 @@ def _alike(body: np.ndarray, start: np.ndarray, rep: np.ndarray, count: np.ndarr
     """Whether each stretch has the bytes of the one that stands for it."""
     if (count != count[rep]).any():
         return False
-    for lo in range(0, len(start), 1 << 14):
-        n = count[lo : lo + (1 << 14)] + WIDTH - 1
-        if (body[_ragged(start[lo : lo + (1 << 14)], n)] != body[_ragged(start[rep[lo : lo + (1 << 14)]], n)]).any():
+    others = np.flatnonzero(rep != np.arange(len(rep)))
+    for lo in range(0, len(others), 1 << 14):
+        at = others[lo : lo + (1 << 14)]
+        n = count[at] + WIDTH - 1
+        if (body[_ragged(start[at], n)] != body[_ragged(start[rep[at]], n)]).any():
             return False
     return True
 
 
+def _messages(block: Block, number: int, s: Stretches) -> pa.RecordBatch:
+    """What a block tells the buckets; its copies come back to it as they are, by a bucket below zero."""
+    spans = _by_bucket(s.bucket)
+    heads = [s.heads[lo:hi].view(np.uint8).reshape(-1, HEAD.itemsize).T.tobytes() for _, lo, hi in spans]
+    begin, size = s.heads["start"].astype(np.int64), s.heads["count"].astype(np.int64) + WIDTH - 1
+    data = [block.body[_ragged(begin[lo:hi], size[lo:hi])].tobytes() for _, lo, hi in spans]
+    buckets = [b for b, _, _ in spans]
+    if len(s.copies):
+        buckets, heads, data = [*buckets, -1 - (number ^ number >> 33) % (1 << 31)], [*heads, s.copies.tobytes()], [*data, b""]
+    columns = [pa.array(buckets, pa.int32()), pa.array([number] * len(buckets), pa.int64()), pa.array(heads, pa.binary()), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "heads", "data"])
+
+
 def _ask_stretches(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 block = _read(batch, k)
-                s = stretches(block, _replies(batch, k, "anchors"), buckets)
-                head = np.rec.fromarrays([s.key, s.order, s.place.astype(np.uint8), s.count.astype(np.uint8)], dtype=HEAD)
-                spans = _by_bucket(s.bucket)
-                heads = [head[lo:hi].tobytes() for _, lo, hi in spans]
-                data = [block.body[_ragged(s.start[lo:hi], s.count[lo:hi] + WIDTH - 1)].tobytes() for _, lo, hi in spans]
-                columns = [pa.array([b for b, _, _ in spans], pa.int32()), pa.array([batch.column("block")[k].as_py()] * len(spans), pa.int64()), pa.array(heads, pa.binary()), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "heads", "data"])
+                yield _messages(block, batch.column("block")[k].as_py(), stretches(block, _replies(batch, k, "anchors"), buckets))
 
     return blocks.mapInArrow(run, "bucket int, block long, heads binary, data binary")
 
 
-HEAD = np.dtype([("key", "<u8"), ("order", "<i8"), ("place", "u1"), ("count", "u1")])
-
-
 def _common(prefix: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many bytes two suffixes have in common, WIDTH at most: binary search over the hashes of their prefixes."""
     n = np.where(_hash(prefix, x, x + WIDTH) == _hash(prefix, y, y + WIDTH), WIDTH, 0)
@@ -344,75 +357,113 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, group:
         order, wide = merged, 2 * wide
 
 
-def repeated(data: np.ndarray, start: np.ndarray, group: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Which windows stand in a smaller document too; group: equal windows are in one."""
-    out = np.zeros(len(start), bool)
+def repeated(data: np.ndarray, start: np.ndarray, group: np.ndarray, order: np.ndarray, count: np.ndarray | None = None, place: np.ndarray | None = None) -> np.ndarray:
+    """Which windows stand in a smaller document too; group: equal windows are in one.
+
+    Of stretches of ``count`` windows, all of them in turn; equal ones have the string ``place`` after the first at the
+    same distance. Of two stretches, the windows that reach so far before it and after it as both have in common are equal.
+    """
+    count = np.ones(len(start), np.int64) if count is None else count
+    place = np.zeros(len(start), np.int64) if place is None else place
+    out = np.zeros(count.sum(), bool)
     _, group, size = np.unique(group, return_inverse=True, return_counts=True)
     some = np.flatnonzero(size[group] > 1)
     if not len(some):
         return out
-    start, group, order = start[some], group[some], order[some]
+    first = (np.cumsum(count) - count)[some]
+    start, group, order, count, place = (x[some] for x in (start, group, order, count, place))
+    # a suffix may run on into the next stretch: what lies beyond the windows is never asked for
+    edge = np.zeros(WIDTH, np.uint8)
+    text, at = np.concatenate([edge, data, edge]), WIDTH + start + place
+    (after, follows), (before, precedes) = _extensions(text, at, group), _extensions(text[::-1], len(text) - at, group)
+    for reach in range(int(place.max()) + 1):
+        has = np.flatnonzero((reach <= place) & (place < reach + count))
+        alike = _depth(after, follows, WIDTH - reach)[has] * len(some) + _depth(before, precedes, reach)[has]
+        by = np.argsort(alike)
+        fresh = np.diff(alike[by], prepend=-1) != 0
+        if fresh.all():
+            continue
+        least = np.minimum.reduceat(order[has][by], np.flatnonzero(fresh))
+        has = has[by]
+        out[first[has] + place[has] - reach] = order[has] > least[np.cumsum(fresh) - 1]
+    return out
+
+
+def _depth(by: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """For sorted suffixes, a number that those have in common whose first ``depth`` bytes are equal."""
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(common < depth) - 1
+    return out
+
+
+def _extensions(data: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes, and how many bytes each has in common with the one before it in its group; -1 if none is."""
     by = suffix_sort(data, prefixes(data), start, group)
-    fine, fresh = _checked(data, start[by], group[by])
+    fine, common = _checked(data, start[by], group[by])
     if not fine:  # hashes have misled the sort
-        words = np.stack([data[np.minimum(start + k, len(data) - 1)] for k in range(WIDTH - 1, -1, -1)])
+        words = np.stack([data[start + k] for k in range(WIDTH - 1, -1, -1)])
         by = np.lexsort([*words, group])
-        fresh = _checked(data, start[by], group[by])[1]
-    least = np.minimum.reduceat(order[by], np.flatnonzero(fresh))
-    marked = np.empty(len(by), bool)
-    marked[by] = order[by] > least[np.cumsum(fresh) - 1]
-    out[some] = marked
-    return out
+        common = _checked(data, start[by], group[by])[1]
+    return by, common
 
 
 def _checked(data: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[bool, np.ndarray]:
-    """Whether neighbours are in order, byte by byte, and which differ from the one before."""
-    fresh, fine = np.ones(len(start), bool), True
+    """Whether neighbours are in order, byte by byte, and what each has in common with the one before."""
+    common, fine = np.full(len(start), -1), True
     for lo in range(1, len(start), 1 << 16):
         at = np.arange(lo, min(len(start), lo + (1 << 16)))
+        at = at[group[at] == group[at - 1]]
         x, y = (data[start[k][:, None] + np.arange(WIDTH)] for k in (at - 1, at))
         differ = x != y
         first, row = differ.argmax(1), np.arange(len(at))
-        same = ~differ.any(1) & (group[at] == group[at - 1])
-        fresh[at] = ~same
-        fine &= bool((same | (group[at] != group[at - 1]) | (x[row, first] < y[row, first])).all())
-    return fine, fresh
+        same = ~differ[row, first]
+        common[at] = np.where(same, WIDTH, first)
+        fine &= bool((same | (x[row, first] < y[row, first])).all())
+    return fine, common
 
 
 def _answer_stretches(table: pa.Table) -> pa.Table:
-    """A byte for each window of each stretch of each block: 1 if it stands in a smaller document too."""
-    heads = [np.frombuffer(h.as_buffer(), HEAD) for h in table["heads"]]
+    """For each block, the windows that stand in a smaller document too: the first of a row of them, and how many."""
+    if table["bucket"][0].as_py() < 0:
+        return table.select(["bucket", "block", "heads"]).rename_columns(["bucket", "block", "reply"])
+    heads = [np.frombuffer(h.as_buffer(), np.uint8).reshape(HEAD.itemsize, -1).T.tobytes() for h in table["heads"]]
     data = np.frombuffer(b"".join(d.as_buffer() for d in table["data"]), np.uint8)
-    head = np.concatenate(heads)
-    count, place = head["count"].astype(np.int64), head["place"].astype(np.int64)
+    head = np.frombuffer(b"".join(heads), HEAD)
+    key, order, start, place, count = (head[c].astype(np.uint64 if c == "key" else np.int64) for c in HEAD.names)
     begins = np.cumsum(count + WIDTH - 1) - (count + WIDTH - 1)
     text = _hash(prefixes(data), begins, begins + count + WIDTH - 1)
-    which, rep = _classes(data, begins, count, head["key"], place, text, head["order"])
+    which, rep = _classes(data, begins, count, key, place, text, order)
     # equal stretches of several blocks are sorted once, with the smallest of their documents
-    of = np.repeat(rep, count[rep])
-    step = _ragged(np.zeros(len(rep), np.int64), count[rep])
-    group = _mixed(head["key"][of] ^ _mixed((place[of] - step).astype(np.uint64)))
-    once = repeated(data, begins[of] + step, group, head["order"][of])
-    marks = once[_ragged((np.cumsum(count[rep]) - count[rep])[which], count)] | np.repeat(head["order"] > head["order"][rep][which], count)
-    marks = marks.astype(np.uint8)
-    ends = np.cumsum([h["count"].astype(np.int64).sum() for h in heads])[:-1]
-    return pa.table({"bucket": table["bucket"], "block": table["block"], "reply": pa.array([x.tobytes() for x in np.split(marks, ends)], pa.binary())})
+    once = repeated(data, begins[rep], key[rep], order[rep], count[rep], place[rep])
+    marks = once[_ragged((np.cumsum(count[rep]) - count[rep])[which], count)] | np.repeat(order > order[rep][which], count)
+    window, at = _ragged(start, count)[marks], np.repeat(np.arange(len(head)), count)[marks]
+    cuts = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(window, prepend=-1) != 1))
+    found = np.rec.fromarrays([window[cuts], np.diff(np.append(cuts, len(window)))], dtype=MARK)
+    ends = np.searchsorted(at[cuts], np.cumsum([len(h) // HEAD.itemsize for h in heads])).tolist()
+    told = [(k, found[lo:hi].tobytes()) for k, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if lo < hi]
+    asked = table.select(["bucket", "block"]).take(pa.array([k for k, _ in told], pa.int64()))
+    return asked.append_column("reply", pa.array([x for _, x in told], pa.binary()))
+
+
+def _windows(rows: np.ndarray, at: str) -> np.ndarray:
+    return _ragged(rows[at].astype(np.int64), rows["count"].astype(np.int64))
 
 
-def _results(blocks: DataFrame, buckets: int) -> DataFrame:
+def _results(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 block = _read(batch, k)
-                s = stretches(block, _replies(batch, k, "anchors"), buckets)
-                marks = _replies(batch, k, "marks")
-                start, count, doc, which = s.shown
-                begins = np.cumsum(s.count) - s.count
-                marked = (marks[_ragged(begins[which], count)] if len(which) else marks).astype(bool) | np.repeat(doc > s.order[which], count)
-                window = _ragged(start, count)[marked]
+                marks, copies = _replies(batch, k, "marks").view(MARK), _replies(batch, k, "copies").view(COPY)
+                marked = np.zeros(len(block.body), bool)
+                marked[_windows(marks, "start")] = True
+                alike, later = copies[copies["later"] == 0], copies[copies["later"] == 1]
+                marked[_windows(alike, "start")] = marked[_windows(alike, "like")]
+                marked[_windows(later, "start")] = True
+                window = np.flatnonzero(marked)
                 change = np.zeros(len(block.body) + 1, np.int32)
-                np.add.at(change, window, 1)
-                np.add.at(change, window + WIDTH, -1)
+                change[window] += 1
+                change[window + WIDTH] -= 1
                 gone = np.cumsum(change[:-1]) > 0
                 first = gone & ~np.concatenate([[False], gone[:-1]])
                 begin = np.concatenate([[0], block.ends[:-1]]).astype(np.int64)
@@ -444,8 +495,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     asked = _ask_anchors(blocks, buckets)
     anchors = Stored(asked.groupBy("bucket").applyInArrow(lambda t: _answer_anchors(t, hot), "bucket int, block long, reply binary"))
     marks = Stored(_ask_stretches(_answered(blocks, anchors=anchors.rows), buckets).groupBy("bucket").applyInArrow(_answer_stretches, "bucket int, block long, reply binary"))
-    both = _answered(blocks, anchors=anchors.rows, marks=marks.rows)
-    return _results(both, buckets), [stored, anchors, marks]
+    return _results(_answered(blocks, marks=marks.rows.where("bucket >= 0"), copies=marks.rows.where("bucket < 0"))), [stored, anchors, marks]
 
 
 def digest(kept: bytes) -> str:

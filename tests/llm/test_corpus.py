@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -241,6 +242,67 @@ def test_suffix_sort_and_misleading_hashes(monkeypatch):
     assert which.tolist() == rep.tolist() == [0, 1, 2]  # texts that differ under one hash stay apart
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_windows_of_stretches_are_equal_as_far_as_both_extend(monkeypatch, clash):
+    rng = np.random.default_rng(2)
+    n = 60
+    place, count = rng.integers(0, 33, n), np.zeros(n, np.int64)
+    for k in range(n):
+        count[k] = rng.integers(1, 34 if place[k] == 32 else place[k] + 2)
+    anchor = [b"anchor of 18 bytes", b"another of 18 byte"]
+    group = rng.integers(0, 2, n)
+    sides = [rng.integers(97, 99, 40).astype(np.uint8).tobytes() for _ in range(4)]
+    texts = []
+    for k in range(n):
+        before, after = bytearray(sides[rng.integers(4)]), bytearray(sides[rng.integers(4)])
+        before[rng.integers(40)] ^= rng.integers(0, 2)
+        after[rng.integers(40)] ^= rng.integers(0, 2)
+        whole = bytes(before)[len(before) - place[k] :] + anchor[group[k]] + bytes(after)
+        texts.append(whole[: count[k] + 49].ljust(count[k] + 49, b"~"))
+    data, start = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts[:-1])])
+    order = rng.integers(0, 20, n)
+    windows = [(place[k] - j, texts[k][j : j + 50], order[k]) for k in range(n) for j in range(count[k])]
+    least = {}
+    for at, w, o in windows:
+        least[at, w] = min(least.get((at, w), o), o)
+    if clash:
+        monkeypatch.setattr(repeats, "_hash", lambda prefix, start, stop: np.zeros(len(start), np.uint64))
+    got = repeats.repeated(data, start, group.astype(np.uint64), order, count, place)
+    assert got.tolist() == [bool(o > least[at, w]) for at, w, o in windows] and got.any() and not got.all()
+
+
+def test_a_frequent_line_costs_two_suffixes_for_each_stretch(monkeypatch):
+    rng = np.random.default_rng(3)
+    line = rng.integers(97, 123, 70).astype(np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 45).astype(np.uint8).tobytes() + line for _ in range(300)]
+    messages, stretches = [], 0
+    for k, text in enumerate(texts):
+        block = repeats.Block(np.frombuffer(text, np.uint8), np.array([len(text)]), np.array([k]))
+        s = repeats.stretches(block, np.ones(len(repeats._anchors(block, 1)[2]), np.uint8), 1)
+        messages.append(repeats._messages(block, k, s))
+        stretches += len(s.heads)
+    sorted_, sort = [], repeats.suffix_sort
+    monkeypatch.setattr(repeats, "suffix_sort", lambda data, prefix, start, group: sorted_.append(len(start)) or sort(data, prefix, start, group))
+    told = repeats._answer_stretches(pa.Table.from_batches(messages))
+    assert 300 < sum(sorted_) <= 2 * stretches
+    got = {k: repeats._windows(np.frombuffer(r, repeats.MARK), "start").tolist() for k, r in zip(told["block"].to_pylist(), told["reply"].to_pylist(), strict=True)}
+    least = {}
+    for k, text in enumerate(texts):
+        for i in range(66):
+            least.setdefault(text[i : i + 50], k)
+    want = {k: [i for i in range(66) if least[text[i : i + 50]] < k] for k, text in enumerate(texts)}
+    assert {k: sorted(x) for k, x in got.items()} == {k: x for k, x in want.items() if x} and len(got) == 299
+
+
+@pytest.mark.parametrize("size", [1, 400, 1 << 21])
+def test_repeats_of_a_passage_that_one_document_holds_several_times(spark, size):
+    rng = np.random.default_rng(4)
+    p, q, r = ("".join(rng.choice(list("abcdefgh"), n)) for n in (130, 90, 20))
+    rows = [(6, q + p + r + p + q), (2, p), (7, p + p + p), (5, q + q + r + q), (5, r + q), (9, q + p + r + p + q)]
+    want = sorted([(d, *x) for (d, _), x in zip(rows, brute_repeats(rows), strict=True)], key=key)
+    assert sorted(removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), size=size), key=key) == want
+
+
 # alignment
 
 
