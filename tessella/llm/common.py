@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.durable import checkpoint, remove, shared_folder
 
-__all__ = ["CHUNK_CHARS", "Stored", "bind", "checkpoint", "free_name", "groups", "remainder", "share", "table"]
+__all__ = ["CHUNK_CHARS", "Bucketed", "Stored", "bind", "checkpoint", "free_name", "groups", "remainder", "share", "table"]
 
 #: Characters of the text that one numpy step of a Python worker handles at most, unless a single text is longer.
 CHUNK_CHARS = 1 << 20
@@ -65,3 +65,17 @@ class Stored:
 
     def drop(self) -> None:
         remove(self.spark, self.folder)
+
+
+class Bucketed(Stored):
+    """The same, dealt by a column into so many parts: joins by it on as many leave the rows where they are."""
+
+    def __init__(self, df: DataFrame, column: str, parts: int):
+        self.spark, self.folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+        self.name = f"spark_catalog.default.{self.folder.rsplit('/', 1)[1].replace('-', '_')}"
+        df.write.bucketBy(parts, column).option("compression", "zstd").option("path", self.folder).saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        super().drop()

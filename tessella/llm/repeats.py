@@ -4,17 +4,23 @@ A window is a string of WIDTH bytes. Each has an anchor: the string of GRAM byte
 first of equal ones. Equal windows have equal anchors at the same place, so only windows with one anchor can be equal,
 and neighbours share theirs: there is one anchor for some 17 bytes.
 
-* Texts are packed into blocks. Blocks send the hashes of their anchors to buckets, each once, and learn which of them
-  stand in another document too. What has no such anchor is unique.
-* Of the others, blocks send the stretches of text around them, each different one once, with its smallest document and
-  place; where else a block shows it stays with the block.
+* Texts are packed into blocks, which are written once, bucketed by their number, so that what is told to them comes to
+  where they are and they never travel. Whole copies of a text (by SHA-256) with a smaller id lose everything and take no
+  further part: what they hold, the smaller one holds.
+* Blocks send the hashes of their anchors to buckets, each once, and learn which of them stand in another document too.
+  What has no such anchor is unique. In a large corpus many strings of GRAM bytes come twice by chance; so for the
+  others they send the hashes of both sides, from HALF bytes before the anchor to its end and from its begin to HALF
+  bytes after it less one. Each window holds one of these whole, and only where that is shared can the window be.
+* Blocks send the stretches of text that are left, each different one once, with its smallest document and place; where
+  else a block shows it stays with the block.
 * A bucket sorts the suffixes that begin at the anchors of its stretches, anchor by anchor, in a mergesort whose
   comparisons find the common extension of two suffixes by binary search over hashes of their prefixes (polynomials
   modulo 2 ** 64), and what stands before the anchors likewise, read backwards. Then it compares all neighbours byte by
   byte; were hashes ever to mislead a sort, it is done by bytes instead. Windows are equal where both what precedes the
   anchor and what follows are common as far as the window reaches. Of equal windows, all but those of the smallest
   document are marked, and the places of the marks go back to the blocks.
-* Anchors of very many blocks would fill a bucket; their windows go out one by one, dealt by their own hash.
+* Anchors of very many different stretches would fill a bucket; of these the two sides go out apart, dealt by their own
+  hashes, and the windows of a side of very many stretches one by one.
 
 Defined results: null and empty texts have nothing to remove; a null id is larger than all others; rows with one id are
 one document to each other, so repeated rows keep what they share; very long texts are blocks of their own, hashed piece
@@ -24,7 +30,7 @@ by piece; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -35,11 +41,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Stored, groups
+from tessella.llm.common import Bucketed, Stored, groups
 
 #: Bytes of a window and of an anchor; a window holds REACH strings that could be its anchor.
 WIDTH, GRAM = 50, 18
 REACH = WIDTH - GRAM + 1
+#: A window that begins at least so many bytes before its anchor holds these; any other holds as many after it, less one.
+HALF = REACH // 2 + 1
 #: Bytes of text in a block, unless a single text is longer, and places that are hashed at a time.
 BLOCK, SLICE = 1 << 21, 1 << 19
 #: Bytes of the corpus for each bucket.
@@ -47,8 +55,10 @@ BUCKET = 1 << 19
 #: Blocks ask buckets, each of them nearly every one. Up to FEW bytes of corpus they are as small as above; beyond, both
 #: grow with the root of messages that this would take, WIDER times at most, which a task still holds with ease.
 FEW, WIDER = 1 << 28, 8
-#: Blocks that an anchor may stand in before its windows are dealt one by one.
+#: Stretches that blocks may have of an anchor before its sides are dealt apart, and of a side before its windows are dealt one by one.
 HOT = 1000
+#: Buckets of the table of blocks at most.
+MOST = 50_000
 LAST = np.int64((1 << 63) - 1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -82,13 +92,15 @@ def _hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray
 
 
 class Runs(NamedTuple):
-    """Windows in a row with one anchor: the first, how many, the anchor's hash and place after the first, the hash of all their text."""
+    """Windows in a row with one anchor: the first, how many, the anchor's hash and place after the first, the hashes of all their text and of the anchor's sides (zero where no window needs the side)."""
 
     start: np.ndarray
     count: np.ndarray
     anchor: np.ndarray
     place: np.ndarray
     text: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
 
 
 def runs(body: np.ndarray, ends: np.ndarray) -> Runs:
@@ -100,7 +112,7 @@ def runs(body: np.ndarray, ends: np.ndarray) -> Runs:
 def _runs(data: np.ndarray, ends: np.ndarray, lo: int) -> Runs:
     n = len(data) - WIDTH + 1
     if n <= 0:
-        return Runs(*(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.uint64)))
+        return Runs(*(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.uint64, np.uint64, np.uint64)))
     prefix = prefixes(data)
     gram = _mixed((prefix[GRAM:] - prefix[:-GRAM]) * _powers(1 << max(20, len(data).bit_length()))[1][: len(data) - GRAM + 1])
     least, wide = gram, 1
@@ -120,7 +132,15 @@ def _runs(data: np.ndarray, ends: np.ndarray, lo: int) -> Runs:
     place = np.full(len(start), REACH - 1)
     sought = np.flatnonzero(~falls[start])
     place[sought] = np.lib.stride_tricks.sliding_window_view(gram, REACH)[start[sought]].argmin(1)
-    return Runs(start + lo, count, least[start], place, _hash(prefix, start, start + count + WIDTH - 1))
+    at, sides = start + place, np.zeros((2, len(start)), np.uint64)
+    for side, has, first, n in zip(sides, _has_sides(count, place), (at - HALF, at), (HALF + GRAM, HALF + GRAM - 1), strict=True):
+        side[has] = _mixed(_hash(prefix, first[has], first[has] + n))
+    return Runs(start + lo, count, least[start], place, _hash(prefix, start, start + count + WIDTH - 1), *sides)
+
+
+def _has_sides(count: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a run has windows that hold the side before its anchor, and windows that hold the one after."""
+    return place >= HALF, place - count + 1 < HALF
 
 
 def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -136,22 +156,43 @@ class Block(NamedTuple):
     ids: np.ndarray
 
 
-def _blocks(docs: DataFrame, doc_id: str, text: str, size: int) -> Stored:
+def _blocks(docs: DataFrame, doc_id: str, text: str, size: int, parts: int) -> Bucketed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi in groups(lengths.tolist(), size):
                 data = b"".join(t or b"" for t in batch.column("text").slice(lo, hi - lo).cast(pa.binary()).to_pylist())
-                listed = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), v) for v in (batch.column("doc_id").slice(lo, hi - lo), pa.array(np.cumsum(lengths[lo:hi])))]
-                yield pa.RecordBatch.from_arrays([*listed, pa.array([zstandard.compress(data, 3)], pa.binary()), pa.array([len(data)], pa.int64())], ["ids", "ends", "body", "size"])
+                listed = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), v) for v in (batch.column("doc_id").slice(lo, hi - lo), pa.array(np.cumsum(lengths[lo:hi])), batch.column("digest").slice(lo, hi - lo))]
+                yield pa.RecordBatch.from_arrays([*listed, pa.array([zstandard.compress(data, 3)], pa.binary())], ["ids", "ends", "digests", "body"])
+
+    digest = F.when(F.octet_length(text) >= WIDTH, F.unhex(F.sha2(F.col(text).cast("binary"), 256)))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), digest.alias("digest"))
+    return Bucketed(rows.mapInArrow(run, "ids array<long>, ends array<long>, digests array<binary>, body binary").withColumn("block", F.monotonically_increasing_id()), "block", parts)
+
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return Stored(rows.mapInArrow(run, "ids array<long>, ends array<long>, body binary, size long").withColumn("block", F.monotonically_increasing_id()))
+def _whole_copies(blocks: DataFrame) -> DataFrame:
+    """Of each block that has some, the places of documents whose whole text a smaller one has."""
+    docs = blocks.select("block", F.posexplode(F.arrays_zip("ids", "digests")).alias("at", "doc")).select("block", "at", F.coalesce("doc.ids", F.lit(int(LAST))).alias("id"), F.col("doc.digests").alias("digest"))
+    docs = docs.where("digest is not null")
+    firsts = docs.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("digest", "least")
+    return docs.join(firsts, "digest").where("id > least").groupBy("block").agg(F.collect_list("at").alias("whole"))
 
 
 def _read(batch: pa.RecordBatch, k: int) -> Block:
+    """A block without the texts of its whole copies."""
     ids = pc.fill_null(batch.column("ids")[k].values, LAST).to_numpy()
-    return Block(np.frombuffer(zstandard.decompress(batch.column("body")[k].as_buffer()), np.uint8), batch.column("ends")[k].values.to_numpy(), ids)
+    body, ends = np.frombuffer(zstandard.decompress(batch.column("body")[k].as_buffer()), np.uint8), batch.column("ends")[k].values.to_numpy()
+    whole = _whole(batch, k)
+    if not len(whole):
+        return Block(body, ends, ids)
+    sizes, stays = np.diff(ends, prepend=0), np.ones(len(ids), bool)
+    stays[whole] = False
+    return Block(body[np.repeat(stays, sizes)], np.cumsum(sizes * stays), ids)
+
+
+def _whole(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    whole = batch.column("whole")[k].values
+    return np.empty(0, np.int64) if whole is None else whole.to_numpy().astype(np.int64)
 
 
 def _replies(batch: pa.RecordBatch, k: int, name: str) -> np.ndarray:
@@ -163,10 +204,10 @@ def _replies(batch: pa.RecordBatch, k: int, name: str) -> np.ndarray:
     return np.frombuffer(b"".join(said.field("reply").take(pa.array(order)).to_pylist()), np.uint8)
 
 
-def _answered(blocks: DataFrame, **replies: DataFrame) -> DataFrame:
-    """blocks with the replies of all buckets."""
+def _answered(blocks: DataFrame, parts: int, **replies: DataFrame) -> DataFrame:
+    """blocks with the replies of all buckets, which are dealt as the blocks are."""
     for name, rows in replies.items():
-        blocks = blocks.join(rows.groupBy("block").agg(F.collect_list(F.struct("bucket", "reply")).alias(name)), "block", "left")
+        blocks = blocks.join(rows.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "reply")).alias(name)), "block", "left")
     return blocks
 
 
@@ -176,75 +217,128 @@ def _by_bucket(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(bucket[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(bucket)][: len(cuts)], strict=True))
 
 
-def _anchors(block: Block, buckets: int) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of a block, which of its anchors each has, the different anchors by bucket, and whether several documents of the block hold each."""
-    all_ = runs(block.body, block.ends)
-    anchors, first, of = np.unique(all_.anchor, return_index=True, return_inverse=True)
-    bucket = (anchors >> np.uint64(20)) % np.uint64(buckets)
+class Asked(NamedTuple):
+    """Hashes that a block asks about: which of them each of its runs has, the different ones by bucket, their buckets, whether several documents of the block hold each, and how many different texts its runs have."""
+
+    of: np.ndarray
+    hashes: np.ndarray
+    bucket: np.ndarray
+    several: np.ndarray
+    texts: np.ndarray
+
+
+def _asked(hashes: np.ndarray, doc: np.ndarray, text: np.ndarray, buckets: int) -> Asked:
+    found, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    bucket = (found >> np.uint64(20)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    doc = block.ids[np.searchsorted(block.ends, all_.start, "right")]
-    several = np.zeros(len(anchors), bool)
+    several = np.zeros(len(found), bool)
     several[of[doc != doc[first][of]]] = True
-    return all_, rank[of], anchors[order], bucket[order].astype(np.int64), several[order]
+    texts = np.bincount(of[np.unique(_mixed(hashes ^ _mixed(text)), return_index=True)[1]], minlength=len(found))
+    return Asked(rank[of], found[order], bucket[order].astype(np.int64), several[order], texts[order])
 
 
-def _ask_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
+def _holders(block: Block, start: np.ndarray) -> np.ndarray:
+    return block.ids[np.searchsorted(block.ends, start, "right")] if len(start) else start
+
+
+def _anchors(block: Block, buckets: int) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of a block, and what it asks about their anchors."""
+    all_ = runs(block.body, block.ends)
+    return all_, *_asked(all_.anchor, _holders(block, all_.start), all_.text, buckets)
+
+
+def _sides(block: Block, all_: Runs, told: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, Asked]:
+    """The runs whose anchors are shared and that have windows for the side before, those that have some for the side after, and what the block asks about the sides of the first and then of the others."""
+    before, after = (np.flatnonzero(has & (told > 0)) for has in _has_sides(all_.count, all_.place))
+    both, doc = np.concatenate([before, after]), _holders(block, all_.start)
+    return before, after, _asked(np.concatenate([all_.before[before], all_.after[after]]), doc[both], all_.text[both], buckets)
+
+
+def _ask(blocks: DataFrame, ask: Callable[[pa.RecordBatch, int], Asked]) -> DataFrame:
+    """What blocks ask the buckets: how many hashes, four bytes of each, how many texts they have, and a bit for those of several documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                block = _read(batch, k)
-                _, _, anchors, bucket, several = _anchors(block, buckets)
-                spans = _by_bucket(bucket)
-                packed = [(anchors[lo:hi] & np.uint64((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() + np.packbits(several[lo:hi]).tobytes() for _, lo, hi in spans]
+                asked = ask(batch, k)
+                spans = _by_bucket(asked.bucket)
+                packed = [asked.hashes[lo:hi].astype("<u4").tobytes() + asked.texts[lo:hi].astype("<u4").tobytes() + np.packbits(asked.several[lo:hi]).tobytes() for _, lo, hi in spans]
                 columns = [pa.array([b for b, _, _ in spans], pa.int32()), pa.array([batch.column("block")[k].as_py()] * len(spans), pa.int64()), pa.array([hi - lo for _, lo, hi in spans], pa.int32()), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "n", "asked"])
 
-    return blocks.select("block", "ids", "ends", "body").mapInArrow(run, "bucket int, block long, n int, asked binary")
+    return blocks.mapInArrow(run, "bucket int, block long, n int, asked binary")
+
+
+def _ask_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
+    return _ask(blocks, lambda batch, k: Asked(*_anchors(_read(batch, k), buckets)[1:]))
+
+
+def _ask_sides(blocks: DataFrame, buckets: int) -> DataFrame:
+    def ask(batch: pa.RecordBatch, k: int) -> Asked:
+        block = _read(batch, k)
+        all_, of, *_ = _anchors(block, buckets)
+        return _sides(block, all_, _replies(batch, k, "anchors")[of], buckets)[2]
+
+    return _ask(blocks, ask)
 
 
 def _answer_anchors(table: pa.Table, hot: int) -> pa.Table:
-    """For each anchor of each block: 0 if no other document holds it, 1 if one does, 2 if very many blocks do."""
-    sizes, hashes, several = table["n"].to_numpy(), [], []
+    """For each anchor (or side) of each block: 0 if no other document holds it, 1 if one does, 2 if blocks have very many stretches of it, too."""
+    sizes, hashes, texts, several = table["n"].to_numpy(), [], [], []
     for n, asked in zip(sizes.tolist(), table["asked"], strict=True):
         raw = np.frombuffer(asked.as_buffer(), np.uint8)
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :6] = raw[: 6 * n].reshape(6, n).T
-        hashes.append(wide.view("<u8")[:, 0])
-        several.append(np.unpackbits(raw[6 * n :], count=n))
+        hashes.append(raw[: 4 * n].view("<u4"))
+        texts.append(raw[4 * n : 8 * n].view("<u4"))
+        several.append(np.unpackbits(raw[8 * n :], count=n))
     _, of, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     # a hash of several blocks counts as shared; if they hold one and the same document, that costs a comparison
     shared = count > 1
     shared[of[np.concatenate(several).astype(bool)]] = True
-    state = (shared.astype(np.uint8) + (count > hot))[of]
+    state = (shared * (1 + (np.bincount(of, np.concatenate(texts)) > hot))).astype(np.uint8)[of]
     return pa.table({"bucket": table["bucket"], "block": table["block"], "reply": pa.array([x.tobytes() for x in np.split(state, np.cumsum(sizes)[:-1])], pa.binary())})
 
 
-HEAD = np.dtype([("key", "<u8"), ("order", "<i8"), ("start", "<u4"), ("place", "u1"), ("count", "u1")])
+HEAD = np.dtype([("order", "<i8"), ("start", "<u4"), ("place", "u1"), ("count", "u1")])
 COPY = np.dtype([("start", "<u4"), ("like", "<u4"), ("count", "u1"), ("later", "u1")])
 MARK = np.dtype([("start", "<u4"), ("count", "u1")])
 
 
 class Stretches(NamedTuple):
-    """Different stretches of text of a block, by bucket: key, smallest document, first byte, place of the anchor, windows; and the other places that show one: where, like which one, and whether a larger document holds it there."""
+    """Different stretches of text of a block, by bucket: smallest document, first byte, place of the anchor, windows; and the other places that show one: where, like which one, and whether a larger document holds it there."""
 
     bucket: np.ndarray
     heads: np.ndarray
     copies: np.ndarray
 
 
-def stretches(block: Block, state: np.ndarray, buckets: int) -> Stretches:
-    """The stretches of a block around shared anchors; state has the replies for its anchors."""
+def stretches(block: Block, state: np.ndarray, buckets: int, sides: np.ndarray | None = None) -> Stretches:
+    """The stretches of a block around shared anchors; state has the replies for its anchors, sides those for their sides (without them, all are taken as shared)."""
     all_, of, *_ = _anchors(block, buckets)
     told = state[of] if len(of) else np.empty(0, np.uint8)
-    kept, hot = np.flatnonzero(told == 1), np.flatnonzero(told == 2)
-    single = _ragged(all_.start[hot], all_.count[hot])
+    before, after, asked = _sides(block, all_, told, buckets)
+    said = np.ones(len(asked.of), np.uint8) if sides is None else sides[asked.of]
+    # of each run, the windows before those that hold the side after its anchor, and these
+    parted = np.clip(all_.place - HALF + 1, 0, all_.count)
+    has = np.zeros((2, len(told)), np.uint8)
+    has[0, before], has[1, after] = said[: len(before)], said[len(before) :]
+    kept = np.flatnonzero((told == 1) & has.any(0))
+    skip, stop = np.where(has[0, kept] > 0, 0, parted[kept]), np.where(has[1, kept] > 0, all_.count[kept], parted[kept])
+    first, last = (np.flatnonzero((told == 2) & (x == 1)) for x in has)
+    run = np.concatenate([kept, first, last])
+    skip, stop = np.concatenate([skip, np.zeros(len(first), np.int64), parted[last]]), np.concatenate([stop, parted[first], all_.count[last]])
+    key = np.concatenate([all_.anchor[kept], all_.before[first], all_.after[last]])
+    hot = [np.flatnonzero((told == 2) & (x == 2)) for x in has]
+    single = np.concatenate([_ragged(all_.start[hot[0]], parted[hot[0]]), _ragged((all_.start + parted)[hot[1]], (all_.count - parted)[hot[1]])])
     own = np.concatenate([np.empty(0, np.uint64), *(_mixed((block.body[x[:, None] + np.arange(WIDTH)].astype(np.uint64) + np.uint64(1)) @ _powers(1 << 20)[0][:WIDTH]) for x in np.split(single, range(1 << 16, len(single), 1 << 16)))])
-    start, count = np.concatenate([all_.start[kept], single]), np.concatenate([all_.count[kept], np.ones(len(single), np.int64)])
-    key, place = np.concatenate([all_.anchor[kept], own]), np.concatenate([all_.place[kept], np.zeros(len(single), np.int64)])
-    text = np.concatenate([all_.text[kept], own])
-    doc = block.ids[np.searchsorted(block.ends, start, "right")] if len(start) else start
+    start, count, text = all_.start[run] + skip, stop - skip, all_.text[run]
+    part = np.flatnonzero(count < all_.count[run])
+    text[part] = _texts(block.body, start[part], count[part] + WIDTH - 1)
+    start, count = np.concatenate([start, single]), np.concatenate([count, np.ones(len(single), np.int64)])
+    place = np.concatenate([all_.place[run] - skip, np.zeros(len(single), np.int64)])
+    key, text = np.concatenate([key, own]), np.concatenate([text, own])
+    doc = _holders(block, start)
     which, rep = _classes(block.body, start, count, key, place, text, doc)
     bucket = (key[rep] >> np.uint64(20)) % np.uint64(buckets)
     like = rep[which]
@@ -253,10 +347,20 @@ def stretches(block: Block, state: np.ndarray, buckets: int) -> Stretches:
     copies = np.rec.fromarrays([start[other], start[like], count[other], doc[other] > doc[like]], dtype=COPY)
     order = np.lexsort((rep, bucket))
     rep = rep[order]
-    heads = np.rec.fromarrays([x[rep] for x in (key, doc, start, place, count)], dtype=HEAD)
+    heads = np.rec.fromarrays([x[rep] for x in (doc, start, place, count)], dtype=HEAD)
     return Stretches(bucket[order].astype(np.int64), heads, copies)
 
 
+def _texts(body: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The hashes of strings of a block."""
+    out = np.empty(len(start), np.uint64)
+    for lo in range(0, len(start), 1 << 13):
+        some = slice(lo, lo + (1 << 13))
+        stop = np.cumsum(n[some])
+        out[some] = _hash(prefixes(body[_ragged(start[some], n[some])]), stop - n[some], stop)
+    return out
+
+
 def _classes(body: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, place: np.ndarray, text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The class of each stretch, and for each class of equal ones the stretch with the smallest order."""
     same = _mixed(key ^ _mixed(text ^ (place << 8 | count).astype(np.uint64)))
@@ -285,15 +389,15 @@ def _alike(body: np.ndarray, start: np.ndarray, rep: np.ndarray, count: np.ndarr
 
 def _messages(block: Block, number: int, s: Stretches) -> pa.RecordBatch:
     """What a block tells the buckets; its copies come back to it as they are, by a bucket below zero."""
-    spans = _by_bucket(s.bucket)
+    spans, packer = _by_bucket(s.bucket), zstandard.ZstdCompressor(3)
     heads = [s.heads[lo:hi].view(np.uint8).reshape(-1, HEAD.itemsize).T.tobytes() for _, lo, hi in spans]
     begin, size = s.heads["start"].astype(np.int64), s.heads["count"].astype(np.int64) + WIDTH - 1
-    data = [block.body[_ragged(begin[lo:hi], size[lo:hi])].tobytes() for _, lo, hi in spans]
-    buckets = [b for b, _, _ in spans]
+    told = [packer.compress(head + block.body[_ragged(begin[lo:hi], size[lo:hi])].tobytes()) for head, (_, lo, hi) in zip(heads, spans, strict=True)]
+    buckets, many = [b for b, _, _ in spans], [hi - lo for _, lo, hi in spans]
     if len(s.copies):
-        buckets, heads, data = [*buckets, -1 - (number ^ number >> 33) % (1 << 31)], [*heads, s.copies.tobytes()], [*data, b""]
-    columns = [pa.array(buckets, pa.int32()), pa.array([number] * len(buckets), pa.int64()), pa.array(heads, pa.binary()), pa.array(data, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "heads", "data"])
+        buckets, many, told = [*buckets, -1 - (number ^ number >> 33) % (1 << 31)], [*many, len(s.copies)], [*told, s.copies.tobytes()]
+    columns = [pa.array(buckets, pa.int32()), pa.array([number] * len(buckets), pa.int64()), pa.array(many, pa.int32()), pa.array(told, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "n", "told"])
 
 
 def _ask_stretches(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -301,9 +405,9 @@ def _ask_stretches(blocks: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 block = _read(batch, k)
-                yield _messages(block, batch.column("block")[k].as_py(), stretches(block, _replies(batch, k, "anchors"), buckets))
+                yield _messages(block, batch.column("block")[k].as_py(), stretches(block, _replies(batch, k, "anchors"), buckets, _replies(batch, k, "sides")))
 
-    return blocks.mapInArrow(run, "bucket int, block long, heads binary, data binary")
+    return blocks.mapInArrow(run, "bucket int, block long, n int, told binary")
 
 
 def _common(prefix: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -425,13 +529,18 @@ def _checked(data: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[bo
 def _answer_stretches(table: pa.Table) -> pa.Table:
     """For each block, the windows that stand in a smaller document too: the first of a row of them, and how many."""
     if table["bucket"][0].as_py() < 0:
-        return table.select(["bucket", "block", "heads"]).rename_columns(["bucket", "block", "reply"])
-    heads = [np.frombuffer(h.as_buffer(), np.uint8).reshape(HEAD.itemsize, -1).T.tobytes() for h in table["heads"]]
-    data = np.frombuffer(b"".join(d.as_buffer() for d in table["data"]), np.uint8)
-    head = np.frombuffer(b"".join(heads), HEAD)
-    key, order, start, place, count = (head[c].astype(np.uint64 if c == "key" else np.int64) for c in HEAD.names)
+        return table.select(["bucket", "block", "told"]).rename_columns(["bucket", "block", "reply"])
+    many, unpacker, heads, data = table["n"].to_numpy(), zstandard.ZstdDecompressor(), [], []
+    for n, told in zip(many.tolist(), table["told"], strict=True):
+        raw = np.frombuffer(unpacker.decompress(told.as_buffer()), np.uint8)
+        heads.append(raw[: n * HEAD.itemsize].reshape(HEAD.itemsize, -1).T.tobytes())
+        data.append(raw[n * HEAD.itemsize :])
+    data, head = np.concatenate(data), np.frombuffer(b"".join(heads), HEAD)
+    order, start, place, count = (head[c].astype(np.int64) for c in HEAD.names)
     begins = np.cumsum(count + WIDTH - 1) - (count + WIDTH - 1)
-    text = _hash(prefixes(data), begins, begins + count + WIDTH - 1)
+    prefix = prefixes(data)
+    text = _hash(prefix, begins, begins + count + WIDTH - 1)
+    key = _mixed(_hash(prefix, begins + place, begins + place + GRAM))
     which, rep = _classes(data, begins, count, key, place, text, order)
     # equal stretches of several blocks are sorted once, with the smallest of their documents
     once = repeated(data, begins[rep], key[rep], order[rep], count[rep], place[rep])
@@ -439,7 +548,7 @@ def _answer_stretches(table: pa.Table) -> pa.Table:
     window, at = _ragged(start, count)[marks], np.repeat(np.arange(len(head)), count)[marks]
     cuts = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(window, prepend=-1) != 1))
     found = np.rec.fromarrays([window[cuts], np.diff(np.append(cuts, len(window)))], dtype=MARK)
-    ends = np.searchsorted(at[cuts], np.cumsum([len(h) // HEAD.itemsize for h in heads])).tolist()
+    ends = np.searchsorted(at[cuts], np.cumsum(many)).tolist()
     told = [(k, found[lo:hi].tobytes()) for k, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if lo < hi]
     asked = table.select(["bucket", "block"]).take(pa.array([k for k, _ in told], pa.int64()))
     return asked.append_column("reply", pa.array([x for _, x in told], pa.binary()))
@@ -453,7 +562,7 @@ def _results(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                block = _read(batch, k)
+                block, whole, ends = _read(batch, k), _whole(batch, k), batch.column("ends")[k].values.to_numpy()
                 marks, copies = _replies(batch, k, "marks").view(MARK), _replies(batch, k, "copies").view(COPY)
                 marked = np.zeros(len(block.body), bool)
                 marked[_windows(marks, "start")] = True
@@ -470,7 +579,8 @@ def _results(blocks: DataFrame) -> DataFrame:
                 inner = begin[block.ends > begin]
                 first[inner] = gone[inner]
                 sums = [np.concatenate([[0], np.cumsum(x)]) for x in (gone, first)]
-                n = [block.ends - begin, *(x[block.ends] - x[begin] for x in sums)]
+                n = [np.diff(ends, prepend=0), *(x[block.ends] - x[begin] for x in sums)]
+                n[1][whole], n[2][whole] = n[0][whole], 1
                 kept = [block.body[lo:hi][~gone[lo:hi]].tobytes() for lo, hi in zip(begin.tolist(), block.ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("ids")[k].values, *(pa.array(x.astype(np.int64)) for x in n), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -478,24 +588,31 @@ def _results(blocks: DataFrame) -> DataFrame:
 
 
 def spread(total: int, hot: int = HOT, size: int = BLOCK) -> tuple[int, int, int]:
-    """For a corpus of that many bytes: bytes of a block, number of buckets, blocks from which on an anchor is hot.
+    """For a corpus of that many bytes: bytes of a block, number of buckets, stretches from which on an anchor is hot.
 
     Messages are blocks times buckets. As both are wider for a larger corpus, messages grow with it rather than with its
-    square, and an anchor is hot from the same number of bytes on.
+    square, and an anchor is hot from the same share of a bucket on.
     """
     wide = min(WIDER, max(1.0, (total / FEW) ** 0.5))
-    return int(size * wide), 16 + int(total / (BUCKET * wide)), int(hot / wide)
+    return int(size * wide), 16 + int(total / (BUCKET * wide)), int(hot * wide)
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, size: int = BLOCK) -> tuple[DataFrame, list[Stored]]:
     """doc_id, n_bytes, n_removed, n_spans and the bytes kept of each row, and what to drop when they have been read."""
-    size, buckets, hot = spread(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0, hot, size)
-    stored = _blocks(docs, doc_id, text, size)
-    blocks = stored.rows.drop("size")
-    asked = _ask_anchors(blocks, buckets)
-    anchors = Stored(asked.groupBy("bucket").applyInArrow(lambda t: _answer_anchors(t, hot), "bucket int, block long, reply binary"))
-    marks = Stored(_ask_stretches(_answered(blocks, anchors=anchors.rows), buckets).groupBy("bucket").applyInArrow(_answer_stretches, "bucket int, block long, reply binary"))
-    return _results(_answered(blocks, marks=marks.rows.where("bucket >= 0"), copies=marks.rows.where("bucket < 0"))), [stored, anchors, marks]
+    total, least = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size, buckets, hot = spread(total, hot, size)
+    parts = max(least, min(MOST, total // max(size, BLOCK) + 1))  # fewer than shuffles have, and a join would deal the blocks anew
+    stored = _blocks(docs, doc_id, text, size, parts)
+    whole = Stored(_whole_copies(stored.rows))
+    blocks = stored.rows.drop("digests").join(whole.rows.repartition(parts, "block"), "block", "left")
+
+    def answers(asked: DataFrame) -> Stored:
+        return Stored(asked.groupBy("bucket").applyInArrow(lambda t: _answer_anchors(t, hot), "bucket int, block long, reply binary"))
+
+    anchors = answers(_ask_anchors(blocks, buckets))
+    sides = answers(_ask_sides(_answered(blocks, parts, anchors=anchors.rows), buckets))
+    marks = Stored(_ask_stretches(_answered(blocks, parts, anchors=anchors.rows, sides=sides.rows), buckets).groupBy("bucket").applyInArrow(_answer_stretches, "bucket int, block long, reply binary"))
+    return _results(_answered(blocks, parts, marks=marks.rows.where("bucket >= 0"), copies=marks.rows.where("bucket < 0"))), [stored, whole, anchors, sides, marks]
 
 
 def digest(kept: bytes) -> str:

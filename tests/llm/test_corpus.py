@@ -303,6 +303,42 @@ def test_repeats_of_a_passage_that_one_document_holds_several_times(spark, size)
     assert sorted(removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), size=size), key=key) == want
 
 
+def sent(monkeypatch):
+    """A list that gets the bytes of the stretches which blocks send."""
+    sizes, ask = [], repeats._ask_stretches
+
+    def measured(*args):
+        told = ask(*args)
+        size = sum((F.octet_length(c) for c, kind in told.dtypes if kind == "binary"), F.lit(0))
+        sizes.append(told.agg(F.sum(size)).first()[0] or 0)
+        return told
+
+    monkeypatch.setattr(repeats, "_ask_stretches", measured)
+    return sizes
+
+
+@pytest.mark.parametrize("hot", [1, 30, 1000])
+def test_text_that_comes_twice_by_chance_does_not_travel(spark, monkeypatch, hot):
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(rng.choice(list("abcdefgh"), rng.integers(4, 8))) for _ in range(25)])
+    rows = [(k, " ".join(rng.choice(words, 400))) for k in range(120)]
+    rows += [(200, rows[0][1][100:400] + rows[1][1]), (201, rows[7][1][:1000] + "and" + rows[7][1][1000:])]
+    want = sorted([(d, *x) for (d, _), x in zip(rows, brute_repeats(rows), strict=True)], key=key)
+    sizes = sent(monkeypatch)
+    assert sorted(removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=20_000, hot=hot), key=key) == want
+    assert 0 < sizes[0] < sum(len(t) for _, t in rows)
+
+
+def test_whole_copies_do_not_travel(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcdé \n"), n)) for n in (49, 50, 3000, 700)]
+    rows = [(k, t) for k in (1, 2, 3, 4, 5, 5, None, None) for t in texts[:3]] + [(9, texts[3]), (9, texts[3]), (8, texts[2] + "z")]
+    want = sorted([(d, *x) for (d, _), x in zip(rows, brute_repeats(rows), strict=True)], key=key)
+    sizes = sent(monkeypatch)
+    assert sorted(removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=6000), key=key) == want
+    assert sizes[0] < 4 * 3000 * 4
+
+
 # alignment
 
 
