@@ -170,12 +170,12 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, size: int, parts: int) -> B
     return Bucketed(rows.mapInArrow(run, "ids array<long>, ends array<long>, digests array<binary>, body binary").withColumn("block", F.monotonically_increasing_id()), "block", parts)
 
 
-def _whole_copies(blocks: DataFrame) -> DataFrame:
-    """Of each block that has some, the places of documents whose whole text a smaller one has."""
+def _whole_copies(blocks: DataFrame) -> list[Stored]:
+    """Of each block that has some, the places of documents whose whole text a smaller one has; and the smallest id of each such text, stored so that the copies of one need not meet in one task."""
     docs = blocks.select("block", F.posexplode(F.arrays_zip("ids", "digests")).alias("at", "doc")).select("block", "at", F.coalesce("doc.ids", F.lit(int(LAST))).alias("id"), F.col("doc.digests").alias("digest"))
     docs = docs.where("digest is not null")
-    firsts = docs.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("digest", "least")
-    return docs.join(firsts, "digest").where("id > least").groupBy("block").agg(F.collect_list("at").alias("whole"))
+    firsts = Stored(docs.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("digest", "least"))
+    return [Stored(docs.join(firsts.rows, "digest").where("id > least").groupBy("block").agg(F.collect_list("at").alias("whole"))), firsts]
 
 
 def _read(batch: pa.RecordBatch, k: int) -> Block:
@@ -218,53 +218,57 @@ def _by_bucket(bucket: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 class Asked(NamedTuple):
-    """Hashes that a block asks about: which of them each of its runs has, the different ones by bucket, their buckets, whether several documents of the block hold each, and how many different texts its runs have."""
+    """Hashes that a block asks about: which of them each of its runs has, the different ones by bucket, and their buckets."""
 
     of: np.ndarray
     hashes: np.ndarray
     bucket: np.ndarray
-    several: np.ndarray
-    texts: np.ndarray
 
 
-def _asked(hashes: np.ndarray, doc: np.ndarray, text: np.ndarray, buckets: int) -> Asked:
-    found, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-    bucket = (found >> np.uint64(20)) % np.uint64(buckets)
+def _asked(hashes: np.ndarray, buckets: int) -> Asked:
+    found, of = np.unique(hashes, return_inverse=True)
+    bucket = ((found >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    several = np.zeros(len(found), bool)
-    several[of[doc != doc[first][of]]] = True
-    texts = np.bincount(of[np.unique(_mixed(hashes ^ _mixed(text)), return_index=True)[1]], minlength=len(found))
-    return Asked(rank[of], found[order], bucket[order].astype(np.int64), several[order], texts[order])
+    return Asked(rank[of], found[order], bucket[order].astype(np.int64))
+
+
+def _held(asked: Asked, doc: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each hash, whether several documents of the block hold it, and how many different texts its runs have."""
+    any_, several = np.zeros(len(asked.hashes), np.int64), np.zeros(len(asked.hashes), bool)
+    any_[asked.of] = doc
+    several[asked.of[doc != any_[asked.of]]] = True
+    first = np.unique(_mixed(asked.hashes[asked.of] ^ _mixed(text)), return_index=True)[1]
+    return several, np.bincount(asked.of[first], minlength=len(asked.hashes))
 
 
 def _holders(block: Block, start: np.ndarray) -> np.ndarray:
     return block.ids[np.searchsorted(block.ends, start, "right")] if len(start) else start
 
 
-def _anchors(block: Block, buckets: int) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(block: Block, buckets: int) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
     """The runs of a block, and what it asks about their anchors."""
     all_ = runs(block.body, block.ends)
-    return all_, *_asked(all_.anchor, _holders(block, all_.start), all_.text, buckets)
+    return all_, *_asked(all_.anchor, buckets)
 
 
-def _sides(block: Block, all_: Runs, told: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, Asked]:
+def _sides(all_: Runs, told: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, Asked]:
     """The runs whose anchors are shared and that have windows for the side before, those that have some for the side after, and what the block asks about the sides of the first and then of the others."""
     before, after = (np.flatnonzero(has & (told > 0)) for has in _has_sides(all_.count, all_.place))
-    both, doc = np.concatenate([before, after]), _holders(block, all_.start)
-    return before, after, _asked(np.concatenate([all_.before[before], all_.after[after]]), doc[both], all_.text[both], buckets)
+    return before, after, _asked(np.concatenate([all_.before[before], all_.after[after]]), buckets)
 
 
-def _ask(blocks: DataFrame, ask: Callable[[pa.RecordBatch, int], Asked]) -> DataFrame:
+def _ask(blocks: DataFrame, ask: Callable[[pa.RecordBatch, int], tuple[Asked, np.ndarray, np.ndarray]]) -> DataFrame:
     """What blocks ask the buckets: how many hashes, four bytes of each, how many texts they have, and a bit for those of several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                asked = ask(batch, k)
+                asked, doc, text = ask(batch, k)
+                several, texts = _held(asked, doc, text)
                 spans = _by_bucket(asked.bucket)
-                packed = [asked.hashes[lo:hi].astype("<u4").tobytes() + asked.texts[lo:hi].astype("<u4").tobytes() + np.packbits(asked.several[lo:hi]).tobytes() for _, lo, hi in spans]
+                packed = [asked.hashes[lo:hi].astype("<u4").tobytes() + texts[lo:hi].astype("<u4").tobytes() + np.packbits(several[lo:hi]).tobytes() for _, lo, hi in spans]
                 columns = [pa.array([b for b, _, _ in spans], pa.int32()), pa.array([batch.column("block")[k].as_py()] * len(spans), pa.int64()), pa.array([hi - lo for _, lo, hi in spans], pa.int32()), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "n", "asked"])
 
@@ -272,14 +276,21 @@ def _ask(blocks: DataFrame, ask: Callable[[pa.RecordBatch, int], Asked]) -> Data
 
 
 def _ask_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
-    return _ask(blocks, lambda batch, k: Asked(*_anchors(_read(batch, k), buckets)[1:]))
+    def ask(batch: pa.RecordBatch, k: int) -> tuple[Asked, np.ndarray, np.ndarray]:
+        block = _read(batch, k)
+        all_, *asked = _anchors(block, buckets)
+        return Asked(*asked), _holders(block, all_.start), all_.text
+
+    return _ask(blocks, ask)
 
 
 def _ask_sides(blocks: DataFrame, buckets: int) -> DataFrame:
-    def ask(batch: pa.RecordBatch, k: int) -> Asked:
+    def ask(batch: pa.RecordBatch, k: int) -> tuple[Asked, np.ndarray, np.ndarray]:
         block = _read(batch, k)
         all_, of, *_ = _anchors(block, buckets)
-        return _sides(block, all_, _replies(batch, k, "anchors")[of], buckets)[2]
+        before, after, asked = _sides(all_, _replies(batch, k, "anchors")[of], buckets)
+        both = np.concatenate([before, after])
+        return asked, _holders(block, all_.start[both]), all_.text[both]
 
     return _ask(blocks, ask)
 
@@ -317,7 +328,7 @@ def stretches(block: Block, state: np.ndarray, buckets: int, sides: np.ndarray |
     """The stretches of a block around shared anchors; state has the replies for its anchors, sides those for their sides (without them, all are taken as shared)."""
     all_, of, *_ = _anchors(block, buckets)
     told = state[of] if len(of) else np.empty(0, np.uint8)
-    before, after, asked = _sides(block, all_, told, buckets)
+    before, after, asked = _sides(all_, told, buckets)
     said = np.ones(len(asked.of), np.uint8) if sides is None else sides[asked.of]
     # of each run, the windows before those that hold the side after its anchor, and these
     parted = np.clip(all_.place - HALF + 1, 0, all_.count)
@@ -603,7 +614,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     size, buckets, hot = spread(total, hot, size)
     parts = max(least, min(MOST, total // max(size, BLOCK) + 1))  # fewer than shuffles have, and a join would deal the blocks anew
     stored = _blocks(docs, doc_id, text, size, parts)
-    whole = Stored(_whole_copies(stored.rows))
+    whole, firsts = _whole_copies(stored.rows)
     blocks = stored.rows.drop("digests").join(whole.rows.repartition(parts, "block"), "block", "left")
 
     def answers(asked: DataFrame) -> Stored:
@@ -612,7 +623,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     anchors = answers(_ask_anchors(blocks, buckets))
     sides = answers(_ask_sides(_answered(blocks, parts, anchors=anchors.rows), buckets))
     marks = Stored(_ask_stretches(_answered(blocks, parts, anchors=anchors.rows, sides=sides.rows), buckets).groupBy("bucket").applyInArrow(_answer_stretches, "bucket int, block long, reply binary"))
-    return _results(_answered(blocks, parts, marks=marks.rows.where("bucket >= 0"), copies=marks.rows.where("bucket < 0"))), [stored, whole, anchors, sides, marks]
+    return _results(_answered(blocks, parts, marks=marks.rows.where("bucket >= 0"), copies=marks.rows.where("bucket < 0"))), [stored, whole, firsts, anchors, sides, marks]
 
 
 def digest(kept: bytes) -> str:
